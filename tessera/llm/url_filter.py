@@ -61,7 +61,7 @@ def features(h: Column, p: Column, dim: int = DIM) -> Column:
     return F.array_distinct(F.concat(*[grams(text, tag, n) for text, tag in ((h, "host"), (p, "path")) for n in GRAMS]))
 
 
-def train(rows: list[tuple[list[int], int]], dim: int = DIM, steps: int = 300, rate: float = 1.0, penalty: float = 1e-3) -> tuple[float, list[float]]:
+def train(rows: list[tuple[list[int], int]], dim: int = DIM, steps: int = 1000, rate: float = 1.0, penalty: float = 1e-3) -> tuple[float, list[float]]:
     """Weights by full-batch gradient descent on the few labelled rows; features of a row are scaled to unit length."""
     bias, weights = 0.0, [0.0] * dim
     for _ in range(steps):
