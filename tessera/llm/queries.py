@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, packing, simhash_dedup, url_filter, winnowing
+import corpus_pipeline
+
+from . import ctw, embedding_dedup, html_density, mixing, packing, pii, quality_cnn, simhash_dedup, url_filter, winnowing
 from .shared import table
 
 
@@ -19,6 +21,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.winnow(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.ctw_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -27,14 +33,80 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def digest(spans: str) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(digest("base"), 256).alias("base_sha256"), digest("spans").alias("spans"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_cnn.quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
-    return out.select("doc_id", "copy", "copies", "lang", "order_key", F.round("rate", 6).alias("rate"), F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return out.select("doc_id", "copy", "copies", "lang", "source", "order_key", F.round("rate", 6).alias("rate"), "n_chars", F.md5("text").alias("text_md5"))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_near_dedup, op2_document_fingerprints, op4_url_filter, op5_best_fit_packing, op9_source_mixing, op10_simhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_embedding_near_dedup, op2_document_fingerprints, op3_lm_scoring, op4_url_filter, op5_best_fit_packing, op6_pii, op7_html_extraction, op8_quality_classifier, op9_source_mixing, op10_simhash_near_dedup, pipeline)
+}
+
+#: Cosine and links for all pairs, the reachable set by recursion: the plain reading of op1's contract.
+OP1_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(low.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(low.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_id
+"""
+
+OP9_SQL = f"""
+WITH weights(lang, w) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in mixing.WEIGHTS.items())}),
+sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+rates AS (
+  SELECT s.lang, CASE WHEN w.w IS NULL THEN 1.0::DOUBLE
+    ELSE (sum(CASE WHEN w.w IS NOT NULL THEN s.n END) OVER ())::DOUBLE * w.w / sum(w.w) OVER () / s.n END AS rate
+  FROM sizes s LEFT JOIN weights w USING (lang)),
+p AS (
+  SELECT lang, rate, k, exp(-rate + k * ln(rate) - coalesce((SELECT sum(ln(x)) FROM range(1, k + 1) t(x)), 0)) AS p
+  FROM rates, range(0, 200) r(k) WHERE k <= ceil(rate + {mixing.TAIL} * sqrt(rate) + 20)),
+cdf AS (SELECT lang, rate, k, sum(p) OVER (PARTITION BY lang ORDER BY k) AS c FROM p),
+drawn AS (SELECT *, (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+counted AS (
+  SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, any_value(c.rate) AS rate, count(*) FILTER (WHERE c.c < d.u) AS copies
+  FROM drawn d JOIN cdf c ON c.lang IS NOT DISTINCT FROM d.lang GROUP BY ALL)
+SELECT doc_id, copy::INT AS copy, copies::INT AS copies, lang, source,
+       md5('{mixing.SEED}:order:' || doc_id || ':' || copy) AS order_key, round(rate, 6) AS rate, n_chars, md5(text) AS text_md5
+FROM counted, LATERAL (SELECT unnest(range(0, copies)) AS copy)
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_near_dedup": OP1_SQL, "op9_source_mixing": OP9_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
