@@ -11,6 +11,8 @@ length, plus the part's offset), and the pattern table says which sequence and o
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ MAX_TOKENS = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker keeps.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 500_000
 #: Rows of one part of a length, about.
 PART_ROWS = 20_000
 
@@ -36,31 +38,67 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters, and a full stop or comma after it. The tokenizer reads both apart, and letters in lower case.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+
+
 class WordEncoder:
     """Token ids as little-endian bytes. The tokenizer never joins what a blank or line break parts, so words between
-    those are encoded once and looked up after that."""
+    those are encoded once and looked up after that; what was not used for ``WORDS_KEPT`` new words is forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.last_of_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, k in self.tokenizer.get_vocab().items():
+            self.last_of_word[k] = piece.endswith("</w>")
+        self.marks = {mark: self.ids(mark) for mark in ("", ".", ",")}
+
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as one line: each ends with the only piece that ends a word."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.last_of_word[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return [self.ids(w) for w in words]
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: set[str]) -> None:
+        known, before = self.known, self.before
+        split, new = {}, set()
+        for w in words:
+            if (ids := before.get(w)) is not None:
+                known[w] = ids
+            elif m := PLAIN.fullmatch(w):
+                split[w] = letters, mark = m[1].lower(), m[2]
+                if letters not in known:
+                    if (ids := before.get(letters)) is not None:
+                        known[letters] = ids
+                    else:
+                        new.add(letters)
+            else:
+                known[w] = self.ids(w)
+        line = list(new)
+        for at in range(0, len(line), 4096):
+            known.update(zip(line[at : at + 4096], self.plain(line[at : at + 4096]), strict=True))
+        for w, (letters, mark) in split.items():
+            known[w] = known[letters] + self.marks[mark]
 
     def __call__(self, text: str) -> bytes:
-        known = self.known
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        found = list(map(self.known.get, words))
+        if None in found:
+            self.learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = [ids or self.known[w] for w, ids in zip(words, found, strict=True)]
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.before = {}, self.known
+        return b"".join(found)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -68,6 +106,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
