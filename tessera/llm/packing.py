@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import release_memory, stored
 
 MAX_TOKENS = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Distinct words whose ids a Python worker keeps.
-WORDS_KEPT = 500_000
+#: Distinct words whose ids a task keeps, twice at most.
+WORDS_KEPT = 300_000
 #: Rows of one part of a length, about.
 PART_ROWS = 20_000
 
@@ -90,6 +90,10 @@ class WordEncoder:
         for w, (letters, mark) in split.items():
             known[w] = known[letters] + self.marks[mark]
 
+    def forget(self) -> None:
+        """Words are kept for a task, not for as long as its Python worker lives."""
+        self.known, self.before = {}, {}
+
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         found = list(map(self.known.get, words))
@@ -121,6 +125,8 @@ def cut(frames: Iterator[pd.DataFrame], path: str, max_tokens: int) -> Iterator[
                 part = ids[at : at + width]
                 rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
         yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+    encode.forget()
+    release_memory()
 
 
 def plan(counts: np.ndarray, size: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int, int]]:
