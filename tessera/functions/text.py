@@ -162,7 +162,11 @@ def hash_vector(text: Column, dim: int = 64) -> Column:
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "(?U)\\s+"), lambda t: t != "")
     digests = F.transform(tokens, lambda t: F.md5(t))
     width = min(16, dim)
-    raw = F.transform(F.array(digests), lambda d: F.array(*[F.aggregate(d, F.lit(0).cast("long"), lambda s, h, k=k: s + F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("long")) for k in range(width)]))[0]
+
+    def byte_sum(all_digests: Column, k: int) -> Column:
+        return F.aggregate(all_digests, F.lit(0).cast("long"), lambda s, h: s + F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("long"))
+
+    raw = F.transform(F.array(digests), lambda d: F.array(*[byte_sum(d, k) for k in range(width)]))[0]
     return F.transform(F.array(raw), lambda v: F.concat(F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(F.lit(0.0))), F.array_repeat(F.lit(0.0), dim - width)))[0]
 
 

@@ -66,7 +66,7 @@ FROM p LEFT JOIN schedule c ON c.t = p.latest""")
 def check_access_path(spark: SparkSession, d: str) -> DataFrame:
     """C-6: the access rules on every path of a request."""
     kg = derived.access_kg(spark, d)
-    p = access_paths(spark, d).withColumn("latest", F.expr("array_max(transform(steps, x -> x.ts))"))
+    p = access_paths(spark, d).withColumn("latest", F.array_max(F.transform("steps", lambda x: x["ts"])))
     p = p.join(kg["schedule"].select(F.col("t").alias("latest"), F.col("context").alias("active")), "latest", "left")
     return p.select("qid", "since", "role", "policy", "context", C.access_reason(F.col("steps"), F.col("active")).alias("reason"))
 

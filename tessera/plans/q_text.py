@@ -18,7 +18,7 @@ def quoted(values: list[str] | tuple[str, ...]) -> str:
 
 
 def sql_tokens(x: str) -> str:
-    return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), t -> length(t) > 1 AND t NOT IN ({quoted(T.STOP_WORDS)})))"
+    return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({quoted(T.STOP_WORDS)})))"
 
 
 def sql_norm(x: str) -> str:
@@ -40,8 +40,8 @@ def sql_boost(q: str, r: str) -> str:
 
 
 def sql_hash_vector(x: str) -> str:
-    tokens = f"list_filter(regexp_split_to_array(lower({x}), '\\s+'), t -> t <> '')"
-    return "[" + ", ".join(f"coalesce(list_sum(list_transform({tokens}, t -> ('0x' || substr(md5(t), {2 * k + 1}, 2))::BIGINT)), 0)::DOUBLE" for k in range(16)) + "]"
+    tokens = f"list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda t: t <> '')"
+    return "[" + ", ".join(f"coalesce(list_sum(list_transform({tokens}, lambda t: ('0x' || substr(md5(t), {2 * k + 1}, 2))::BIGINT)), 0)::DOUBLE" for k in range(16)) + "]"
 
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS tokens_md5 FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
@@ -75,7 +75,7 @@ def question_relation_boost(spark: SparkSession, d: str) -> DataFrame:
     return met.select(F.col("q").alias("question"), F.col("r").alias("relation"), T.relation_boost(T.content_tokens(F.col("q")), T.relation_tokens(F.col("r"))).alias("boost"))
 
 
-@query(f"WITH t AS (SELECT item_id, {sql_hash_vector('text')} AS v FROM benchmark) SELECT item_id, array_to_string(list_transform(v, x -> printf('%.6f', x / sqrt(list_dot_product(v, v)))), ' ') AS vector FROM t")
+@query(f"WITH t AS (SELECT item_id, {sql_hash_vector('text')} AS v FROM benchmark) SELECT item_id, array_to_string(list_transform(v, lambda x: printf('%.6f', x / sqrt(list_dot_product(v, v)))), ' ') AS vector FROM t")
 def hash_encode(spark: SparkSession, d: str) -> DataFrame:
     """B-8: the first 16 dimensions; the others are 0."""
     v = table(spark, d, "benchmark").select("item_id", T.hash_vector(F.col("text")).alias("v"))
@@ -124,15 +124,15 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", line(1).alias("pred"), F.array(line(2), F.substring("text", 1, 60), F.concat("source", F.lit(" (x)"))).alias("golds"))
 
 
-@query(f"WITH {ANSWERS} SELECT doc_id, len(list_filter(golds, g -> {sql_answer('g')} = {sql_answer('pred')})) > 0 AS em FROM p")
+@query(f"WITH {ANSWERS} SELECT doc_id, len(list_filter(golds, lambda g: {sql_answer('g')} = {sql_answer('pred')})) > 0 AS em FROM p")
 def norm_exact_match(spark: SparkSession, d: str) -> DataFrame:
     """B-15, B-16."""
     return answers(spark, d).select("doc_id", (T.exact_match(F.col("pred"), F.col("golds")) == 1).alias("em"))
 
 
 @query(f"""WITH {ANSWERS}, w AS (SELECT doc_id, unnest(golds) AS g0, pred FROM p), t AS (
-  SELECT doc_id, list_filter(string_split({sql_answer('pred')}, ' '), x -> x <> '') AS a, list_filter(string_split({sql_answer('g0')}, ' '), x -> x <> '') AS b FROM w),
-f AS (SELECT doc_id, len(list_filter(a, x -> list_contains(b, x))) / nullif(len(a), 0)::DOUBLE AS p, len(list_filter(b, x -> list_contains(a, x))) / nullif(len(b), 0)::DOUBLE AS r FROM t)
+  SELECT doc_id, list_filter(string_split({sql_answer('pred')}, ' '), lambda x: x <> '') AS a, list_filter(string_split({sql_answer('g0')}, ' '), lambda x: x <> '') AS b FROM w),
+f AS (SELECT doc_id, len(list_filter(a, lambda x: list_contains(b, x))) / nullif(len(a), 0)::DOUBLE AS p, len(list_filter(b, lambda x: list_contains(a, x))) / nullif(len(b), 0)::DOUBLE AS r FROM t)
 SELECT doc_id, round(max(coalesce(CASE WHEN p > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 0)), 6) AS f1 FROM f GROUP BY doc_id""")
 def token_f1(spark: SparkSession, d: str) -> DataFrame:
     """B-17."""
@@ -145,7 +145,7 @@ def sql_relaxed(mode: str) -> str:
     same = f"{p} = {g}"
     if mode in ("substring", "both"):
         same += f" OR (length({g}) >= 3 AND contains({p}, {g})) OR (length({p}) >= 3 AND contains({g}, {p}))"
-    return f"(len(list_filter(golds, g -> {p} <> '' AND {g} <> '' AND ({same}))) > 0)::INT AS {mode}"
+    return f"(len(list_filter(golds, lambda g: {p} <> '' AND {g} <> '' AND ({same}))) > 0)::INT AS \"{mode}\""
 
 
 RELAXED = f"SELECT doc_id, {', '.join(sql_relaxed(m) for m in T.MATCH_MODES)} FROM p"
@@ -157,7 +157,7 @@ def relaxed_match(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("doc_id", *[T.relaxed_match(F.col("pred"), F.col("golds"), m).alias(m) for m in T.MATCH_MODES])
 
 
-@query(f"WITH {ANSWERS}, m AS ({RELAXED}) SELECT source AS method, count(*) AS n, {', '.join(f'round(avg({m}), 6) AS {m}' for m in T.MATCH_MODES)}, round(avg(\"both\") - avg(strict), 6) AS gain FROM m JOIN documents USING (doc_id) GROUP BY source".replace("avg(both) AS both", 'avg("both") AS both'))
+@query(f"WITH {ANSWERS}, m AS ({RELAXED}) SELECT source AS method, count(*) AS n, {', '.join(f'round(avg({chr(34)}{m}{chr(34)}), 6) AS {chr(34)}{m}{chr(34)}' for m in T.MATCH_MODES)}, round(avg(\"both\") - avg(strict), 6) AS gain FROM m JOIN documents USING (doc_id) GROUP BY source")
 def relaxed_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """E-37, D-12."""
     gold = table(spark, d, "documents").select("doc_id", F.col("source").alias("method"))

@@ -21,3 +21,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return register
+
+
+# the modules register their queries
+from . import q_access, q_align, q_evaluate, q_graph, q_methods, q_sources, q_text  # noqa: E402, F401

@@ -121,7 +121,7 @@ def access_kg(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "revoked": events.where("event_type = 'error' and event_id % 400 = 0").groupBy(role.alias("role")).agg(F.min("t").alias("t")),
         "grants": grants.select(F.concat(F.lit("role:"), F.col("n").cast("string")).alias("role"), "resource").distinct(),
         "governed_by": part.select(entity("part", "p_partkey").alias("resource"), F.concat(F.lit("pol:"), (F.col("p_size") % 10).cast("string")).alias("policy")),
-        "valid_in": policies.select(F.concat(F.lit("pol:"), F.col("i").cast("string")).alias("policy"), F.concat(F.lit("ctx:"), F.explode(F.array(3 * F.col("i") % 8, (F.col("i") + 5) % 8)).cast("string")).alias("context")).distinct(),
+        "valid_in": policies.select("i", F.explode(F.array(3 * F.col("i") % 8, (F.col("i") + 5) % 8)).alias("c")).select(F.concat(F.lit("pol:"), F.col("i").cast("string")).alias("policy"), F.concat(F.lit("ctx:"), F.col("c").cast("string")).alias("context")).distinct(),
         "schedule": times.select("t", F.concat(F.lit("ctx:"), (F.col("t") % 8).cast("string")).alias("context")),
         "requests": requests.select(F.col("event_id").alias("qid"), user.alias("user"), F.concat(F.lit("part:"), ((2 * F.col("k") + 1) % F.col("n")).cast("string")).alias("resource"), "t"),
     }
