@@ -93,7 +93,7 @@ class Network:
         return np.concatenate([np.maximum.reduceat(a, starts), np.add.reduceat(a, starts) / n[:, None]], 1), n
 
     def probability(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.p["out"] + self.p["offset"], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((features * self.p["out"]).sum(1) + self.p["offset"], -30, 30)))
 
     def train(self, texts: list[list[bytes]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, decay: float = 1e-4) -> None:
         rng = np.random.default_rng(SEED)
