@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -92,15 +93,23 @@ def normalized(text: Column) -> Column:
     return squeezed(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), PUNCTUATION, " "))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once: inside of a lambda Spark shares no common parts."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalized_answer(text: Column) -> Column:
     """``normalized``, where a text whose first word means yes or no becomes 1 or 0."""
-    n = normalized(text)
-    head = F.substring_index(n, " ", 1)
-    return F.when(head.isin(YES), F.lit("1")).when(head.isin(NO), F.lit("0")).otherwise(n)
+
+    def answer(n: Column) -> Column:
+        head = F.substring_index(n, " ", 1)
+        return F.when(head.isin(YES), F.lit("1")).when(head.isin(NO), F.lit("0")).otherwise(n)
+
+    return once(normalized(text), answer)
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:
-    return F.exists(golds, lambda g: normalized_answer(g) == normalized_answer(prediction)).cast("int")
+    return once(normalized_answer(prediction), lambda p: F.exists(golds, lambda g: normalized_answer(g) == p)).cast("int")
 
 
 def token_f1(prediction: Column, golds: Column) -> Column:
@@ -110,12 +119,15 @@ def token_f1(prediction: Column, golds: Column) -> Column:
         return F.filter(F.split(normalized_answer(text), " "), lambda t: t != "")
 
     def f1(p: Column, g: Column) -> Column:
-        common = F.array_intersect(p, g)
-        precision = F.size(F.filter(p, lambda t: F.array_contains(common, t))) / F.size(p)
-        recall = F.size(F.filter(g, lambda t: F.array_contains(common, t))) / F.size(g)
-        return F.when((F.size(p) == 0) | (F.size(g) == 0) | (F.size(common) == 0), F.lit(0.0)).otherwise(2 * precision * recall / (precision + recall))
+        def by(common: Column) -> Column:
+            in_p, in_g = F.size(F.filter(p, lambda t: F.array_contains(common, t))), F.size(F.filter(g, lambda t: F.array_contains(common, t)))
+            # precision in_p / |p| and recall in_g / |g|
+            return F.when(F.size(common) == 0, F.lit(0.0)).otherwise(2.0 * in_p * in_g / (in_p * F.size(g) + in_g * F.size(p)))
 
-    return F.coalesce(F.array_max(F.transform(golds, lambda g: f1(words(prediction), words(g)))), F.lit(0.0))
+        return once(F.array_intersect(p, g), by)
+
+    tokens = F.transform(golds, words)
+    return F.coalesce(once(words(prediction), lambda p: F.array_max(F.transform(tokens, lambda g: f1(p, g)))), F.lit(0.0))
 
 
 def stripped(text: Column) -> Column:
@@ -141,7 +153,7 @@ def relaxed_match(prediction: Column, golds: Column, mode: str) -> Column:
             same = same | ((F.length(g) >= 3) & p.contains(g)) | ((F.length(p) >= 3) & g.contains(p))
         return (p != "") & (g != "") & same
 
-    return F.exists(golds, lambda g: hit(norm(prediction), norm(g))).cast("int")
+    return once(norm(prediction), lambda p: F.exists(F.transform(golds, norm), lambda g: hit(p, g))).cast("int")
 
 
 def uri_name(uri: Column, separators: str = "/#") -> Column:
@@ -160,14 +172,18 @@ def linearised(s: Column, r: Column, o: Column, style: str = "plain") -> Column:
 def hash_vector(text: Column, dim: int = 64) -> Column:
     """Sum of the MD5 bytes of the lower-cased white-space tokens in dimensions 0 to 15, to unit length; zeros stay zeros."""
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "(?U)\\s+"), lambda t: t != "")
-    digests = F.transform(tokens, lambda t: F.md5(t))
     width = min(16, dim)
 
-    def byte_sum(all_digests: Column, k: int) -> Column:
-        return F.aggregate(all_digests, F.lit(0).cast("long"), lambda s, h: s + F.conv(F.substring(h, 2 * k + 1, 2), 16, 10).cast("long"))
+    def byte_sums(digests: Column) -> Column:
+        def byte_sum(k: Column) -> Column:
+            return F.aggregate(digests, F.lit(0).cast("long"), lambda s, h: s + F.conv(h.substr(2 * k + 1, F.lit(2)), 16, 10).cast("long"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), byte_sum)
+
+    def to_unit(v: Column) -> Column:
+        return once(norm(v), lambda n: F.concat(F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))), F.array_repeat(F.lit(0.0), dim - width)))
 
-    raw = F.transform(F.array(digests), lambda d: F.array(*[byte_sum(d, k) for k in range(width)]))[0]
-    return F.transform(F.array(raw), lambda v: F.concat(F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(F.lit(0.0))), F.array_repeat(F.lit(0.0), dim - width)))[0]
+    return once(once(F.transform(tokens, lambda t: F.md5(t)), byte_sums), to_unit)
 
 
 def norm(v: Column) -> Column:

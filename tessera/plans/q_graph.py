@@ -9,6 +9,7 @@ from ..functions import constraints as C
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import evaluate, graph
+from ..operators.shared import stored
 from ..sources import derived, files
 from ..sources.derived import STAR, STAR_QUERIES, star_kg, star_queries
 from .q_text import sql_answer, sql_boost, sql_hash_vector, sql_tokens
@@ -100,8 +101,8 @@ listing AS MATERIALIZED (SELECT qid, list(node ORDER BY k) AS ranking FROM (SELE
 
 def retrieved(spark: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Questions, anchors, nodes and edges found."""
-    kg, q = star_kg(spark, d), star_queries(spark, d)
-    a = graph.exact_anchors(q, kg, ["anchor"])
+    kg, q = stored(star_kg(spark, d)), star_queries(spark, d)  # every hop reads the edges
+    a = stored(graph.exact_anchors(q, kg, ["anchor"]))
     nodes, found = graph.retrieve(q, a, kg, **options)
     return q, a, nodes, found
 

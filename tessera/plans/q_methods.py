@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answer as A
 from ..operators import graph, methods
+from ..operators.shared import stored
 from ..sources.derived import star_kg, star_queries, table
 from .q_graph import ANSWERED, CANDIDATES, GOLD_OF, RETRIEVED, golds, rescored_paths, sql_scored
 from .q_text import sql_answer
@@ -24,7 +25,7 @@ BEAM = f"{RETRIEVED}, g0 AS (SELECT qid, node, 1 AS spot FROM anchors),{sql_beam
 
 
 def beam(spark: SparkSession, d: str) -> DataFrame:
-    kg, q = star_kg(spark, d), star_queries(spark, d)
+    kg, q = stored(star_kg(spark, d)), star_queries(spark, d)
     return methods.beam_search(q, graph.exact_anchors(q, kg, ["anchor"]), kg)
 
 
