@@ -5,29 +5,36 @@ tree over the bytes before it, of depth ``DEPTH``. Every node of the tree counts
 and has their Krichevsky-Trofimov estimate; weighting mixes, from the deepest context up, a node's own estimate with
 the product of its children's:  Pw = 1/2 Pkt + 1/2 prod Pw(children),  and Pw = Pkt at full depth.
 
-**Counting** is a job over all training texts: tasks count runs of DEPTH + 1 bytes, Spark sums them, and the counts of
-shorter contexts and of the binary nodes are aggregations of those. The weighted probabilities are aggregations too, one
-per depth (children grouped by their parent). No table of contexts is collected.
-
-**Scoring** uses the trained tree as it stands: the probability of a decision is, from the deepest known context up,
-w Pkt + (1 - w) P(child), with w = Pkt / (2 Pw); below the deepest known context there is nothing to mix. Executors get the tree as a
-hash table of ``2^SLOT_BITS`` slots for each depth, a size that is fixed whatever the corpus; where two contexts meet in
-a slot, the one that was seen more often has it, and the other counts as unknown.
+The probability of a decision is, from the deepest known context up, w Pkt + (1 - w) P(child), with
+w = Pkt / (2 Pw); below the deepest known context there is nothing to mix.
+
+**No context is left out**, however many there are, and no task or driver holds them all. Texts are dealt into parts of
+``PART`` bytes; a part's distinct grams (a byte and the DEPTH bytes before it) go, in packed arrays, to buckets hashed
+from the two latest bytes of context, so that a bucket holds every node of depth 2 and more below its contexts. A
+bucket sums its grams, gives the nodes of depth 1 their share (65,280 sums, the only collected table, of that size for
+any corpus), gets the mixture of depths 0 and 1 back, carries it down to every gram, and sends each part the
+probabilities of its own grams. A part then reads its texts with them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import crc_mod, release_memory, stored
 
 DEPTH = 5
-SLOT_BITS = 21
+HALF = float(np.log(0.5))
+#: Bytes of text of one part, about, and grams that one array may hold before it is summed or written.
+PART, LIMIT = 24_000_000, 2_000_000
 #: Words whose counts every task gets; the others are looked up in a shuffled join.
 HEAD_WORDS = 65_536
 FOLDS, HELD_OUT = 5, 1
@@ -36,6 +43,12 @@ END = b"\x00"
 BATCH = 1 << 20
 
 
+def give_back() -> None:
+    """What ``release_memory`` does, for Arrow's own memory too."""
+    pa.default_memory_pool().release_unused()
+    release_memory()
+
+
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -47,12 +60,13 @@ def stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the texts and their ends: the byte with the DEPTH bytes before it, as one number."""
+    """For every byte of the texts and their ends one number: the DEPTH bytes before it, the latest highest, and the byte."""
     data, lengths = stream(texts)
     n = len(data) - DEPTH
-    g = np.zeros(n, np.uint64)
-    for k in range(DEPTH + 1):
-        g = (g << np.uint64(8)) | data[k : k + n]
+    g = np.zeros(n, np.int64)
+    for k in range(1, DEPTH + 1):
+        g = (g << 8) | data[DEPTH - k : DEPTH - k + n]
+    g = (g << 8) | data[DEPTH:]
     keep = np.ones(len(data), bool)
     starts = np.concatenate(([0], np.cumsum(lengths + DEPTH)[:-1]))
     for k in range(DEPTH):
@@ -72,24 +86,77 @@ def batches(texts: pd.Series) -> Iterator[list[str | None]]:
         yield held
 
 
-def add(a: tuple[np.ndarray, np.ndarray] | None, g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if a is None:
-        return g, c
-    keys, where = np.unique(np.concatenate((a[0], g)), return_inverse=True)
-    return keys, np.bincount(where, np.concatenate((a[1], c))).astype(np.int64)
+def packed(x: np.ndarray) -> bytes:
+    """Integers as bytes, those of equal place together."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
+
+
+def summed(g: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order and the sums of their counts."""
+    g, n = np.concatenate(g), np.concatenate(n)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    starts = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1)) if len(g) else np.zeros(0, np.int64)
+    return g[starts], np.add.reduceat(n[order], starts) if len(g) else n
+
+
+def in_parts(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a number each, ``row``, so that rows with equal ids stay apart, and the number of their ``part``."""
+    task = TaskContext.get().partitionId()
+    row, part, size = task << 33, task << 20, 0
+    for batch in found:
+        ends = size + np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        parts = part + ends // PART
+        rows = np.arange(row, row + len(parts))
+        if len(parts):
+            row, size = row + len(parts), int(ends[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64()), pa.array(parts, pa.int64())], names=[*batch.schema.names, "row", "part"])
+    give_back()
+
+
+def bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each gram by its two latest bytes of context, which a multiplier spreads."""
+    return ((((g >> 32) * 40503) & 0xFFFF) * buckets) >> 16
 
 
-def count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = None
+def count_grams(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """``(bucket, part, g, n)``: the distinct grams of a part's texts, and how often the training texts have them."""
+    part, held, size = None, [], 0
+
+    def out() -> Iterator[pd.DataFrame]:
+        g, n = summed([x[0] for x in held], [x[1] for x in held])
+        at = bucket_of(g, buckets)
+        order = np.argsort(at, kind="stable")
+        g, n, at = g[order], n[order], at[order]
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(g)]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        yield pd.DataFrame({"bucket": [int(at[a]) for a, _ in spans], "part": part, "g": [packed(g[a:b]) for a, b in spans], "n": [packed(n[a:b]) for a, b in spans]})
+
     for frame in frames:
-        for texts in batches(frame["text"]):
-            g, _ = grams(texts)
-            total = add(total, *np.unique(g, return_counts=True))
-            if len(total[0]) > 2_000_000:  # a task's memory stays bounded; Spark sums the parts
-                yield pd.DataFrame({"gram": total[0].astype(np.int64), "n": total[1]})
-                total = None
-    if total is not None:
-        yield pd.DataFrame({"gram": total[0].astype(np.int64), "n": total[1]})
+        for p, rows in frame.groupby("part", sort=False):
+            if held and p != part:
+                yield from out()
+                held, size = [], 0
+            part, at = p, 0
+            for texts in batches(rows["text"]):
+                g, lengths = grams(texts)
+                learned = np.repeat(~rows["held_out"].iloc[at : at + len(texts)].to_numpy(bool), lengths)
+                at += len(texts)
+                held.append(np.unique(g[learned], return_counts=True))
+                other = np.unique(g[~learned])
+                held.append((other, np.zeros(len(other), np.int64)))
+                size += len(held[-1][0]) + len(held[-2][0])
+                if size > LIMIT and size > 2 * len(held[0][0]):
+                    held = [summed([x[0] for x in held], [x[1] for x in held])]
+                    size = len(held[0][0])
+    if held:
+        yield from out()
+    del held
+    give_back()
 
 
 def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,118 +173,174 @@ def count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 total = {}
     yield pd.DataFrame({"word": [*total, None], "n": [*total.values(), ends]})
     del total
-    release_memory()
-
-
-def tree(train: DataFrame) -> DataFrame:
-    """``(depth, node, a, b, w)``: for every binary node of every context its counts of 0 and 1 and its own weight.
-
-    ``node`` is the context's bytes and the decision's number (1 to 255), as one long; depth 0 has the empty context.
-    """
-    deepest = stored(train.mapInPandas(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    bits = F.explode(F.array(*[F.struct((F.lit(1 << k) + F.shiftright("byte", 8 - k)).alias("at"), F.shiftright("byte", 7 - k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)]))
-    half = F.lit(float(np.log(0.5)))
-    levels, children = [], None
-    for depth in range(DEPTH, -1, -1):
-        g = deepest.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1).cast("long")).alias("gram")).agg(F.sum("n").alias("n")) if depth < DEPTH else deepest
-        d = g.select("n", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("byte"))
-        d = d.select("n", "context", bits.alias("d")).select((F.shiftleft("context", 8) + F.col("d.at")).alias("node"), F.when(F.col("d.bit") == 0, F.col("n")).otherwise(0).alias("a"), F.when(F.col("d.bit") == 1, F.col("n")).otherwise(0).alias("b"))
-        d = d.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        if children is None:
-            level = stored(d.withColumn("depth", F.lit(depth)))
-            levels.append(level.withColumn("w", F.lit(1.0)))
-            below = level.withColumn("pw", log_kt())
-        else:
-            d = d.withColumn("kt", log_kt()).join(children.hint("merge"), "node", "left").withColumn("below", F.coalesce("below", F.lit(0.0)))
-            top = F.greatest("kt", "below")
-            d = d.withColumn("pw", half + top + F.ln(F.exp(F.col("kt") - top) + F.exp(F.col("below") - top)))
-            below = stored(d.select(F.lit(depth).alias("depth"), "node", "a", "b", F.exp(F.col("kt") + half - F.col("pw")).alias("w"), "pw"))
-            levels.append(below.drop("pw"))
-        # the parent lacks the oldest byte of the context
-        children = below.groupBy(F.col("node").bitwiseAND(F.lit((1 << (8 * depth)) - 1).cast("long")).alias("node")).agg(F.sum("pw").alias("below"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    give_back()
+
+
+def levels(g: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """By depth, from DEPTH to 2: distinct grams with that much context, their counts, and where they are one depth above."""
+    out: dict = {}
+    for depth in range(DEPTH, 1, -1):
+        up = None
+        if depth > 2:
+            above, up = np.unique(((g >> 16) << 8) | (g & 255), return_inverse=True)
+        out[depth] = g, n, up
+        if depth > 2:
+            g, n = above, np.bincount(up, n, len(above))
     return out
 
 
-def log_kt() -> Column:
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The Krichevsky-Trofimov probability of ``a`` zeros and ``b`` ones, G(a + 1/2) G(b + 1/2) / (pi G(a + b + 1)), as its log."""
-    return log_gamma(F.col("a") + 0.5) + log_gamma(F.col("b") + 0.5) - F.lit(float(np.log(np.pi))) - log_gamma(F.col("a") + F.col("b") + 1.0)
+    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln G(x) for x >= 1/2, by Stirling's series at x + 6."""
     y = x + 6
-    shift = F.ln(x * (x + 1) * (x + 2)) + F.ln((x + 3) * (x + 4) * (x + 5))
-    return (y - 0.5) * F.ln(y) - y + F.lit(float(0.5 * np.log(2 * np.pi))) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - shift
-
-
-#: Multipliers for the low 24 bits of a node's number and for the rest of it: products stay below 2^63 in Spark and numpy.
-LOW_SPREAD, HIGH_SPREAD = 0x61C88647, 0x5F356495
-SLOT_SHIFT = 18
-
-
-def slot(node: np.ndarray, depth: int) -> np.ndarray:
-    """Slot of a node's number; the numbers of depths 0 and 1 are slots themselves."""
-    if depth < 2:
-        return node
-    return ((((node & 0xFFFFFF) * LOW_SPREAD) ^ ((node >> 24) * HIGH_SPREAD)) >> SLOT_SHIFT) & ((1 << SLOT_BITS) - 1)
-
-
-def tag(node: np.ndarray) -> np.ndarray:
-    """32 bits that tell the nodes of a slot apart."""
-    return (node ^ (node >> 23)) & 0xFFFFFFFF
-
-
-def slots(table: DataFrame) -> list[np.ndarray]:
-    """For each depth an array by slot: the node's tag, P(1) by its own counts and its weight (16 bits each), packed; 0 if free.
-
-    What comes to the driver has at most ``2^SLOT_BITS`` rows for each depth, as it is reduced to one row for a slot.
-    """
-    node, out = F.col("node"), []
-    spread = (node.bitwiseAND(F.lit(0xFFFFFF).cast("long")) * LOW_SPREAD).bitwiseXOR(F.shiftright(node, 24) * HIGH_SPREAD)
-    hashed = F.shiftright(spread, SLOT_SHIFT).bitwiseAND(F.lit((1 << SLOT_BITS) - 1).cast("long"))
-    mark = node.bitwiseXOR(F.shiftright(node, 23)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    p = F.greatest(F.lit(1), F.least(F.lit(65534), F.round((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1.0) * 65536))).cast("long")
-    packed = F.shiftleft(mark, 32).bitwiseOR(F.shiftleft(p, 16)).bitwiseOR(F.round(F.col("w") * 65535).cast("long"))
-    for depth in range(DEPTH + 1):
-        at = (node if depth < 2 else hashed).cast("int")
-        best = table.where(F.col("depth") == depth).select(at.alias("slot"), (F.col("a") + F.col("b")).alias("n"), packed.alias("x")).groupBy("slot").agg(F.max(F.struct("n", "x")).alias("m"))
-        found = best.select("slot", "m.x").toArrow()
-        packs = np.zeros(256 << (8 * depth) if depth < 2 else 1 << SLOT_BITS, np.int64)
-        packs[found["slot"].to_numpy()] = found["x"].to_numpy()
-        out.append(packs.view(np.uint64))
-        del found
-        release_memory()
-    return out
-
-
-def log10_probability(g: np.ndarray, model: list[np.ndarray], part: int = 1 << 17) -> np.ndarray:
-    """log10 of the probability of each gram's last byte in the context of the others, a bounded part at a time."""
-    return np.concatenate([log10_of_part(g[k : k + part], model) for k in range(0, len(g), part)]) if len(g) else np.zeros(0)
-
-
-def log10_of_part(g: np.ndarray, model: list[np.ndarray]) -> np.ndarray:
-    total = np.zeros(len(g))
-    byte = (g & np.uint64(255)).astype(np.int64)
-    contexts = [((g >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)).astype(np.int64) << 8 for depth in range(DEPTH + 1)]
+    shift = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
+class Nodes:
+    """The nodes of one decision ``k`` at one depth: ``of`` says which one a gram meets, ``first`` is a gram of each."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray, k: int):
+        prefix = g >> (8 - k)
+        change = prefix[1:] != prefix[:-1]
+        self.first = np.concatenate(([0], np.flatnonzero(change) + 1))
+        self.of = np.concatenate(([0], np.cumsum(change)))
+        self.bit = (g >> (7 - k)) & 1
+        self.b = np.bincount(self.of, n * self.bit, len(self.first))
+        self.a = np.bincount(self.of, n, len(self.first)) - self.b
+        self.weigh(None)
+
+    def weigh(self, below: np.ndarray | None) -> None:
+        kt = log_kt(self.a, self.b)
+        self.pw = kt if below is None else HALF + np.logaddexp(kt, below)
+        self.w = np.exp(kt + HALF - self.pw)
+
+
+def weighted(by_depth: dict, k: int) -> tuple[dict[int, Nodes], dict[int, np.ndarray]]:
+    """The nodes of a decision by depth, with their weights, and each node's parent."""
+    nodes, parent = {}, {}
+    for depth in range(DEPTH, 1, -1):
+        nodes[depth] = x = Nodes(by_depth[depth][0], by_depth[depth][1], k)
+        if depth < DEPTH:
+            below = nodes[depth + 1]
+            parent[depth + 1] = x.of[by_depth[depth + 1][2][below.first]]
+            x.weigh(np.bincount(parent[depth + 1], below.pw, len(x.first)))
+    return nodes, parent
+
+
+def top_node(g: np.ndarray, k: int) -> np.ndarray:
+    """The node of depth 1 (latest byte and decision) above grams with two bytes of context."""
+    return ((g >> 16) << 8) + (1 << k) + ((g & 255) >> (8 - k))
+
+
+def sum_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(bucket, g, n, node, a, b, below)``: each bucket's distinct grams, and a task's sums for the nodes of depth 1."""
+    sums = np.zeros((3, 1 << 16))
+
+    def out(bucket: int, held: list) -> Iterator[pd.DataFrame]:
+        g, n = summed([x[0] for x in held], [x[1] for x in held])
+        by_depth = levels(g, n)
+        for k in range(8):
+            x = weighted(by_depth, k)[0][2]
+            at = top_node(by_depth[2][0][x.first], k)
+            for row, values in zip(sums, (x.a, x.b, x.pw), strict=True):
+                row += np.bincount(at, values, 1 << 16)
+        for c in range(0, len(g), LIMIT):
+            yield pd.DataFrame({"bucket": [bucket], "g": [packed(g[c : c + LIMIT])], "n": [packed(n[c : c + LIMIT])], "node": -1, "a": 0.0, "b": 0.0, "below": 0.0})
+
+    bucket, held, size = None, [], 0
+    for frame in frames:
+        for b, g, n in zip(frame["bucket"], frame["g"], frame["n"], strict=True):
+            if b != bucket and held:
+                yield from out(bucket, held)
+                held, size = [], 0
+            bucket = b
+            held.append((unpacked(g), unpacked(n)))
+            size += len(held[-1][0])
+            if size > 2 * LIMIT and size > 2 * len(held[0][0]):  # memory stays in proportion to what is distinct
+                held = [summed([x[0] for x in held], [x[1] for x in held])]
+                size = len(held[0][0])
+    if held:
+        yield from out(bucket, held)
+    at = np.flatnonzero(sums[0] + sums[1])
+    yield pd.DataFrame({"bucket": -1, "g": None, "n": None, "node": at, "a": sums[0][at], "b": sums[1][at], "below": sums[2][at]})
+    del held
+    give_back()
+
+
+def top_mixture(node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """For each node of depth 1 what depths 0 and 1 add to the mixture, the share they leave, and P(1) if it is the deepest known."""
+    sums = np.zeros((3, 256, 256))
+    sums[:, node >> 8, node & 255] = a, b, below
+    a, b, below = sums
+    kt = log_kt(a, b)
+    pw = HALF + np.logaddexp(kt, below)
+    w, own, known = np.exp(kt + HALF - pw), (b + 0.5) / (a + b + 1), a + b > 0
+    a0, b0 = a.sum(0), b.sum(0)
+    kt0 = log_kt(a0, b0)
+    w0, own0 = np.exp(kt0 - np.logaddexp(kt0, np.where(known, pw, 0).sum(0))), (b0 + 0.5) / (a0 + b0 + 1)
+    left = 1 - w0
+    deepest = np.where(known, w0 * own0 + left * own, own0)  # without counts own0 is one half
+    return np.stack([w0 * own0 + left * w * own, left * (1 - w), deepest]).reshape(3, -1)
+
+
+def log10_probabilities(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's byte in its context, for all grams of a bucket."""
+    by_depth, total = levels(g, n), np.zeros(len(g))
     for k in range(8):
-        at = (1 << k) + (byte >> (8 - k))
-        bit = (byte >> (7 - k)) & 1
-        p1, deeper = np.full(len(g), 0.5), np.zeros(len(g), bool)
-        for depth in range(DEPTH, -1, -1):
-            node = contexts[depth] + at
-            x = model[depth][slot(node, depth)]
-            known = (x != 0) & ((x >> np.uint64(32)).astype(np.int64) == tag(node))
-            own = ((x >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.float64) / 65536
-            weight = np.where(deeper, (x & np.uint64(0xFFFF)).astype(np.float64) / 65535, 1.0)
-            p1 = np.where(known, weight * own + (1 - weight) * p1, p1)
-            deeper |= known
-        total += np.log10(np.where(bit == 1, p1, 1 - p1))
+        nodes, parent = weighted(by_depth, k)
+        mixed, left, p1 = top[:, top_node(by_depth[2][0][nodes[2].first], k)]
+        for depth in range(2, DEPTH + 1):
+            x = nodes[depth]
+            if depth > 2:
+                mixed, left, p1 = mixed[parent[depth]], left[parent[depth]], p1[parent[depth]]
+            own = (x.b + 0.5) / (x.a + x.b + 1)
+            p1 = np.where(x.a + x.b > 0, mixed + left * own, p1)
+            mixed, left = mixed + left * x.w * own, left * (1 - x.w)
+        total += np.log10(np.where(x.bit == 1, p1[x.of], 1 - p1[x.of]))
     return total
 
 
+def price_grams(frames: Iterator[pd.DataFrame], top: np.ndarray) -> Iterator[pd.DataFrame]:
+    """``(part, g, p)``: for the grams of each part the log10 of their probabilities. A bucket's own grams come first."""
+    bucket, held, table, logs = None, [], None, None
+    for frame in frames:
+        parts, priced = [], []
+        for b, part, g, n in zip(frame["bucket"], frame["part"], frame["g"], frame["n"], strict=True):
+            if b != bucket:
+                bucket, held, table, logs = b, [], None, None
+            if part < 0:
+                held.append((unpacked(g), unpacked(n)))
+                continue
+            if table is None:
+                table, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                held = []
+                logs = log10_probabilities(table, n, top).astype(np.float32)
+            parts.append((part, g))
+            priced.append(logs[np.searchsorted(table, unpacked(g))].tobytes())
+        yield pd.DataFrame({"part": [x[0] for x in parts], "g": [x[1] for x in parts], "p": priced})
+    del held, table, logs
+    give_back()
+
+
+def gram_probabilities(held: DataFrame) -> DataFrame:
+    """``(part, g, p)``: packed grams of each part of ``held(part, text, held_out)`` and the float log10 of their probabilities."""
+    spark = held.sparkSession
+    parts = held.agg(F.countDistinct("part")).first()[0]
+    buckets = min(4096, max(64, 4 * parts))
+    found = stored(held.select("part", "text", "held_out").mapInPandas(lambda x: count_grams(x, buckets), "bucket int, part long, g binary, n binary"))
+    by_bucket = found.select("bucket", "g", "n").repartition("bucket").sortWithinPartitions("bucket")
+    whole = stored(by_bucket.mapInPandas(sum_buckets, "bucket int, g binary, n binary, node int, a double, b double, below double"))
+    tops = whole.where("node >= 0").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toArrow()
+    top = spark.sparkContext.broadcast(top_mixture(*[tops[c].to_numpy() for c in ("node", "a", "b", "below")]))
+    every = whole.where("node < 0").select("bucket", F.lit(-1).cast("long").alias("part"), "g", "n").unionByName(found.withColumn("n", F.lit(None).cast("binary")))
+    return every.repartition("bucket").sortWithinPartitions("bucket", "part").mapInPandas(lambda x: price_grams(x, top.value), "part long, g binary, p binary")
+
+
 def ctw_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, head_words: int = HEAD_WORDS) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte)`` for every row.
 
@@ -229,8 +352,11 @@ def ctw_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, he
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"))
+    id_type = dict(docs.dtypes)["doc_id"]
+    # written, as the numbers of rows and parts must not be made twice
+    docs = stored(docs.mapInArrow(in_parts, f"doc_id {id_type}, text string, held_out boolean, row long, part long"))
     train = docs.where("not held_out").select("text")
-    model = spark.sparkContext.broadcast(slots(tree(train)))
+    priced = gram_probabilities(docs)
 
     vocabulary = stored(train.mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
     all_n, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -242,47 +368,68 @@ def ctw_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, he
     known_words = spark.sparkContext.broadcast({w: log(c) for w, c in head.items()})
     end_score = log(ends) if ends else unseen
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each document (word null) with what the frequent words and the tree say, and one for each rare word."""
-        frequent, m = known_words.value, model.value
-        look = frequent.get
-        for frame in frames:
-            at = 0
-            for texts in batches(frame["text"]):
-                ids, out = frame["row"].iloc[at : at + len(texts)].to_numpy(), frame["held_out"].iloc[at : at + len(texts)].to_numpy()
-                doc = frame["doc_id"].iloc[at : at + len(texts)].to_numpy()
-                at += len(texts)
-                g, lengths = grams(texts)
-                kinds, where = np.unique(g, return_inverse=True)
-                ends_at = np.cumsum(lengths)
-                logs = np.concatenate(([0.0], np.cumsum(log10_probability(kinds, m)[where])))
-                tree_score = logs[ends_at] - logs[ends_at - lengths]
-                rare_ids, rare_words, rare_n, base, n_tokens, n_known = [], [], [], [], [], []
-                for row, t in zip(ids, texts, strict=True):
-                    ws = words(t)
-                    found = [look(w) for w in ws]
-                    sure = [x for x in found if x is not None]
-                    base.append(sum(sure) + end_score)
-                    n_tokens.append(len(ws) + 1)
-                    n_known.append(len(sure) + (ends > 0))
-                    if len(sure) < len(ws):
-                        rare: dict[bytes, int] = {}
-                        for w, x in zip(ws, found, strict=True):
-                            if x is None:
-                                rare[w] = rare.get(w, 0) + 1
-                        rare_ids += [row] * len(rare)
-                        rare_words += rare
-                        rare_n += rare.values()
-                yield pd.DataFrame({"row": ids, "doc_id": doc, "held_out": out, "word": None, "n": 0, "n_tokens": n_tokens, "n_known": n_known, "base": base, "score": tree_score, "n_bytes": lengths})
-                if rare_ids:
-                    yield pd.DataFrame({"row": rare_ids, "doc_id": None, "held_out": None, "word": rare_words, "n": rare_n, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0, "n_bytes": 0})
-        release_memory()
-
-    schema = f"row long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, word binary, n long, n_tokens long, n_known long, base double, score double, n_bytes long"
-    # a number for each row, so that rows with equal ids stay apart; it goes into the written table and is not made twice
-    scored = stored(docs.withColumn("row", F.monotonically_increasing_id()).mapInPandas(score, schema))
-    model.destroy()  # the scores are written
-    known_words.destroy()
+    def score(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document (word null) with what the frequent words and the tree say, and one for each rare word.
+
+        A part's grams come before its documents (null ``g``).
+        """
+        look = known_words.value.get
+        names, part, held, table, logs = [f.split()[0] for f in schema.split(", ")], None, [], None, None
+        for batch in found:
+            parts, is_doc = batch["part"].to_numpy(), np.asarray(batch["g"].is_null())
+            cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    part, held, table, logs = parts[a], [], None, None
+                if not is_doc[a]:
+                    held += [(unpacked(g), np.frombuffer(p, np.float32)) for g, p in zip(batch["g"][a:b].to_pylist(), batch["p"][a:b].to_pylist(), strict=True)]
+                    continue
+                if table is None:
+                    table = np.concatenate([x[0] for x in held])
+                    order = np.argsort(table, kind="stable")
+                    table, logs = table[order], np.concatenate([x[1] for x in held])[order]
+                    held = []
+                at = a
+                for texts in batches(batch["text"][a:b].to_pylist()):
+                    row, doc, out = (batch[c][at : at + len(texts)] for c in ("row", "doc_id", "held_out"))
+                    at += len(texts)
+                    g, lengths = grams(texts)
+                    kinds, where = np.unique(g, return_inverse=True)
+                    ends_at = np.cumsum(lengths)
+                    sums = np.concatenate(([0.0], np.cumsum(logs[np.searchsorted(table, kinds)].astype(np.float64)[where])))
+                    tree_score = sums[ends_at] - sums[ends_at - lengths]
+                    rare_ids, rare_words, rare_n, base, n_tokens, n_known = [], [], [], [], [], []
+                    for number, t in zip(row.to_pylist(), texts, strict=True):
+                        ws = words(t)
+                        scores = [look(w) for w in ws]
+                        sure = [x for x in scores if x is not None]
+                        base.append(sum(sure) + end_score)
+                        n_tokens.append(len(ws) + 1)
+                        n_known.append(len(sure) + (ends > 0))
+                        if len(sure) < len(ws):
+                            rare: dict[bytes, int] = {}
+                            for w, x in zip(ws, scores, strict=True):
+                                if x is None:
+                                    rare[w] = rare.get(w, 0) + 1
+                            rare_ids += [number] * len(rare)
+                            rare_words += rare
+                            rare_n += rare.values()
+                    k, r = len(texts), len(rare_ids)
+                    none, zero = pa.nulls(k, pa.binary()), pa.array(np.zeros(max(k, r), np.int64))
+                    yield pa.RecordBatch.from_arrays([row, doc, out, none, zero[:k], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree_score), pa.array(lengths, pa.int64())], names=names)
+                    if r:
+                        none = [pa.nulls(r, doc.type), pa.nulls(r, pa.bool_())]
+                        yield pa.RecordBatch.from_arrays([pa.array(rare_ids, pa.int64()), *none, pa.array(rare_words, pa.binary()), pa.array(rare_n, pa.int64()), zero[:r], zero[:r], pa.array(np.zeros(r)), pa.array(np.zeros(r)), zero[:r]], names=names)
+        del held, table, logs
+        give_back()
+
+    schema = f"row long, doc_id {id_type}, held_out boolean, word binary, n long, n_tokens long, n_known long, base double, score double, n_bytes long"
+    nothing = F.lit(None).cast("binary")
+    both = docs.withColumns({"g": nothing, "p": nothing}).unionByName(priced, allowMissingColumns=True)
+    scored = stored(both.repartition("part").sortWithinPartitions("part", F.col("g").isNull()).mapInArrow(score, schema))
+    known_words.destroy()  # the scores are written
     rare = scored.where("word is not null").select("row", "word", "n")
     tail = rare.join(vocabulary.where("word is not null").withColumnRenamed("n", "c").hint("merge"), "word", "left")
     tail = tail.groupBy("row").agg(

@@ -167,6 +167,57 @@ def test_ctw_against_a_plain_tree(spark):
         assert rows[i]["score"] == pytest.approx(ctw_plain(train, known[i], ctw.DEPTH), rel=2e-3, abs=0.02)
 
 
+def test_ctw_keeps_every_context(spark):
+    """More contexts than 2^21 slots a depth could hold without loss; every gram has the probability that a plain tree gives."""
+    rng = random.Random(31)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+    train = ["".join(rng.choices(alphabet, k=50_000)) for _ in range(8)]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:8]
+    seen, fresh = train[0][:400], "".join(rng.choices(alphabet, k=300)) + "\u00e9"
+    out = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    docs = spark.createDataFrame([*zip(ids, train, strict=True), (out[0], seen), (out[1], fresh), (out[2], None), (None, seen)], "doc_id long, text string").repartition(3)
+    rows = ctw.ctw_scores(docs).collect()
+    assert len(rows) == 12
+    got = {r["doc_id"]: r["score"] for r in rows}
+    learned = b"".join(b"\0" * ctw.DEPTH + t.encode() + b"\0" for t in [*train, seen])
+    # what the tree says of a text needs the nodes on its path and all of their children: Pw bottom-up over the whole data
+    g = np.concatenate([ctw.grams([t])[0] for t in [*train, seen]])
+    assert len(learned) - ctw.DEPTH * 9 == len(g)
+    keys, n = np.unique(g, return_counts=True)
+    assert len(keys) > 350_000
+    tables = []
+    for depth in range(ctw.DEPTH, -1, -1):
+        nodes = {}
+        for k in range(8):
+            context = (keys >> 8) >> (8 * (ctw.DEPTH - depth))
+            node = (context << 8) + (1 << k) + ((keys & 255) >> (8 - k))
+            bit = (keys >> (7 - k)) & 1
+            u, inverse = np.unique(node, return_inverse=True)
+            a, b = np.bincount(inverse, n * (1 - bit)), np.bincount(inverse, n * bit)
+            kt = np.array([math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.log(math.pi) - math.lgamma(x + y + 1) for x, y in zip(a, b, strict=True)])
+            pw = kt
+            if tables:
+                child, _, _, child_pw = tables[-1][k]
+                above = (((child >> 8) >> 8) << 8) + (child & 255)
+                pw = math.log(0.5) + np.logaddexp(kt, np.bincount(np.searchsorted(u, above), child_pw, len(u)))
+            nodes[k] = (u, (b + 0.5) / (a + b + 1), np.exp(kt + math.log(0.5) - pw), pw)
+        tables.append(nodes)
+    for i, t in ((out[0], seen), (out[1], fresh), (out[2], "")):
+        total = 0.0
+        for x in ctw.grams([t])[0].tolist():
+            for k in range(8):
+                q, deeper = 0.5, False
+                for depth, nodes in zip(range(ctw.DEPTH, -1, -1), tables, strict=True):
+                    node = (((x >> 8) >> (8 * (ctw.DEPTH - depth))) << 8) + (1 << k) + ((x & 255) >> (8 - k))
+                    u, own, w, _ = nodes[k]
+                    at = np.searchsorted(u, node)
+                    if at < len(u) and u[at] == node:
+                        weight = w[at] if deeper else 1.0
+                        q, deeper = weight * own[at] + (1 - weight) * q, True
+                total += math.log10(q if (x >> (7 - k)) & 1 else 1 - q)
+        assert got[i] == pytest.approx(total, rel=1e-5)
+
+
 # ---------------------------------------------------------------- op4
 
 
