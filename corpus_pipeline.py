@@ -6,7 +6,7 @@ columns of ``documents``; ``run`` writes each stage's rows as Parquet to shared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, pii, quality_cnn, simhash_dedup
@@ -22,10 +22,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest doc_id, once."""
-    groups = simhash_dedup.simhash_dedup(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of linked fingerprints: that of the smallest doc_id (null ids last), of equal ids the
+    smallest digest. Rows are known by a digest of all columns, not by doc_id, which may be null or repeated."""
+    docs = docs.select(*COLUMNS).withColumn("_key", row_digest())
+    found = stored(docs.select("doc_id", "_key", simhash_dedup.fingerprints(F.coalesce("text", F.lit(""))).alias("fp")))
+    # a fingerprint stands for itself, so that those of null ids alone are linked too
+    groups = simhash_dedup.fingerprint_groups(found.select(F.col("fp").alias("doc_id"), "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_key")).alias("first")
+    kept = found.join(groups.select("fp", "component").hint("merge"), "fp").groupBy("component").agg(first).select("first._key")
+    return docs.join(kept.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+
+
+def row_digest() -> Column:
+    """A digest of a row's columns, each with its length, nulls apart from empty strings."""
+    values = [F.col(c).cast("string") for c in COLUMNS]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values]), 256)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -438,3 +438,19 @@ def test_pipeline_stages_fit_together(spark, tmp_path):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
     assert 2 in kept and 3 not in kept
     assert "sequence_id" in corpus_pipeline.run(spark, str(tmp_path)).columns
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    t = texts()
+    rows = [(None, t[k], "en", "s", k) for k in (5, 6, 7, 8)] + [(None, t[20], "en", "s", 1), (None, t[20], "de", "s", 1)]
+    rows += [(1, t[5], "en", "s", 1), (2, t[9], "en", "s", 1), (2, t[10], "en", "s", 1), (3, t[11], "en", "s", 1), (3, t[11], "en", "s", 1), (4, t[10], "en", "s", 1), (None, None, None, None, None), (9, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    fps = [simhash_plain(r[1]) for r in rows]
+    root = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    for c in set(root):
+        group = [r for r, k in zip(rows, root, strict=True) if k == c]
+        here = [r for r in got if r in group]
+        assert len(here) == 1
+        assert here[0][0] == min((r[0] for r in group if r[0] is not None), default=None)
+    assert len(got) == len(set(root))
