@@ -45,8 +45,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their language's mean repetition rate says, in a global hashed order."""
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Documents as often as their source's mean repetition rate says, in a global hashed order."""
+    return mixing.mix(docs.select(*COLUMNS), mixing.SOURCE_WEIGHTS, by="source", exponent=mixing.EXPONENT).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 SEED = "mix-1"
 #: Target weights by language; sources that are not named keep their size.
 WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+#: Target shares of the pipeline's mix by source; what they leave goes to the sources that are not named, in proportion
+#: to their size to the power ``EXPONENT``: a hot source is held back, a small one raised.
+SOURCE_WEIGHTS = {"src0": 0.1, "src1": 0.05}
+EXPONENT = 0.5
 #: The uniform number has 52 bits, so the distribution is cut where less than that is left.
 TAIL = 12
 
@@ -35,16 +39,22 @@ def distribution(rates: DataFrame) -> DataFrame:
     ).drop("p")
 
 
-def poisson_replicas(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "lang", seed: str = SEED) -> DataFrame:
+def poisson_replicas(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "lang", seed: str = SEED, exponent: float | None = None) -> DataFrame:
     """``docs`` with ``copies``, the number of its replicas, and ``rate``, its source's mean repetition rate.
 
     A null source is a source of its own. Sources without a weight keep the rate 1; weights are shares among the named
-    ones of the rows that these have. Rows with equal doc_id get equal numbers. An empty table gives no rows.
+    ones of the rows that these have. With an ``exponent`` weights are shares of all rows, and sources without one (null
+    too) share what they leave, at most 1, by their size to that power; where nothing is left over for them or there are
+    none, all shares are scaled to sum to 1. Rows with equal doc_id get equal numbers. An empty table gives no rows.
     """
     weights = WEIGHTS if weights is None else weights
     sizes = docs.groupBy(F.col(by).alias("_source")).agg(F.count("*").alias("_size"))
     known = F.map_from_arrays(F.array(*[F.lit(k) for k in weights]), F.array(*[F.lit(float(v)) for v in weights.values()])) if weights else F.create_map().cast("map<string,double>")
     sizes = sizes.withColumn("_weight", F.when(F.col("_source").isNotNull(), F.try_element_at(known, F.col("_source"))))
+    if exponent is not None:
+        part = F.when(F.col("_weight").isNull(), F.pow(F.col("_size").cast("double"), F.lit(float(exponent))))
+        both = sizes.agg(F.coalesce(F.sum("_weight"), F.lit(0.0)), F.coalesce(F.sum(part), F.lit(0.0))).first()
+        sizes = sizes.withColumn("_weight", F.coalesce("_weight", part * F.lit(max(0.0, 1 - both[0]) / (both[1] or 1.0))))
     # sums over the named sources: one row
     totals = sizes.agg(F.sum(F.when(F.col("_weight").isNotNull(), F.col("_size"))).alias("_rows"), F.sum("_weight").alias("_all"))
     found = totals.first()
@@ -61,9 +71,9 @@ def limited(table: DataFrame, spark, most: int = 100_000) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "lang", seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "lang", seed: str = SEED, exponent: float | None = None) -> DataFrame:
     """The rows of ``docs``, each ``copies`` times, with ``copy`` (from 0) and ``order_key``, in the order of that key."""
-    out = poisson_replicas(docs, weights, by, seed).where("copies > 0")
+    out = poisson_replicas(docs, weights, by, seed, exponent).where("copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("doc_id").cast("string"), F.col("copy").cast("string"))))
     return out.orderBy("order_key", "doc_id", "copy")

@@ -380,6 +380,24 @@ def test_poisson_replicas(spark):
     assert [r["order_key"] for r in mixed] == sorted(r["order_key"] for r in mixed)
 
 
+def test_sources_reach_their_shares(spark):
+    """A hot source, many small ones, a null one: the pipeline's stage brings each to its target."""
+    sizes = {"src0": 3000, "src1": 500, None: 100, **{f"s{i}": 40 + 20 * i for i in range(12)}}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, "t", "en", s, 1) for i, s in enumerate(names)], DOC)
+    rows = mixing.poisson_replicas(docs, mixing.SOURCE_WEIGHTS, "source", exponent=0.5).collect()
+    left = 1 - sum(mixing.SOURCE_WEIGHTS.values())
+    roots = sum(n**0.5 for s, n in sizes.items() if s not in mixing.SOURCE_WEIGHTS)
+    for s, n in sizes.items():
+        share = mixing.SOURCE_WEIGHTS.get(s, left * n**0.5 / roots)
+        assert {round(r["rate"], 9) for r in rows if r["source"] == s} == {round(len(names) * share / n, 9)}
+    mixed = [r["source"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    for s, n in sizes.items():
+        share = mixing.SOURCE_WEIGHTS.get(s, left * n**0.5 / roots)
+        want = len(names) * share
+        assert abs(mixed.count(s) - want) < 5 * want**0.5
+
+
 # ---------------------------------------------------------------- op10
 
 
