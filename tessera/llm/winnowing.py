@@ -1,12 +1,11 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-A text is read as tokens: runs without ASCII white space, in pieces of at most ``PIECE`` characters, A-Z lower-cased.
+A text is read as tokens, A-Z lower-cased: runs without ASCII white space of at most ``PIECE`` characters, and of longer
+runs every ``PIECE`` characters in a row, from each character on, so that a token does not depend on where its run began.
 A rolling window of ``k`` tokens gives one hash each (the k-grams); of every ``w`` consecutive hashes the smallest is
 selected, the rightmost of equal ones, and kept with its position. Two texts that share a run of ``w + k - 1`` tokens
-share a selected hash, and texts that share no run of ``k`` tokens share none (but for hash collisions).
-
-Tokens instead of characters as the unit of a gram make four times fewer hashes; pieces of four characters keep the
-guarantee about as fine as words of eight letters would with characters, and serve texts without blanks too.
+share a selected hash - in runs longer than ``PIECE`` those are ``w + k + PIECE - 2`` characters at any two offsets - and
+texts that share no run of ``k`` tokens share none (but for hash collisions).
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ STRETCH, STRETCHES = 512, 65_536
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    ink = r"[^\x20\x09-\x0D]"
+    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(rf"(?=({ink}{{{PIECE}}}|(?<!{ink}){ink}{{1,{PIECE}}}(?!{ink}))){ink}"), F.lit(1))
 
 
 def selected(text: Column) -> Column:

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import ctw, embedding_dedup, html_density, mixing, packing, pii, quality_cnn, simhash_dedup, url_filter, winnowing
@@ -95,6 +96,20 @@ def test_winnowing_edits_and_guarantee(spark):
     assert winnowing.winnow(one.where("false")).count() == 0
 
 
+def test_winnowing_finds_passages_at_any_offset(spark):
+    rng = random.Random(12)
+    passage = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    rows = [(k, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20 + k)) + passage + "end" * k) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{x.split("@")[0] for x in r["fingerprint"].split()} for r in winnowing.winnow(docs).orderBy("doc_id").collect()]
+    assert all(a & b for a in found for b in found)
+    assert all(r["near_next"] > 0 for r in winnowing.winnow(docs).collect())
+    plain = "a bcd efgh ijklm\tn " + "\U0001f600" * 6
+    got = spark.createDataFrame([(plain,)], "t string").select(winnowing.tokens(F.col("t")).alias("x")).first()["x"]
+    want = [p for run in plain.split() for p in ([run] if len(run) <= 4 else [run[i : i + 4] for i in range(len(run) - 3)])]
+    assert got == want
+
+
 # ---------------------------------------------------------------- op3
 
 
