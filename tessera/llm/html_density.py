@@ -9,7 +9,9 @@ of its children. The subtree with the largest sum is the main content; the least
 threshold, and every other subtree below the body that reaches it, with a sum in proportion, is content too.
 
 Elements that are no part of an article by their tag, class, id or role (menus, page headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) are left out before the densities are computed.
+notices, adverts, form controls, comments, scripts, styles) are left out before the densities are computed; a class must
+be one of ``NAMED`` as a whole token, and an id counts only outside of articles and sections. But none is left out that
+holds an <article>, <main> or the subtree with the largest density sum of the whole page: those count by their density.
 """
 
 from __future__ import annotations
@@ -26,15 +28,17 @@ from pyspark.sql.types import StringType
 
 #: HTML element names, and names that pages give to parts outside of the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object audio video canvas xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form button select dialog menu fieldset label".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object audio video canvas xmp noembed noframes".split())
+DROPPED = frozenset("head nav footer aside button select dialog menu fieldset label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 BOUNDS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"])}
 NAMED = re.compile(
-    r"(?<![a-z])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|adslot|adbox|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|nav|navbar|navigation|menu|submenu|topmenu|breadcrumbs?|crumbs|side-?bar|aside|rail|foot|footer|masthead|topbar|toolbar|site-?header|page-?header|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|comments?|comment-?list|replies|reply|respond|disqus|discussion|feedback|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|sign-?up|login|search|search-?box|pager|pagination|widgets?|skip-?link|copyright|disclaimer|legal)(?![a-z])"
+    r"(?:ads?|adv|adverts?|advertisements?|advertising|adsense|adslot|adbox|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|nav|navbar|navigation|menu|submenu|topmenu|breadcrumbs?|crumbs|side-?bar|aside|rail|foot|footer|masthead|topbar|toolbar|site-?header|page-?header|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|comments?|comment-?list|replies|reply|respond|disqus|discussion|feedback|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|sign-?up|login|search|search-?box|pager|pagination|widgets?|skip-?link|copyright|disclaimer|legal)"
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Elements whose id names a part of the text, as "discussion" or "legal" may.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p a span li dt dd figure table".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
 TAG = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -65,7 +69,7 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and NAMED.search(CAMEL.sub("-", value).lower().replace("_", "-")):
+        if (name == "class" or (name == "id" and not in_article and tag not in TITLED)) and any(NAMED.fullmatch(x) for x in CAMEL.sub("-", value).lower().replace("_", "-").split()):
             return True
     return False
 
@@ -93,7 +97,7 @@ def parse(page: str) -> Node:
                     if name == tag:
                         break
             elif tag == "p":
-                top.children.append(Node("p", top, top.dropped))
+                top.children.append(Node("p", top, False))
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not m[3].endswith("/>") else None
@@ -112,7 +116,7 @@ def parse(page: str) -> Node:
                             break
         if tag in ("body", "html"):
             continue
-        node = Node(tag, top, top.dropped or unwanted(tag, m[3], bool(open_tags.get("article") or open_tags.get("main"))))
+        node = Node(tag, top, unwanted(tag, m[3], bool(open_tags.get("article") or open_tags.get("main"))))
         top.children.append(node)
         if tag not in VOID and not (m[3].endswith("/>") and tag not in BLOCK):
             top = node
@@ -121,7 +125,7 @@ def parse(page: str) -> Node:
 
 
 def nodes(root: Node) -> list[Node]:
-    """The nodes that are kept, each before its children."""
+    """The nodes that are kept, each before its children; what is below a dropped one is not."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -130,7 +134,34 @@ def nodes(root: Node) -> list[Node]:
     return out
 
 
+def rescue(root: Node) -> None:
+    """Keep the elements around the largest density sum of the whole page, and around every <article> and <main>."""
+    dropped, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.dropped:
+            dropped.append(node)
+        stack.extend(c for c in node.children if isinstance(c, Node))
+    if not dropped:
+        return
+    for node in dropped:
+        node.dropped = False
+    order = nodes(root)
+    measure(order)
+    best = max(order, key=lambda n: n.total)
+    for node in dropped:
+        node.dropped = True
+    for node in order:
+        if node is best or (node.tag in ("article", "main") and node.chars):
+            while node is not None:
+                node.dropped = False
+                node = node.parent
+
+
 def measure(order: list[Node]) -> None:
+    for node in order:
+        node.chars = node.tags = node.link_chars = node.links = 0
+        node.density = node.total = 0.0
     for node in reversed(order):
         link = node.tag == "a"
         for c in node.children:
@@ -158,6 +189,7 @@ def measure(order: list[Node]) -> None:
 
 def content(root: Node) -> list[Node]:
     """Roots of the subtrees that are the article, in page order."""
+    rescue(root)
     order = nodes(root)
     measure(order)
     best = max(order, key=lambda n: n.total)

@@ -340,6 +340,18 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_html_keeps_the_article_in_named_wrappers():
+    story = "".join(f"<p>Paragraph {i} of the story, which is long enough to be the article of this page.</p>" for i in range(6))
+    aside = "<div><p>Short note.</p></div>"
+    for wrapper in ("class='content has-sidebar'", "class='no-sidebar'", "class='main-content comments-open'", "class='post-share-enabled'", "class='page-header-fixed'", "class='search-results'", "class='sidebar'", "id='legal-basis'", "id='social'"):
+        for inner in (story, f"<article>{story}</article>"):
+            assert html_density.main_text(f"<body><div {wrapper}>{inner}</div>{aside}</body>").count("Paragraph") == 6, (wrapper, inner[:9])
+    assert html_density.main_text(f"<body><form action=x>{story}<select><option>one</select><button>Go</button></form>{aside}</body>").count("Paragraph") == 6
+    page = f"<body><article>{story}<section id='discussion'><p>What we discuss here.</p></section><div class='share'>Share it</div></article><div class='sidebar'><p>Other.</p></div></body>"
+    text = html_density.main_text(page)
+    assert "What we discuss" in text and "Share it" not in text and "Other." not in text
+
+
 # ---------------------------------------------------------------- op8
 
 
