@@ -3,13 +3,17 @@
 A document's fingerprint has a bit set if more than half of its 4-word shingles' hashes have it set. Two fingerprints
 that differ in at most ``max_bits`` bits are linked; linked documents form groups.
 
-**Pivot distance tables.** Every fingerprint gets its Hamming distances to reference fingerprints (pivots). Two
-fingerprints f, g and a pivot p satisfy \\|d(f,p) - d(g,p)\\| <= d(f,g), so a pair whose largest coordinate difference
-exceeds the limit is discarded without a look at the fingerprints. One set of pivots lives on blocks of the bits: for a
-block, the distances to its zero pattern and to its one-bit patterns say which bits are set, so equal coordinates mean
-equal blocks. With ``max_bits`` differing bits spread over ``max_bits + 2`` blocks, at least two blocks agree: pairs
-that agree in all coordinates of two blocks are the candidates (an equi-join, without loss). The other pivots cover all
-64 bits and discard candidates by the maximum coordinate difference; survivors are verified by their exact distance.
+**Pivot distance tables.** Every distinct fingerprint gets its Hamming distances to ``PIVOTS`` reference fingerprints
+once, and they travel with it. Two fingerprints f, g and a pivot p satisfy \\|d(f,p) - d(g,p)\\| <= d(f,g), so a pair whose
+largest coordinate difference exceeds the limit is discarded without a look at the fingerprints; survivors are verified
+by their exact distance.
+
+**Which pairs are looked at.** A distance to a pivot of 64 random bits has a standard deviation of 4, and a band of
+``max_bits`` = 4 either way holds 57 % of all others: a join on bands (or on cells with a margin) of such distances would
+copy rows faster than it parts them. So the join is on short references: on a block of the bits, the distances to its
+zero pattern and one-bit patterns say which bits are set, and equal coordinates mean equal blocks. With ``max_bits``
+differing bits spread over ``max_bits + 2`` blocks at least two blocks agree; pairs that agree in two blocks are the
+candidates (an equi-join on the bits, without loss), and the stored table is what discards them.
 
 Copies share a fingerprint, which is handled once. Keys with many fingerprints are cut into tiles of bounded size, so
 neither one task nor the driver holds a whole group; a tile returns a forest of links, not its pairs.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .shared import components, local_roots, per_tile, runs, stored, tiles
+from .shared import components, forest, per_tile, stored, tiles, whole_groups
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -65,12 +69,36 @@ def pivots(n: int = PIVOTS, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**64, n, np.uint64)
 
 
-def links(fp: np.ndarray, max_bits: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at ``max_bits`` or fewer; with ``left``, only between rows inside and outside of it."""
-    table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
+def pivot_table() -> list[str]:
+    """SQL expressions: the distances of a fingerprint ``fp`` to all pivots, 8 to a long, one byte each."""
+    one = [f"cast(bit_count(fp ^ ({p}L)) as long)" for p in pivots().view(np.int64).tolist()]
+    return [" | ".join(f"shiftleft({x}, {8 * k})" for k, x in enumerate(one[at : at + 8])) for at in range(0, PIVOTS, 8)]
+
+
+TABLE = [f"p{k}" for k in range(PIVOTS // 8)]
+#: Groups of up to so many rows are compared many at once.
+FEW = 64
+
+
+def survivors(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs that the pivots do not discard and whose distance is ``max_bits`` or less."""
+    out_i, out_j = [np.empty(0, int)], [np.empty(0, int)]
+    for at in range(0, len(i), 1 << 18):
+        a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+        for k in range(0, PIVOTS, 4):
+            ok = np.abs(table[a, k : k + 4] - table[b, k : k + 4]).max(1) <= max_bits
+            a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
+        out_i.append(a[ok])
+        out_j.append(b[ok])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def links(fp: np.ndarray, table: np.ndarray, max_bits: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs at ``max_bits`` or fewer of one tile; with ``left``, only between rows inside and outside of it."""
     rows = np.arange(len(fp)) if left is None else np.flatnonzero(left)
     cols = np.arange(len(fp)) if left is None else np.flatnonzero(~left)
-    found_i, found_j = [], []
+    found_i, found_j = [np.empty(0, int)], [np.empty(0, int)]
     for at in range(0, len(rows), 512):
         r = rows[at : at + 512]
         near = np.abs(table[r, 0][:, None] - table[cols, 0][None, :]) <= max_bits
@@ -78,15 +106,32 @@ def links(fp: np.ndarray, max_bits: int, left: np.ndarray | None = None) -> tupl
         if left is None:
             near &= r[:, None] < cols[None, :]
         i, j = np.nonzero(near)
-        i, j = r[i], cols[j]
-        for step in range(0, len(i), 1 << 18):
-            a, b = i[step : step + (1 << 18)], j[step : step + (1 << 18)]
-            ok = np.abs(table[a, 2:] - table[b, 2:]).max(1) <= max_bits
-            a, b = a[ok], b[ok]
-            ok = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-            found_i.append(a[ok])
-            found_j.append(b[ok])
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.empty(0, int), np.empty(0, int))
+        i, j = survivors(fp, table, r[i], cols[j], max_bits)
+        found_i.append(i)
+        found_j.append(j)
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def links_of_groups(g: pd.DataFrame, starts: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the tiles in a frame: the small ones at once, shifted against themselves, the others one by one."""
+    fp = g["fp"].to_numpy().view(np.uint64)
+    table = np.ascontiguousarray(g[TABLE].to_numpy()).view(np.uint8).reshape(len(g), PIVOTS).astype(np.int16)
+    lo, hi, side = (g[c].to_numpy() for c in ("lo", "hi", "side"))
+    sizes = np.diff(np.append(starts, len(g)))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    few = np.repeat(sizes <= FEW, sizes)
+    out_i, out_j = [np.empty(0, int)], [np.empty(0, int)]
+    for shift in range(1, min(FEW, int(sizes.max()))):
+        i = np.flatnonzero(few[:-shift] & (group[:-shift] == group[shift:]) & ((lo == hi)[:-shift] | (side[:-shift] != side[shift:])))
+        i, j = survivors(fp, table, i, i + shift, max_bits)
+        out_i.append(i)
+        out_j.append(j)
+    for k in np.flatnonzero(sizes > FEW).tolist():
+        a, b = starts[k], starts[k] + sizes[k]
+        i, j = links(fp[a:b], table[a:b], max_bits, None if lo[a] == hi[a] else side[a:b] == lo[a])
+        out_i.append(i + a)
+        out_j.append(j + a)
+    return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def block_keys(max_bits: int) -> list[str]:
@@ -101,23 +146,19 @@ def block_keys(max_bits: int) -> list[str]:
 def fingerprint_groups(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``(fp, node, component)`` for every distinct fingerprint of ``found(doc_id, fp)``: its smallest document, and the
     smallest document reachable by links. Documents with a null doc_id get the group of their fingerprint, or null."""
-    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    keyed = nodes.where("node is not null").select("fp", "node", F.explode(F.array(*map(F.expr, block_keys(max_bits)))).alias("key"))
+    nodes = found.groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", "node", *[F.expr(x).alias(c) for x, c in zip(pivot_table(), TABLE, strict=True)])
+    nodes = stored(nodes)
+    keys = block_keys(max_bits)
+    keyed = nodes.where("node is not null").select("fp", "node", *TABLE, F.explode(F.array(*map(F.expr, keys))).alias("key"))
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(frames, ["key", "lo", "hi"]):
-            fp, node = g["fp"].to_numpy().view(np.uint64), g["node"].to_numpy()
-            lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
-            i, j = links(fp, max_bits, None if lo == hi else (g["side"] == lo).to_numpy())
-            if len(i):
-                order = np.argsort(node, kind="stable")  # so that the root of a tile is its smallest document
-                rank = np.empty(len(node), int)
-                rank[order] = np.arange(len(node))
-                root = local_roots(len(node), rank[i], rank[j])
-                a, b = node[order], node[order][root]
-                yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-    edges = per_tile(tiles(keyed, "key", "fp"), "key").mapInPandas(verify, "a long, b long")
+        for g, starts in whole_groups(frames, ["key", "lo", "hi"]):
+            i, j = links_of_groups(g, starts, max_bits)
+            node = g["node"].to_numpy()
+            root = forest(node, i, j)
+            yield pd.DataFrame({"a": node, "b": root})[node != root]
+
+    edges = per_tile(tiles(keyed, "key", "fp", nodes.count() * len(keys)), "key").mapInPandas(verify, "a long, b long")
     return nodes.join(components(edges).hint("merge"), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 

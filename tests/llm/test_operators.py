@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -63,6 +64,36 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_a_few_directions_are_parted_by_the_grid(spark):
+    """Spread along few axes, with planted copies: all links, and far fewer pairs looked at than there are, the more so the more rows."""
+    rng = np.random.default_rng(5)
+    looked_at = []
+    for n in (400, 1600):
+        v = rng.normal(size=(n, 24)) * np.where(np.arange(24) < 6, 1.0, 0.05) @ np.linalg.qr(rng.normal(size=(24, 24)))[0]
+        v[n // 2 : n // 2 + 40] = v[:40] + rng.normal(size=(40, 24)) * 0.004
+        v = v.astype(np.float32)
+        got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>"), 0.999).collect()}
+        u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+        near = (u @ u.T >= 0.999) & ~np.eye(n, dtype=bool)
+        root = components(n, zip(*np.nonzero(near), strict=True))
+        assert near.sum() >= 80 and all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), root[i]) for i in range(n))
+        frame = pd.DataFrame({"cls": range(n), "size": 1, "embedding": list(v)})
+        spaces = embedding_dedup.Spaces(frame[["embedding"]], 0.999)
+        assert spaces[24].grid is not None
+        dealt = pd.concat(embedding_dedup.deal(iter([frame]), spaces))
+        home = dealt.groupby("key")["home"].agg(["sum", "count"])
+        pairs = (home["sum"] * (home["sum"] - 1) / 2 + home["sum"] * (home["count"] - home["sum"])).sum()
+        looked_at.append(pairs / (n * (n - 1) / 2))
+    print("pairs looked at, of all:", looked_at)
+    assert max(looked_at) < 0.5
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 0.001]), (3, [0.0, 1.0]), (None, [1.0, 0.0])]
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id is not null").select("vec_id", "n_links", "component_id").collect())
+    assert got == [(3, 1, 3), (7, 1, 3), (7, 1, 7), (8, 1, 7)]
+
+
 # ---------------------------------------------------------------- op2
 
 
@@ -460,7 +491,7 @@ def test_tiles_of_a_hot_key_lose_no_link(spark):
     fps = [f - (1 << 64) if f >= 1 << 63 else f for f in dict.fromkeys(fps)]
     found = spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long")
     was = simhash_dedup.tiles.__defaults__
-    simhash_dedup.tiles.__defaults__ = (40,)
+    simhash_dedup.tiles.__defaults__ = (40,)  # chunks of 40 rows
     try:
         got = {r["fp"]: r["component"] for r in simhash_dedup.fingerprint_groups(found).collect()}
     finally:
