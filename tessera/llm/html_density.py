@@ -8,10 +8,12 @@ For every node of the DOM: C characters, T tags, LC characters in links, LT link
 of its children. The subtree with the largest sum is the main content; the least density on its path to the body is the
 threshold, and every other subtree below the body that reaches it, with a sum in proportion, is content too.
 
-Elements that are no part of an article by their tag, class, id or role (menus, page headers, footers, sidebars,
-notices, adverts, form controls, comments, scripts, styles) are left out before the densities are computed; a class must
-be one of ``NAMED`` as a whole token, and an id counts only outside of articles and sections. But none is left out that
-holds an <article>, <main> or the subtree with the largest density sum of the whole page: those count by their density.
+The densities are those of every node of the page; <article>, <main> and other names play no part in them. Names are a
+last filter: elements that are no part of an article by their tag, class, id or role (menus, page headers, footers,
+sidebars, notices, adverts, form controls, comments) are neither chosen nor part of what is chosen; a class must be one
+of ``NAMED`` as a whole token, and an id counts only outside of articles and sections. Where what they leave has less than
+``OUTSIDE`` of the page's largest density sum, the elements around that subtree stay in all the same: a page may well be
+wrapped in one of those names. Scripts, styles and other elements whose content is no text are not read at all.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 BOUNDS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"])}
 NAMED = re.compile(
-    r"(?:ads?|adv|adverts?|advertisements?|advertising|adsense|adslot|adbox|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|nav|navbar|navigation|menu|submenu|topmenu|breadcrumbs?|crumbs|side-?bar|aside|rail|foot|footer|masthead|topbar|toolbar|site-?header|page-?header|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|comments?|comment-?list|replies|reply|respond|disqus|discussion|feedback|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|sign-?up|login|search|search-?box|pager|pagination|widgets?|skip-?link|copyright|disclaimer|legal)"
+    r"(?:ads?|adv|adverts?|advertisements?|advertising|adsense|adslot|adbox|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|nav|navbar|navigation|menu|submenu|topmenu|breadcrumbs?|crumbs|side-?bar|aside|rail|foot|footer|masthead|topbar|toolbar|site-?header|page-?header|cookies?|consent|gdpr|(?:cookies?|consent|gdpr)-(?:notice|banner|bar|popup|message|consent)|notices?|notification|alert|popup|modal|overlay|comments?|comment-?list|replies|reply|respond|disqus|discussion|feedback|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|sign-?up|login|search|search-?box|pager|pagination|widgets?|skip-?link|copyright|disclaimer|legal)"
 )
 #: Elements whose id names a part of the text, as "discussion" or "legal" may.
 TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p a span li dt dd figure table".split())
@@ -46,16 +49,18 @@ SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Share of the largest density sum that further subtrees must reach.
 PART = 0.1
+#: Share of the page's largest density sum that must lie outside of elements with names of no article.
+OUTSIDE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "links", "density", "total", "kept", "kept_total")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.links = 0
-        self.density = self.total = 0.0
+        self.chars = self.tags = self.link_chars = self.links = self.kept = 0
+        self.density = self.total = self.kept_total = 0.0
 
 
 def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -124,56 +129,38 @@ def parse(page: str) -> Node:
     return root
 
 
-def nodes(root: Node) -> list[Node]:
-    """The nodes that are kept, each before its children; what is below a dropped one is not."""
+def nodes(root: Node, dropped: bool = False) -> list[Node]:
+    """All nodes, each before its children; unless ``dropped``, those at and below a dropped one are left out."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and (dropped or not c.dropped))
     return out
 
 
-def rescue(root: Node) -> None:
-    """Keep the elements around the largest density sum of the whole page, and around every <article> and <main>."""
-    dropped, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.dropped:
-            dropped.append(node)
-        stack.extend(c for c in node.children if isinstance(c, Node))
-    if not dropped:
-        return
-    for node in dropped:
-        node.dropped = False
-    order = nodes(root)
-    measure(order)
-    best = max(order, key=lambda n: n.total)
-    for node in dropped:
-        node.dropped = True
-    for node in order:
-        if node is best or (node.tag in ("article", "main") and node.chars):
-            while node is not None:
-                node.dropped = False
-                node = node.parent
+def around(node: Node | None) -> Iterator[Node]:
+    """A node and its ancestors."""
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def measure(order: list[Node]) -> None:
-    for node in order:
-        node.chars = node.tags = node.link_chars = node.links = 0
-        node.density = node.total = 0.0
+    """Densities and density sums of nodes that come before their children; ``kept`` and ``kept_total`` leave out what a name drops."""
     for node in reversed(order):
-        link = node.tag == "a"
         for c in node.children:
             if isinstance(c, str):
                 n = len(c.strip())
                 node.chars += n
-            elif not c.dropped:
+                node.kept += n
+            else:
                 node.chars += c.chars
+                node.kept += 0 if c.dropped else c.kept
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.links += c.links + (c.tag == "a")
-        if link:
+        if node.tag == "a":
             node.link_chars = node.chars
     body = order[0]
     share = body.link_chars / (body.chars or 1)
@@ -185,31 +172,33 @@ def measure(order: list[Node]) -> None:
             node.density = c / t * (math.log(max(inner, 1e-9)) / math.log(base) if base > 1 + 1e-12 else math.log(max(inner, 1e-9)))
     for node in order[1:]:
         node.parent.total += max(0.0, node.density)
+        node.parent.kept_total += 0.0 if node.dropped else max(0.0, node.density)
+
+
+def largest(order: list[Node], total: Callable[[Node], float]) -> Node:
+    """The node with the largest density sum; the page itself only if nothing in it has half as much."""
+    root, below = order[0], order[1:]
+    best = max(below, key=total, default=root)
+    return best if 2 * total(best) >= total(root) > 0 else root
 
 
 def content(root: Node) -> list[Node]:
     """Roots of the subtrees that are the article, in page order."""
-    rescue(root)
-    order = nodes(root)
-    measure(order)
-    best = max(order, key=lambda n: n.total)
+    every = nodes(root, dropped=True)
+    measure(every)
+    best = largest(every, lambda n: n.total)
     if best.total <= 0:
         return [root] if root.chars else []
-    node, article = best, None
-    while node is not None:
-        if node.tag == "article" or (node.tag == "main" and article is None):
-            article = node
-            if node.tag == "article":
-                break
-        node = node.parent
-    if article is not None:
-        return [article]
-    threshold, node = math.inf, best
-    while node is not None:
-        threshold = min(threshold, node.density)
-        node = node.parent
+    outside = largest(nodes(root), lambda n: n.kept_total)
+    if outside.kept_total >= OUTSIDE * best.total and outside.kept:
+        best = outside
+    else:
+        for node in around(best):
+            node.dropped = False
+    order = nodes(root)
+    threshold = min(node.density for node in around(best))
     # up to a parent that adds little but the headline
-    while best.parent is not None and best.parent is not root and best.parent.chars <= 1.3 * best.chars + 200:
+    while best.parent is not None and best.parent is not root and best.parent.kept <= 1.3 * best.kept + 200:
         best = best.parent
     chosen = {id(best)}
     for node in order[1:]:

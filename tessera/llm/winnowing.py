@@ -19,8 +19,9 @@ W = 4
 #: A selected hash and its position share a long: 37 bits of hash, 26 of (inverted) position.
 POSITION = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Documents of one stretch of the order by doc_id, about, and the most stretches there may be.
-STRETCH, STRETCHES = 512, 65_536
+#: Documents of one stretch of the order by doc_id, about, and the most stretches there may be (more documents make
+#: them longer, not more).
+STRETCH, STRETCHES = 512, 4096
 
 
 def tokens(text: Column) -> Column:
@@ -69,31 +70,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
+def below(bounds: Column, n: int, x: Column, equal: bool) -> Column:
+    """How many of the ``n`` sorted ``bounds`` are less than ``x`` (or equal to it), by bisection."""
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        at = F.get(bounds, middle)
+        before = (at <= x) if equal else (at < x)
+        go = s["low"] < s["high"]
+        return F.struct(F.when(go & before, middle + 1).otherwise(s["low"]).alias("low"), F.when(go & ~before, middle).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), step)["low"]
+
+
+def in_stretches(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with ``tie``, a hash of the text, and ``stretch``: parts of about equal size of the order by
+    doc_id. The bounds are quantiles, whatever the ids are; an id that fills several stretches is spread over them by
+    its texts' hash, and so are null ids, which come before all others."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    n, nameless = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    many = max(1, min(STRETCHES, n // STRETCH))
+    stretch = F.lit(0)
+    if many > 1 and n > nameless:
+        at = F.percentile_approx("doc_id", [k / many for k in range(1, many)], 100 * many)
+        bounds = docs.agg(at.alias("b")).first()["b"]  # many - 1 numbers
+        table = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)")
+        low, high = below(table, len(bounds), F.col("doc_id"), False), below(table, len(bounds), F.col("doc_id"), True)
+        stretch = F.when(high > low, low + 1 + F.pmod("tie", high - low)).otherwise(low)
+    before = max(1, min(STRETCHES, nameless // STRETCH))
+    return docs.withColumn("stretch", F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(before))).otherwise(stretch).cast("long"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, next_text, stretch, guest)``: each document's text beside the next one's in order of doc_id.
+    """``(doc_id, text, tie, stretch, guest, next_text)``: each document's text beside the next one's in order of doc_id.
 
-    Documents are dealt into stretches of the doc_id range; the first document of a stretch is also a guest at the end
-    of the stretch before (of the last stretch, for the very first), so that a stretch has all its neighbours. The
-    table of first documents has at most ``STRETCHES`` rows and is broadcast.
+    The first document of a stretch is also a guest at the end of the stretch before (of the last one, for the very
+    first), so that a stretch has all its neighbours. Tables of one row for a stretch are broadcast.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    many = max(1, min(STRETCHES, n // STRETCH))
-    width = max(1, -(-(high - low + 1) // many))
-    docs = docs.withColumn("stretch", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long"))  # null ids come first
-    heads = docs.groupBy("stretch").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head"))
-    order = Window.orderBy("stretch")
-    heads = heads.select("stretch", F.col("head.doc_id").alias("doc_id"), F.coalesce(F.lag("stretch").over(order), F.max("stretch").over(Window.partitionBy())).alias("host"))
-    met = docs.join(F.broadcast(heads.select("stretch", F.col("doc_id").alias("first"), "host")), "stretch")
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(F.struct(F.lit(False).alias("guest"), F.col("stretch").alias("at")), F.struct(F.lit(True).alias("guest"), F.col("host").alias("at"))))
-    met = met.withColumn("place", F.explode(F.coalesce(places, F.array(F.struct(F.lit(False).alias("guest"), F.col("stretch").alias("at"))))))
-    met = met.select("doc_id", "text", F.col("place.at").alias("stretch"), F.col("place.guest").alias("guest"))
-    return met.withColumn("next_text", F.lead("text").over(within()))
+    docs = in_stretches(docs)
+    known = F.col("doc_id").isNotNull()
+    heads = docs.groupBy("stretch").agg(F.min(F.struct(known.alias("known"), "doc_id", "tie")).alias("head"))
+    order = Window.orderBy("stretch")  # at most 2 STRETCHES rows
+    heads = heads.select("stretch", F.col("head.doc_id").alias("first"), F.col("head.tie").alias("first_tie"), F.coalesce(F.lag("stretch").over(order), F.max("stretch").over(Window.partitionBy())).alias("host"))
+    met = docs.join(F.broadcast(heads), "stretch").where(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("tie") == F.col("first_tie")))
+    guests = met.groupBy("host").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("tie").alias("tie"))  # copies of one row
+    both = docs.withColumn("guest", F.lit(False)).unionByName(guests.withColumnRenamed("host", "stretch").withColumn("guest", F.lit(True)))
+    return both.withColumn("next_text", F.lead("text").over(within()))
 
 
 def within() -> Window:
-    return Window.partitionBy("stretch").orderBy("guest", "doc_id")
+    return Window.partitionBy("stretch").orderBy("guest", "doc_id", "tie")
 
 
 def winnow(docs: DataFrame) -> DataFrame:
@@ -101,13 +127,14 @@ def winnow(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next
     document's; after the last document comes the first, and a sole document follows itself. A null text is empty; an
-    empty text has an empty fingerprint. Null ids come before all others; rows that share an id follow one another in
-    any order. An empty table gives no rows; other columns are ignored.
+    empty text has an empty fingerprint. Null ids come before all others; rows that share an id follow one another by
+    a hash of their texts. Positions count tokens and wrap beyond 2^26 of them. An empty table gives no rows; other
+    columns are ignored.
     """
     d = with_next(docs)
     n = F.char_length("text")
     d = d.withColumn("n_chars", n).withColumn("edited", F.concat(F.expr("left(text, n_chars - cast(floor(n_chars / 4) as int))"), F.coalesce(F.expr("left(next_text, cast(floor(n_chars / 4) as int))"), F.lit(""))))
-    d = d.select("doc_id", "stretch", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), selected(F.col("text")).alias("own"), selected(F.col("edited")).alias("changed"))
+    d = d.select("doc_id", "tie", "stretch", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), selected(F.col("text")).alias("own"), selected(F.col("edited")).alias("changed"))
     d = d.withColumn("hashes", hashes_of(F.col("own"))).withColumn("next_hashes", F.lead("hashes").over(within())).where(~F.col("guest"))
     return d.select(
         "doc_id",
