@@ -5,8 +5,8 @@ tree over the bytes before it, of depth ``DEPTH``. Every node of the tree counts
 and has their Krichevsky-Trofimov estimate; weighting mixes, from the deepest context up, a node's own estimate with
 the product of its children's:  Pw = 1/2 Pkt + 1/2 prod Pw(children),  and Pw = Pkt at full depth.
 
-The probability of a decision is, from the deepest known context up, w Pkt + (1 - w) P(child), with
-w = Pkt / (2 Pw); below the deepest known context there is nothing to mix.
+The probability of a decision is, from full depth up, w Pkt + (1 - w) P(child), with w = Pkt / (2 Pw), and w = 1 at full
+depth. A context that was never seen has no counts, and its estimate and mixture are one half.
 
 **No context is left out**, however many there are, and no task or driver holds them all. Texts are dealt into parts of
 ``PART`` bytes; a part's distinct grams (a byte and the DEPTH bytes before it) go, in packed arrays, to buckets hashed
@@ -273,19 +273,19 @@ def sum_buckets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def top_mixture(node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """For each node of depth 1 what depths 0 and 1 add to the mixture, the share they leave, and P(1) if it is the deepest known."""
+    """For each node of depth 1 what depths 0 and 1 add to the mixture, and the share that they leave to what is below."""
     sums = np.zeros((3, 256, 256))
     sums[:, node >> 8, node & 255] = a, b, below
     a, b, below = sums
     kt = log_kt(a, b)
     pw = HALF + np.logaddexp(kt, below)
-    w, own, known = np.exp(kt + HALF - pw), (b + 0.5) / (a + b + 1), a + b > 0
+    known = a + b > 0
+    w, own = np.where(known, np.exp(kt + HALF - pw), 0.0), (b + 0.5) / (a + b + 1)
     a0, b0 = a.sum(0), b.sum(0)
     kt0 = log_kt(a0, b0)
     w0, own0 = np.exp(kt0 - np.logaddexp(kt0, np.where(known, pw, 0).sum(0))), (b0 + 0.5) / (a0 + b0 + 1)
     left = 1 - w0
-    deepest = np.where(known, w0 * own0 + left * own, own0)  # without counts own0 is one half
-    return np.stack([w0 * own0 + left * w * own, left * (1 - w), deepest]).reshape(3, -1)
+    return np.stack([w0 * own0 + left * w * own, left * (1 - w)]).reshape(2, -1)
 
 
 def log10_probabilities(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -293,14 +293,15 @@ def log10_probabilities(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.nda
     by_depth, total = levels(g, n), np.zeros(len(g))
     for k in range(8):
         nodes, parent = weighted(by_depth, k)
-        mixed, left, p1 = top[:, top_node(by_depth[2][0][nodes[2].first], k)]
+        mixed, left = top[:, top_node(by_depth[2][0][nodes[2].first], k)]
         for depth in range(2, DEPTH + 1):
             x = nodes[depth]
             if depth > 2:
-                mixed, left, p1 = mixed[parent[depth]], left[parent[depth]], p1[parent[depth]]
-            own = (x.b + 0.5) / (x.a + x.b + 1)
-            p1 = np.where(x.a + x.b > 0, mixed + left * own, p1)
-            mixed, left = mixed + left * x.w * own, left * (1 - x.w)
+                mixed, left = mixed[parent[depth]], left[parent[depth]]
+            known = x.a + x.b > 0
+            w, own = np.where(known, x.w if depth < DEPTH else 1.0, 0.0), (x.b + 0.5) / (x.a + x.b + 1)
+            mixed, left = mixed + left * w * own, left * (1 - w)
+        p1 = mixed + left / 2  # what is left over is an unseen context's
         total += np.log10(np.where(x.bit == 1, p1[x.of], 1 - p1[x.of]))
     return total
 

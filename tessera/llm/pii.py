@@ -1,20 +1,21 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 Patterns find emails, IP addresses, card numbers and phone numbers of the plain forms. The random field reads the zones
-of a text that hold a digit or an ``@``: a zone is cut into atoms (runs of letters, runs of digits, single other
-characters), and a segmentation of the atoms is scored as a whole. A segment is an entity of at most ``MAX_ATOMS`` atoms
-with a type, or one atom outside; an entity's score is that of features of its whole span (its shape, how many digits,
-checksum, ranges, neighbours). Dynamic programming over segment ends chooses boundaries and types jointly.
-
-The field is trained here, on zones of a bounded sample of documents (``SAMPLE`` of them in the order of a hash) that
-the patterns have labelled, on the same numbers written in other forms, and on numbers that are no personal data.
-Training maximises the likelihood, with expected features from the forward and backward sums over all segmentations.
-Entities that the field is sure of, and that touch no pattern's span, are added; spans of the patterns stay.
+of a text that hold a digit, an ``@`` or an "at" that stands for one: a zone is cut into atoms (runs of letters, runs of
+digits, single other characters), and a segmentation of the atoms is scored as a whole. A segment is an entity of at most
+``MAX_ATOMS`` atoms with a type, or one atom outside; an entity's score is that of features of its whole span (its shape,
+how many digits, checksum, ranges, neighbours). Dynamic programming over segment ends chooses boundaries and types
+jointly.
+
+The field is trained here: on zones of a bounded sample of documents that the patterns have labelled, and on made-up
+entities of every kind in plain and other forms, between words of those zones, beside numbers that are no personal data.
+So a kind that is rare or absent in a corpus is learned all the same. Training maximises the likelihood, with expected
+features from the forward and backward sums over all segmentations. Entities that the field is sure of, and that touch
+no pattern's span, are added; spans of the patterns stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -28,11 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from .shared import fresh, quoted
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 24
-SAMPLE = 4000
-SAMPLE_ZONES = 8
-EPOCHS = 6
+#: Bounds of the training data: documents that are drawn, zones of each, zones of all, characters and atoms of a zone,
+#: made-up examples of each kind, and of what is none.
+SAMPLE, SAMPLE_ZONES, ZONES, ZONE_CHARS, ZONE_ATOMS = 4000, 8, 1500, 120, 80
+MADE, MADE_NONE = 300, 700
+EPOCHS = 5
 #: Log-odds that an added entity needs.
 SURE = 2.0
 
@@ -44,7 +49,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
+#: An address whose @ is written as a word: in brackets, or with a dot that is a word too.
+SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]+)+|[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)* dot [A-Za-z0-9-]+", re.I)
+SPELLED_HINT = re.compile(r"\bat ?[\])}]| dot ", re.I)
 WORD = re.compile(r"\S*")
+#: What may stand between two words of one zone.
+GAP = re.compile(r"  ?(?:(?:-|\.|dot|DOT) )?")
 ATOM = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
 
 
@@ -89,9 +99,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---------------------------------------------------------------- the random field
 
 
-def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of words that hold a digit or an @, joined where one follows another after one blank."""
-    end = 0
+def zones(text: str) -> list[tuple[int, int]]:
+    """Stretches of words that hold a digit or an @, joined where one follows another after a blank or two, or a mark
+    or "dot" between blanks, and addresses with a spelled-out @; in order, without overlaps."""
+    found, end = [], 0
     for m in TRIGGER.finditer(text):
         if m.start() < end:
             continue
@@ -99,9 +110,19 @@ def zones(text: str) -> Iterator[tuple[int, int]]:
         while start > end and not text[start - 1].isspace():
             start -= 1
         end = WORD.match(text, m.end()).end()
-        while end + 1 < len(text) and text[end] == " " and TRIGGER.search(w := WORD.match(text, end + 1).group()) and w:
-            end += 1 + len(w)
-        yield start, end
+        while (gap := GAP.match(text, end)) and TRIGGER.search(w := WORD.match(text, gap.end()).group()):
+            end = gap.end() + len(w)
+        found.append((start, end))
+    if SPELLED_HINT.search(text):
+        spelled = [m.span() for m in SPELLED.finditer(text)]
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(found + spelled):
+            if merged and a < merged[-1][1]:
+                merged[-1] = merged[-1][0], max(b, merged[-1][1])
+            else:
+                merged.append((a, b))
+        found = merged
+    return found
 
 
 def atoms(zone: str) -> list[str]:
@@ -113,33 +134,40 @@ def kind_of(c: str) -> str:
 
 
 def segments(parts: list[str]) -> Iterator[tuple[int, int]]:
-    """Spans of atoms that may be an entity: bounded, with a digit or @, from a letter, digit, + or ( to a letter or digit."""
+    """Spans of atoms that may be an entity: bounded, from a letter, digit, + or ( to a letter or digit, with seven digits
+    or more, four numbers, or one @ or "at"."""
     for i, first in enumerate(parts):
         if not (first[0].isalnum() or first in "+("):
             continue
-        digits = at = 0
+        digits = numbers = at = letters = 0
         for j in range(i, min(i + MAX_ATOMS, len(parts))):
             p = parts[j]
             if p[0].isdigit():
                 digits += len(p)
-            at += p == "@"
-            if (digits >= 7 and digits <= 19 or at == 1) and p[0].isalnum():
+                numbers += 1
+            at += p == "@" or (p in ("at", "AT", "At") and j > i)
+            letters += p[0].isalpha() and p.lower() != "dot"
+            if p[0].isalnum() and (at == 1 or (not letters and (7 <= digits <= 19 or (numbers == 4 and digits >= 4)))):
                 yield i, j + 1
 
 
 def features(parts: list[str], i: int, j: int) -> list[str]:
     span = parts[i:j]
-    shape = "".join("a" if p[0].isalpha() else f"9{min(len(p), 20)}" if p[0].isdigit() else p for p in span)
+    shape = "".join((p.lower() if p.lower() in ("at", "dot") else "a") if p[0].isalpha() else f"9{min(len(p), 20)}" if p[0].isdigit() else p for p in span)
     digits = "".join(p for p in span if p[0].isdigit())
     left, right = (parts[i - 1][-1] if i else ""), (parts[j][0] if j < len(parts) else "")
     loose = re.sub(r"9\d+", "9", shape)
-    tail = shape.rpartition("@")[2] if "@" in shape else ""
+    tail = shape.rpartition("@")[2] if "@" in shape else shape.rpartition("at")[2]
     out = ["bias", f"shape={shape}", f"loose={loose}", f"digits={len(digits)}", f"left={kind_of(left)}", f"right={kind_of(right)}", f"first={span[0] if not span[0][0].isalnum() else kind_of(span[0])}", f"last={kind_of(span[-1])}"]
-    out += [f"separators={''.join(sorted({p for p in span if not p[0].isalnum()}))}", f"letters={'a' in shape}", f"domain={'.' in tail}{'@' in shape}"]
+    out += [f"separators={''.join(sorted({p for p in span if not p[0].isalnum()}))}", f"letters={'a' in shape}", f"domain={'.' in tail}{'dot' in tail}{'@' in shape}{'at' in shape}"]
     if 13 <= len(digits) <= 19 and "a" not in shape:
         out.append(f"luhn={luhn(digits)}")
-    if re.fullmatch(r"9\d(?:\.9\d){3}", shape):
-        out.append(f"octets={all(small(p) for p in span if p[0].isdigit())}")
+    numbers = [p for p in span if p[0].isdigit()]
+    if len(numbers) == 4 and "@" not in shape:
+        out.append(f"octets={all(small(p) for p in numbers)}")
+    if "@" in shape or "at" in shape:
+        ends = span[-1].lower()
+        out += [f"top={ends if len(ends) < 4 else 'long' if len(ends) > 6 else 'word'}", f"head={sum(p[0].isspace() for p in span)}"]
     return out
 
 
@@ -230,37 +258,73 @@ def example(zone: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], di
     return parts, gold
 
 
-def other_forms(zone: str, kind: str, a: int, b: int, rng: random.Random) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
-    """The same number as people also write it, and numbers like it that are none."""
-    d = DIGITS.sub("", zone[a:b])
+def letters(rng: random.Random, low: int, high: int) -> str:
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
 
-    def put(text: str, label: str | None) -> tuple[str, list[tuple[str, int, int]]]:
-        return zone[:a] + text + zone[b:], [(label, a, a + len(text))] if label else []
 
-    if kind == "phone" and len(d) >= 10:
-        x, y, z = d[-10:-7], d[-7:-4], d[-4:]
-        for text in (f"({x}) {y}-{z}", f"{x}-{y}-{z}", f"{x}.{y}.{z}", f"1-{x}-{y}-{z}", f"({x}){y}-{z}"):
-            yield put(text, "phone")
-        for text in (d[-9:], d[-10:], f"{d[-8:-4]}-{d[-4:-2]}-{d[-2:]}", f"{x}-{y[:2]}-{z}", f"{z[:2]}/{z[2:]}/{d[-8:-4]}", f"{y},{x},{z}.00", f"978-{x[0]}-{y}-{z}1-0"):
-            yield put(text, None)
-    if kind == "card":
-        yield put(d[:-1] + str((int(d[-1]) + rng.randint(1, 9)) % 10), None)
-        yield put(d[:12], None)
+def numbers(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def made(kind: str, rng: random.Random) -> str:
+    """An entity of a kind in one of the forms that people write."""
+    if kind == "email":
+        name, host, top = letters(rng, 3, 9) + rng.choice(["", ".", "_"]) + letters(rng, 0, 7), letters(rng, 3, 10), rng.choice("com org net de es fr edu io info".split())
+        name = name.strip("._")
+        at = rng.choice(["@", " at ", " (at) ", "(at)", "[at]", " [at] ", "{at}", " AT "])
+        dot = rng.choice([" dot ", " DOT "]) if at in (" at ", " AT ") else rng.choice([".", " dot ", "(dot)", "[dot]", " [dot] ", " (dot) "])
+        return name + at + host + (dot + letters(rng, 3, 7) if rng.random() < 0.2 else "") + (dot if at != "@" else rng.choice([".", " dot ", "[.]"])) + top
     if kind == "ip":
-        yield put(".".join(str(int(p) + 300) for p in zone[a:b].split(".")), None)
-        yield put(zone[a:b].rpartition(".")[0] + "." + d[-4:] + "." + d[:5], None)
+        mark = rng.choice([".", "[.]", "(.)", " . ", "[dot]", " dot "])
+        return mark.join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        n = rng.choice([13, 15, 16, 16, 16, 16, 19])
+        d = rng.choice("3456") + numbers(rng, n - 2)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        cuts = [4, 10] if n == 15 else [4, 8, 12, 16]
+        return rng.choice(["", " ", "-", ".", ".", "_", "_", "/", "  ", " - "]).join(d[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True) if a < b)
+    x, y, z = str(rng.randint(201, 989)), numbers(rng, 3), numbers(rng, 4)
+    forms = f"+1 {x} {y} {z}|+{rng.randint(20, 99)} {x} {y}{z}|({x}) {y}-{z}|({x}){y}-{z}|({x}) {y} {z}|{x}-{y}-{z}|{x}.{y}.{z}|1-{x}-{y}-{z}|1.{x}.{y}.{z}|1 ({x}) {y}-{z}|00{rng.randint(20, 99)} {x} {y}{z}"
+    return rng.choice(forms.split("|"))
+
+
+def made_none(rng: random.Random) -> str:
+    """What looks like an entity and is none: dates, times, sums, versions, order and book numbers, a wrong checksum."""
+    d = numbers(rng, 16)
+    while luhn(d):
+        d = numbers(rng, 16)
+    day, year = f"{rng.randint(1, 28):02d}", str(rng.randint(1900, 2030))
+    forms = [
+        f"{year}-{rng.randint(1, 12):02d}-{day}", f"{day}/{rng.randint(1, 12):02d}/{year}", f"{day}.{rng.randint(1, 12):02d}.{year}", f"{rng.randint(0, 23)}:{rng.randint(10, 59)}", f"{rng.randint(1, 999)},{numbers(rng, 3)},{numbers(rng, 3)}.00",
+        d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4)), ".".join(d[k : k + 4] for k in range(0, 16, 4)),
+        numbers(rng, rng.randint(7, 12)), f"978-{rng.randint(0, 9)}-{numbers(rng, 3)}-{numbers(rng, 5)}-{rng.randint(0, 9)}", f"{rng.randint(1, 40)}.{rng.randint(0, 30)}.{rng.randint(256, 9999)}.{rng.randint(256, 9999)}",
+        ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{numbers(rng, 3)}-{numbers(rng, 2)}-{numbers(rng, 4)}", f"{numbers(rng, 4)}-{numbers(rng, 4)}", f"{numbers(rng, 5)} {numbers(rng, 5)}", f"{year}-{year[:2]}{day}",
+        f"{rng.randint(1, 9)} {rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}", f"@{letters(rng, 3, 9)}", f"{letters(rng, 3, 6)} at {rng.randint(1, 12)} dot", f"{letters(rng, 3, 6)} @ {rng.randint(1, 12)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
+        f"{rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}", f"{numbers(rng, 2)} {numbers(rng, 2)} {numbers(rng, 2)} {numbers(rng, 3)}",
+    ]
+    return rng.choice(forms)
+
+
+def examples_made(words: list[str], rng: random.Random, per_kind: int, none: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """``(zone, spans)``: made-up entities and others, some between words or marks."""
+    out = []
+    for kind in [k for k in (*KINDS, None) for _ in range(per_kind if k else none)]:
+        text = made(kind, rng) if kind else made_none(rng)
+        before = rng.choice(["", "", "(", '"', "id:", "tel:", "mail:", rng.choice(words) + ":", "<"])
+        after = rng.choice(["", "", ".", ",", ")", ";", '"', ">", ":"])
+        out.append((before + text + after, [(kind, len(before), len(before) + len(text))] if kind else []))
+    return out
 
 
 def train_field(texts: list[str]) -> Field:
     rng, examples = random.Random(11), []
     for zone in texts:
-        spans = base_spans(zone)
-        if x := example(zone, spans):
+        if x := example(zone, base_spans(zone)):
             examples.append(x)
-        if len(spans) == 1:
-            examples += [x for z, s in other_forms(zone, *spans[0], rng) if (x := example(z, s))]
+    words = sorted({w for zone in texts for w in re.findall(r"[^\W\d_]+", zone)})[:2000] or ["number"]
+    examples += [x for zone, spans in examples_made(words, rng, MADE, MADE_NONE) if (x := example(zone, spans))]
     field = Field()
-    field.train([e for e in examples if len(e[0]) <= 80][:6000])
+    field.train([e for e in examples if len(e[0]) <= ZONE_ATOMS])
     field.w = {k: v for k, v in field.w.items() if abs(v) > 1e-4}
     return field
 
@@ -307,22 +371,23 @@ def learn(docs: DataFrame, size: int = SAMPLE) -> Field:
     @pandas_udf(ArrayType(StringType()))
     def some(text: pd.Series) -> pd.Series:
         def pick(t: str | None) -> list[str]:
-            z = [(t or "")[a : min(b, a + 120)] for a, b in zones(t or "")]
+            z = [(t or "")[a : min(b, a + ZONE_CHARS)] for a, b in zones(t or "")]
             return [z[k] for k in np.linspace(0, len(z) - 1, min(len(z), SAMPLE_ZONES)).astype(int)] if z else []
 
         return text.map(pick)
 
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``size`` rows
-    found = met.select("doc_id", some("text").alias("zones")).where("size(zones) > 0").collect()
-    texts = sorted({z for r in found for z in r["zones"]}, key=lambda z: hashlib.md5(z.encode("utf-8", "surrogatepass")).digest())
-    return train_field(texts[:1500])
+    # zones are made distinct and cut to ZONES before they are collected: an id may have any number of rows
+    one = met.select(F.explode(some("text")).alias("zone")).distinct()
+    found = one.select("zone", F.md5("zone").alias("h")).orderBy("h", "zone").limit(ZONES).collect()
+    return train_field([r["zone"] for r in found])
 
 
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of ``struct(kind, start, end)``, by kind and then start.
 
     A null or empty text has none. Texts of any length are read whole. Repeated rows come back as often as they occur.
-    A table without personal data trains a field that adds nothing. An empty table gives no rows.
+    Columns of the table that are named ``base`` or ``spans`` give way to these. An empty table gives no rows.
     """
     field = field or learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(dict(field.w))
@@ -336,8 +401,10 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     both.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
     udf = pandas_udf(both, f"base {one}, spans {one}")
-    out = docs.withColumn("_pii", udf(F.coalesce("text", F.lit(""))))
-    return out.select(*[docs[c] for c in docs.columns if c not in ("base", "spans")], "_pii.base", "_pii.spans")
+    others = [c for c in docs.columns if c not in ("base", "spans")]
+    name = fresh("_pii", others)
+    out = docs.select(*[F.col(quoted(c)) for c in others], udf(F.coalesce("text", F.lit(""))).alias(name))
+    return out.select(*[F.col(quoted(c)) for c in others], F.col(quoted(name))["base"].alias("base"), F.col(quoted(name))["spans"].alias("spans"))
 
 
 def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -352,7 +419,8 @@ def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def mask_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]`` or ``[PHONE]``, and
-    ``n_chars``, if there is such a column, counted anew. Null texts stay null; no row is dropped."""
+    ``n_chars``, if there is such a column, counted anew. Null and empty texts stay as they are, texts of any length are
+    read whole, and no row is dropped, repeated ones included. An empty table gives no rows; all other columns stay."""
     field = field or learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(dict(field.w))
 

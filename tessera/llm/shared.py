@@ -51,6 +51,19 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, or with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(column: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string")) % modulus
 

@@ -180,14 +180,17 @@ def ctw_plain(train, text, depth):
     total, d = 0.0, stream(text)
     for p in range(depth, len(d)):
         for at, bit in bits(d, p):
-            q, deeper = 0.5, False
+            q = 0.5  # of a context without counts
             for n in range(depth, -1, -1):
                 node = (d[p - n : p], at)
                 if node in counts:
+                    # the weighted probability of one more 1 after all that the node has seen, over that without it
                     c = counts[node]
-                    own = (c[1] + 0.5) / (sum(c) + 1)
-                    w = math.exp(kt(c) + math.log(0.5) - pw(node)) if deeper else 1.0
-                    q, deeper = w * own + (1 - w) * q, True
+                    if n == depth:
+                        q = math.exp(kt([c[0], c[1] + 1]) - kt(c))
+                    else:
+                        product = sum(pw(x) for x in children.get(node, []))
+                        q = math.exp(np.logaddexp(kt([c[0], c[1] + 1]), product + math.log(q)) - np.logaddexp(kt(c), product))
             total += math.log10(q if bit else 1 - q)
     return total
 
@@ -252,14 +255,14 @@ def test_ctw_keeps_every_context(spark):
         total = 0.0
         for x in ctw.grams([t])[0].tolist():
             for k in range(8):
-                q, deeper = 0.5, False
+                q = 0.5
                 for depth, nodes in zip(range(ctw.DEPTH, -1, -1), tables, strict=True):
                     node = (((x >> 8) >> (8 * (ctw.DEPTH - depth))) << 8) + (1 << k) + ((x & 255) >> (8 - k))
                     u, own, w, _ = nodes[k]
                     at = np.searchsorted(u, node)
                     if at < len(u) and u[at] == node:
-                        weight = w[at] if deeper else 1.0
-                        q, deeper = weight * own[at] + (1 - weight) * q, True
+                        weight = w[at] if depth < ctw.DEPTH else 1.0
+                        q = weight * own[at] + (1 - weight) * q
                 total += math.log10(q if (x >> (7 - k)) & 1 else 1 - q)
         assert got[i] == pytest.approx(total, rel=1e-5)
 
