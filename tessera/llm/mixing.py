@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import below, fresh, quoted, stored
+
 SEED = "mix-1"
-#: Target weights by language; sources that are not named keep their size.
-WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
-#: Target shares of the pipeline's mix by source; what they leave goes to the sources that are not named, in proportion
-#: to their size to the power ``EXPONENT``: a hot source is held back, a small one raised.
+#: Target shares by source; what they leave goes to the sources that are not named, in proportion to their size to the
+#: power ``EXPONENT``: a hot source is held back, a small one raised.
 SOURCE_WEIGHTS = {"src0": 0.1, "src1": 0.05}
 EXPONENT = 0.5
 #: The uniform number has 52 bits, so the distribution is cut where less than that is left.
@@ -29,51 +29,64 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
 
 
-def distribution(rates: DataFrame) -> DataFrame:
-    """``rates(.., rate)`` with ``cdf``: the Poisson distribution's cumulative probabilities for 0, 1, 2, ..."""
+def distribution(rates: DataFrame, key: str) -> DataFrame:
+    """``rates(key, rate)`` with ``cdf``: the Poisson distribution's cumulative probabilities for 0, 1, 2, ..., as a running
+    sum over rows. Its length is that of the rate, and a key is one row of ``rates``."""
     top = F.ceil(F.col("rate") + TAIL * F.sqrt("rate") + 20).cast("int")
-    log_p = F.transform(F.sequence(F.lit(0), top), lambda k: -F.col("rate") + k * F.ln("rate") - F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda s, x: s + F.ln(x.cast("double"))))
-    p = F.transform(log_p, F.exp)
-    return rates.withColumn("p", F.when(F.col("rate") > 0, p).otherwise(F.array(F.lit(1.0)))).withColumn(
-        "cdf", F.aggregate("p", F.struct(F.array().cast("array<double>").alias("a"), F.lit(0.0).alias("s")), lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"] + x)).alias("a"), (acc["s"] + x).alias("s")), lambda acc: acc["a"])
-    ).drop("p")
+    k = rates.select(key, "rate", F.explode(F.sequence(F.lit(0), top)).alias("k"))
+    so_far = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_factorial = F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(so_far)
+    log_power = F.when(F.col("k") > 0, F.col("k") * F.ln("rate")).otherwise(F.lit(0.0))
+    p = k.select(key, "rate", "k", F.exp(-F.col("rate") + log_power - log_factorial).alias("p"))
+    p = p.withColumn("c", F.sum(F.coalesce("p", F.lit(0.0))).over(so_far))
+    return p.groupBy(key).agg(F.first("rate").alias("rate"), F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
 
-def poisson_replicas(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "lang", seed: str = SEED, exponent: float | None = None) -> DataFrame:
+def poisson_replicas(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "source", seed: str = SEED, exponent: float | None = EXPONENT) -> DataFrame:
     """``docs`` with ``copies``, the number of its replicas, and ``rate``, its source's mean repetition rate.
 
-    A null source is a source of its own. Sources without a weight keep the rate 1; weights are shares among the named
-    ones of the rows that these have. With an ``exponent`` weights are shares of all rows, and sources without one (null
-    too) share what they leave, at most 1, by their size to that power; where nothing is left over for them or there are
-    none, all shares are scaled to sum to 1. Rows with equal doc_id get equal numbers. An empty table gives no rows.
+    With an ``exponent`` weights are shares of all rows, and sources without one (null too, which is a source of its own)
+    share what they leave, at most 1, by their size to that power; where nothing is left over for them or there are none,
+    all shares are scaled to sum to 1. With ``None`` sources without a weight keep the rate 1, and weights are shares
+    among the named ones of the rows that these have. Rows with equal doc_id, null too, get equal numbers; texts, empty or
+    long, are not looked at. Columns of the table that are named ``copies`` or ``rate`` give way to these, others stay,
+    whatever their names. An empty table gives no rows.
     """
-    weights = WEIGHTS if weights is None else weights
-    sizes = docs.groupBy(F.col(by).alias("_source")).agg(F.count("*").alias("_size"))
+    weights = SOURCE_WEIGHTS if weights is None else weights
+    docs = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in ("copies", "rate")])
+    key, cdf = fresh("_mixed_by", docs.columns), fresh("_cdf", docs.columns)
+    sizes = docs.groupBy(F.col(quoted(by)).alias(key)).agg(F.count("*").alias("size"))
     known = F.map_from_arrays(F.array(*[F.lit(k) for k in weights]), F.array(*[F.lit(float(v)) for v in weights.values()])) if weights else F.create_map().cast("map<string,double>")
-    sizes = sizes.withColumn("_weight", F.when(F.col("_source").isNotNull(), F.try_element_at(known, F.col("_source"))))
+    sizes = sizes.withColumn("weight", F.when(F.col(key).isNotNull(), F.try_element_at(known, F.col(key).cast("string"))))
     if exponent is not None:
-        part = F.when(F.col("_weight").isNull(), F.pow(F.col("_size").cast("double"), F.lit(float(exponent))))
-        both = sizes.agg(F.coalesce(F.sum("_weight"), F.lit(0.0)), F.coalesce(F.sum(part), F.lit(0.0))).first()
-        sizes = sizes.withColumn("_weight", F.coalesce("_weight", part * F.lit(max(0.0, 1 - both[0]) / (both[1] or 1.0))))
+        part = F.when(F.col("weight").isNull(), F.pow(F.col("size").cast("double"), F.lit(float(exponent))))
+        both = sizes.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum(part), F.lit(0.0))).first()
+        sizes = sizes.withColumn("weight", F.coalesce("weight", part * F.lit(max(0.0, 1 - both[0]) / (both[1] or 1.0))))
     # sums over the named sources: one row
-    totals = sizes.agg(F.sum(F.when(F.col("_weight").isNotNull(), F.col("_size"))).alias("_rows"), F.sum("_weight").alias("_all"))
-    found = totals.first()
-    rate = F.when(F.col("_weight").isNotNull(), F.lit(float(found["_rows"] or 0)) * F.col("_weight") / F.lit(float(found["_all"] or 1)) / F.col("_size")).otherwise(F.lit(1.0))
-    table = distribution(sizes.select("_source", rate.alias("rate")))
-    table = limited(table, docs.sparkSession)
-    met = docs.join(table, docs[by].eqNullSafe(table["_source"])).drop("_source")
-    u = uniform(F.lit(seed), F.col("doc_id").cast("string"))
-    return met.withColumn("copies", F.size(F.filter("cdf", lambda c: c < u))).drop("cdf")
-
-
-def limited(table: DataFrame, spark, most: int = 100_000) -> DataFrame:
-    """Broadcast a table of at most ``most`` rows; leave a larger one to a shuffled join."""
+    found = sizes.agg(F.sum(F.when(F.col("weight").isNotNull(), F.col("size"))).alias("rows"), F.sum("weight").alias("all")).first()
+    rate = F.when(F.col("weight").isNotNull(), F.lit(float(found["rows"] or 0)) * F.col("weight") / F.lit(float(found["all"] or 1)) / F.col("size")).otherwise(F.lit(1.0))
+    table = stored(distribution(sizes.select(key, rate.alias("rate")), key).withColumnRenamed("cdf", cdf))
+    longest = table.agg(F.max(F.size(cdf))).first()[0] or 1
+    met = docs.join(limited(table), docs[quoted(by)].eqNullSafe(table[key])).drop(key)
+    u = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return met.withColumn("copies", below(F.col(cdf), F.size(cdf), int(longest).bit_length() + 1, u)).drop(cdf)
+
+
+def limited(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """Broadcast a stored table of at most ``most`` rows; leave a larger one to a shuffled join."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "lang", seed: str = SEED, exponent: float | None = None) -> DataFrame:
-    """The rows of ``docs``, each ``copies`` times, with ``copy`` (from 0) and ``order_key``, in the order of that key."""
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, by: str = "source", seed: str = SEED, exponent: float | None = EXPONENT) -> DataFrame:
+    """The rows of ``docs``, each ``copies`` times, with ``copy`` (from 0) and ``order_key``, in the order of that key.
+
+    What ``poisson_replicas`` says of nulls, repeated rows and other columns holds here; ``copy`` and ``order_key`` give way
+    too. Keys are digests, so the bounds of the partitions are known: nothing is sampled, and the rows are shuffled once.
+    """
+    docs = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in ("copy", "order_key")])
     out = poisson_replicas(docs, weights, by, seed, exponent).where("copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    out = out.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("doc_id").cast("string"), F.col("copy").cast("string"))))
-    return out.orderBy("order_key", "doc_id", "copy")
+    out = out.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") * many / 16**8).cast("int")
+    return out.repartitionById(many, place).sortWithinPartitions("order_key", "doc_id", "copy")

@@ -93,20 +93,18 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_i
 """
 
 OP9_SQL = f"""
-WITH weights(lang, w) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in mixing.WEIGHTS.items())}),
-sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
-rates AS (
-  SELECT s.lang, CASE WHEN w.w IS NULL THEN 1.0::DOUBLE
-    ELSE (sum(CASE WHEN w.w IS NOT NULL THEN s.n END) OVER ())::DOUBLE * w.w / sum(w.w) OVER () / s.n END AS rate
-  FROM sizes s LEFT JOIN weights w USING (lang)),
-p AS (
-  SELECT lang, rate, k, exp(-rate + k * ln(rate) - coalesce((SELECT sum(ln(x)) FROM range(1, k + 1) t(x)), 0)) AS p
-  FROM rates, range(0, 200) r(k) WHERE k <= ceil(rate + {mixing.TAIL} * sqrt(rate) + 20)),
-cdf AS (SELECT lang, rate, k, sum(p) OVER (PARTITION BY lang ORDER BY k) AS c FROM p),
+WITH weights(source, w) AS (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in mixing.SOURCE_WEIGHTS.items())}),
+sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+named AS (SELECT s.source, n, w, CASE WHEN w IS NULL THEN n::DOUBLE ** {mixing.EXPONENT} END AS part FROM sizes s LEFT JOIN weights USING (source)),
+shares AS (SELECT source, n, coalesce(w, part * greatest(0, 1 - coalesce(sum(w) OVER (), 0)) / sum(part) OVER ()) AS w FROM named),
+rates AS (SELECT source, (sum(n) OVER ())::DOUBLE * w / sum(w) OVER () / n AS rate FROM shares),
+ks AS (SELECT source, rate, unnest(range(0, ceil(rate + {mixing.TAIL} * sqrt(rate) + 20)::BIGINT + 1)) AS k FROM rates),
+p AS (SELECT source, rate, k, exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1))) OVER (PARTITION BY source ORDER BY k)) AS p FROM ks),
+cdf AS (SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM p),
 drawn AS (SELECT *, (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 counted AS (
   SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, any_value(c.rate) AS rate, count(*) FILTER (WHERE c.c < d.u) AS copies
-  FROM drawn d JOIN cdf c ON c.lang IS NOT DISTINCT FROM d.lang GROUP BY ALL)
+  FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source GROUP BY ALL)
 SELECT doc_id, copy::INT AS copy, copies::INT AS copies, lang, source,
        md5('{mixing.SEED}:order:' || doc_id || ':' || copy) AS order_key, round(rate, 6) AS rate, n_chars, md5(text) AS text_md5
 FROM counted, LATERAL (SELECT unnest(range(0, copies)) AS copy)

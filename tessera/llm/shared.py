@@ -64,6 +64,19 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def below(bounds: Column, n: Column, bits: int, x: Column, equal: bool = False) -> Column:
+    """How many of the ``n`` (fewer than 2^bits) sorted ``bounds`` are less than ``x`` (or equal to it), by bisection."""
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        at = F.get(bounds, middle)
+        before = (at <= x) if equal else (at < x)
+        go = s["low"] < s["high"]
+        return F.struct(F.when(go & before, middle + 1).otherwise(s["low"]).alias("low"), F.when(go & ~before, middle).otherwise(s["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits)), F.struct(F.lit(0).alias("low"), n.alias("high")), step)["low"]
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string")) % modulus
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import below
+
 PIECE = 4
 K = 4
 W = 4
@@ -70,19 +72,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(common / union)
 
 
-def below(bounds: Column, n: int, x: Column, equal: bool) -> Column:
-    """How many of the ``n`` sorted ``bounds`` are less than ``x`` (or equal to it), by bisection."""
-
-    def step(s: Column, _: Column) -> Column:
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        at = F.get(bounds, middle)
-        before = (at <= x) if equal else (at < x)
-        go = s["low"] < s["high"]
-        return F.struct(F.when(go & before, middle + 1).otherwise(s["low"]).alias("low"), F.when(go & ~before, middle).otherwise(s["high"]).alias("high"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), step)["low"]
-
-
 def in_stretches(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` with ``tie``, a hash of the text, and ``stretch``: parts of about equal size of the order by
     doc_id. The bounds are quantiles, whatever the ids are; an id that fills several stretches is spread over them by
@@ -95,7 +84,8 @@ def in_stretches(docs: DataFrame) -> DataFrame:
         at = F.percentile_approx("doc_id", [k / many for k in range(1, many)], 100 * many)
         bounds = docs.agg(at.alias("b")).first()["b"]  # many - 1 numbers
         table = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)")
-        low, high = below(table, len(bounds), F.col("doc_id"), False), below(table, len(bounds), F.col("doc_id"), True)
+        n_bounds, bits = F.lit(len(bounds)), len(bounds).bit_length() + 1
+        low, high = below(table, n_bounds, bits, F.col("doc_id")), below(table, n_bounds, bits, F.col("doc_id"), equal=True)
         stretch = F.when(high > low, low + 1 + F.pmod("tie", high - low)).otherwise(low)
     before = max(1, min(STRETCHES, nameless // STRETCH))
     return docs.withColumn("stretch", F.when(F.col("doc_id").isNull(), -1 - F.pmod("tie", F.lit(before))).otherwise(stretch).cast("long"))
