@@ -174,16 +174,21 @@ def hash_vector(text: Column, dim: int = 64) -> Column:
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "(?U)\\s+"), lambda t: t != "")
     width = min(16, dim)
 
-    def byte_sums(digests: Column) -> Column:
+    def byte_sums(words: Column) -> Column:
         def byte_sum(k: Column) -> Column:
-            return F.aggregate(digests, F.lit(0).cast("long"), lambda s, h: s + F.conv(h.substr(2 * k + 1, F.lit(2)), 16, 10).cast("long"))
+            shift = 24 - 8 * (k % 4)
+            return F.aggregate(words, F.lit(0).cast("long"), lambda s, h: s + F.call_function("shiftright", F.get(h, (k / 4).cast("int")), shift).bitwiseAND(F.lit(255)))
 
         return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), byte_sum)
 
+    def words(token: Column) -> Column:
+        """The digest as four numbers of four bytes."""
+        return once(F.md5(token), lambda h: F.array(*[F.conv(h.substr(F.lit(8 * k + 1), F.lit(8)), 16, 10).cast("long") for k in range(4)]))
+
     def to_unit(v: Column) -> Column:
         return once(norm(v), lambda n: F.concat(F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))), F.array_repeat(F.lit(0.0), dim - width)))
 
-    return once(once(F.transform(tokens, lambda t: F.md5(t)), byte_sums), to_unit)
+    return once(once(F.transform(tokens, words), byte_sums), to_unit)
 
 
 def norm(v: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def dot_of(a: Column, b: Column, dim: int) -> Column:
+    """``dot`` of vectors of a known dimension, written out: Spark compiles it, which it doesn't do with lambdas."""
+    return reduce(lambda x, y: x + y, [F.get(a, F.lit(k)) * F.get(b, F.lit(k)) for k in range(dim)])
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

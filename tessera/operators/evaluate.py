@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import numbered
 
 
 def r6(x: Column, name: str) -> Column:
@@ -112,19 +113,10 @@ def nll(rows: DataFrame, *by: str, eps: float = 1e-9) -> DataFrame:
     return rows.groupBy(*by).agg(r6(-F.avg(F.ln(F.greatest(p, F.lit(eps)))), "nll"))
 
 
-def ordered(rows: DataFrame, slices: int = 1024) -> DataFrame:
-    """``rows`` with ``position`` and ``errors`` up to it, by falling confidence and then qid.
-
-    Rows are numbered within slices of equal width of the confidence; the slices' totals (a bounded table) give the
-    offsets. So no task sorts more than a slice, and no row crosses the cluster twice.
-    """
-    cut = rows.select("qid", "confidence", "em").withColumn("slice", F.floor((1 - F.col("confidence")) * slices))
-    totals = cut.groupBy("slice").agg(F.count("*").alias("n"), F.sum(1 - F.col("em")).alias("e"))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # at most slices + 1 rows
-    offsets = totals.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"))
-    w = Window.partitionBy("slice").orderBy(F.desc("confidence"), "qid")
-    cut = cut.withColumn("k", F.row_number().over(w)).withColumn("ek", F.sum(1 - F.col("em")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return cut.join(F.broadcast(offsets), "slice").select("qid", "confidence", "em", (F.col("k") + F.col("n0")).alias("position"), (F.col("ek") + F.col("e0")).alias("errors"))
+def ordered(rows: DataFrame) -> DataFrame:
+    """``rows(qid, confidence, em)`` with ``position`` and ``errors`` up to it, by falling confidence and then qid."""
+    r = rows.select("qid", "confidence", "em", (1 - F.col("em")).alias("error"))
+    return numbered(r, F.desc("confidence"), F.col("qid"), sums=("error",)).select("qid", "confidence", "em", "position", F.col("sum_error").alias("errors"))
 
 
 def risk_coverage(rows: DataFrame) -> DataFrame:
@@ -184,7 +176,7 @@ def paired_bootstrap(rows: DataFrame, *by: str, rounds: int = 200, seed: str = "
     b = r.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
     p = F.col("p")
     stars = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
-    out = mean.join(b, list(by)) if by else mean.crossJoin(b)
+    out = mean.join(b.hint("merge"), list(by)) if by else mean.crossJoin(b)
     return out.select(*by, "n", r6(F.col("mean_delta"), "mean_delta"), r6(F.col("low"), "low"), r6(F.col("high"), "high"), r6(p, "p"), stars.alias("stars"))
 
 

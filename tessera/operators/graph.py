@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .search import nearest
 from .search import top_k as best
 from .shared import small, stored
 
@@ -56,24 +57,27 @@ def exact_anchors(queries: DataFrame, edges: DataFrame, names: Sequence[str]) ->
     types = dict(queries.dtypes)
     parts = [F.coalesce(F.col(c), F.array().cast("array<string>")) if types[c].startswith("array") else F.array(F.col(c)) for c in names]
     named = queries.select("qid", F.explode(F.array_compact(F.concat(*parts))).alias("node")).distinct()
-    return named.join(entities(edges), "node", "left_semi").select("qid", "node")
+    return named.join(entities(edges).hint("merge"), "node", "left_semi").select("qid", "node")
 
 
 def semantic_anchors(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
     """``(qid, node, sim)``: the ``k`` entities of ``vectors(node, vector)`` nearest to ``queries(qid, vector)``, if similar at all."""
-    from .search import cosines
+    top = nearest(queries.select("qid", F.col("vector").alias("embedding")), vectors.select("node", F.col("vector").alias("embedding")), k, over=0.0)
+    return top.select("qid", "node", "sim")
 
-    sims = cosines(queries.select("qid", F.col("vector").alias("embedding")), vectors.select("node", F.col("vector").alias("embedding")))
-    return best(sims.where("sim > 0"), ["qid"], F.col("sim"), ["node"], k).drop("rank")
 
+def adjacent(frontier: DataFrame, edges: DataFrame, bidirectional: bool = True, per_node: bool = False) -> DataFrame:
+    """Edges at the frontier's nodes, once for each query; with ``per_node`` once for each of its nodes, ``at``.
 
-def adjacent(frontier: DataFrame, edges: DataFrame, bidirectional: bool = True) -> DataFrame:
-    """Edges at the frontier's nodes, once for each query."""
-    f = small(frontier.select("qid", "node").distinct())
-    out = edges.join(f.withColumnRenamed("node", "s"), "s").select("qid", *EDGE)
+    An edge between two nodes of a query's frontier counts as its subject's, so nothing has to be made distinct.
+    """
+    f = small(stored(frontier.select("qid", "node").distinct()))
+    out = edges.join(f.withColumnRenamed("node", "s"), "s").withColumn("at", F.col("s"))
     if bidirectional:
-        out = out.unionByName(edges.join(f.withColumnRenamed("node", "o"), "o").select("qid", *EDGE))
-    return out.dropDuplicates(["qid", "edge_id"])
+        back = edges.join(f.withColumnRenamed("node", "o"), "o").withColumn("at", F.col("o"))
+        back = back.where("s <> o") if per_node else back.join(f.withColumnRenamed("node", "s"), ["qid", "s"], "left_anti")
+        out = out.unionByName(back)
+    return out if per_node else out.drop("at")
 
 
 def edge_score(semantic: Column, provenance: Column, schema: Column, overlap: Column, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4) -> Column:
@@ -83,45 +87,58 @@ def edge_score(semantic: Column, provenance: Column, schema: Column, overlap: Co
     return g1 * F.greatest(semantic, F.lit(0.0)) + g2 * provenance + g3 * schema + relation_bias * overlap
 
 
+#: Dimensions of a hash vector that are not 0.
+DIM = 16
+FEATURES = ["vec", "r_tokens", "prov"]
+
+
 def question_features(queries: DataFrame) -> DataFrame:
-    return queries.select("qid", T.content_tokens(F.col("question")).alias("q_tokens"), T.hash_vector(F.col("question"), 16).alias("q_vec")).dropDuplicates(["qid"])
+    return queries.select("qid", T.content_tokens(F.col("question")).alias("q_tokens"), T.hash_vector(F.col("question"), DIM).alias("q_vec")).dropDuplicates(["qid"])
+
+
+def edge_features(edges: DataFrame) -> DataFrame:
+    """``edges`` with what a score needs of an edge alone: vector, relation tokens and provenance, made once and stored."""
+    if set(FEATURES) <= set(edges.columns):
+        return edges
+    vec = T.hash_vector(T.linearised(F.col("s"), F.col("r"), F.col("o")), DIM)
+    prov = V.provenance_score(F.col("conf"), F.col("trust"), F.col("age"))
+    return stored(edges.select(*EDGE, vec.alias("vec"), T.relation_tokens(F.col("r")).alias("r_tokens"), prov.alias("prov")))
 
 
 def scored(candidates: DataFrame, features: DataFrame, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> DataFrame:
-    """Candidate edges with ``score``, rounded to 9 places so that ties are ties."""
+    """Candidate edges (of ``edge_features``) with ``score``, rounded to 9 places so that ties are ties.
+
+    ``schema`` is an edge's fit to the schema, an expression of its columns; without it every edge fits.
+    """
     c = candidates.join(small(features), "qid")
-    vec = T.hash_vector(T.linearised(F.col("s"), F.col("r"), F.col("o")), 16)
-    score = edge_score(V.dot(F.col("q_vec"), vec), V.provenance_score(F.col("conf"), F.col("trust"), F.col("age")), schema if schema is not None else F.lit(1.0), T.overlap(F.col("q_tokens"), T.relation_tokens(F.col("r"))), gammas, relation_bias)
+    score = edge_score(V.dot_of(F.col("q_vec"), F.col("vec"), DIM), F.col("prov"), schema if schema is not None else F.lit(1.0), T.overlap(F.col("q_tokens"), F.col("r_tokens")), gammas, relation_bias)
     return c.withColumn("score", F.round(score, 9)).drop("q_tokens", "q_vec")
 
 
-def retrieve(queries: DataFrame, anchors: DataFrame, edges: DataFrame, hops: int = 2, top_k: int = 32, least: float = 0.05, bidirectional: bool = True, per_node: bool = False, allowed: DataFrame | None = None, dedup_edges: bool = True, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, anchors: DataFrame, edges: DataFrame, hops: int = 2, top_k: int = 32, least: float = 0.05, bidirectional: bool = True, per_node: bool = False, allowed: DataFrame | None = None, dedup_edges: bool = True, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, found)``: the subgraph around ``anchors(qid, node)`` within ``hops`` steps.
 
     Each hop scores the edges at the frontier, keeps the ``top_k`` best of each query (of each frontier node with
     ``per_node``) that score ``least`` or more, and goes on from their new endpoints. ``allowed(qid, edge_id)`` restricts
-    a query to its own edges. Without ``dedup_edges`` an edge may be kept, and take a place, in two hops.
+    a query to its own edges, ``schema`` rates how well an edge fits. Without ``dedup_edges`` an edge may be kept, and
+    take a place, in two hops. Candidates are scored where the edges are, and only a hop's best rows are shuffled.
     """
-    features = question_features(queries)
+    edges, features = edge_features(edges), stored(question_features(queries))
     nodes = stored(anchors.select("qid", "node", F.lit(0).alias("hop")).distinct())
     frontier, found = nodes, None
     for hop in range(1, hops + 1):
-        c = adjacent(frontier, edges, bidirectional)
+        c = adjacent(frontier, edges, bidirectional, per_node)
         if allowed is not None:
-            c = c.join(allowed.select("qid", "edge_id").distinct(), ["qid", "edge_id"], "left_semi")
+            c = c.join(small(stored(allowed.select("qid", "edge_id").distinct())), ["qid", "edge_id"], "left_semi")
         if found is not None and dedup_edges:
-            c = c.join(found.select("qid", "edge_id"), ["qid", "edge_id"], "left_anti")
-        c = scored(c, features, gammas, relation_bias).where(F.col("score") >= least)
-        keys = ["qid"]
-        if per_node:
-            f = frontier.select("qid", F.col("node").alias("at"))
-            c = c.join(f, (c["qid"] == f["qid"]) & ((c["s"] == f["at"]) | (c["o"] == f["at"]))).drop(f["qid"])
-            keys = ["qid", "at"]
-        kept = best(c, keys, F.col("score"), ["edge_id"], top_k).select("qid", *EDGE, "score", "rank", F.lit(hop).alias("hop")).dropDuplicates(["qid", "edge_id"])
-        kept = stored(kept)
+            c = c.join(small(found.select("qid", "edge_id")), ["qid", "edge_id"], "left_anti")
+        c = scored(c, features, gammas, relation_bias, schema).where(F.col("score") >= least)
+        kept = best(c.drop(*FEATURES), ["qid", "at"] if per_node else ["qid"], F.col("score"), ["edge_id"], top_k)
+        kept = kept.select("qid", *EDGE, "score", "rank", F.lit(hop).alias("hop"))
+        kept = stored(kept.dropDuplicates(["qid", "edge_id"]) if per_node else kept)
         found = kept if found is None else found.unionByName(kept)
         ends = kept.select("qid", F.explode(F.array("s", "o")).alias("node")).distinct()
-        frontier = stored(ends.join(nodes.select("qid", "node"), ["qid", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = stored(ends.join(nodes.select("qid", "node").hint("merge"), ["qid", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         nodes = nodes.unionByName(frontier)
     return nodes, found
 
@@ -214,8 +231,8 @@ def score_paths(paths: DataFrame, found: DataFrame, states: DataFrame, attention
     head = F.struct(F.lit(None).cast("string").alias("src"), F.get("steps", F.lit(0))["s"].alias("end"))
     each = F.concat(F.array(head), F.transform("steps", lambda x: F.struct(x["s"].alias("src"), x["o"].alias("end"))))
     x = paths.select("qid", "path", F.size("steps").alias("len"), F.explode(each).alias("x")).select("qid", "path", "len", "x.src", "x.end")
-    x = x.join(belief, ["qid", "end"], "left").join(attention.withColumnRenamed("dst", "end"), ["qid", "src", "end"], "left").join(n, "qid", "left")
+    x = x.join(belief.hint("merge"), ["qid", "end"], "left").join(attention.withColumnRenamed("dst", "end").hint("merge"), ["qid", "src", "end"], "left").join(n.hint("merge"), "qid", "left")
     a = F.when(F.col("attn") > 0, F.col("attn")).otherwise(1 / F.greatest(F.coalesce("n_edges", F.lit(1)), F.lit(1)))
     log = V.safe_log(F.coalesce("b", F.lit(0.5))) + F.when(F.col("src").isNull(), F.lit(0.0)).otherwise(V.safe_log(a))
     s = x.groupBy("qid", "path").agg(F.round(F.exp(F.sum(log) / F.greatest(F.first("len"), F.lit(1))), 9).alias("score"))
-    return paths.join(s, ["qid", "path"])
+    return paths.join(s.hint("merge"), ["qid", "path"])

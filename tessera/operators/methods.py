@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
-from .search import cosines, top_k
+from .search import nearest, top_k
 from .shared import small, stored
 
 
@@ -17,7 +17,7 @@ def beam_search(queries: DataFrame, anchors: DataFrame, edges: DataFrame, depth:
     the node's place, then edge_id) are scored and the best ``beam`` go on. ``score`` adds that column to candidate edges;
     the edge score of retrieval is the default."""
     if score is None:
-        features = graph.question_features(queries)
+        features, edges = stored(graph.question_features(queries)), graph.edge_features(edges)
         score = lambda c: graph.scored(c, features)
     now = anchors.select("qid", "node", F.row_number().over(Window.partitionBy("qid").orderBy("node")).alias("at"))
     out = None
@@ -45,10 +45,12 @@ def iterative_retrieval(queries: DataFrame, candidates: DataFrame, steps: int =
     """
     out, now = None, queries.select("qid", "embedding")
     for step in range(1, steps + 1):
-        sims = cosines(now, candidates.select("cand", "embedding")).where("qid <> cand")
+        gone = None
         if out is not None:
-            sims = sims.join(small(out.select("qid", "cand")), ["qid", "cand"], "left_anti")
-        top = stored(top_k(sims, ["qid"], F.col("sim"), ["cand"], k).select("qid", F.lit(step).alias("step"), F.col("rank").alias("place"), "cand", "sim"))
+            taken = out.groupBy("qid").agg(F.collect_list("cand").alias("used"))  # k for each step
+            now, gone = now.join(taken.hint("merge"), "qid"), "used"
+        top = nearest(now, candidates.select("cand", "embedding"), k, but_self=True, used=gone)
+        top = stored(top.select("qid", F.lit(step).alias("step"), F.col("rank").alias("place"), "cand", "sim"))
         out = top if out is None else out.unionByName(top)
-        now = follow(top, candidates) if follow else top.where("place = 1").join(candidates.select("cand", "embedding"), "cand").select("qid", "embedding")
+        now = follow(top, candidates) if follow else top.where("place = 1").join(candidates.select("cand", "embedding").hint("merge"), "cand").select("qid", "embedding")
     return out

@@ -22,18 +22,23 @@ def encode_distinct(rows: DataFrame, column: str, encode: Callable[[list[str]],
             yield pd.DataFrame({column: texts, "vector": [v for k in range(0, len(texts), batch) for v in encode(texts[k : k + batch])]})
 
     encoded = rows.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"{column} string, vector array<double>")
-    return rows.join(encoded, column, "left")
+    return rows.join(encoded.hint("merge"), column, "left")
 
 
 def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(most + 1).count() <= most
 
 
-def cosines(queries: DataFrame, candidates: DataFrame, column: str = "embedding") -> DataFrame:
-    """Every query beside every candidate with ``sim``, rounded to 9 places; both keep their other columns.
+#: Numbers that one matrix of similarities may hold.
+MATRIX = 4_000_000
 
-    Queries go to all tasks in blocks of ``BROADCAST_ROWS`` and candidates stay where they are: one matrix product for
-    each batch of candidates and block. Vectors without length have cosine 0; null vectors are left out.
+
+def by_blocks(queries: DataFrame, candidates: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, column: str = "embedding") -> DataFrame:
+    """``work(some queries, some candidates, their similarities)`` for all of both, in matrices of bounded size.
+
+    Queries go to all tasks in blocks of ``BROADCAST_ROWS`` and candidates stay where they are. Similarities are cosines
+    rounded to 9 places, one row for a query; a vector without length has cosine 0, and null vectors are left out. What
+    ``work`` returns is all that leaves a task: similarities themselves are never rows.
     """
     q = queries.where(F.col(column).isNotNull())
     n = q.count()
@@ -41,9 +46,6 @@ def cosines(queries: DataFrame, candidates: DataFrame, column: str = "embedding"
     if blocks > 1:
         q = q.withColumn("_block", F.pmod(F.xxhash64(*[c for c in queries.columns if c != column]), F.lit(blocks)))
     out = None
-    names = [c for c in queries.columns if c != column] + [c for c in candidates.columns if c != column]
-    types = dict(queries.dtypes) | dict(candidates.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + ["sim double"])
     for b in range(blocks):
         part = (q.where(F.col("_block") == b).drop("_block") if blocks > 1 else q).toPandas()  # a bounded block
         shared = queries.sparkSession.sparkContext.broadcast(part)
@@ -52,21 +54,100 @@ def cosines(queries: DataFrame, candidates: DataFrame, column: str = "embedding"
             left = shared.value
             if left.empty:
                 return
-            a = rows_of_length_one(left[column])
+            a, left = rows_of_length_one(left[column]), left.drop(columns=column)
             for f in frames:
-                w = rows_of_length_one(f[column])
-                for k in range(0, len(f), 512):
-                    sims = np.round(w[k : k + 512] @ a.T, 9)
-                    some = f.iloc[k : k + 512].drop(columns=column)
-                    met = some.loc[some.index.repeat(len(left))].reset_index(drop=True)
-                    rest = pd.concat([left.drop(columns=column)] * len(some), ignore_index=True)
-                    yield pd.concat([rest, met], axis=1).assign(sim=sims.ravel())[[*names, "sim"]]
+                w, f = rows_of_length_one(f[column]), f.drop(columns=column)
+                step = max(1, MATRIX // len(f))
+                for k in range(0, len(left), step):
+                    yield work(left.iloc[k : k + step].reset_index(drop=True), f, np.round(a[k : k + step] @ w.T, 9))
 
         found = candidates.where(F.col(column).isNotNull()).mapInPandas(compare, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def typed(*frames: DataFrame, without: str = "embedding") -> str:
+    return ", ".join(f"`{c}` {t}" for f in frames for c, t in f.dtypes if c != without)
+
+
+def largest(scores: np.ndarray, ids: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the ``k`` largest of each row, ties by the smaller id; columns of -inf are none."""
+    order = np.argsort(ids.to_numpy(), kind="stable")
+    s = scores[:, order]
+    if k < s.shape[1]:
+        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        over, tie = s > kth, s == kth
+        keep = over | (tie & (np.cumsum(tie, axis=1) <= k - over.sum(1, keepdims=True)))
+    else:
+        keep = np.ones(s.shape, bool)
+    i, j = np.nonzero(keep & (s > -np.inf))
+    return i, order[j]
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, qid: str = "qid", cand: str | None = None, over: float | None = None, but_self: bool = False, used: str | None = None) -> DataFrame:
+    """The ``k`` most similar candidates of each query, with ``sim`` and ``rank`` from 1; ties go to the smaller ``cand``.
+
+    Each batch of candidates keeps its ``k`` best before anything is shuffled. ``over``: only what is more similar than
+    that; ``but_self``: not the candidate of the query's own id; ``used``: a column of the queries, an array of candidates
+    to leave out. Both sides keep their other columns, but for ``used``.
+    """
+    cand = cand or next(c for c in candidates.columns if c != "embedding")
+
+    def work(left: pd.DataFrame, some: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
+        if over is not None:
+            sims = np.where(sims > over, sims, -np.inf)
+        ids = some[cand].to_numpy()
+        if but_self:
+            sims = np.where(left[qid].to_numpy()[:, None] == ids[None, :], -np.inf, sims)
+        if used is not None:
+            place = {c: j for j, c in enumerate(ids)}
+            for i, gone in enumerate(left[used]):
+                sims[i, [place[c] for c in gone if c in place]] = -np.inf
+        i, j = largest(sims, some[cand], k)
+        rest = left.drop(columns=used or []).iloc[i].reset_index(drop=True)
+        return pd.concat([rest, some.iloc[j].reset_index(drop=True)], axis=1).assign(sim=sims[i, j])
+
+    found = by_blocks(queries, candidates, work, f"{typed(queries.drop(used) if used else queries, candidates)}, sim double")
+    return top_k(found, [qid], F.col("sim"), [cand], k)
+
+
+def similarity_stats(queries: DataFrame, candidates: DataFrame, qid: str = "qid", cand: str = "cand") -> DataFrame:
+    """``(qid, n, mean, most, least)`` of each query's similarities to all candidates but its own id."""
+
+    def work(left: pd.DataFrame, some: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
+        other = left[qid].to_numpy()[:, None] != some[cand].to_numpy()[None, :]
+        return pd.DataFrame({qid: left[qid], "n": other.sum(1), "total": (sims * other).sum(1), "most": np.where(other, sims, -np.inf).max(1), "least": np.where(other, sims, np.inf).min(1)})[other.any(1)]
+
+    part = by_blocks(queries.select(qid, "embedding"), candidates.select(cand, "embedding"), work, f"{typed(queries.select(qid))}, n long, total double, most double, least double")
+    return part.groupBy(qid).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most"), F.min("least").alias("least"))
+
+
+def with_gold_vector(queries: DataFrame, candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """``queries`` with ``gold`` and its vector, from ``gold(qid, gold)``; queries without a gold candidate are dropped."""
+    vectors = candidates.select(F.col("cand").alias("gold"), F.col("embedding").alias("gold_vector"))
+    return queries.join(gold.select("qid", "gold").hint("merge"), "qid").join(vectors.hint("merge"), "gold")
+
+
+def gold_ranks(queries: DataFrame, candidates: DataFrame, gold: DataFrame, but_self: bool = False, ties: bool = False) -> DataFrame:
+    """``(qid, rank)``: 1 and the number of ``candidates(cand, embedding)`` that are more similar than the gold one - with
+    ``ties`` also of those that are as similar and have a smaller id. Counted inside of each block."""
+
+    def work(left: pd.DataFrame, some: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
+        own = np.round((rows_of_length_one(left["embedding_"]) * rows_of_length_one(left["gold_vector"])).sum(1), 9)[:, None]
+        ids = some["cand"].to_numpy()[None, :]
+        before = sims > own
+        if ties:
+            before |= (sims == own) & (ids < left["gold"].to_numpy()[:, None])
+        before &= ids != left["gold"].to_numpy()[:, None]
+        if but_self:
+            before &= ids != left["qid"].to_numpy()[:, None]
+        return pd.DataFrame({"qid": left["qid"], "n": before.sum(1)})
+
+    q = with_gold_vector(queries.select("qid", "embedding"), candidates, gold).withColumn("embedding_", F.col("embedding"))
+    part = by_blocks(q, candidates.select("cand", "embedding"), work, f"{typed(queries.select('qid'))}, n long")
+    return part.groupBy("qid").agg((1 + F.sum("n")).alias("rank"))
+
+
 def rows_of_length_one(vectors: pd.Series) -> np.ndarray:
     m = np.stack(vectors.to_numpy()).astype(float)
     n = np.sqrt((m * m).sum(1, keepdims=True))
@@ -79,20 +160,8 @@ def top_k(rows: DataFrame, keys: list[str], score: Column, ties: list[str], k: i
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_retrieval(sims: DataFrame, k: int = 8) -> DataFrame:
+def dense_retrieval(queries: DataFrame, candidates: DataFrame, k: int = 8, but_self: bool = False) -> DataFrame:
     """``(qid, confidence, evidence)``: the nearest candidates in order, and their mean similarity cut to 0..1."""
-    top = top_k(sims, ["qid"], F.col("sim"), ["cand"], k)
+    top = nearest(queries, candidates, k, but_self=but_self)
     g = top.groupBy("qid").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("sim"))).alias("confidence"), F.sort_array(F.collect_list(F.struct("rank", "cand"))).alias("e"))
     return g.select("qid", "confidence", F.transform("e", lambda x: x["cand"]).alias("evidence"))
-
-
-def gold_ranks(sims: DataFrame, gold: DataFrame) -> DataFrame:
-    """``(qid, rank)``: 1 and the number of candidates that score higher than the gold one."""
-    best = sims.join(gold, (sims["qid"] == gold["qid"]) & (sims["cand"] == gold["gold"]), "left_semi").select("qid", F.col("sim").alias("gold_sim"))
-    return sims.join(best, "qid").groupBy("qid").agg((1 + F.sum((F.col("sim") > F.col("gold_sim")).cast("long"))).alias("rank"))
-
-
-def matrix_ranks(sims: DataFrame, gold: DataFrame) -> DataFrame:
-    """``(qid, rank)`` of the gold candidate in the order of scores, ties by candidate."""
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "cand")
-    return sims.withColumn("rank", F.row_number().over(w)).join(gold.withColumnRenamed("gold", "cand"), ["qid", "cand"], "left_semi").select("qid", F.col("rank").cast("long").alias("rank"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import scratch
@@ -21,3 +21,38 @@ def stored(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side that is counted to have at most ``most`` rows; a larger one takes part in a shuffled join."""
     return F.broadcast(df) if df.select(F.lit(1)).limit(most + 1).count() <= most else df.hint("merge")
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(rows: DataFrame, *order: Column | str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with ``position``, from 1 over the whole table in that order, and ``sum_x`` up to there for each of ``sums``.
+
+    Rows are dealt by ranges of the order, with bounds from a sample (equal values are parted where the order goes on),
+    and numbered within their range; the ranges' totals, one row each, give the offsets. No task sorts more than a range.
+    """
+    cut = stored(rows.repartitionByRange(partitions(rows), *order).withColumn("_range", F.spark_partition_id()))
+    totals = cut.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in ("n", *sums)])
+    w = Window.partitionBy("_range").orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.withColumns({"position": F.row_number().over(w)} | {f"sum_{c}": F.sum(c).over(so_far) for c in sums}).join(F.broadcast(offsets), "_range")
+    return out.select(*rows.columns, (F.col("position") + F.col("_n")).alias("position"), *[(F.col(f"sum_{c}") + F.col(f"_{c}")).alias(f"sum_{c}") for c in sums])
+
+
+def within_intervals(points: DataFrame, point: str, intervals: DataFrame, bins: int = 256) -> DataFrame:
+    """``points`` joined with ``intervals(from, to, ..)`` where from <= point < to (an open ``to`` is null), both whole
+    numbers: an equi-join on bins of the points' span, into which each interval falls at most ``bins`` + 1 times."""
+    low, high = points.agg(F.min(point), F.max(point)).first()
+    if low is None:
+        low = high = 0
+    width = (high - low) // bins + 1
+    at = lambda x: F.floor((x - low) / width).cast("long")
+    first, last = F.greatest(F.col("from"), F.lit(low)), F.least(F.coalesce(F.col("to"), F.lit(high + 1)), F.lit(high + 1)) - 1
+    spread = intervals.where(first <= last).withColumn("_bin", F.explode(F.sequence(at(first), at(last))))
+    p = small(points.withColumn("_bin", at(F.col(point))))
+    met = spread.join(p, "_bin").where((F.col("from") <= F.col(point)) & (F.col("to").isNull() | (F.col("to") > F.col(point))))
+    return met.drop("_bin", "from", "to")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constraints as C
 from ..operators import access
+from ..operators.shared import stored
 from ..sources import derived
 from ..sources.derived import ACCESS
 from .registry import query
@@ -38,8 +39,7 @@ SELECT t, user, count(*) AS n_resources, min(resource) AS first_resource FROM pa
 def grantable_pairs(spark: SparkSession, d: str) -> DataFrame:
     """C-8: what each user could get at each time, counted."""
     kg = derived.access_kg(spark, d)
-    pairs = access.grantable_pairs(kg, kg["schedule"].select("t"))
-    return pairs.groupBy("t", "user").agg(F.count("*").alias("n_resources"), F.min("resource").alias("first_resource"))
+    return access.grantable_counts(kg, stored(kg["schedule"].select("t")))
 
 
 def access_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +47,8 @@ def access_paths(spark: SparkSession, d: str) -> DataFrame:
     kg = derived.access_kg(spark, d)
     step = lambda s, r, o, st, ot, ts: F.struct(s.alias("s"), F.lit(r).alias("r"), o.alias("o"), F.lit(st).alias("s_type"), F.lit(ot).alias("o_type"), ts.cast("long").alias("ts"))
     none, c = F.lit(None), F.col
-    p = kg["requests"].join(kg["has_role"].withColumnRenamed("t", "since"), "user").join(kg["grants"], ["role", "resource"]).join(kg["governed_by"], "resource").join(kg["valid_in"], "policy")
-    p = p.join(kg["revoked"].withColumnRenamed("t", "gone"), "role", "left")
+    p = kg["requests"].join(kg["has_role"].withColumnRenamed("t", "since").hint("merge"), "user").join(kg["grants"].hint("merge"), ["role", "resource"])
+    p = p.join(kg["governed_by"].hint("merge"), "resource").join(kg["valid_in"].hint("merge"), "policy").join(kg["revoked"].withColumnRenamed("t", "gone").hint("merge"), "role", "left")
     steps = F.array(
         step(c("user"), "has_role", c("role"), "User", "Role", c("since")), step(c("role"), "grants", c("resource"), "Role", "Resource", none),
         step(c("resource"), "governed_by", c("policy"), "Resource", "Policy", none), step(c("policy"), "valid_in", c("context"), "Policy", "Context", none),
@@ -67,7 +67,7 @@ def check_access_path(spark: SparkSession, d: str) -> DataFrame:
     """C-6: the access rules on every path of a request."""
     kg = derived.access_kg(spark, d)
     p = access_paths(spark, d).withColumn("latest", F.array_max(F.transform("steps", lambda x: x["ts"])))
-    p = p.join(kg["schedule"].select(F.col("t").alias("latest"), F.col("context").alias("active")), "latest", "left")
+    p = p.join(kg["schedule"].select(F.col("t").alias("latest"), F.col("context").alias("active")).hint("merge"), "latest", "left")
     return p.select("qid", "since", "role", "policy", "context", C.access_reason(F.col("steps"), F.col("active")).alias("reason"))
 
 
@@ -82,4 +82,4 @@ def answer_yes_no(spark: SparkSession, d: str) -> DataFrame:
     paths = access_paths(spark, d).withColumn("steps", F.filter("steps", lambda x: ~x["r"].isin("governed_by", "valid_in")))
     ok = paths.where(C.access_reason(F.col("steps"), F.lit(None).cast("string"), strict=False).isNull()).select("qid").distinct().withColumn("yes", F.lit("1"))
     decided = access.access_decisions(kg, kg["requests"])
-    return decided.join(ok, "qid", "left").select("qid", F.coalesce("yes", F.lit("0")).alias("prediction"), F.when(F.col("allowed"), "1").otherwise("0").alias("gold"))
+    return decided.join(ok.hint("merge"), "qid", "left").select("qid", F.coalesce("yes", F.lit("0")).alias("prediction"), F.when(F.col("allowed"), "1").otherwise("0").alias("gold"))

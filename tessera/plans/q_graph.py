@@ -101,7 +101,7 @@ listing AS MATERIALIZED (SELECT qid, list(node ORDER BY k) AS ranking FROM (SELE
 
 def retrieved(spark: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Questions, anchors, nodes and edges found."""
-    kg, q = stored(star_kg(spark, d)), star_queries(spark, d)  # every hop reads the edges
+    kg, q = graph.edge_features(star_kg(spark, d)), star_queries(spark, d)  # every hop reads the edges
     a = stored(graph.exact_anchors(q, kg, ["anchor"]))
     nodes, found = graph.retrieve(q, a, kg, **options)
     return q, a, nodes, found
@@ -111,7 +111,7 @@ def anchor_sims(q: DataFrame, a: DataFrame) -> DataFrame:
     from ..functions import vectors as V
 
     f = graph.question_features(q)
-    return a.join(f, "qid").select("qid", "node", V.dot(F.col("q_vec"), T.hash_vector(F.col("node"), 16)).alias("sim"))
+    return a.join(f.hint("merge"), "qid").select("qid", "node", V.dot(F.col("q_vec"), T.hash_vector(F.col("node"), 16)).alias("sim"))
 
 
 def scored_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -215,9 +215,9 @@ def semantic_anchors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {RETRIEVED}, s AS ({sql_scored('c1')}) SELECT qid, edge_id, round(score, 6) AS score FROM s")
 def hop1_expand(spark: SparkSession, d: str) -> DataFrame:
     """D-3, E-1, E-2."""
-    kg, q = star_kg(spark, d), star_queries(spark, d)
+    kg, q = graph.edge_features(star_kg(spark, d)), star_queries(spark, d)
     c = graph.adjacent(graph.exact_anchors(q, kg, ["anchor"]), kg)
-    return graph.scored(c, graph.question_features(q)).select("qid", "edge_id", F.round("score", 6).alias("score"))
+    return graph.scored(c, stored(graph.question_features(q))).select("qid", "edge_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {RETRIEVED} SELECT qid, edge_id, s, r, o, hop, rank, round(score, 6) AS score FROM found")

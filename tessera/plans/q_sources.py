@@ -61,15 +61,7 @@ def access_source(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PRED}, k AS (SELECT qid, gold, row_number() OVER (PARTITION BY gold ORDER BY qid) AS k FROM pred) SELECT qid, gold, row_number() OVER (ORDER BY k * 2 - gold) AS place FROM k")
 def balanced_interleave(spark: SparkSession, d: str) -> DataFrame:
     """A-5."""
-    from pyspark.sql import Window
-
-    p = files.balanced_interleave(derived.predictions(spark, d).select("qid", "gold"), "gold", "qid")
-    # the place counts on where one label has run out
-    runs = p.groupBy("gold").agg(F.count("*").alias("n"))
-    short = runs.agg(F.when(F.count("*") > 1, F.min("n")).otherwise(0).alias("short"))  # one row
-    k = F.row_number().over(Window.partitionBy("gold").orderBy("qid"))
-    p = p.withColumn("k", k).crossJoin(F.broadcast(short))
-    return p.select("qid", "gold", F.when(F.col("k") <= F.col("short"), F.col("k") * 2 - F.col("gold")).otherwise(F.col("k") + F.col("short")).cast("long").alias("place"))
+    return files.balanced_interleave(derived.predictions(spark, d).select("qid", "gold"), "gold", "qid")
 
 
 @query("SELECT s_suppkey AS ent, s_name AS label FROM supplier")

@@ -202,39 +202,42 @@ def metadata_relations(spark: SparkSession, d: str) -> DataFrame:
 PROBES = "q AS (SELECT vec_id AS qid, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), c AS (SELECT vec_id AS cand, label, embedding::DOUBLE[] AS w FROM embeddings), sims AS (SELECT qid, cand, q.label AS ql, c.label AS cl, round(list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w))), 9) AS sim FROM q, c WHERE qid <> cand)"
 
 
-def similarities(spark: SparkSession, d: str) -> DataFrame:
-    """Cosines of the query vectors (ids divisible by 50) with all others."""
+def probes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The query vectors (ids divisible by 50), and all vectors as candidates; a vector is no candidate for itself."""
     e = table(spark, d, "embeddings")
-    return search.cosines(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), "embedding"), e.select(F.col("vec_id").alias("cand"), F.col("label").alias("cl"), "embedding")).where("qid <> cand")
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), "embedding"), e.select(F.col("vec_id").alias("cand"), F.col("label").alias("cl"), "embedding")
 
 
 @query(f"WITH {PROBES} SELECT qid, count(*) AS n, round(avg(sim), 6) AS mean, round(max(sim), 6) AS most, round(min((sim + 1) / 2), 6) AS least01 FROM sims GROUP BY qid")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     """B-6, B-7, B-24."""
-    return similarities(spark, d).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean"), F.round(F.max("sim"), 6).alias("most"), F.round(F.min(V.to_unit_interval(F.col("sim"))), 6).alias("least01"))
+    s = search.similarity_stats(*probes(spark, d))
+    return s.select("qid", "n", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"), F.round(V.to_unit_interval(F.col("least")), 6).alias("least01"))
 
 
 @query(f"WITH {PROBES}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cand) AS rank FROM sims WHERE sim > 0) SELECT qid, rank, cand, round(sim, 6) AS sim FROM k WHERE rank <= 10")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     """F-1."""
-    top = search.top_k(similarities(spark, d).where("sim > 0"), ["qid"], F.col("sim"), ["cand"], 10)
+    top = search.nearest(*probes(spark, d), 10, over=0.0, but_self=True)
     return top.select("qid", F.col("rank").cast("long").alias("rank"), "cand", F.round("sim", 6).alias("sim"))
 
 
 @query(f"WITH {PROBES}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cand) AS rank FROM sims) SELECT qid, round(greatest(0, least(1, avg(sim))), 6) AS confidence, array_to_string(list(cand ORDER BY rank), ',') AS evidence FROM k WHERE rank <= 8 GROUP BY qid")
 def dense_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """G-2: the 8 nearest as evidence, their mean similarity as confidence."""
-    r = search.dense_retrieval(similarities(spark, d), 8)
+    r = search.dense_retrieval(*probes(spark, d), 8, but_self=True)
     return r.select("qid", F.round("confidence", 6).alias("confidence"), F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
 GOLD = f"{PROBES}, gold AS (SELECT qid, min(cand) AS gold FROM sims WHERE ql = cl GROUP BY qid), ranks AS (SELECT s.qid, 1 + count(*) FILTER (WHERE s.sim > g.sim) AS rank FROM sims s JOIN (SELECT x.qid, x.sim FROM sims x JOIN gold ON gold.qid = x.qid AND gold.gold = x.cand) g USING (qid) GROUP BY s.qid)"
 
 
-def gold_ranks(spark: SparkSession, d: str) -> DataFrame:
-    sims = similarities(spark, d)
-    gold = sims.where("ql = cl").groupBy("qid").agg(F.min("cand").alias("gold"))
-    return search.gold_ranks(sims, gold)
+def gold_ranks(spark: SparkSession, d: str, ties: bool = False) -> DataFrame:
+    """The gold candidate is the first other one with the query's label: one of the label's first two."""
+    q, c = probes(spark, d)
+    first = search.top_k(c.select("cand", F.col("cl").alias("ql")), ["ql"], F.lit(0), ["cand"], 2)
+    gold = q.select("qid", "ql").join(first.hint("merge"), "ql").where("qid <> cand").groupBy("qid").agg(F.min("cand").alias("gold"))
+    return search.gold_ranks(q, c, gold, but_self=True, ties=ties)
 
 
 @query(f"WITH {GOLD} SELECT count(*) AS n, round(avg((rank <= 1)::INT), 6) AS hits_at_1, round(avg((rank <= 3)::INT), 6) AS hits_at_3, round(avg((rank <= 10)::INT), 6) AS hits_at_10, round(avg(1.0 / rank), 6) AS mrr FROM ranks")
@@ -252,7 +255,5 @@ def rank_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PROBES}, gold AS (SELECT qid, min(cand) AS gold FROM sims WHERE ql = cl GROUP BY qid), k AS (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cand) AS rank FROM sims) SELECT count(*) AS n, round(avg((rank <= 10)::INT), 6) AS hits_at_10, round(avg(1.0 / rank), 6) AS mrr FROM k JOIN gold ON gold.qid = k.qid AND gold.gold = k.cand")
 def matrix_hits_mrr(spark: SparkSession, d: str) -> DataFrame:
     """E-30: from a long score matrix, ties by candidate."""
-    sims = similarities(spark, d)
-    gold = sims.where("ql = cl").groupBy("qid").agg(F.min("cand").alias("gold"))
-    m = evaluate.rank_metrics(search.matrix_ranks(sims, gold))
+    m = evaluate.rank_metrics(gold_ranks(spark, d, ties=True))
     return m.select("n", "hits_at_10", "mrr")

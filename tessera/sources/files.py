@@ -55,15 +55,18 @@ def safe_int(x: Column) -> Column:
     return x.try_cast("int")
 
 
-def balanced_interleave(rows: DataFrame, label: str = "label", order: str = "pos", strata: int = 1) -> DataFrame:
-    """``place`` in the order positive, negative, positive, ... and then what is left of one label.
-
-    Rows are numbered within (label, stratum of a hash) and interleaved by number, so a stratum is as balanced as the
-    whole; with one stratum the order is exactly that of ``order`` for each label.
-    """
-    r = rows.withColumn("_stratum", F.pmod(F.xxhash64(order), F.lit(strata)))
-    n = F.row_number().over(Window.partitionBy(label, "_stratum").orderBy(order))
-    return r.withColumn("place", (n * 2 - F.when(F.col(label) == 1, 1).otherwise(0)) * strata + F.col("_stratum")).drop("_stratum")
+def balanced_interleave(rows: DataFrame, label: str = "label", order: str = "pos") -> DataFrame:
+    """``place``, from 1: positive (label 1), negative, positive, ... in the order of ``order`` for each, and then what is
+    left of one of them. Labels are numbered by ranges of the order, not each in one task."""
+    from ..operators.shared import numbered
+
+    positive = F.coalesce(F.col(label) == 1, F.lit(False))
+    r = numbered(rows.withColumn("_positive", positive), F.desc("_positive"), F.col(order))  # positive ones come first
+    n = rows.agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_q"))  # one row
+    r = r.crossJoin(F.broadcast(n)).withColumn("_k", F.col("position") - F.when(F.col("_positive"), 0).otherwise(F.col("_p")))
+    short = F.least("_p", "_q")
+    place = F.when(F.col("_k") <= short, F.col("_k") * 2 - F.col("_positive").cast("int")).otherwise(F.col("_k") + short)
+    return r.withColumn("place", place.cast("long")).drop("_positive", "_p", "_q", "_k", "position")
 
 
 def id_labels(lines: DataFrame) -> DataFrame:
