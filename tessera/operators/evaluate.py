@@ -32,6 +32,46 @@ def relaxed_accuracy(rows: DataFrame, *by: str) -> DataFrame:
     return hits.groupBy(*by).agg(F.count("*").alias("n"), *[r6(F.avg(m), m) for m in T.MATCH_MODES], r6(F.avg("both") - F.avg("strict"), "gain"))
 
 
+def with_gold_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows(qid, pred, gold)`` with ``golds``: the union of ``lists(qid, answer, all_answers)``, else the row's own gold;
+    rows without any are dropped."""
+    known = lists.select("qid", F.array_union(F.coalesce("answer", F.array().cast("array<string>")), F.coalesce("all_answers", F.array().cast("array<string>"))).alias("_list"))
+    own = F.when(F.coalesce("gold", F.lit("")) != "", F.array("gold"))
+    return rows.join(known.hint("merge"), "qid", "left").withColumn("golds", F.coalesce("_list", own)).where(F.size("golds") > 0).drop("_list")
+
+
+def aligned_runs(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
+    """``(.., qid, a, b)``: what two runs ``(.., qid, em)`` have for the same query."""
+    return a.select(*by, "qid", F.col("em").alias("a")).join(b.select(*by, "qid", F.col("em").alias("b")).hint("merge"), [*by, "qid"])
+
+
+def evaluated(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row for each of ``queries(qid, golds)``, from ``answers(qid, prediction, confidence, ranking)``: em, f1, rank.
+
+    A query without an answer, for whatever reason, has abstained with confidence 0.
+    """
+    x = queries.join(answers.select("qid", "prediction", "confidence", "ranking").hint("merge"), "qid", "left")
+    given = F.col("prediction").isNotNull()
+    score = lambda x, zero: F.when(given, F.coalesce(x, zero)).otherwise(zero)
+    place = F.array_position(F.transform("ranking", lambda y: F.array_contains(F.transform("golds", T.normalized_answer), T.normalized_answer(y))), F.lit(True))
+    return x.select(
+        "qid",
+        "prediction",
+        (~given).alias("abstained"),
+        score(F.col("confidence"), F.lit(0.0)).alias("confidence"),
+        score(T.exact_match(F.col("prediction"), F.col("golds")), F.lit(0)).alias("em"),
+        score(T.token_f1(F.col("prediction"), F.col("golds")), F.lit(0.0)).alias("f1"),
+        F.coalesce(place, F.lit(0)).alias("rank"),
+    )
+
+
+def comparison_table(report: DataFrame) -> DataFrame:
+    """The rows of ``paired_bootstrap`` as they are printed: signed difference, interval, p and stars."""
+    signed = lambda c: F.format_string("%+.3f", c)
+    interval = F.concat(F.lit("["), signed("low"), F.lit(", "), signed("high"), F.lit("]"))
+    return report.select("dataset", "n", signed("mean_delta").alias("delta"), interval.alias("interval"), F.format_string("%.3f", "p").alias("p"), F.col("stars").alias("sig"))
+
+
 def hits_at(k: int, rank: Column | None = None) -> Column:
     rank = F.col("rank") if rank is None else rank
     return share((rank >= 1) & (rank <= k))
@@ -145,6 +185,7 @@ def task_summary(rows: DataFrame, *by: str, task: str = "qa") -> DataFrame:
         share(F.col("abstained")).alias("abstention_rate"),
         F.avg("em").alias("exact_match"),
         F.coalesce(F.avg(F.when(~F.col("abstained"), F.col("em"))), F.lit(0.0)).alias("exact_match_when_attempted"),
+        F.avg("f1").alias("f1"),
         F.avg("latency_ms").alias("mean_latency_ms"),
         F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
         hits_at(1).alias("hits_at_1"),

@@ -132,8 +132,9 @@ def retrieve(queries: DataFrame, anchors: DataFrame, edges: DataFrame, hops: int
             c = c.join(small(stored(allowed.select("qid", "edge_id").distinct())), ["qid", "edge_id"], "left_semi")
         if found is not None and dedup_edges:
             c = c.join(small(found.select("qid", "edge_id")), ["qid", "edge_id"], "left_anti")
-        c = scored(c, features, gammas, relation_bias, schema).where(F.col("score") >= least)
-        kept = best(c.drop(*FEATURES), ["qid", "at"] if per_node else ["qid"], F.col("score"), ["edge_id"], top_k)
+        c = scored(c, features, gammas, relation_bias, schema).drop(*FEATURES)
+        # the least score is asked of the best rows only: as a filter before, it would be computed twice, inside of the join
+        kept = best(c, ["qid", "at"] if per_node else ["qid"], F.col("score"), ["edge_id"], top_k).where(F.col("score") >= least)
         kept = kept.select("qid", *EDGE, "score", "rank", F.lit(hop).alias("hop"))
         kept = stored(kept.dropDuplicates(["qid", "edge_id"]) if per_node else kept)
         found = kept if found is None else found.unionByName(kept)

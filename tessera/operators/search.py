@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Rows of a side that may be sent to every task.
 BROADCAST_ROWS = 50_000
 
@@ -144,6 +146,7 @@ def gold_ranks(queries: DataFrame, candidates: DataFrame, gold: DataFrame, but_s
         return pd.DataFrame({"qid": left["qid"], "n": before.sum(1)})
 
     q = with_gold_vector(queries.select("qid", "embedding"), candidates, gold).withColumn("embedding_", F.col("embedding"))
+    q = stored(q)
     part = by_blocks(q, candidates.select("cand", "embedding"), work, f"{typed(queries.select('qid'))}, n long")
     return part.groupBy("qid").agg((1 + F.sum("n")).alias("rank"))
 

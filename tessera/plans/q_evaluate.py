@@ -74,11 +74,11 @@ def rc_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 SUMMED = f"""SELECT KEYS, count(*) AS n, count(*) FILTER (WHERE NOT abstained) AS n_attempted, avg(abstained::INT) AS abstention_rate, avg(em) AS exact_match,
-  coalesce(avg(em) FILTER (WHERE NOT abstained), 0) AS exact_match_when_attempted, avg(latency_ms) AS mean_latency_ms, quantile_cont(latency_ms, 0.95) AS p95_latency_ms,
+  coalesce(avg(em) FILTER (WHERE NOT abstained), 0) AS exact_match_when_attempted, avg(f1) AS f1, avg(latency_ms) AS mean_latency_ms, quantile_cont(latency_ms, 0.95) AS p95_latency_ms,
   avg((rank = 1)::INT) AS hits_at_1, avg((rank BETWEEN 1 AND 10)::INT) AS hits_at_10, avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END) AS mrr,
   count(*) FILTER (WHERE pred = 1 AND gold = 1) AS tp, count(*) FILTER (WHERE pred = 1 AND gold = 0) AS fp, count(*) FILTER (WHERE pred = 0 AND gold = 1) AS fn, count(*) FILTER (WHERE pred = 0 AND gold = 0) AS tn
   FROM pred GROUP BY KEYS"""
-NUMBERS = "round(abstention_rate, 6) AS abstention_rate, round(exact_match, 6) AS exact_match, round(exact_match_when_attempted, 6) AS exact_match_when_attempted, round(mean_latency_ms, 6) AS mean_latency_ms, round(p95_latency_ms, 6) AS p95_latency_ms, round(hits_at_1, 6) AS hits_at_1, round(hits_at_10, 6) AS hits_at_10, round(mrr, 6) AS mrr"
+NUMBERS = "round(abstention_rate, 6) AS abstention_rate, round(exact_match, 6) AS exact_match, round(exact_match_when_attempted, 6) AS exact_match_when_attempted, round(f1, 6) AS f1, round(mean_latency_ms, 6) AS mean_latency_ms, round(p95_latency_ms, 6) AS p95_latency_ms, round(hits_at_1, 6) AS hits_at_1, round(hits_at_10, 6) AS hits_at_10, round(mrr, 6) AS mrr"
 
 
 def summary_sql(keys: str, metric: str, value: str) -> str:
@@ -108,17 +108,28 @@ report AS (SELECT d.dataset, n, round(mean_delta, 6) AS mean_delta, round(low, 6
   FROM (SELECT dataset, count(*) AS n, avg(delta) AS mean_delta FROM deltas GROUP BY dataset) d JOIN boot USING (dataset))"""
 
 
+def compared(spark: SparkSession, d: str) -> DataFrame:
+    p = predictions(spark, d)
+    runs = E.aligned_runs(p.select("dataset", "qid", "em"), p.select("dataset", "qid", F.col("gold").alias("em")), "dataset")
+    return E.paired_bootstrap(runs, "dataset")
+
+
 @query(f"WITH {PRED}, {BOOT} SELECT * FROM report")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """E-38, D-10: the classifier against always answering yes."""
-    return E.paired_bootstrap(predictions(spark, d).select("dataset", "qid", F.col("em").alias("a"), F.col("gold").alias("b")), "dataset")
+    """E-38, D-10: the classifier against always answering yes, two runs that are met by query."""
+    return compared(spark, d)
 
 
 @query(f"WITH {PRED}, {BOOT} SELECT count(*) AS n, count(*) FILTER (WHERE low > 0) AS wins, count(*) FILTER (WHERE high < 0) AS losses FROM report")
 def bootstrap_report(spark: SparkSession, d: str) -> DataFrame:
-    """H-7, E-42: comparisons won and lost."""
-    r = E.paired_bootstrap(predictions(spark, d).select("dataset", "qid", F.col("em").alias("a"), F.col("gold").alias("b")), "dataset")
-    return r.agg(F.count("*").alias("n"), F.count_if(F.col("low") > 0).alias("wins"), F.count_if(F.col("high") < 0).alias("losses"))
+    """E-42: comparisons won and lost."""
+    return compared(spark, d).agg(F.count("*").alias("n"), F.count_if(F.col("low") > 0).alias("wins"), F.count_if(F.col("high") < 0).alias("losses"))
+
+
+@query(f"WITH {PRED}, {BOOT} SELECT dataset, n, printf('%+.3f', mean_delta) AS delta, '[' || printf('%+.3f', low) || ', ' || printf('%+.3f', high) || ']' AS interval, printf('%.3f', p) AS p, stars AS sig FROM report")
+def bootstrap_table(spark: SparkSession, d: str) -> DataFrame:
+    """H-7: the comparison table."""
+    return E.comparison_table(compared(spark, d))
 
 
 RUNS = "runs AS (SELECT method, dataset, 'tag' || (qid % 3) AS tag, count(*) AS n, round(avg(em), 6) AS value, round(avg(latency_ms), 6) AS latency FROM pred GROUP BY ALL)"
@@ -164,14 +175,6 @@ def calibration_pivot(spark: SparkSession, d: str) -> DataFrame:
     return E.pivot(E.ece(predictions(spark, d), "method", "dataset"), DATASETS, "ece")
 
 
-@query(f"WITH {PRED}, v AS (SELECT dataset, 'k=' || k AS variant, k, avg((rank BETWEEN 1 AND k)::INT) AS value FROM pred, range(1, 6) t(k) GROUP BY ALL) SELECT k::INT AS hops, {', '.join(f'round(max(value) FILTER (WHERE dataset = {chr(39)}{x}{chr(39)}), 6) AS {x}' for x in DATASETS)} FROM v GROUP BY k")
-def hop_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """F-14, H-6: one row for each variant, its number parsed from its name."""
-    variants = {f"k={k}": F.col("rank").between(1, k).cast("int") for k in range(1, 6)}
-    a = E.ablation(predictions(spark, d), variants, "dataset").withColumn("hops", F.regexp_extract("variant", "k=([0-9]+)", 1).cast("int"))
-    return E.pivot(a, DATASETS, rows="hops")
-
-
 def snap(spark: SparkSession, d: str, tag: str) -> DataFrame:
     return runs(spark, d).where(F.col("tag") == tag).select("method", "dataset", "value")
 

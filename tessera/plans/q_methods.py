@@ -55,14 +55,14 @@ def iterative_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return r.select("qid", "step", F.col("place").cast("long").alias("place"), "cand", F.round("sim", 6).alias("sim"))
 
 
-RAW = "raw AS (SELECT doc_id, replace(substr(text, 1, 80), '. ', chr(10)) || chr(10) || n_chars || ' x' || chr(10) || '0.5' AS raw FROM documents)"
+RAW = "raw AS (SELECT doc_id, replace(text, '. ', chr(10)) || chr(10) || n_chars || ' x' || chr(10) || '0.5' AS raw FROM documents)"
 
 
 @query(f"""WITH {RAW}, n AS (SELECT doc_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: TRY_CAST(split_part(trim(x, ' '), ' ', 1) AS DOUBLE)), lambda x: x IS NOT NULL) AS n FROM raw)
 SELECT doc_id, CASE WHEN len(n) >= 2 THEN n[1] ELSE 0.5 END AS first_score, CASE WHEN len(n) >= 2 THEN n[2] ELSE 0.5 END AS second_score FROM n""")
 def parse_edge_scores(spark: SparkSession, d: str) -> DataFrame:
     """G-5: two numbers from generated lines, or one half each."""
-    raw = F.concat(F.replace(F.substring("text", 1, 80), F.lit(". "), F.lit("\n")), F.lit("\n"), F.col("n_chars").cast("string"), F.lit(" x\n0.5"))
+    raw = F.concat(F.replace("text", F.lit(". "), F.lit("\n")), F.lit("\n"), F.col("n_chars").cast("string"), F.lit(" x\n0.5"))
     s = table(spark, d, "documents").select("doc_id", T.parsed_scores(raw, F.lit(2)).alias("s"))
     return s.select("doc_id", F.col("s")[0].alias("first_score"), F.col("s")[1].alias("second_score"))
 

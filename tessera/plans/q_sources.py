@@ -44,6 +44,37 @@ def temporal_source(spark: SparkSession, d: str) -> DataFrame:
     return read("train").unionByName(read("valid")).unionByName(read("test"))
 
 
+@query(f"WITH {EVENTS}, q AS (SELECT split_part(s, ':', 2)::BIGINT AS h, length(r)::BIGINT AS rel, split_part(o, ':', 2)::BIGINT AS o, ts FROM ek WHERE event_id % 10 = 9) SELECT '(head=' || h || ', rel=' || rel || ', ?, ts=' || ts || ')' AS question, h::VARCHAR AS head, rel::VARCHAR AS rel, o::VARCHAR AS answer, ts FROM q")
+def temporal_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A-3: the test facts as questions for their tails."""
+    e = event_kg(spark, d).where("event_id % 10 = 9")
+    line = F.concat_ws(" ", F.split_part("s", F.lit(":"), F.lit(2)), F.length("r").cast("string"), F.split_part("o", F.lit(":"), F.lit(2)), F.col("ts").cast("string"))
+    path = files.scratch(spark, "temporal")
+    e.select(line.alias("value")).write.text(path)
+    return files.temporal_queries(files.temporal_source(spark.read.text(path)))
+
+
+@query(f"""WITH {ACCESS}, x AS (SELECT user AS s, 'has_role' AS r, role AS o, t AS ts FROM has_role UNION ALL SELECT role, 'revoked_at', role, t FROM revoked UNION ALL SELECT role, 'grants', resource, NULL FROM grants
+UNION ALL SELECT resource, 'governed_by', policy, NULL FROM governed_by UNION ALL SELECT policy, 'valid_in', context, NULL FROM valid_in)
+SELECT r, count(*) AS n, count(DISTINCT s) AS n_subjects, count(ts) AS n_timed, min(ts) AS first_ts, max(o) AS last_object, 1.0::DOUBLE AS trust FROM x GROUP BY r""")
+def access_triples(spark: SparkSession, d: str) -> DataFrame:
+    """A-4: the graph of roles, grants and policies as one JSON file of triples, with times as text or without."""
+    kg = derived.access_kg(spark, d)
+    none, c = F.lit(None).cast("string"), F.col
+    parts = [
+        kg["has_role"].select(c("user").alias("s"), F.lit("has_role").alias("r"), c("role").alias("o"), c("t").cast("string").alias("t")),
+        kg["revoked"].select(c("role").alias("s"), F.lit("revoked_at").alias("r"), c("role").alias("o"), c("t").cast("string").alias("t")),
+        kg["grants"].select(c("role").alias("s"), F.lit("grants").alias("r"), c("resource").alias("o"), none.alias("t")),
+        kg["governed_by"].select(c("resource").alias("s"), F.lit("governed_by").alias("r"), c("policy").alias("o"), F.lit("none").alias("t")),
+        kg["valid_in"].select(c("policy").alias("s"), F.lit("valid_in").alias("r"), c("context").alias("o"), none.alias("t")),
+    ]
+    path = files.scratch(spark, "triples")
+    for p in parts:
+        p.write.mode("append").json(path)
+    x = files.access_triples(spark.read.schema("s string, r string, o string, t string").json(path))
+    return x.groupBy("r").agg(F.count("*").alias("n"), F.countDistinct("s").alias("n_subjects"), F.count("ts").alias("n_timed"), F.min("ts").alias("first_ts"), F.max("o").alias("last_object"), F.min("trust").alias("trust"))
+
+
 @query(f"WITH {ACCESS} SELECT q.qid, q.user, q.resource, q.t, s.context, c.n AS n_contexts FROM requests q JOIN schedule s ON s.t = q.t, (SELECT max(t) AS n FROM schedule) c")
 def access_source(spark: SparkSession, d: str) -> DataFrame:
     """A-4: requests and the schedule as JSON; a time is an index into the schedule from 1."""
@@ -92,6 +123,92 @@ def pair_bundle(spark: SparkSession, d: str) -> DataFrame:
     return files.known_pairs(split, b["ent1"], known2).select("pos", "e1", "e2", "split")
 
 
+def lines_of(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """``rows(pos, value)`` written and read again; a file's lines keep their place as a column."""
+    path = files.scratch(spark, name)
+    rows.select("pos", "value").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+NUMBERED = f"{PAIR}, n1 AS (SELECT *, row_number() OVER (ORDER BY edge_id) - 1 AS pos FROM k1)"
+
+
+@query(f"""WITH {NUMBERED}, l AS (SELECT 'part:' || p_partkey AS e, p_name AS label FROM part UNION ALL SELECT 'supplier:' || s_suppkey, split_part(s_name, '#', 2) FROM supplier)
+SELECT pos, a.label AS head, n1.r AS relation, b.label AS tail, (SELECT count(*) FROM pairs WHERE split = 'seed') AS n_seed, (SELECT count(*) FROM pairs WHERE split = 'test') AS n_test FROM n1 JOIN l a ON a.e = n1.s JOIN l b ON b.e = n1.o""")
+def numbered_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """A-7, A-8: two graphs as files of numbers - ids with labels, triples, seed and test pairs - read as one bundle."""
+    from ..operators.shared import numbered, stored
+
+    b = derived.pair_kg(spark, d)
+    number = lambda e: F.element_at(F.split(e, ":"), -1).try_cast("long") + 1
+    key = lambda e: F.when(e.contains("supplier:"), -number(e)).when(e.contains("part:"), number(e)).otherwise(F.lit(10**12) + F.coalesce(number(e), F.lit(0)))
+    relation = lambda r: F.when(r == "of_brand", 0).when(r == "supplied_by", 1).otherwise(2)
+    line = lambda *x: F.concat_ws("\t", *[c.cast("string") for c in x])
+    c = F.col
+    named = {}
+    for k, kg, ents in ((1, b["k1"], b["ent1"]), (2, b["k2"], b["ent2"])):
+        edges = numbered(kg, c("edge_id"))
+        named[f"triples_{k}"] = edges.select((c("position") - 1).alias("pos"), line(key(c("s")), relation(c("r")), key(c("o"))).alias("value"))
+        named[f"ent_ids_{k}"] = ents.select(F.lit(0).alias("pos"), line(key(c("e")), c("label")).alias("value"))
+        named[f"rel_ids_{k}"] = kg.select("r").distinct().select(F.lit(0).alias("pos"), line(relation(c("r")), F.concat(F.lit("http://x/"), "r")).alias("value"))
+    for file, split in (("sup_ent_ids", "seed"), ("ref_ent_ids", "test")):
+        named[file] = b["pairs"].where(c("split") == split).select(F.lit(0).alias("pos"), line(key(c("e1")), key(c("e2"))).alias("value"))
+    found = files.numbered_bundle(lambda name: lines_of(spark, named[name], name))
+    label = lambda t, name: found[t].select(c("id").alias(name), c("label").alias(f"{name}_label")).hint("merge")
+    t = found["triples1"].join(label("ent1", "s"), "s").join(label("ent1", "o"), "o").join(label("rel1", "r"), "r")
+    n = stored(found["seed"].agg(F.count("*").alias("n_seed")).crossJoin(found["test"].agg(F.count("*").alias("n_test"))))  # one row
+    return t.crossJoin(F.broadcast(n)).select("pos", c("s_label").alias("head"), F.translate("r_label", " ", "_").alias("relation"), c("o_label").alias("tail"), "n_seed", "n_test")
+
+
+@query(f"""WITH {NUMBERED}, e AS (SELECT DISTINCT e FROM (SELECT s AS e FROM k1 UNION ALL SELECT o FROM k1)), ids AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS id FROM e), rels AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS id FROM (SELECT DISTINCT r FROM k1)),
+f2 AS (SELECT DISTINCT e FROM (SELECT s AS e FROM k2 UNION ALL SELECT o FROM k2)), p AS (SELECT e1, n FROM pairs JOIN names ON names.e = e1 JOIN f2 ON f2.e = e2 WHERE e1 LIKE 'part:%' AND e1 IN (SELECT e FROM e)), parts AS (SELECT count(*) AS n FROM part),
+seeds AS (SELECT e1 FROM p, parts WHERE p.n < 0.3 * parts.n)
+SELECT pos, a.id AS s, r.id AS r, b.id AS o, CASE WHEN l.s_name IS NULL THEN n1.s ELSE l.s_name END AS label, n1.s IN (SELECT e1 FROM seeds) AS seed
+FROM n1 JOIN ids a ON a.e = n1.s JOIN ids b ON b.e = n1.o JOIN rels r ON r.r = n1.r LEFT JOIN supplier l ON 'supplier:' || l.s_suppkey = n1.s""")
+def named_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """A-9: two graphs of names, encoded in the order of the names, with labels from attributes and pairs split by position."""
+    from ..operators.shared import numbered
+
+    b = derived.pair_kg(spark, d)
+    triples = {k: lines_triples(spark, numbered(b[f"k{k}"], F.col("edge_id")).select((F.col("position") - 1).alias("pos"), "s", "r", "o")) for k in (1, 2)}
+    s = table(spark, d, "supplier")
+    attributes = {k: s.select(F.concat(F.lit(p), derived.entity("supplier", "s_suppkey")).alias("ent"), F.lit("rdfs#Label").alias("attr"), F.concat(F.lit('"'), "s_name", F.lit('"@en')).alias("val"), F.lit(0).alias("pos")) for k, p in ((1, ""), (2, "x:"))}
+    key = F.split_part("e1", F.lit(":"), F.lit(2)).cast("long")
+    found = files.named_bundle(triples, attributes, b["pairs"].where("e1 like 'part:%'").select(key.alias("pos"), "e1", "e2"))
+    seed = found["seed"].select(F.col("e1").alias("s"), F.lit(True).alias("seed"))
+    t = found["triples1"].join(found["ent1"].select(F.col("id").alias("s"), "label").hint("merge"), "s").join(seed.hint("merge"), "s", "left")
+    return t.select("pos", "s", "r", "o", "label", F.coalesce("seed", F.lit(False)).alias("seed"))
+
+
+def lines_triples(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Triples of names as tab-separated lines, and read again."""
+    f = F.split("value", "\t")
+    return lines_of(spark, rows.select("pos", F.concat_ws("\t", "s", "r", "o").alias("value")), "names").select("pos", f[0].alias("s"), f[1].alias("r"), f[2].alias("o"))
+
+
+@query(f"WITH {PRED} SELECT qid, em, abstained AS x_abstained, latency_ms AS x_latency, (SELECT round(avg(em), 6) FROM pred) AS exact_match, (SELECT count(*) FROM pred) AS n FROM pred")
+def results_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A-12: one CSV line for each query, with what is extra flattened, and the summary as JSON."""
+    p = derived.predictions(spark, d)
+    path = files.scratch(spark, "run")
+    rows = p.select("qid", "em", F.struct("abstained", F.col("latency_ms").alias("latency")).alias("extra"))
+    files.write_run(rows, p.agg(F.round(F.avg("em"), 6).alias("exact_match"), F.count("*").alias("n")), path)
+    back = spark.read.option("header", True).schema("qid long, em int, x_abstained boolean, x_latency double").csv(f"{path}/rows")
+    return back.crossJoin(F.broadcast(spark.read.schema("exact_match double, n long").json(f"{path}/summary")))
+
+
+@query("SELECT doc_id AS pos, lang FROM documents WHERE doc_id < 100")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """F-12: the first hundred places."""
+    return files.first_rows(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), "lang"), 100)
+
+
+@query(f"WITH {PAIR} SELECT e1, e2 FROM pairs WHERE split = 'test' ORDER BY md5('sample-1:' || e1), e1 LIMIT 500")
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """F-13: five hundred test pairs without replacement."""
+    return files.seeded_sample(derived.pair_kg(spark, d)["pairs"].where("split = 'test'").select("e1", "e2"), 500, "e1")
+
+
 @query("SELECT page_id AS id, trim(replace(regexp_extract(trim(coalesce(url, '')), '[^/#]+$'), '_', ' ')) AS label FROM pages")
 def id_label_file(spark: SparkSession, d: str) -> DataFrame:
     """A-6."""

@@ -152,6 +152,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
         F.col("quality").cast("int").alias("gold"),
         "pred",
         (F.col("pred") == F.col("quality")).cast("int").alias("em"),
+        F.greatest((F.col("pred") == F.col("quality")).cast("double"), F.col("n_chars") % 7 / 10.0).alias("f1"),
         (F.col("n_chars") / 100.0).alias("latency_ms"),
         (F.col("n_chars") % 12).cast("int").alias("rank"),
         (F.col("n_chars") % 20 == 0).alias("abstained"),
@@ -163,6 +164,7 @@ pred AS (
   SELECT doc_id AS qid, source AS method, lang AS dataset, (n_chars % 1000) / 1000.0::DOUBLE AS confidence, quality::INT AS gold,
          CASE WHEN (n_chars % 1000) / 1000.0::DOUBLE > 0.3 THEN 1 ELSE 0 END AS pred,
          (CASE WHEN (n_chars % 1000) / 1000.0::DOUBLE > 0.3 THEN 1 ELSE 0 END = quality)::INT AS em,
+         greatest((CASE WHEN (n_chars % 1000) / 1000.0::DOUBLE > 0.3 THEN 1 ELSE 0 END = quality)::INT::DOUBLE, (n_chars % 7) / 10.0::DOUBLE) AS f1,
          n_chars / 100.0::DOUBLE AS latency_ms, (n_chars % 12)::INT AS rank, n_chars % 20 = 0 AS abstained
   FROM labels JOIN documents USING (doc_id))
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,12 +24,12 @@ def qa_source(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(edges, queries, query_graph)`` from ``examples(pos, id, question, q_entity, a_entity, answer, graph)``.
 
     Edges are distinct (h, r, t) with ``pos``, the first place that they were seen at; triples of fewer than three
-    fields are dropped. Answers fall back from ``answer`` to ``a_entity``.
+    fields are dropped. Answers fall back from ``answer`` to ``answers``, if there is such a column, to ``a_entity``.
     """
     seen = examples.select("id", F.col("pos").alias("doc_pos"), F.posexplode("graph").alias("k", "x")).where(F.size("x") >= 3)
     seen = seen.select("id", "doc_pos", "k", F.col("x")[0].alias("s"), F.col("x")[1].alias("r"), F.col("x")[2].alias("o")).withColumn("edge_id", F.md5(F.concat_ws("|", "s", "r", "o")))
     edges = seen.groupBy("edge_id", "s", "r", "o").agg(F.min(F.struct("doc_pos", "k")).alias("pos"))
-    answers = F.when(F.size("answer") > 0, F.col("answer")).otherwise(F.col("a_entity"))
+    answers = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in ("answer", "answers", "a_entity") if c in examples.columns])
     queries = examples.select(F.col("id").alias("qid"), "question", "q_entity", F.get(answers, F.lit(0)).alias("answer"), answers.alias("all_answers"))
     return edges, queries, seen.select(F.col("id").alias("qid"), "edge_id").distinct()
 
@@ -46,6 +47,19 @@ def temporal_source(lines: DataFrame) -> DataFrame:
     return lines.where(F.size(f) >= 4).select(*[f[k].cast("long").alias(n) for k, n in enumerate(("head", "rel", "tail", "ts"))])
 
 
+def temporal_queries(facts: DataFrame) -> DataFrame:
+    """``facts(head, rel, tail, ts)`` as questions for the tail: ``(question, head, rel, answer, ts)``, all but ts as text."""
+    text = {c: F.col(c).cast("string") for c in ("head", "rel", "tail")}
+    question = F.format_string("(head=%d, rel=%d, ?, ts=%d)", "head", "rel", "ts")
+    return facts.select(question.alias("question"), text["head"].alias("head"), text["rel"].alias("rel"), text["tail"].alias("answer"), "ts")
+
+
+def access_triples(rows: DataFrame) -> DataFrame:
+    """``(s, r, o, ts, conf, trust, age)`` from ``rows(s, r, o, t)``, whose time is text, and null where it is no number."""
+    one = F.lit(1.0)
+    return rows.select("s", "r", "o", safe_int(F.col("t")).cast("long").alias("ts"), one.alias("conf"), one.alias("trust"), F.lit(0.0).alias("age"))
+
+
 def schedule_source(contexts: DataFrame) -> DataFrame:
     """``(t, context)`` from ``contexts(contexts)``, an array whose first element is time 1."""
     return contexts.select(F.posexplode("contexts").alias("k", "context")).select((F.col("k") + 1).cast("long").alias("t"), "context")
@@ -77,10 +91,62 @@ def id_labels(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("value") != "").select(f[0].cast("long").alias("id"), uri_name(F.get(f, F.lit(1))).alias("label"))
 
 
-def tab_numbers(lines: DataFrame, *names: str) -> DataFrame:
-    """Integer columns from tab-separated ``lines(value)``."""
+def tab_numbers(lines: DataFrame, *names: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Integer columns from tab-separated ``lines(value)``, and the columns ``keep`` as they are."""
     f = F.split("value", "\t")
-    return lines.where(F.trim("value") != "").select(*[f[k].cast("long").alias(n) for k, n in enumerate(names)])
+    return lines.where(F.trim("value") != "").select(*keep, *[f[k].cast("long").alias(n) for k, n in enumerate(names)])
+
+
+def integer_triples(lines: DataFrame) -> DataFrame:
+    """``(pos, s, r, o)`` from ``lines(pos, value)`` of three numbers a line; the order of the lines counts."""
+    return tab_numbers(lines, "s", "r", "o", keep=("pos",))
+
+
+def numbered_bundle(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """Two graphs with numbers for names: ``read(name)`` gives the lines ``(pos, value)`` of the files of ids and labels,
+    triples, seed pairs and test pairs."""
+    ids = {f"{kind}{k}": id_labels(read(f"{file}_ids_{k}")) for kind, file in (("ent", "ent"), ("rel", "rel")) for k in (1, 2)}
+    triples = {f"triples{k}": integer_triples(read(f"triples_{k}")) for k in (1, 2)}
+    pairs = {name: tab_numbers(read(file), "e1", "e2") for name, file in (("seed", "sup_ent_ids"), ("test", "ref_ent_ids"))}
+    return ids | triples | pairs
+
+
+def dictionary(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(name, id)`` of the entities and of the relations of ``triples(s, r, o)``: numbers from 0 in the order of the names."""
+    from ..operators.shared import numbered
+
+    def ids(names: DataFrame) -> DataFrame:
+        return numbered(names.distinct(), F.col("name")).select("name", (F.col("position") - 1).alias("id"))
+
+    entities = triples.select(F.col("s").alias("name")).union(triples.select("o"))
+    return ids(entities), ids(triples.select(F.col("r").alias("name")))
+
+
+def named_bundle(triples: dict[int, DataFrame], attributes: dict[int, DataFrame], links: DataFrame | None = None, folds: tuple[DataFrame, DataFrame] | None = None, share: float = 0.3) -> dict[str, DataFrame]:
+    """Two graphs of ``triples(pos, s, r, o)`` with URIs, dictionary-encoded.
+
+    ``entK(id, name, label)``: the label is that of ``attributes(ent, attr, val, pos)``, else the URI's last part;
+    ``triplesK(pos, s, r, o)`` are numbers. Seed and test pairs are those of ``folds``, two tables ``(e1, e2)``, or else
+    ``links(pos, e1, e2)`` split by position; pairs with an unknown member are dropped.
+    """
+    from ..functions.text import uri_name
+
+    out: dict[str, DataFrame] = {}
+    for k, t in triples.items():
+        entities, relations = dictionary(t)
+        labels = attribute_labels(attributes[k]).withColumnRenamed("ent", "name")
+        out[f"ent{k}"] = entities.join(labels.hint("merge"), "name", "left").select("id", "name", F.coalesce("label", uri_name(F.col("name"))).alias("label"))
+        out[f"rel{k}"] = relations.select("id", uri_name(F.col("name")).alias("label"))
+        end = lambda c, e=entities: e.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id")).hint("merge")
+        r = relations.select(F.col("name").alias("r"), F.col("id").alias("r_id")).hint("merge")
+        out[f"triples{k}"] = t.join(end("s"), "s").join(end("o"), "o").join(r, "r").select("pos", F.col("s_id").alias("s"), F.col("r_id").alias("r"), F.col("o_id").alias("o"))
+    if folds is None:
+        split = positional_split(links, share)
+        folds = split.where("split = 'seed'"), split.where("split = 'test'")
+    e1, e2 = (out[f"ent{k}"].select(F.col("name").alias(f"e{k}"), F.col("id").alias(f"id{k}")).hint("merge") for k in (1, 2))
+    for name, pairs in zip(("seed", "test"), folds, strict=True):
+        out[name] = pairs.select("e1", "e2").join(e1, "e1").join(e2, "e2").select(F.col("id1").alias("e1"), F.col("id2").alias("e2"))
+    return out
 
 
 def attribute_labels(triples: DataFrame) -> DataFrame:
@@ -113,6 +179,29 @@ def write_results(rows: DataFrame, name: str) -> str:
     return path
 
 
+def flattened(rows: DataFrame, column: str = "extra") -> DataFrame:
+    """``rows`` with the fields of the struct ``column`` as columns ``x_field``."""
+    names = rows.schema[column].dataType.names
+    return rows.select(*[c for c in rows.columns if c != column], *[F.col(f"{column}.{n}").alias(f"x_{n}") for n in names])
+
+
+def write_run(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """A run's results as CSV with a header, one line for each query and ``extra`` flattened, and its summary as JSON."""
+    flattened(rows).write.option("header", True).csv(f"{path}/rows")
+    summary.write.json(f"{path}/summary")
+
+
+def first_rows(rows: DataFrame, n: int, order: str = "pos") -> DataFrame:
+    """The rows at the places 0 to n - 1; a place is a column's value, not the order in which rows are read."""
+    return rows.where(F.col(order) < n)
+
+
+def seeded_sample(rows: DataFrame, n: int, *key: str, seed: str = "sample-1") -> DataFrame:
+    """``n`` rows without replacement: those whose digest of seed and ``key`` comes first, whatever the partitioning."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+    return rows.orderBy(digest, *key).limit(n)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("dataset", F.col("dataset").cast("string"))
 
