@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constraints as C
 from ..functions import text as T
 from ..operators import answer as A
-from ..operators import evaluate, graph
+from ..operators import evaluate, graph, qa
 from ..operators.shared import stored
 from ..sources import derived, files
 from ..sources.derived import STAR, STAR_QUERIES, star_kg, star_queries
@@ -108,18 +108,13 @@ def retrieved(spark: SparkSession, d: str, **options) -> tuple[DataFrame, DataFr
 
 
 def anchor_sims(q: DataFrame, a: DataFrame) -> DataFrame:
-    from ..functions import vectors as V
-
-    f = graph.question_features(q)
-    return a.join(f.hint("merge"), "qid").select("qid", "node", V.dot(F.col("q_vec"), T.hash_vector(F.col("node"), 16)).alias("sim"))
+    return qa.anchor_similarities(graph.question_features(q), a)
 
 
 def scored_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Questions, anchors, edges found, and paths with score and violation (time must not run backwards)."""
-    q, a, nodes, found = retrieved(spark, d)
-    states, attention = graph.propagate(nodes, found, anchor_sims(q, a))
-    p = graph.score_paths(graph.enumerate_paths(found, a), found, states, attention)
-    return q, a, found, p.withColumn("violates", C.violates_monotone_time(F.col("steps")))
+    q, a, found, p = qa.evidence(star_queries(spark, d), star_kg(spark, d), ["anchor"], qa.Settings())
+    return q, a, found, p
 
 
 def rescored_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -400,32 +395,88 @@ def gold_in_ranking(spark: SparkSession, d: str) -> DataFrame:
     return r.select("qid", "gold", A.gold_rank(F.col("ranking"), F.col("gold")).cast("long").alias("rank"))
 
 
-def answered(spark: SparkSession, d: str, most_entropy: float = 999.0) -> DataFrame:
-    """One row for each question: prediction, abstention, confidence, entropy, sizes and the best path."""
-    q, a, found, p = rescored_paths(spark, d)
-    order = A.ranked(p)
-    raw = p.withColumn("score", F.col("score_raw"))
-    out = q.select("qid", "question").join(A.abstention(raw, 0.0, most_entropy), "qid", "left").join(A.best_answer(order), "qid", "left").join(A.fallback_answer(order, found).withColumnRenamed("answer", "onward"), "qid", "left")
-    out = out.join(found.groupBy("qid").agg(F.count("*").alias("n_triples")), "qid", "left").join(order.where("place = 1").select("qid", F.col("path").alias("top_path")), "qid", "left").join(A.candidate_ranking(order, a), "qid", "left")
-    return out.withColumn("prediction", F.when(~F.coalesce("abstained", F.lit(True)), F.coalesce("answer", "onward")))
-
-
 ANSWERED = f"""{CANDIDATES}, answered AS (SELECT q.qid, arg_min(r.tail, place) AS prediction, arg_min(r.path, place) AS top_path FROM questions q LEFT JOIN ranked r USING (qid) GROUP BY q.qid)"""
 
 
 @query(f"WITH {ANSWERED} SELECT qid, prediction, round(confidence, 6) AS confidence, round(entropy, 5) AS entropy, n AS n_triples, top_path FROM answered LEFT JOIN ab USING (qid) LEFT JOIN ne USING (qid)")
 def graph_qa(spark: SparkSession, d: str) -> DataFrame:
     """G-1, B-25: the whole pipeline over all questions."""
-    return answered(spark, d).select("qid", "prediction", F.round("confidence", 6).alias("confidence"), F.round("entropy", 5).alias("entropy"), "n_triples", "top_path")
+    return shown(qa.answer(star_queries(spark, d), star_kg(spark, d)))
 
 
-@query(f"WITH {ANSWERED}, {GOLD_OF}, e AS (SELECT a.qid, ({sql_answer('prediction')} = {sql_answer('gold')})::INT AS em, coalesce(list_position(ranking, gold), 0) AS rank FROM answered a JOIN gold USING (qid) LEFT JOIN listing USING (qid)) SELECT count(*) AS n, round(avg(em), 6) AS exact_match, round(avg((rank BETWEEN 1 AND 10)::INT), 6) AS hits_at_10, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 6) AS mrr FROM e")
-def batch_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """G-12: the pipeline's answers against gold."""
+def shown(answers: DataFrame) -> DataFrame:
+    return answers.select("qid", "prediction", F.round("confidence", 6).alias("confidence"), F.round("entropy", 5).alias("entropy"), "n_triples", "top_path")
+
+
+EXPECTED = ["Brand", "Supplier", "Nation"]
+IN_TIME = "coalesce(len = 2 AND ts1 IS NOT NULL AND ts2 IS NOT NULL AND ts2 < ts1, FALSE) AS violates"
+CHECKED = f"""(coalesce(len = 2 AND ts1 IS NOT NULL AND ts2 IS NOT NULL AND ts2 < ts1, FALSE) OR type0 || '|' || coalesce(r1, last_r) || '|' || coalesce(t1, last_type) NOT IN ({ADMITTED})
+  OR (len = 2 AND t1 || '|' || last_r || '|' || last_type NOT IN ({ADMITTED})) OR last_type NOT IN ({', '.join(f"'{x}'" for x in EXPECTED)})) AS violates"""
+ONE_ANCHOR = "SELECT qid, anchor AS node FROM questions WHERE anchor IN (SELECT node FROM ent)"
+TWO_ANCHORS = "SELECT qid, node FROM (SELECT qid, anchor AS node FROM questions UNION SELECT qid, split_part(anchor, ':', 1) || ':' || (split_part(anchor, ':', 2)::BIGINT + 1) FROM questions) WHERE node IN (SELECT node FROM ent)"
+HEAD_TOKENS = f"qt, qv, {sql_tokens('p.head')} AS hq FROM scored p JOIN qq USING (qid)"
+ALL_TOKENS = f"qt, qv, hq FROM scored p JOIN qq USING (qid) JOIN (SELECT qid, list_distinct(flatten(list({sql_tokens('node')}))) AS hq FROM anchors GROUP BY qid) USING (qid)"
+BY_SCORE = "AS place FROM rescored WHERE NOT violates)"
+CONVERGED = """, cn AS (SELECT qid, tail, count(DISTINCT head) AS nc FROM rescored WHERE NOT violates GROUP BY qid, tail), na AS (SELECT qid, count(DISTINCT node) AS m FROM anchors GROUP BY qid),
+converged AS MATERIALIZED (SELECT r.* REPLACE (round(score * CASE WHEN m >= 2 AND nc >= 2 THEN exp(2.5 * (nc - 1)) ELSE 1 END, 9) AS score) FROM rescored r LEFT JOIN cn USING (qid, tail) LEFT JOIN na USING (qid))"""
+CHECKED_QA = ANSWERED.replace(IN_TIME, CHECKED).replace(ONE_ANCHOR, TWO_ANCHORS).replace(HEAD_TOKENS, ALL_TOKENS).replace(BY_SCORE, BY_SCORE.replace("rescored", "converged")).replace(", ranked AS MATERIALIZED", f"{CONVERGED}, ranked AS MATERIALIZED")
+
+
+@query(f"WITH {CHECKED_QA} SELECT qid, prediction, round(confidence, 6) AS confidence, round(entropy, 5) AS entropy, n AS n_triples, top_path FROM answered LEFT JOIN ab USING (qid) LEFT JOIN ne USING (qid)")
+def graph_qa_checked(spark: SparkSession, d: str) -> DataFrame:
+    """G-1 with two anchors for each question, of which convergence is asked, and with checks of time, of domains and
+    ranges, and of the answer's type."""
     q = star_queries(spark, d)
-    e = answered(spark, d).join(golds(q, star_kg(spark, d)), "qid")
-    e = e.select(F.coalesce(T.exact_match(F.col("prediction"), F.array("gold")), F.lit(0)).alias("em"), F.coalesce(A.gold_rank(F.col("ranking"), F.col("gold")), F.lit(0)).alias("rank"))
-    return e.agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("exact_match"), evaluate.r6(evaluate.hits_at(10), "hits_at_10"), evaluate.r6(evaluate.reciprocal(), "mrr"))
+    following = F.concat_ws(":", F.split_part("anchor", F.lit(":"), F.lit(1)), (F.split_part("anchor", F.lit(":"), F.lit(2)).cast("long") + 1).cast("string"))
+    q = q.select("qid", "question", F.array("anchor", following).alias("anchors"), T.strings(EXPECTED).alias("expected"))
+    steps = F.col("steps")
+    checks = (C.violates_monotone_time(steps), C.domain_range_edge(steps, SCHEMA).isNotNull(), C.violates_answer_type(steps, F.col("expected")))
+    return shown(qa.answer(q, star_kg(spark, d), ["anchors"], qa.Settings(checks=checks)))
+
+
+SCHEMA_FIT = "CASE WHEN o_type IN ('Brand', 'Nation') THEN 1.0 ELSE 0.25 END"
+
+
+@query(f"WITH {RETRIEVED}, t AS ({sql_top(sql_scored('c1').replace('+ 0.3 + 0.4', f'+ 0.3 * {SCHEMA_FIT} + 0.4'), 1)}) SELECT qid, edge_id, rank, round(score, 6) AS score FROM t")
+def schema_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """E-2: one hop, with edges rated by how well they fit the schema of an answer."""
+    _, _, _, found = retrieved(spark, d, hops=1, schema=F.when(F.col("o_type").isin("Brand", "Nation"), 1.0).otherwise(0.25))
+    return found.select("qid", "edge_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {RETRIEVED}, {GOLD_OF}, firsts AS (SELECT v.k, qid, o, min(hop * 100000 + rank) AS spot FROM found, (VALUES (1), (2)) v(k) WHERE hop <= v.k GROUP BY v.k, qid, o),
+places AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY spot, o) AS place FROM firsts), e AS (SELECT v.k, g.qid, split_part(g.qid, ':', 1) AS dataset, coalesce(p.place, 0) AS rank FROM gold g CROSS JOIN (VALUES (1), (2)) v(k) LEFT JOIN places p ON p.k = v.k AND p.qid = g.qid AND p.o = g.gold AND p.place <= 64),
+m AS (SELECT k, dataset, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 6) AS value FROM e GROUP BY ALL) SELECT k::INT AS hops, max(value) FILTER (WHERE dataset = 'part') AS part, max(value) FILTER (WHERE dataset = 'customer') AS customer FROM m GROUP BY k""")
+def hop_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """F-14, H-6: retrieval with one hop and with two, one summary row for each variant and kind of question; the number
+    of hops is parsed from the variant's name. Retrieval of fewer hops is what retrieval of more has up to there."""
+    q, _, _, found = retrieved(spark, d)
+    gold = stored(golds(q, star_kg(spark, d)))
+    rows = None
+    for k in (1, 2):
+        r = gold.join(graph.ranking_from_edges(found.where(F.col("hop") <= k)).hint("merge"), "qid", "left")
+        r = r.select(F.split_part("qid", F.lit(":"), F.lit(1)).alias("dataset"), F.lit(f"k={k}").alias("variant"), F.coalesce(A.gold_rank(F.col("ranking"), F.col("gold")), F.lit(0)).alias("rank"))
+        rows = r if rows is None else rows.unionByName(r)
+    m = evaluate.rank_metrics(rows, "variant", "dataset").withColumn("hops", F.regexp_extract("variant", "k=([0-9]+)", 1).cast("int"))
+    return evaluate.pivot(m, ["part", "customer"], "mrr", "hops")
+
+
+WORDS = lambda x: f"list_filter(string_split({sql_answer(x)}, ' '), lambda t: t <> '')"
+
+
+@query(f"""WITH {ANSWERED}, {GOLD_OF}, asked AS (SELECT qid, gold FROM gold UNION ALL SELECT 'client:' || c_custkey, 'nation:' || c_nationkey FROM customer WHERE c_custkey % 50 = 0),
+e AS (SELECT s.qid, prediction IS NULL AS abstained, CASE WHEN prediction IS NULL THEN 0 ELSE coalesce(confidence, 0) END AS confidence, coalesce(({sql_answer('prediction')} = {sql_answer('gold')})::INT, 0) AS em,
+  {WORDS('prediction')} AS a, {WORDS('gold')} AS b, coalesce(list_position(ranking, gold), 0) AS rank FROM asked s LEFT JOIN answered USING (qid) LEFT JOIN listing USING (qid) LEFT JOIN ab USING (qid)),
+f AS (SELECT *, len(list_filter(a, lambda x: list_contains(b, x))) / nullif(len(a), 0)::DOUBLE AS p, len(list_filter(b, lambda x: list_contains(a, x))) / nullif(len(b), 0)::DOUBLE AS r FROM e)
+SELECT count(*) AS n, count(*) FILTER (WHERE abstained) AS n_abstained, round(avg(confidence), 5) AS confidence, round(avg(em), 6) AS exact_match, round(avg(CASE WHEN NOT abstained AND p > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1, round(avg((rank BETWEEN 1 AND 10)::INT), 6) AS hits_at_10, round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END), 6) AS mrr FROM f""")
+def batch_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """G-12: the pipeline's answers against gold; questions on entities that the graph lacks come back as abstained."""
+    q, kg = star_queries(spark, d), star_kg(spark, d)
+    gold = golds(q, kg).select("qid", F.array("gold").alias("golds"))
+    lost = derived.table(spark, d, "customer").where("c_custkey % 50 = 0").select(derived.entity("client", "c_custkey").alias("qid"), F.array(derived.entity("nation", "c_nationkey")).alias("golds"))
+    asked = q.unionByName(lost.select("qid", F.lit("from what nation is the client").alias("question"), F.col("qid").alias("anchor")))
+    e = evaluate.evaluated(gold.unionByName(lost), qa.answer(asked, kg))
+    return e.agg(F.count("*").alias("n"), F.count_if("abstained").alias("n_abstained"), F.round(F.avg("confidence"), 5).alias("confidence"), evaluate.r6(F.avg("em"), "exact_match"), evaluate.r6(F.avg("f1"), "f1"), evaluate.r6(evaluate.hits_at(10), "hits_at_10"), evaluate.r6(evaluate.reciprocal(), "mrr"))
 
 
 @query(f"""WITH {EVENTS}, cut AS (SELECT max(ts) * 0.8 AS cut_at FROM ek), facts AS (SELECT s, r, o, count(*) AS n, max(ek.ts) AS last FROM ek, cut WHERE ek.ts < cut_at GROUP BY ALL), q AS (SELECT event_id AS qid, s, r, o FROM ek, cut WHERE ek.ts >= cut_at),
