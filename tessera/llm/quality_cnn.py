@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType
 
-from .shared import crc_mod
+from .shared import crc_mod, quoted
 
 CHUNK = 512
 OVERLAP = 32
@@ -152,7 +152,8 @@ class Network:
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[list[bytes]], np.ndarray]:
     """At most ``size`` labelled documents outside of the held-out fold, as bounded lists of chunks, and their labels.
 
-    Rows come in the order of a hash of doc_id; null labels, null ids and repeated rows are left out.
+    Rows come in the order of a hash of doc_id; null labels and null ids are left out. Of several labels of an id the
+    smallest counts, of several texts that of the smallest hash.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
@@ -162,7 +163,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
         return text.map(lambda t: chunks(t, SAMPLE_CHUNKS))
 
     met = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``size`` rows
-    rows = met.select("doc_id", "quality", some("text").alias("parts")).dropDuplicates(["doc_id"]).collect()
+    first = met.select("doc_id", "quality", F.xxhash64("text").alias("h"), some("text").alias("parts"))
+    rows = first.groupBy("doc_id").agg(F.min_by(F.struct("quality", "parts"), "h").alias("x")).select("doc_id", "x.quality", "x.parts").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [[bytes(b) for b in r["parts"]] for r in rows], np.array([r["quality"] for r in rows], float)
 
@@ -173,8 +175,9 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = TH
     Every row is scored by its whole text; a null text is empty, and empty texts have a score too. Rows are never
     dropped, repeated ones come back as often as they occur. ``held_out`` says that crc32(doc_id as text) mod 5 is 0
     (false for a null id); such rows are never learned from. Without labels every score is that of the untrained
-    network. An empty table gives no rows.
+    network. Columns of the table with one of the three names give way, others stay. An empty table gives no rows.
     """
+    docs = docs.select(*[F.col(quoted(c)) for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")])
     texts, quality = sample(docs, labels)
     network = Network()
     if len(texts):

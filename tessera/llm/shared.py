@@ -5,45 +5,24 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import stored
+from ..sources.derived import table
+
+__all__ = ["stored", "table"]
+
 #: Rows that one chunk of a hot key may hold; a task sees two chunks at a time at most.
 CHUNK = 2048
 #: A key of more than HUB rows, and of more than one in HEADS of all rows, is a hub: its rows are joined where they are.
 HUB, HEADS = 256, 50_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where that is unset, a local master gets a temporary folder; a cluster gets an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/tessera"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to shared storage and read back: lineage ends here, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release_memory() -> None:
     """Give freed memory back to the system at a task's end: Python workers outlive their tasks."""
     gc.collect()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .shared import below
 
-PIECE = 4
+PIECE = 8
 K = 4
 W = 4
 #: A selected hash and its position share a long: 37 bits of hash, 26 of (inverted) position.

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -97,36 +98,79 @@ def test_vectors_that_share_an_id(spark):
 # ---------------------------------------------------------------- op2
 
 
+def spark_hash(values):
+    """xxhash64 as Spark has it: each value hashed with the hash of those before as seed, from 42 on."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def tokens_plain(text):
+    p = winnowing.PIECE
+    runs = re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans(winnowing.UPPER, winnowing.LOWER)))
+    return [t for run in runs for t in ([run] if len(run) <= p else [run[i : i + p] for i in range(len(run) - p + 1)])]
+
+
 def winnow_plain(text):
-    tokens = re.findall(r"[^\x20\x09-\x0D]{1,4}", text.translate(str.maketrans(winnowing.UPPER, winnowing.LOWER)))
+    """``(hash, position)`` of the rightmost smallest gram of each window."""
     k, w = winnowing.K, winnowing.W
-    grams = [tuple(tokens[i : i + k]) for i in range(max(1, len(tokens) - k + 1))] if tokens else []
-    return grams, len(tokens), w
+    h = [spark_hash([t.encode()]) for t in tokens_plain(text)]
+    grams = [(spark_hash(h[i : i + k]) % (1 << 64)) >> 27 for i in range(max(1, len(h) - k + 1))] if h else []
+    out = []
+    for at in range(max(1, len(grams) - w + 1) if grams else 0):
+        g, i = min((g, -i) for i, g in enumerate(grams[at : at + w], at))
+        if not out or out[-1] != (g, -i):
+            out.append((g, -i))
+    return out
 
 
-def test_winnowing_edits_and_guarantee(spark):
-    docs = documents(spark)
-    rows = {r["doc_id"]: r for r in winnowing.winnow(docs).collect()}
-    order = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+def jaccard(a, b):
+    a, b = {g for g, _ in a}, {g for g, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_winnowing_against_plain(spark):
+    docs = documents(spark, extra=[(110, "a a a a a a a a a a a a a b", "en", "s", 1), (110, "the same id", "en", "s", 1), (None, "another null id", "en", "s", 1), (111, texts()[5], "en", "s", 1), (112, texts()[5], "en", "s", 1)])
+    rows = winnowing.winnow(docs.withColumns({"tie": F.lit(1), "stretch": F.lit("x"), "guest": F.lit(None)})).collect()
+    order = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, spark_hash([r[1].encode()])))
+    got = sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, [g for g in order if g[0] == r["doc_id"] and len(g[1]) == r["n_chars"]][0][1]))
+    assert len(rows) == len(order)
+    by = {(r["doc_id"], r["n_chars"]): r for r in got}
     for k, (i, t) in enumerate(order):
-        following = order[(k + 1) % len(order)][1]
+        r, following = by[i, len(t)], order[(k + 1) % len(order)][1]
         q = len(t) // 4
         edited = t[: len(t) - q] + following[:q]
-        assert rows[i]["n_chars"] == len(t)
-        assert rows[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
-        grams, n, w = winnow_plain(t)
-        at = [int(x.split("@")[1]) for x in rows[i]["fingerprint"].split()]
-        assert len(at) == len(set(at)) and (not grams) == (not at)
-        # every window of w grams has a selected one
-        assert all(any(p <= a < p + w for a in at) for p in range(max(1, len(grams) - w + 1))) or not grams
-    assert rows[2]["fingerprint"] == rows[3]["fingerprint"] and rows[2]["near_next"] == 1
-    assert rows[3]["near_next"] > 0.5
+        own, changed = winnow_plain(t), winnow_plain(edited)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == " ".join(f"{g:X}@{p}" for g, p in own)
+        assert r["edited_fingerprint"] == " ".join(f"{g:X}@{p}" for g, p in changed)
+        assert r["near_edited"] == pytest.approx(jaccard(own, changed)) and r["near_next"] == pytest.approx(jaccard(own, winnow_plain(following)))
     one = spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")
     assert winnowing.winnow(one).first()["near_next"] == 1
     assert winnowing.winnow(one.where("false")).count() == 0
 
 
+def test_stretches_hold_their_share(spark):
+    """A far-off id, a hot id and null ids: no stretch holds much more than its share, and they follow the ids."""
+    ids = [*range(3000), 10**15, *[1500] * 3000, *[None] * 2000]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = winnowing.in_stretches(docs).collect()
+    size = {}
+    for r in rows:
+        size[r["stretch"]] = size.get(r["stretch"], 0) + 1
+    assert max(size.values()) < 3 * winnowing.STRETCH
+    low, high = {}, {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            low[r["stretch"]] = min(low.get(r["stretch"], 10**16), r["doc_id"])
+            high[r["stretch"]] = max(high.get(r["stretch"], 0), r["doc_id"])
+    order = sorted(low)
+    assert all(high[a] <= low[b] for a, b in zip(order, order[1:], strict=False)) and all(r["stretch"] < 0 for r in rows if r["doc_id"] is None)
+    following = {r["text"]: r["next_text"] for r in winnowing.with_next(docs).where("not guest").collect()}
+    assert len(set(following.values())) == len(ids)  # one round through all
+
+
 def test_winnowing_finds_passages_at_any_offset(spark):
     rng = random.Random(12)
     passage = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
@@ -135,10 +179,9 @@ def test_winnowing_finds_passages_at_any_offset(spark):
     found = [{x.split("@")[0] for x in r["fingerprint"].split()} for r in winnowing.winnow(docs).orderBy("doc_id").collect()]
     assert all(a & b for a in found for b in found)
     assert all(r["near_next"] > 0 for r in winnowing.winnow(docs).collect())
-    plain = "a bcd efgh ijklm\tn " + "\U0001f600" * 6
+    plain = "a bcd efgh ijklmnopqr\tn " + "\U0001f600" * 11
     got = spark.createDataFrame([(plain,)], "t string").select(winnowing.tokens(F.col("t")).alias("x")).first()["x"]
-    want = [p for run in plain.split() for p in ([run] if len(run) <= 4 else [run[i : i + 4] for i in range(len(run) - 3)])]
-    assert got == want
+    assert got == tokens_plain(plain)
 
 
 # ---------------------------------------------------------------- op3
