@@ -4,7 +4,7 @@ For every node of the DOM: C characters, T tags, LC characters in links, LT link
 
     (C / T) * log_b( (C / LC) * (T / LT) ),   b = ln( C / (C - LC) * LC + LC_body / C_body * C + e )
 
-(a denominator of 0 counts as 1): characters per tag, the less the more of them are links. A node's density sum is that
+(a denominator of 0 counts as 1, and a base of 1 as e): characters per tag, the less the more of them are links. A node's density sum is that
 of its children. The subtree with the largest sum is the main content; the least density on its path to the body is the
 threshold, and every other subtree below the body that reaches it, with a sum in proportion, is content too.
 
@@ -197,11 +197,13 @@ def content(root: Node) -> list[Node]:
             node.dropped = False
     order = nodes(root)
     threshold = min(node.density for node in around(best))
-    # up to a parent that adds little but the headline
-    while best.parent is not None and best.parent is not root and best.parent.kept <= 1.3 * best.kept + 200:
-        best = best.parent
-    chosen = {id(best)}
+    # up to a parent that adds little, and not for the most part links, but the headline
+    while (up := best.parent) is not None and up is not root and up.kept <= 1.3 * best.kept + 200 and 2 * (up.link_chars - best.link_chars) <= up.chars - best.chars:
+        best = up
+    chosen, above = {id(best)}, {id(node) for node in around(best.parent)}
     for node in order[1:]:
+        if id(node) in above:
+            continue
         if node.total >= PART * best.total and node.density >= threshold and node.tag not in ("ul", "ol", "table"):
             chosen.add(id(node))
         elif node.tag in ("h1", "p", "blockquote", "pre", "h2", "h3") and node.parent is best.parent and node.link_chars * 2 < node.chars + 1:

@@ -122,6 +122,7 @@ class Network:
         top, mean = np.outer(err, self.p["out"][:FILTERS]), np.outer(err, self.p["out"][FILTERS:])
         a = np.tanh(z + self.p["bias"])
         best = a == features[owner, :FILTERS]
+        best = best / np.add.reduceat(best, np.cumsum(n) - n, dtype=float)[owner]  # chunks overlap, so several may have the largest
         d = (top[owner] * best + mean[owner] / n[owner][:, None]) * (1 - a * a)
         g["bias"] = d.sum(0)
         g["bytes"], g["filters"] = np.zeros_like(self.p["bytes"]), np.zeros_like(self.p["filters"])
