@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .shared import components, forest, per_tile, stored, tiles, whole_groups
+from .shared import components, forest, joined_by_size, per_tile, stored, tiles, whole_groups
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -169,6 +169,6 @@ def simhash_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     as often as they occur. An empty table gives no rows; other columns are ignored.
     """
     found = stored(docs.select("doc_id", fingerprints(F.coalesce("text", F.lit(""))).alias("fp")))
-    groups = stored(fingerprint_groups(found, max_bits))
-    out = found.join(groups.select("fp", "component").hint("merge"), "fp")
+    groups = fingerprint_groups(found, max_bits).select("fp", "component").join(found.groupBy("fp").agg(F.count("*").alias("_n")).hint("merge"), "fp")
+    out = joined_by_size(found, stored(groups), "fp", found.count())
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
