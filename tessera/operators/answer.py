@@ -22,7 +22,7 @@ def abstention(paths: DataFrame, least_mass: float = 0.05, most_entropy: float =
     mass = paths.groupBy("qid").agg(F.sum("score").alias("all"), F.sum(F.when(~F.col("violates"), F.col("score")).otherwise(0.0)).alias("kept"))
     mass = mass.select("qid", F.when(F.col("all") > 0, F.col("kept") / F.col("all")).otherwise(0.0).alias("mass"))
     h = answer_posterior(paths).groupBy("qid").agg(F.sum(-F.col("p") * F.log2("p")).alias("entropy"), F.max("p").alias("top"))
-    out = mass.join(h, "qid", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    out = mass.join(h.hint("merge"), "qid", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
     return out.select("qid", "mass", "entropy", F.coalesce("top", "mass").alias("confidence"), ((F.col("mass") < least_mass) | (F.col("entropy") > most_entropy)).alias("abstained"))
 
 
@@ -30,7 +30,7 @@ def rescore(paths: DataFrame, features: DataFrame, anchors: DataFrame, weight: f
     """``paths`` with ``score`` weighed by the tail: similar to the question, relation that the question hints at, no
     metadata, and not just the anchor again. ``score_raw`` keeps the score from before."""
     tokens = anchors.groupBy("qid").agg(F.array_distinct(F.flatten(F.collect_set(T.content_tokens(F.col("node"))))).alias("a_tokens"))
-    p = paths.join(features, "qid").join(tokens, "qid", "left").withColumn("a_tokens", F.coalesce("a_tokens", F.array().cast("array<string>")))
+    p = paths.join(features.hint("merge"), "qid").join(tokens.hint("merge"), "qid", "left").withColumn("a_tokens", F.coalesce("a_tokens", F.array().cast("array<string>")))
     tail, last = C.tail(F.col("steps")), F.element_at("steps", -1)["r"]
     p = p.withColumn("t_tokens", T.content_tokens(tail)).withColumn("sim", V.dot(F.col("q_vec"), T.hash_vector(tail, 16)))
     factor = F.exp(weight * F.col("sim"))
@@ -50,7 +50,7 @@ def convergence(paths: DataFrame, anchors: DataFrame) -> DataFrame:
     tail = C.tail(F.col("steps"))
     ok = paths.where(~F.col("violates") & ~T.opaque(tail))
     n = ok.groupBy("qid", tail.alias("tail")).agg(F.countDistinct(C.head(F.col("steps"))).alias("n"))
-    p = paths.withColumn("tail", tail).join(n, ["qid", "tail"], "left").join(many, "qid", "left")
+    p = paths.withColumn("tail", tail).join(n.hint("merge"), ["qid", "tail"], "left").join(many.hint("merge"), "qid", "left")
     factor = F.when((F.col("n_anchors") >= 2) & (F.col("n") >= 2), F.exp(2.5 * (F.col("n") - 1))).otherwise(1.0)
     return p.withColumn("score", F.round(F.col("score") * factor, 9)).drop("tail", "n", "n_anchors")
 
@@ -79,7 +79,7 @@ def fallback_answer(order: DataFrame, found: DataFrame) -> DataFrame:
     """``(qid, answer)``: one more step from the best path's tail to the first object with a name, else the tail."""
     top = order.where("place = 1").select("qid", C.tail(F.col("steps")).alias("tail"))
     onward = found.where(~T.opaque(F.col("o"))).groupBy("qid", F.col("s").alias("tail")).agg(F.min_by("o", F.struct("hop", "rank")).alias("next"))
-    return top.join(onward, ["qid", "tail"], "left").select("qid", F.coalesce("next", "tail").alias("answer"))
+    return top.join(onward.hint("merge"), ["qid", "tail"], "left").select("qid", F.coalesce("next", "tail").alias("answer"))
 
 
 def candidate_nodes(order: DataFrame, anchors: DataFrame, keep_anchor_tails: bool = True) -> DataFrame:
@@ -88,7 +88,7 @@ def candidate_nodes(order: DataFrame, anchors: DataFrame, keep_anchor_tails: boo
     inner = F.slice(nodes, 2, F.greatest(F.size(nodes) - 2, F.lit(0)))
     x = order.select("qid", "place", F.posexplode(F.concat(F.array(C.tail(F.col("steps"))), inner)).alias("slot", "node"))
     a = anchors.select("qid", "node").distinct().withColumn("anchor", F.lit(True))
-    x = x.join(a, ["qid", "node"], "left").where(F.col("anchor").isNull() | (F.lit(keep_anchor_tails) & (F.col("slot") == 0)))
+    x = x.join(a.hint("merge"), ["qid", "node"], "left").where(F.col("anchor").isNull() | (F.lit(keep_anchor_tails) & (F.col("slot") == 0)))
     return x.groupBy("qid", "node").agg(F.min(F.struct("place", "slot")).alias("at"))
 
 
@@ -127,7 +127,7 @@ def evidence(order: DataFrame, paths: int = 8, most: int = 32) -> DataFrame:
 def prompts(queries: DataFrame, facts: DataFrame, candidates: DataFrame) -> DataFrame:
     """``(qid, prompt, candidates)``: facts, numbered candidates and the question; queries without candidates are left out."""
     numbered = F.array_join(F.transform("candidates", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
-    p = queries.select("qid", "question").dropDuplicates(["qid"]).join(candidates, "qid").join(facts, "qid", "left")
+    p = queries.select("qid", "question").dropDuplicates(["qid"]).join(candidates.hint("merge"), "qid").join(facts.hint("merge"), "qid", "left")
     text = F.concat(F.lit("Facts:\n"), F.array_join(F.coalesce("facts", F.array().cast("array<string>")), "\n"), F.lit("\n\nCandidates:\n"), numbered, F.lit("\n\nQuestion: "), "question", F.lit("\nNumber of the answer:"))
     return p.select("qid", text.alias("prompt"), "candidates")
 
@@ -138,7 +138,7 @@ def training_rows(order: DataFrame, queries: DataFrame, golds: DataFrame, paths:
     tails = order.where(F.col("place") <= paths).select("qid", C.tail(F.col("steps")).alias("node"), F.struct("place", F.lit(0).alias("slot")).alias("at"))
     c = listed(tails.groupBy("qid", "node").agg(F.min("at").alias("at")), most, "candidates")
     f = evidence(order.withColumn("steps", F.slice("steps", 1, 3)), paths, facts)
-    p = queries.select("qid", "question").dropDuplicates(["qid"]).join(c, "qid").join(golds.select("qid", "golds"), "qid").join(f, "qid", "left")
+    p = queries.select("qid", "question").dropDuplicates(["qid"]).join(c.hint("merge"), "qid").join(golds.select("qid", "golds").hint("merge"), "qid").join(f.hint("merge"), "qid", "left")
     hit = F.array_position(F.transform("candidates", lambda x: F.array_contains(F.transform("golds", T.normalized_answer), T.normalized_answer(x))), F.lit(True))
     lettered = F.array_join(F.transform("candidates", lambda x, i: F.concat(F.char(i + 65), F.lit(") "), x)), "\n")
     text = F.concat(F.lit("Facts:\n"), F.array_join(F.coalesce("facts", F.array().cast("array<string>")), "\n"), F.lit("\n\nOptions:\n"), lettered, F.lit("\n\nQuestion: "), "question", F.lit("\nAnswer:"))

@@ -158,7 +158,7 @@ def ranking_from_edges(found: DataFrame, most: int = 64) -> DataFrame:
 def initial_states(nodes: DataFrame, anchor_sims: DataFrame, kappa: float = 4.0) -> DataFrame:
     """``(qid, node, pos, neg)``: anchors of ``anchor_sims(qid, node, sim)`` start with 1 + kappa max(0, sim), others with 1."""
     a = anchor_sims.groupBy("qid", "node").agg(F.max("sim").alias("sim"))
-    return nodes.select("qid", "node").distinct().join(a, ["qid", "node"], "left").select("qid", "node", F.when(F.col("sim").isNull(), 1.0).otherwise(1.0 + kappa * F.greatest(F.lit(0.0), F.col("sim"))).alias("pos"), F.lit(1.0).alias("neg"))
+    return nodes.select("qid", "node").distinct().join(a.hint("merge"), ["qid", "node"], "left").select("qid", "node", F.when(F.col("sim").isNull(), 1.0).otherwise(1.0 + kappa * F.greatest(F.lit(0.0), F.col("sim"))).alias("pos"), F.lit(1.0).alias("neg"))
 
 
 def propagate(nodes: DataFrame, found: DataFrame, anchor_sims: DataFrame, rounds: int = 2, gammas: Sequence[float] = (0.4, 0.3, 0.2, 0.1), kappa: float = 4.0, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -175,11 +175,11 @@ def propagate(nodes: DataFrame, found: DataFrame, anchor_sims: DataFrame, rounds
     into = Window.partitionBy("qid", "o")
     for _ in range(rounds):
         source = states.select("qid", F.col("node").alias("s"), V.belief(F.col("pos"), F.col("neg")).alias("b"), V.uncertainty(F.col("pos"), F.col("neg")).alias("u"))
-        x = e.join(source, ["qid", "s"]).withColumn("logit", F.col("static") - g4 * F.col("u"))
+        x = e.join(source.hint("merge"), ["qid", "s"]).withColumn("logit", F.col("static") - g4 * F.col("u"))
         x = x.withColumn("z", F.exp(F.col("logit") - F.max("logit").over(into)))
         x = stored(x.withColumn("attn", F.col("z") / F.sum("z").over(into)).select("qid", "s", "o", "hop", "rank", "attn", "b", "w_pos", "w_neg"))
         gain = x.groupBy("qid", F.col("o").alias("node")).agg(F.sum(F.col("attn") * F.col("b") * F.col("w_pos")).alias("dp"), F.sum(F.col("attn") * (1 - F.col("b")) * F.col("w_neg")).alias("dn"))
-        states = states.join(gain, ["qid", "node"], "left").select("qid", "node", (F.col("pos") + F.coalesce("dp", F.lit(0.0))).alias("pos"), (F.col("neg") + F.coalesce("dn", F.lit(0.0))).alias("neg"))
+        states = states.join(gain.hint("merge"), ["qid", "node"], "left").select("qid", "node", (F.col("pos") + F.coalesce("dp", F.lit(0.0))).alias("pos"), (F.col("neg") + F.coalesce("dn", F.lit(0.0))).alias("neg"))
     attention = x.groupBy("qid", F.col("s").alias("src"), F.col("o").alias("dst")).agg(F.max_by("attn", F.struct("hop", "rank")).alias("attn"))
     return stored(states), attention
 
@@ -209,7 +209,7 @@ def enumerate_paths(found: DataFrame, anchors: DataFrame, length: int = 2, cap:
     that no round grows beyond cap times the degree.
     """
     walk = stored(steps(found, bidirectional))
-    now = anchors.select("qid", F.col("node").alias("at")).distinct().join(walk, ["qid", "at"]).select("qid", F.array("step").alias("steps"))
+    now = anchors.select("qid", F.col("node").alias("at")).distinct().join(walk.hint("merge"), ["qid", "at"]).select("qid", F.array("step").alias("steps"))
     out = None
     for n in range(1, length + 1):
         now = now.withColumn("path", path_key(F.col("steps")))
@@ -217,7 +217,7 @@ def enumerate_paths(found: DataFrame, anchors: DataFrame, length: int = 2, cap:
         out = now if out is None else out.unionByName(now)
         if n < length:
             ends = now.select("qid", "steps", F.element_at("steps", -1)["o"].alias("at"))
-            now = ends.join(walk, ["qid", "at"]).select("qid", F.concat("steps", F.array("step")).alias("steps"))
+            now = ends.join(walk.hint("merge"), ["qid", "at"]).select("qid", F.concat("steps", F.array("step")).alias("steps"))
     w = Window.partitionBy("qid").orderBy(F.size("steps"), "path")
     return out.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap).select("qid", "path", "steps")
 

@@ -227,7 +227,7 @@ def semantic_subgraph(spark: SparkSession, d: str) -> DataFrame:
     """G-3, F-6: similarity alone as the weight; the mean edge score as confidence."""
     _, _, _, found = retrieved(spark, d, hops=1, gammas=(1.0, 0.0, 0.0))
     first = graph.ranking_from_edges(found).select("qid", F.col("ranking")[0].alias("first_object"))
-    return found.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("confidence")).join(first, "qid")
+    return found.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("confidence")).join(first.hint("merge"), "qid")
 
 
 # ---------------------------------------------------------------- propagation and paths
@@ -384,14 +384,14 @@ GOLD_OF = "gold AS (SELECT qid, min(o) AS gold FROM questions JOIN star ON s = a
 
 def golds(q: DataFrame, kg: DataFrame) -> DataFrame:
     e = kg.where("r in ('of_brand', 'from_nation')").select(F.col("s").alias("anchor"), "o")
-    return q.join(e, "anchor").groupBy("qid").agg(F.min("o").alias("gold"))
+    return q.join(e.hint("merge"), "anchor").groupBy("qid").agg(F.min("o").alias("gold"))
 
 
 @query(f"WITH {CANDIDATES}, {GOLD_OF} SELECT qid, gold, coalesce(list_position(list_transform(ranking, lambda x: {sql_answer('x')}), {sql_answer('gold')}), 0)::BIGINT AS rank FROM listing JOIN gold USING (qid)")
 def gold_in_ranking(spark: SparkSession, d: str) -> DataFrame:
     """F-4."""
     q, a, _, p = rescored_paths(spark, d)
-    r = A.candidate_ranking(A.ranked(p), a).join(golds(q, star_kg(spark, d)), "qid")
+    r = A.candidate_ranking(A.ranked(p), a).join(golds(q, star_kg(spark, d)).hint("merge"), "qid")
     return r.select("qid", "gold", A.gold_rank(F.col("ranking"), F.col("gold")).cast("long").alias("rank"))
 
 

@@ -30,7 +30,7 @@ def qa_source(spark: SparkSession, d: str) -> DataFrame:
     back = files.choose_split(spark.read.schema("pos long, id string, question string, q_entity array<string>, a_entity array<string>, answer array<string>, graph array<array<string>>, split string").json(path))
     edges, _, members = files.qa_source(back)
     n = members.groupBy("edge_id").agg(F.count("*").alias("n_queries"))
-    return edges.join(n, "edge_id").select("s", "r", "o", F.col("pos.doc_pos").alias("first_id"), "n_queries")
+    return edges.join(n.hint("merge"), "edge_id").select("s", "r", "o", F.col("pos.doc_pos").alias("first_id"), "n_queries")
 
 
 @query(f"WITH {EVENTS} SELECT split_part(s, ':', 2)::BIGINT AS head, length(r)::BIGINT AS rel, split_part(o, ':', 2)::BIGINT AS tail, ts FROM ek")
@@ -86,7 +86,7 @@ def access_source(spark: SparkSession, d: str) -> DataFrame:
     schedule = files.schedule_source(spark.read.schema("contexts array<string>").json(f"{path}/schedule"))
     requests = spark.read.schema("qid long, user string, resource string, timestamp string").json(f"{path}/requests").withColumn("t", files.safe_int(F.col("timestamp")).cast("long"))
     n = schedule.agg(F.max("t").alias("n_contexts"))
-    return requests.join(schedule, "t").crossJoin(F.broadcast(n)).select("qid", "user", "resource", "t", "context", "n_contexts")
+    return requests.join(schedule.hint("merge"), "t").crossJoin(F.broadcast(n)).select("qid", "user", "resource", "t", "context", "n_contexts")
 
 
 @query(f"WITH {PRED}, k AS (SELECT qid, gold, row_number() OVER (PARTITION BY gold ORDER BY qid) AS k FROM pred) SELECT qid, gold, row_number() OVER (ORDER BY k * 2 - gold) AS place FROM k")
