@@ -99,8 +99,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     was = state(edges)
     while was[0]:
-        middle = stored(star(edges, was[0], large=True))
-        edges = stored(star(middle, middle.count(), large=False))
+        middle = stored(star(edges, was[0], large=True))  # has no more links than before
+        edges = stored(star(middle, was[0], large=False))
         now = state(edges)
         if now == was:
             break
