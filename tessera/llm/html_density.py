@@ -31,8 +31,10 @@ from pyspark.sql.types import StringType
 
 #: HTML element names, and names that pages give to parts outside of the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg object audio video canvas xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside button select dialog menu fieldset label".split())
+RAW = frozenset("script style template iframe textarea title svg audio video canvas xmp noembed noframes".split())
+DROPPED = frozenset("head nav footer aside button select dialog menu".split())
+#: Dropped outside of an article, and in a form.
+OF_FORMS = frozenset("fieldset label noscript object".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "thead", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 BOUNDS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"]), "option": frozenset(["select"])}
@@ -41,9 +43,17 @@ NAMED = re.compile(
 )
 #: Elements whose id names a part of the text, as "discussion" or "legal" may.
 TITLED = frozenset("section h1 h2 h3 h4 h5 h6 p a span li dt dd figure table".split())
+#: Names of notices, adverts, comments and menus that count in an article too; others count there for parts that are links
+#: for the most part.
+PLAIN = re.compile(r"(?:ads?|adv|adverts?|advertisements?|advertising|adsense|adslot|adbox|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?s?|nav|navbar|navigation|menu|submenu|topmenu|breadcrumbs?|side-?bar|footer|cookies?|consent|gdpr|(?:cookies?|consent|gdpr)-(?:notice|banner|bar|popup|message|consent)|notices?|notification|popup|comments?|comment-?list|disqus|share|sharing|social|newsletter|subscribe|subscription|signup|sign-?up|login|pager|pagination|skip-?link)")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 
-TAG = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)", re.S)
+TAG = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: What is left of a tag: up to the first > outside of quotes.
+REST_OF_TAG = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+UNCLOSED = re.compile(r"<!--|<!\[CDATA\[")
+#: Tags with an unclosed quote after which quotes in tags are no longer paired: each such tag reads the rest of the page.
+ODD_QUOTES = 8
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -54,45 +64,56 @@ OUTSIDE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "links", "density", "total", "kept", "kept_total")
+    __slots__ = ("tag", "parent", "children", "dropped", "doubtful", "chars", "tags", "link_chars", "links", "density", "total", "kept", "kept_total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubtful: bool = False):
+        self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, doubtful
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = self.kept = 0
         self.density = self.total = self.kept_total = 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+def unwanted(tag: str, attributes: str, in_article: bool, in_form: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of the text, and whether that holds only if it is links for the most part."""
+    if tag in DROPPED or (tag == "header" and not in_article) or (tag in OF_FORMS and (in_form or not in_article)):
+        return True, False
     if len(attributes) < 5 or tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
+    doubtful = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if name == "role" and value.lower() in ROLES:
-            return True
-        if (name == "class" or (name == "id" and not in_article and tag not in TITLED)) and any(NAMED.fullmatch(x) for x in CAMEL.sub("-", value).lower().replace("_", "-").split()):
-            return True
-    return False
+            return True, False
+        if name == "class" or (name == "id" and not in_article and tag not in TITLED):
+            names = [x for x in CAMEL.sub("-", value).lower().replace("_", "-").split() if NAMED.fullmatch(x)]
+            if names and (not in_article or (tag not in TITLED and any(map(PLAIN.fullmatch, names)))):
+                return True, False
+            doubtful = doubtful or bool(names)
+    return doubtful, doubtful
 
 
 def parse(page: str) -> Node:
     root = top = Node("body", None, False)
     open_tags: dict[str, int] = {}
-    at = 0
+    at = odd = 0
+    last = page.rfind(">") + 1  # no tag ends after that
     while at < len(page):
-        m = TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        m = TAG.search(page, at, last)
+        text = page[at : m.start()] if m else UNCLOSED.split(page[at:], maxsplit=1)[0]
         if text:
             top.children.append(text)
         if not m:
             break
         at = m.end()
         if not m[2]:
+            if at == last and UNCLOSED.match(m[0]) and not m[0].endswith(("-->", "]]>")):
+                break
             continue
+        close = REST_OF_TAG.match(page, at, last) if odd < ODD_QUOTES else None
+        odd += not close
+        attributes, at = page[at : (end := close.end() if close else page.find(">", at) + 1)], end
         tag = m[2].lower()
         if m[1]:
             if open_tags.get(tag):
@@ -105,8 +126,8 @@ def parse(page: str) -> Node:
                 top.children.append(Node("p", top, False))
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not m[3].endswith("/>") else None
-            at = end.end() if end else at if m[3].endswith("/>") else len(page)
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at) if not attributes.endswith("/>") else None
+            at = end.end() if end else at if attributes.endswith("/>") else len(page)
             continue
         for name, closers in CLOSED_BY.items():
             if tag in closers and open_tags.get(name):
@@ -121,9 +142,9 @@ def parse(page: str) -> Node:
                             break
         if tag in ("body", "html"):
             continue
-        node = Node(tag, top, unwanted(tag, m[3], bool(open_tags.get("article") or open_tags.get("main"))))
+        node = Node(tag, top, *unwanted(tag, attributes, bool(open_tags.get("article") or open_tags.get("main")), bool(open_tags.get("form"))))
         top.children.append(node)
-        if tag not in VOID and not (m[3].endswith("/>") and tag not in BLOCK):
+        if tag not in VOID and not (attributes.endswith("/>") and tag not in BLOCK):
             top = node
             open_tags[tag] = open_tags.get(tag, 0) + 1
     return root
@@ -162,6 +183,8 @@ def measure(order: list[Node]) -> None:
                 node.links += c.links + (c.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.doubtful and 2 * node.link_chars <= node.chars:
+            node.dropped = False
     body = order[0]
     share = body.link_chars / (body.chars or 1)
     for node in order:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ MAX_ATOMS = 24
 SAMPLE, SAMPLE_ZONES, ZONES, ZONE_CHARS, ZONE_ATOMS = 4000, 8, 1500, 120, 80
 MADE, MADE_NONE = 300, 700
 EPOCHS = 5
+#: Spans whose best kind and score a field remembers.
+KNOWN = 50_000
 #: Log-odds that an added entity needs.
 SURE = 2.0
 
@@ -50,7 +53,7 @@ DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
 #: An address whose @ is written as a word: in brackets, or with a dot that is a word too.
-SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]+)+|[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)* dot [A-Za-z0-9-]+", re.I)
+SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]++)+| at [A-Za-z0-9-]++(?:(?:\.| dot )[A-Za-z0-9-]++)* dot [A-Za-z0-9-]++)", re.I)
 SPELLED_HINT = re.compile(r"\bat ?[\])}]| dot ", re.I)
 WORD = re.compile(r"\S*")
 #: What may stand between two words of one zone.
@@ -174,6 +177,7 @@ def features(parts: list[str], i: int, j: int) -> list[str]:
 class Field:
     def __init__(self) -> None:
         self.w: dict[tuple[str, str], float] = defaultdict(float)
+        self.known: dict[tuple, tuple[str, float]] = {}
 
     def score(self, f: list[str], kind: str) -> float:
         return sum(self.w.get((kind, x), 0.0) for x in f)
@@ -223,8 +227,14 @@ class Field:
         n = len(parts)
         to: dict[int, list[tuple[int, str, float]]] = defaultdict(list)
         for i, j in segments(parts):
-            f = features(parts, i, j)
-            kind, s = max(((k, self.score(f, k)) for k in KINDS), key=lambda x: x[1])
+            # all that features look at; long runs hold the same spans over and over
+            seen = (*parts[i:j], i and parts[i - 1][-1], j < n and parts[j][0])
+            if seen not in self.known:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
+                f = features(parts, i, j)
+                self.known[seen] = max(((k, self.score(f, k)) for k in KINDS), key=lambda x: x[1])
+            kind, s = self.known[seen]
             if s > 0:
                 to[j].append((i, kind, s))
         if not to:
@@ -344,7 +354,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
             ends = [0, *np.cumsum([len(p) for p in parts]).tolist()]
             for i, j, kind, s in found:
                 x, y = a + ends[i], a + ends[j]
-                k = np.searchsorted(starts, y)
+                k = bisect_left(starts, y)
                 if s >= SURE and not any(p < y and x < q for p, q in taken[max(0, k - 4) : k]):
                     out.append((kind, x, y))
     return out
