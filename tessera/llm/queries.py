@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ctw, embedding_dedup, html_density, mixing, packing, pii, quality_cnn, simhash_dedup, url_filter, winnowing
+from . import collocations, ctw, embedding_dedup, html_density, mixing, packing, pii, quality_cnn, simhash_dedup, url_filter, vector_packing, whitening, winnowing
 from .shared import table
 
 
@@ -66,13 +66,25 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.vector_bins(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dedup, op2_document_fingerprints, op3_lm_scoring, op4_url_filter, op5_best_fit_packing, op6_pii, op7_html_extraction, op8_quality_classifier, op9_source_mixing, op10_simhash_near_dedup, pipeline)
+    for f in (op1_embedding_near_dedup, op2_document_fingerprints, op3_lm_scoring, op4_url_filter, op5_best_fit_packing, op6_pii, op7_html_extraction, op8_quality_classifier, op9_source_mixing, op10_simhash_near_dedup, op11_embedding_whitening, op12_phrase_collocations, op13_vector_bin_packing, pipeline)
 }
 
 #: Cosine and links for all pairs, the reachable set by recursion: the plain reading of op1's contract.
