@@ -130,12 +130,10 @@ lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambd
 totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM lists GROUP BY lang),
 runs AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM lists, (VALUES (1), (2), (3)) t(k)),
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 10),
+parted AS MATERIALIZED (SELECT lang, phrase, k AS words, j AS cut, f AS a, array_to_string(ws[1 : j], ' ') AS x, array_to_string(ws[j + 1 : k], ' ') AS y FROM f, (VALUES (1), (2)) t(j) WHERE j < k),
 cuts AS (
-  SELECT c.lang, c.phrase, c.k AS words, j AS cut, c.f AS a, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
-  FROM f c, (VALUES (1), (2)) t(j)
-  JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(c.ws[1 : j], ' ')
-  JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(c.ws[j + 1 : c.k], ' ')
-  WHERE j < c.k),
+  SELECT c.lang, c.phrase, words, cut, a, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parted c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y),
 least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(ws[1 : 2], ' ') AS phrase, f FROM f WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2 : 3], ' '), f FROM f WHERE k = 3) GROUP BY ALL),
 kept AS (SELECT c.* FROM least c LEFT JOIN longer o ON o.lang = c.lang AND o.phrase = c.phrase AND c.words = 2 WHERE o.f IS NULL OR 100 * o.f < 50 * c.a),
