@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from .shared import stored
 
-#: Rows of a side that may be sent to every task.
-BROADCAST_ROWS = 50_000
+#: Rows of the two sides of a tile, and numbers that one matrix of similarities may hold.
+QUERY_ROWS, CANDIDATE_ROWS, MATRIX = 4096, 16_384, 4_000_000
+#: Candidates of a cell, about, and the most cells there may be.
+CELL, CELLS = 4096, 64
+#: More than what rounding makes of an angle or a cosine.
+SLACK = 1e-6
+
+log = logging.getLogger(__name__)
 
 
 def encode_distinct(rows: DataFrame, column: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
@@ -27,45 +36,104 @@ def encode_distinct(rows: DataFrame, column: str, encode: Callable[[list[str]],
     return rows.join(encoded.hint("merge"), column, "left")
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    return df.select(F.lit(1)).limit(most + 1).count() <= most
+@dataclass(frozen=True)
+class Grid:
+    """Queries and candidates, stored, each with the ``_cell`` of its nearest pivot and a ``_row`` number. Of a query cell i
+    and a candidate cell j, no pair is more similar than ``most[i, j]``; the sides' cells have ``rows_q`` and ``rows_c`` rows."""
+
+    queries: DataFrame
+    candidates: DataFrame
+    column: str
+    most: np.ndarray
+    rows_q: np.ndarray
+    rows_c: np.ndarray
+
+    def tiles(self) -> np.ndarray:
+        """How many tiles the cells' pairs are cut into."""
+        return -(-self.rows_q[:, None] // QUERY_ROWS) * -(-self.rows_c[None, :] // CANDIDATE_ROWS)
+
+
+def grid(queries: DataFrame, candidates: DataFrame, column: str = "embedding") -> Grid:
+    """Vectors by their nearest pivot; what two cells may have in common follows from the angle between their pivots and
+    the largest angles within them. Pivots are up to ``CELLS`` candidates, so the tables of cells are bounded; null vectors
+    are left out, and vectors without length have a cell of their own."""
+    q, c = queries.where(F.col(column).isNotNull()), candidates.where(F.col(column).isNotNull())
+    many = min(CELLS, c.count() // CELL)
+    pivots = np.zeros((0, 0))
+    if many > 1:
+        some = c.select(column).orderBy(F.xxhash64(*c.columns)).limit(4 * many).toPandas()  # bounded
+        u = np.unique(rows_of_length_one(some[column]), axis=0)
+        u = u[u.any(axis=1)]
+        pivots = u[np.linspace(0, len(u) - 1, min(many, len(u))).astype(int)]
+    k = len(pivots)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                u = rows_of_length_one(f[column])
+                sims = u @ pivots.T if k > 1 else np.ones((len(u), 1))
+                best = sims.argmax(1)
+                angle = np.arccos(np.clip(sims[np.arange(len(u)), best], -1, 1))
+                zero = ~u.any(axis=1)
+                yield f.assign(_cell=np.where(zero, max(k, 1), best).astype(np.int32), _angle=np.where(zero, 0.0, angle))
+
+        out = rows.mapInPandas(place, f"{typed(rows, without='')}, _cell int, _angle double")
+        return stored(out.withColumn("_row", F.monotonically_increasing_id()))  # numbers stay as they are once written
+
+    q, c = placed(q), placed(c)
+    width = max(k, 1) + 1  # the last one is that of vectors without length
+    rows, radius = [np.zeros(width, np.int64) for _ in "qc"], [np.zeros(width) for _ in "qc"]
+    for side, t in enumerate((q, c)):
+        for cell, n, r in t.groupBy("_cell").agg(F.count("*"), F.max("_angle")).collect():  # at most one row a cell
+            rows[side][cell], radius[side][cell] = n, r
+    most = np.ones((width, width))
+    if k > 1:
+        between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+        most[:k, :k] = np.cos(np.clip(between - radius[0][:k, None] - radius[1][None, :k] - SLACK, 0, np.pi))
+    most[-1, :] = most[:, -1] = 0.0
+    return Grid(q, c, column, most, *rows)
+
+
+def compare(g: Grid, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, pairs: np.ndarray | None = None) -> DataFrame:
+    """``work(some queries, some candidates, their similarities)`` for the pairs of cells in ``pairs`` (all of them by default).
+
+    Cells are cut into parts by row number, and each pair of parts is a tile that one task compares: rows are copied to
+    their tiles, no more often than the other side has parts. Similarities are cosines rounded to 9 places, one row for a
+    query; a vector without length has cosine 0. What ``work`` returns is all that leaves a tile.
+    """
+    pairs = np.ones(g.most.shape, bool) if pairs is None else pairs
+    pairs = pairs & (g.rows_q[:, None] > 0) & (g.rows_c[None, :] > 0)
+    tiles = g.tiles()
+    log.info("%d of %d tiles compared", tiles[pairs].sum(), tiles.sum())
+    table = [(int(i), int(j), int(-(-g.rows_q[i] // QUERY_ROWS)), int(-(-g.rows_c[j] // CANDIDATE_ROWS))) for i, j in zip(*np.nonzero(pairs), strict=True)]
 
+    def plan() -> DataFrame:
+        return F.broadcast(g.queries.sparkSession.createDataFrame(table, "_i int, _j int, _parts int, _across int"))  # at most (CELLS + 1)^2 rows
 
-#: Numbers that one matrix of similarities may hold.
-MATRIX = 4_000_000
+    tile = ["_i", "_j", "_part", "_other"]
+    q = g.queries.join(plan(), F.col("_cell") == F.col("_i")).withColumn("_part", F.pmod("_row", "_parts").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_across") - 1)))
+    c = g.candidates.join(plan(), F.col("_cell") == F.col("_j")).withColumn("_other", F.pmod("_row", "_across").cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = ["_cell", "_angle", "_row", "_parts", "_across", *tile]
+    column, names = g.column, [x.split()[0].strip("`") for x in schema.split(", ")]
 
+    def one_tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        a, w = rows_of_length_one(left[column]), rows_of_length_one(right[column])
+        left, right = left.drop(columns=[column, *own]), right.drop(columns=[column, *own])
+        step = max(1, MATRIX // len(right))
+        return pd.concat([work(left.iloc[k : k + step].reset_index(drop=True), right, np.round(a[k : k + step] @ w.T, 9)) for k in range(0, len(left), step)], ignore_index=True)
 
-def by_blocks(queries: DataFrame, candidates: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, column: str = "embedding") -> DataFrame:
-    """``work(some queries, some candidates, their similarities)`` for all of both, in matrices of bounded size.
+    return q.groupBy(*tile).cogroup(c.groupBy(*tile)).applyInPandas(one_tile, schema)
 
-    Queries go to all tasks in blocks of ``BROADCAST_ROWS`` and candidates stay where they are. Similarities are cosines
-    rounded to 9 places, one row for a query; a vector without length has cosine 0, and null vectors are left out. What
-    ``work`` returns is all that leaves a task: similarities themselves are never rows.
-    """
-    q = queries.where(F.col(column).isNotNull())
-    n = q.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
-    if blocks > 1:
-        q = q.withColumn("_block", F.pmod(F.xxhash64(*[c for c in queries.columns if c != column]), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        part = (q.where(F.col("_block") == b).drop("_block") if blocks > 1 else q).toPandas()  # a bounded block
-        shared = queries.sparkSession.sparkContext.broadcast(part)
-
-        def compare(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            left = shared.value
-            if left.empty:
-                return
-            a, left = rows_of_length_one(left[column]), left.drop(columns=column)
-            for f in frames:
-                w, f = rows_of_length_one(f[column]), f.drop(columns=column)
-                step = max(1, MATRIX // len(f))
-                for k in range(0, len(left), step):
-                    yield work(left.iloc[k : k + step].reset_index(drop=True), f, np.round(a[k : k + step] @ w.T, 9))
 
-        found = candidates.where(F.col(column).isNotNull()).mapInPandas(compare, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+def reaching(g: Grid, least: DataFrame) -> np.ndarray:
+    """The pairs of cells in which a similarity may be as large as the smallest of ``least(_cell, least)`` of the query's cell;
+    a null stands for any similarity."""
+    bound = np.full(len(g.rows_q), -np.inf)
+    for cell, n, low in least.groupBy("_cell").agg(F.count_if(F.col("least").isNull()), F.min("least")).collect():  # at most one row a cell
+        bound[cell] = -np.inf if n or low is None else low
+    return g.most >= bound[:, None] - SLACK
 
 
 def typed(*frames: DataFrame, without: str = "embedding") -> str:
@@ -109,8 +177,29 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, qid: str = "qid",
         rest = left.drop(columns=used or []).iloc[i].reset_index(drop=True)
         return pd.concat([rest, some.iloc[j].reset_index(drop=True)], axis=1).assign(sim=sims[i, j])
 
-    found = by_blocks(queries, candidates, work, f"{typed(queries.drop(used) if used else queries, candidates)}, sim double")
-    return top_k(found, [qid], F.col("sim"), [cand], k)
+    g = grid(queries, candidates)
+    schema = f"{typed(queries.drop(used) if used else queries, candidates)}, sim double"
+    # the cells nearest to a query's own give k candidates; what they leave to beat rules most of the others out
+    order = np.argsort(-g.most, axis=1, kind="stable")
+    before = np.cumsum(g.rows_c[order], axis=1) - g.rows_c[order]
+    first = np.zeros(g.most.shape, bool)
+    np.put_along_axis(first, order, before < k + but_self, axis=1)
+    if (first | (g.rows_c == 0)[None, :])[g.rows_q > 0].all():
+        return top_k(compare(g, work, schema), [qid], F.col("sim"), [cand], k)
+    found = stored(top_k(compare(g, work, schema, first), [qid], F.col("sim"), [cand], k).drop("rank"))
+    kth = found.groupBy(qid).agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
+    low = F.col("least") if over is None else F.coalesce(F.greatest(F.col("least"), F.lit(over)), F.lit(over))
+    rest = reaching(g, g.queries.select(qid, "_cell").join(kth.hint("merge"), qid, "left").select("_cell", low.alias("least"))) & ~first
+    return top_k(found.unionByName(compare(g, work, schema, rest)), [qid], F.col("sim"), [cand], k)
+
+
+def nearest_among(queries: DataFrame, candidates: DataFrame, pairs: DataFrame, k: int, qid: str = "qid", cand: str = "cand", over: float | None = None) -> DataFrame:
+    """``nearest``, but only among each query's own candidates, ``pairs(qid, cand)``: vectors meet along the pairs, and each
+    partition keeps its ``k`` best of a query before they are shuffled by query."""
+    own = pairs.select(qid, cand).distinct()
+    met = own.join(candidates.withColumnRenamed("embedding", "_w").hint("merge"), cand).join(queries.withColumnRenamed("embedding", "_v").hint("merge"), qid)
+    met = met.withColumn("sim", F.round(V.cosine(F.col("_v"), F.col("_w")), 9)).where(F.col("sim").isNotNull()).drop("_v", "_w")
+    return top_k(met if over is None else met.where(F.col("sim") > over), [qid], F.col("sim"), [cand], k)
 
 
 def similarity_stats(queries: DataFrame, candidates: DataFrame, qid: str = "qid", cand: str = "cand") -> DataFrame:
@@ -120,23 +209,29 @@ def similarity_stats(queries: DataFrame, candidates: DataFrame, qid: str = "qid"
         other = left[qid].to_numpy()[:, None] != some[cand].to_numpy()[None, :]
         return pd.DataFrame({qid: left[qid], "n": other.sum(1), "total": (sims * other).sum(1), "most": np.where(other, sims, -np.inf).max(1), "least": np.where(other, sims, np.inf).min(1)})[other.any(1)]
 
-    part = by_blocks(queries.select(qid, "embedding"), candidates.select(cand, "embedding"), work, f"{typed(queries.select(qid))}, n long, total double, most double, least double")
+    part = compare(grid(queries.select(qid, "embedding"), candidates.select(cand, "embedding")), work, f"{typed(queries.select(qid))}, n long, total double, most double, least double")
     return part.groupBy(qid).agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("most"), F.min("least").alias("least"))
 
 
-def with_gold_vector(queries: DataFrame, candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """``queries`` with ``gold`` and its vector, from ``gold(qid, gold)``; queries without a gold candidate are dropped."""
-    vectors = candidates.select(F.col("cand").alias("gold"), F.col("embedding").alias("gold_vector"))
-    return queries.join(gold.select("qid", "gold").hint("merge"), "qid").join(vectors.hint("merge"), "gold")
+def with_own(queries: DataFrame, candidates: DataFrame, gold: DataFrame, qid: str = "qid", cand: str = "cand") -> DataFrame:
+    """``queries`` with ``gold`` and its similarity ``own``, from ``gold(qid, cand)``; queries without a gold candidate are dropped."""
+    vectors = candidates.select(F.col(cand).alias("gold"), F.col("embedding").alias("_gold"))
+    q = queries.join(gold.select(qid, F.col(cand).alias("gold")).hint("merge"), qid).join(vectors.hint("merge"), "gold")
+
+    def similarity(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(own=np.round((rows_of_length_one(f["embedding"]) * rows_of_length_one(f["_gold"])).sum(1), 9)).drop(columns="_gold")
+
+    return q.where("embedding is not null and _gold is not null").mapInPandas(similarity, f"{typed(q.drop('_gold'), without='')}, own double")
 
 
 def gold_ranks(queries: DataFrame, candidates: DataFrame, gold: DataFrame, but_self: bool = False, ties: bool = False) -> DataFrame:
     """``(qid, rank)``: 1 and the number of ``candidates(cand, embedding)`` that are more similar than the gold one - with
-    ``ties`` also of those that are as similar and have a smaller id. Counted inside of each block."""
+    ``ties`` also of those that are as similar and have a smaller id. Counted inside of each tile; tiles that can hold none
+    are left out."""
 
     def work(left: pd.DataFrame, some: pd.DataFrame, sims: np.ndarray) -> pd.DataFrame:
-        own = np.round((rows_of_length_one(left["embedding_"]) * rows_of_length_one(left["gold_vector"])).sum(1), 9)[:, None]
-        ids = some["cand"].to_numpy()[None, :]
+        own, ids = left["own"].to_numpy()[:, None], some["cand"].to_numpy()[None, :]
         before = sims > own
         if ties:
             before |= (sims == own) & (ids < left["gold"].to_numpy()[:, None])
@@ -145,10 +240,11 @@ def gold_ranks(queries: DataFrame, candidates: DataFrame, gold: DataFrame, but_s
             before &= ids != left["qid"].to_numpy()[:, None]
         return pd.DataFrame({"qid": left["qid"], "n": before.sum(1)})
 
-    q = with_gold_vector(queries.select("qid", "embedding"), candidates, gold).withColumn("embedding_", F.col("embedding"))
-    q = stored(q)
-    part = by_blocks(q, candidates.select("cand", "embedding"), work, f"{typed(queries.select('qid'))}, n long")
-    return part.groupBy("qid").agg((1 + F.sum("n")).alias("rank"))
+    q = with_own(queries.select("qid", "embedding"), candidates, gold.select("qid", F.col("gold").alias("cand")))
+    g = grid(q, candidates.select("cand", "embedding"))
+    part = compare(g, work, f"{typed(queries.select('qid'))}, n long", reaching(g, g.queries.select("_cell", F.col("own").alias("least"))))
+    n = part.groupBy("qid").agg(F.sum("n").alias("n"))
+    return g.queries.select("qid").distinct().join(n.hint("merge"), "qid", "left").select("qid", (1 + F.coalesce("n", F.lit(0))).alias("rank"))
 
 
 def rows_of_length_one(vectors: pd.Series) -> np.ndarray:

@@ -1,9 +1,12 @@
 """Global numbering, intervals, grants, blocks of similarities and the question-answering operator against plain versions."""
 
+import logging
 import random
+import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import constraints as C
@@ -70,12 +73,14 @@ def test_largest_of_each_row():
         assert set(j[i == row]) == set(want)
 
 
-def test_nearest_in_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("cell", [1000, 10])
+def test_nearest_in_several_tiles(spark, monkeypatch, cell):
     rng = np.random.default_rng(5)
     v = np.round(rng.normal(size=(40, 6)), 1)
     c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cand long, embedding array<double>")
     q = c.where("cand < 13").withColumnRenamed("cand", "qid")
-    monkeypatch.setattr(search, "BROADCAST_ROWS", 5)
+    for name, size in (("QUERY_ROWS", 5), ("CANDIDATE_ROWS", 7), ("CELL", cell)):
+        monkeypatch.setattr(search, name, size)
     got = sorted((r["qid"], r["rank"], r["cand"]) for r in search.nearest(q, c, 3, but_self=True).collect())
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     sims = np.round(u @ u.T, 9)
@@ -86,6 +91,35 @@ def test_nearest_in_several_blocks(spark, monkeypatch):
     assert ranks == {i: 1 + sum(sims[i, j] > sims[i, i + 20] for j in range(40) if j != i) for i in range(13)}
 
 
+def test_tiles_that_cannot_reach_the_threshold_are_left_out(spark, monkeypatch, caplog):
+    """Vectors around few directions, one of them zero: exact results, and most tiles are never compared."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 12))
+    v = np.concatenate([c + 0.05 * rng.normal(size=(40, 12)) for c in centres] + [np.zeros((1, 12))])
+    for name, size in (("QUERY_ROWS", 20), ("CANDIDATE_ROWS", 20), ("CELL", 30)):
+        monkeypatch.setattr(search, name, size)
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cand long, embedding array<double>")
+    q = c.where("cand % 3 = 0 or cand = 320").withColumnRenamed("cand", "qid")
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+    sims = np.round(u @ u.T, 9)
+    with caplog.at_level(logging.INFO, logger="tessera.operators.search"):
+        got = {(r["qid"], r["rank"]): r["cand"] for r in search.nearest(q, c, 4, but_self=True).collect()}
+        gold = q.where("qid < 320").select("qid", ((F.col("qid") + 1) % 40 + F.floor(F.col("qid") / 40) * 40).alias("gold"))
+        ranks = {r["qid"]: r["rank"] for r in search.gold_ranks(q, c, gold, but_self=True).collect()}
+    for i in [*range(0, 321, 3), 320]:
+        want = sorted((j for j in range(321) if j != i), key=lambda j: (-sims[i, j], j))[:4]
+        assert [got[i, k] for k in range(1, 5)] == want
+        if i < 320:
+            assert ranks[i] == 1 + sum(sims[i, j] > sims[i, (i + 1) % 40 + i // 40 * 40] for j in range(321) if j != i)
+    counts = [tuple(map(int, re.findall(r"\d+", r.message))) for r in caplog.records]
+    assert counts and all(done < total / 2 for done, total in counts)
+    own = q.select("qid", F.explode(F.array(*[(F.col("qid") * 7 + k) % 321 for k in range(9)])).alias("cand"))
+    for r in search.nearest_among(q, c, own, 3, over=0.0).collect():
+        allowed = sorted((j for j in {(r["qid"] * 7 + k) % 321 for k in range(9)} if sims[r["qid"], j] > 0), key=lambda j: (-sims[r["qid"], j], j))
+        assert allowed[r["rank"] - 1] == r["cand"]
+
+
 def test_answers_yes_no_and_unknown(spark):
     kg = edges(spark, TOY)
     rows = [("a", "capital of France", ["Paris"], False, None, None), ("b", "in", ["Paris"], True, "Paris", "Europe"), ("c", "in", ["Paris"], True, "Paris", "Berlin"), ("d", "x", ["Nowhere"], False, None, None), ("e", "where", None, False, None, None)]
