@@ -33,6 +33,8 @@ SHARD, HELD = 2 << 20, 64 << 20
 #: Entries of a filter that a task merges before it hands them on, and of a block of merged filters, about.
 MERGED, BLOCK = 4_000_000, 1_000_000
 ROUNDS = 4
+#: Parts of a language that find their best phrases apart.
+SALTS = 64
 
 #: What a byte is: part of a word, a blank between words, or the end of a piece.
 KIND = np.zeros(256, np.uint8)
@@ -317,6 +319,7 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     cut = triples.select("*", score_of("f", "l1", "r1").alias("s1"), score_of("f", "l2", "r2").alias("s2"))
     early = F.col("s1") <= F.col("s2")
     threes = cut.select("lang", F.concat_ws(" ", "front", "w3").alias("phrase"), "f", F.when(early, F.col("l1")).otherwise(F.col("l2")).alias("l"), F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
-    best = twos.unionByName(threes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best, order = twos.unionByName(threes).withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))), (F.desc("score"), F.desc("f"), "phrase")
+    for keys in (["lang", "_salt"], ["lang"]):  # so that no task gets more than SALTS times ``top`` phrases of a language
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     return best.join(langs.hint("merge"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
