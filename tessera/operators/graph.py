@@ -6,16 +6,16 @@ plans stay short and what a query gathers is bounded by ``top_k`` for each hop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .search import nearest
+from .search import nearest, nearest_among
 from .search import top_k as best
-from .shared import small, stored
+from .shared import met_at_hubs, small, stored
 
 EDGE = ["edge_id", "s", "r", "o", "s_type", "o_type", "ts", "conf", "age", "trust"]
 
@@ -60,26 +60,73 @@ def exact_anchors(queries: DataFrame, edges: DataFrame, names: Sequence[str]) ->
     return named.join(entities(edges).hint("merge"), "node", "left_semi").select("qid", "node")
 
 
-def semantic_anchors(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
-    """``(qid, node, sim)``: the ``k`` entities of ``vectors(node, vector)`` nearest to ``queries(qid, vector)``, if similar at all."""
-    top = nearest(queries.select("qid", F.col("vector").alias("embedding")), vectors.select("node", F.col("vector").alias("embedding")), k, over=0.0)
+def semantic_anchors(queries: DataFrame, vectors: DataFrame, k: int = 8, own: DataFrame | None = None) -> DataFrame:
+    """``(qid, node, sim)``: the ``k`` entities of ``vectors(node, vector)`` nearest to ``queries(qid, vector)``, if similar
+    at all; with ``own(qid, node)`` those nearest among the nodes of the query's own graph."""
+    q, v = queries.select("qid", F.col("vector").alias("embedding")), vectors.select("node", F.col("vector").alias("embedding"))
+    top = nearest(q, v, k, over=0.0) if own is None else nearest_among(q, v, own, k, cand="node", over=0.0)
     return top.select("qid", "node", "sim")
 
 
+def own_nodes(edges: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``(qid, node)``: the nodes of each query's own graph, ``allowed(qid, edge_id)``."""
+    ends = edges.select("edge_id", F.explode(F.array("s", "o")).alias("node"))
+    return met_at_hubs(allowed.select("qid", "edge_id").distinct(), ends, "edge_id").select("qid", "node").distinct()
+
+
+def linked_anchors(queries: DataFrame, edges: DataFrame, names: Sequence[str], vectors: DataFrame, k: int = 8, own: DataFrame | None = None) -> DataFrame:
+    """``(qid, node)``: the entities that ``queries(qid, vector, ..)`` name and that their own graphs have.
+
+    A query none of whose names are known falls back to the ``k`` entities of the whole graph that are nearest to it, of
+    which those in its own graph count: here the mask comes after the top-k. A query that names nothing at all takes its
+    nearest entities from its own graph.
+    """
+    types = dict(queries.dtypes)
+    given = F.lit(0)
+    for c in names:
+        given = given + (F.coalesce(F.size(F.array_compact(c)), F.lit(0)) if types[c].startswith("array") else F.col(c).isNotNull().cast("int"))
+    named = exact_anchors(queries, edges, names)
+    if own is not None:
+        named = named.join(own.hint("merge"), ["qid", "node"], "left_semi")
+    named = stored(named)
+    lost = stored(queries.join(named.select("qid").distinct().hint("merge"), "qid", "left_anti").select("qid", "vector", (given > 0).alias("named")))
+    nearby = semantic_anchors(lost.where("named"), vectors, k).select("qid", "node")
+    if own is not None:
+        nearby = nearby.join(own.hint("merge"), ["qid", "node"], "left_semi")
+    return named.unionByName(nearby).unionByName(semantic_anchors(lost.where("not named"), vectors, k, own).select("qid", "node"))
+
+
 def adjacent(frontier: DataFrame, edges: DataFrame, bidirectional: bool = True, per_node: bool = False) -> DataFrame:
-    """Edges at the frontier's nodes, once for each query; with ``per_node`` once for each of its nodes, ``at``.
+    """Edges at the frontier's nodes, once for each query; with ``per_node`` once for each of its nodes, ``at``. Edges with
+    a ``qid`` are those of a query's own graph.
 
     An edge between two nodes of a query's frontier counts as its subject's, so nothing has to be made distinct.
     """
+    own = ["qid"] if "qid" in edges.columns else []
     f = small(stored(frontier.select("qid", "node").distinct()))
-    out = edges.join(f.withColumnRenamed("node", "s"), "s").withColumn("at", F.col("s"))
+    out = edges.join(f.withColumnRenamed("node", "s"), [*own, "s"]).withColumn("at", F.col("s"))
     if bidirectional:
-        back = edges.join(f.withColumnRenamed("node", "o"), "o").withColumn("at", F.col("o"))
+        back = edges.join(f.withColumnRenamed("node", "o"), [*own, "o"]).withColumn("at", F.col("o"))
         back = back.where("s <> o") if per_node else back.join(f.withColumnRenamed("node", "s"), ["qid", "s"], "left_anti")
         out = out.unionByName(back)
     return out if per_node else out.drop("at")
 
 
+def shared_lists(places: DataFrame, edges: DataFrame, features: DataFrame, most: int, bidirectional: bool, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The ``most`` best edges at each of ``places(asked, node)``, with ``at`` and ``score``.
+
+    A score depends on the question's text and the edge alone, so an edge is scored once for all queries that ask the same
+    of a node: rows are texts times edges, and what is handed on is texts times nodes times ``most``. Features are made
+    for edges at the frontier only, and hubs are met where their edges are.
+    """
+    nodes = stored(places.groupBy("node").agg(F.collect_set("asked").alias("asked")))
+    c = met_at_hubs(edges.withColumn("node", F.col("s")), nodes, "node")
+    if bidirectional:
+        c = c.unionByName(met_at_hubs(edges.where("s <> o").withColumn("node", F.col("o")), nodes, "node"))
+    c = with_features(c).withColumn("asked", F.explode("asked")).withColumnRenamed("node", "at")
+    return best(score(c.join(small(features), "asked")), ["asked", "at"], F.col("score"), ["edge_id"], most).drop("rank")
+
+
 def edge_score(semantic: Column, provenance: Column, schema: Column, overlap: Column, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4) -> Column:
     """Weighted sum of similarity (not below 0), provenance and schema fit, and the biased overlap of question and relation."""
     total = sum(gammas)
@@ -96,43 +143,67 @@ def question_features(queries: DataFrame) -> DataFrame:
     return queries.select("qid", T.content_tokens(F.col("question")).alias("q_tokens"), T.hash_vector(F.col("question"), DIM).alias("q_vec")).dropDuplicates(["qid"])
 
 
-def edge_features(edges: DataFrame) -> DataFrame:
-    """``edges`` with what a score needs of an edge alone: vector, relation tokens and provenance, made once and stored."""
+def with_features(edges: DataFrame) -> DataFrame:
+    """``edges`` with what a score needs of an edge alone: vector, relation tokens and provenance."""
     if set(FEATURES) <= set(edges.columns):
         return edges
     vec = T.hash_vector(T.linearised(F.col("s"), F.col("r"), F.col("o")), DIM)
-    prov = V.provenance_score(F.col("conf"), F.col("trust"), F.col("age"))
-    return stored(edges.select(*EDGE, vec.alias("vec"), T.relation_tokens(F.col("r")).alias("r_tokens"), prov.alias("prov")))
+    return edges.withColumns({"vec": vec, "r_tokens": T.relation_tokens(F.col("r")), "prov": V.provenance_score(F.col("conf"), F.col("trust"), F.col("age"))})
 
 
-def scored(candidates: DataFrame, features: DataFrame, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> DataFrame:
-    """Candidate edges (of ``edge_features``) with ``score``, rounded to 9 places so that ties are ties.
+def edge_features(edges: DataFrame) -> DataFrame:
+    """``with_features``, made once and stored: for those who read the edges of a whole graph many times."""
+    return edges if set(FEATURES) <= set(edges.columns) else stored(with_features(edges.select(*EDGE)))
+
+
+def with_score(c: DataFrame, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> DataFrame:
+    """Edges with features of edge and question, and ``score``, rounded to 9 places so that ties are ties.
 
     ``schema`` is an edge's fit to the schema, an expression of its columns; without it every edge fits.
     """
-    c = candidates.join(small(features), "qid")
     score = edge_score(V.dot_of(F.col("q_vec"), F.col("vec"), DIM), F.col("prov"), schema if schema is not None else F.lit(1.0), T.overlap(F.col("q_tokens"), F.col("r_tokens")), gammas, relation_bias)
     return c.withColumn("score", F.round(score, 9)).drop("q_tokens", "q_vec")
 
 
+def scored(candidates: DataFrame, features: DataFrame, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> DataFrame:
+    """Candidate edges (of ``with_features``), each of a query, ``with_score``."""
+    return with_score(candidates.join(small(features), "qid"), gammas, relation_bias, schema)
+
+
 def retrieve(queries: DataFrame, anchors: DataFrame, edges: DataFrame, hops: int = 2, top_k: int = 32, least: float = 0.05, bidirectional: bool = True, per_node: bool = False, allowed: DataFrame | None = None, dedup_edges: bool = True, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, found)``: the subgraph around ``anchors(qid, node)`` within ``hops`` steps.
 
     Each hop scores the edges at the frontier, keeps the ``top_k`` best of each query (of each frontier node with
     ``per_node``) that score ``least`` or more, and goes on from their new endpoints. ``allowed(qid, edge_id)`` restricts
     a query to its own edges, ``schema`` rates how well an edge fits. Without ``dedup_edges`` an edge may be kept, and
-    take a place, in two hops. Candidates are scored where the edges are, and only a hop's best rows are shuffled.
+    take a place, in two hops.
+
+    Queries that ask the same share the best edges of a node: no query can take more than ``top_k`` of them besides those
+    that it has, so lists of that length are enough. Own graphs are joined with their edges once, and walked by query.
     """
-    edges, features = edge_features(edges), stored(question_features(queries))
+
+    def score(c: DataFrame) -> DataFrame:
+        return with_score(c, gammas, relation_bias, schema)
+
+    asked = stored(queries.select("qid", F.coalesce("question", F.lit("")).alias("asked")).dropDuplicates(["qid"]))
+    features = stored(asked.select("asked").distinct().select("asked", T.content_tokens(F.col("asked")).alias("q_tokens"), T.hash_vector(F.col("asked"), DIM).alias("q_vec")))
+    own = None
+    if allowed is not None:
+        own = stored(with_features(met_at_hubs(allowed.select("qid", "edge_id").distinct(), edges.select(*[c for c in edges.columns if c in (*EDGE, *FEATURES)]), "edge_id")))
     nodes = stored(anchors.select("qid", "node", F.lit(0).alias("hop")).distinct())
     frontier, found = nodes, None
     for hop in range(1, hops + 1):
-        c = adjacent(frontier, edges, bidirectional, per_node)
-        if allowed is not None:
-            c = c.join(small(stored(allowed.select("qid", "edge_id").distinct())), ["qid", "edge_id"], "left_semi")
+        if own is not None:
+            c = adjacent(frontier, own, bidirectional, per_node)
+            c = score(c.join(small(asked), "qid").join(small(features), "asked"))
+        else:
+            at = stored(frontier.select("qid", "node").join(small(asked), "qid"))
+            lists = stored(shared_lists(at.select("asked", "node").distinct(), edges, features, top_k * hop if dedup_edges else top_k, bidirectional, score).drop(*FEATURES))
+            c = met_at_hubs(at.withColumnRenamed("node", "at"), lists, "asked", "at")
+            if not per_node:
+                c = c.repartition("qid").dropDuplicates(["qid", "edge_id"])
         if found is not None and dedup_edges:
             c = c.join(small(found.select("qid", "edge_id")), ["qid", "edge_id"], "left_anti")
-        c = scored(c, features, gammas, relation_bias, schema).drop(*FEATURES)
         # the least score is asked of the best rows only: as a filter before, it would be computed twice, inside of the join
         kept = best(c, ["qid", "at"] if per_node else ["qid"], F.col("score"), ["edge_id"], top_k).where(F.col("score") >= least)
         kept = kept.select("qid", *EDGE, "score", "rank", F.lit(hop).alias("hop"))

@@ -48,7 +48,7 @@ def anchor_similarities(features: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def evidence(queries: DataFrame, edges: DataFrame, names: Sequence[str], s: Settings) -> Evidence:
     """What the graph has on each query: anchors, edges, and scored paths with ``violates``."""
-    edges = graph.edge_features(edges)
+    edges = stored(edges)  # every hop reads them
     anchors = stored(graph.exact_anchors(queries, edges, names))
     features = graph.question_features(queries)
     nodes, found = graph.retrieve(queries, anchors, edges, hops=s.hops, top_k=s.top_k, schema=s.schema)

@@ -9,6 +9,8 @@ from ..sources.files import scratch
 
 #: Rows of a side that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Keys that may be hubs.
+HUBS = 2_000
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -23,6 +25,21 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.select(F.lit(1)).limit(most + 1).count() <= most else df.hint("merge")
 
 
+def met_at_hubs(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` joined with ``others`` on ``keys``, of which ``others`` has few rows each and ``rows`` may have any number.
+
+    A side ``others`` of counted size is broadcast. A larger one is shuffled, but for what belongs to the hubs: fewer than
+    ``HUBS`` keys can have more than one in ``HUBS`` of all ``rows``, and those are joined where they are.
+    """
+    if others.select(F.lit(1)).limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(others), list(keys))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hubs = stored(sizes.where(F.col("_n") > max(256, rows.count() // HUBS)).select(*keys))
+    of_hubs = others.join(F.broadcast(hubs), list(keys), "left_semi")
+    rest = others.join(F.broadcast(hubs), list(keys), "left_anti")
+    return rows.join(F.broadcast(of_hubs), list(keys)).unionByName(rows.join(F.broadcast(hubs), list(keys), "left_anti").join(rest.hint("merge"), list(keys)))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

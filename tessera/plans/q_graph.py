@@ -101,7 +101,7 @@ listing AS MATERIALIZED (SELECT qid, list(node ORDER BY k) AS ranking FROM (SELE
 
 def retrieved(spark: SparkSession, d: str, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Questions, anchors, nodes and edges found."""
-    kg, q = graph.edge_features(star_kg(spark, d)), star_queries(spark, d)  # every hop reads the edges
+    kg, q = stored(star_kg(spark, d)), star_queries(spark, d)  # every hop reads the edges
     a = stored(graph.exact_anchors(q, kg, ["anchor"]))
     nodes, found = graph.retrieve(q, a, kg, **options)
     return q, a, nodes, found
@@ -207,11 +207,66 @@ def semantic_anchors(spark: SparkSession, d: str) -> DataFrame:
     return graph.semantic_anchors(q, e.select("node", T.hash_vector(F.col("node"), 16).alias("vector"))).select("qid", "node", F.round("sim", 6).alias("sim"))
 
 
+#: A question's own graph: edges at its anchor, and those from the orders and suppliers there, of which a hash leaves some out.
+OWN = """
+g1 AS (SELECT qid, edge_id, s, o FROM questions JOIN star ON s = anchor UNION SELECT qid, edge_id, s, o FROM questions JOIN star ON o = anchor),
+ends AS (SELECT qid, s AS node FROM g1 UNION SELECT qid, o FROM g1),
+own AS MATERIALIZED (SELECT qid, edge_id FROM (SELECT qid, edge_id FROM g1 UNION SELECT e.qid, k.edge_id FROM ends e JOIN star k ON k.s = e.node WHERE e.node LIKE 'order:%' OR e.node LIKE 'supplier:%') WHERE substr(md5(qid || edge_id), 1, 1) < 'c'),
+own_edges AS MATERIALIZED (SELECT qid, star.* FROM own JOIN star USING (edge_id)),
+own_nodes AS MATERIALIZED (SELECT qid, s AS node FROM own_edges UNION SELECT qid, o FROM own_edges),
+named AS (SELECT qid, question, CASE WHEN n % 3 = 0 THEN anchor || '?' WHEN n % 3 = 1 THEN anchor END AS name FROM (SELECT *, split_part(anchor, ':', 2)::BIGINT // 50 AS n FROM questions)),
+nodes_of AS MATERIALIZED (SELECT node, w FROM (SELECT s AS node FROM star UNION SELECT o FROM star) x, (SELECT 1) y, LATERAL (SELECT {vector} AS w) z WHERE NOT node LIKE 'order:%'),
+known AS (SELECT n.qid, n.name AS node FROM named n JOIN own_nodes o ON o.qid = n.qid AND o.node = n.name),
+lost AS (SELECT n.*, qv FROM named n JOIN (SELECT qid, {asked} AS qv FROM questions) USING (qid) WHERE qid NOT IN (SELECT qid FROM known)),
+sims_all AS (SELECT qid, node, round({dot}, 9) AS sim FROM lost, nodes_of WHERE name IS NOT NULL),
+sims_own AS (SELECT l.qid, node, round({dot}, 9) AS sim FROM lost l JOIN own_nodes o ON o.qid = l.qid JOIN nodes_of USING (node) WHERE name IS NULL),
+linked AS MATERIALIZED (SELECT qid, node FROM known
+  UNION ALL SELECT qid, node FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, node) AS k FROM sims_all WHERE sim > 0) WHERE k <= 8 AND EXISTS (SELECT 1 FROM own_nodes o WHERE o.qid = sims_k.qid AND o.node = sims_k.node)
+  UNION ALL SELECT qid, node FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, node) AS k FROM sims_own WHERE sim > 0) WHERE k <= 8)
+""".replace("FROM sims_all WHERE sim > 0) WHERE", "FROM sims_all WHERE sim > 0) sims_k WHERE").replace("{vector}", sql_hash_vector("node")).replace("{asked}", sql_hash_vector("question")).replace("{dot}", sql_dot("qv", "w"))
+
+
+def own_graphs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The graph, questions (a third of them names what nobody knows, and a third nothing), their own graphs as
+    ``(qid, edge_id)`` and ``(qid, node)``, and the anchors found in there."""
+    kg, q = stored(star_kg(spark, d)), star_queries(spark, d)
+    near = graph.adjacent(q.select("qid", F.col("anchor").alias("node")), kg).select("qid", "edge_id", "s", "o")
+    ends = near.select("qid", F.explode(F.array("s", "o")).alias("node")).where("node like 'order:%' or node like 'supplier:%'")
+    allowed = near.select("qid", "edge_id").union(graph.adjacent(ends, kg, bidirectional=False).select("qid", "edge_id")).distinct()
+    allowed = stored(allowed.where(F.substring(F.md5(F.concat("qid", "edge_id")), 1, 1) < "c"))
+    own = stored(graph.own_nodes(kg, allowed))
+    n = F.floor(F.split_part("anchor", F.lit(":"), F.lit(2)).cast("long") / 50) % 3
+    q = q.select("qid", "question", F.when(n == 0, F.concat("anchor", F.lit("?"))).when(n == 1, F.col("anchor")).alias("name"), T.hash_vector(F.col("question"), graph.DIM).alias("vector"))
+    vectors = stored(graph.entities(kg).where("node not like 'order:%'").select("node", T.hash_vector(F.col("node"), graph.DIM).alias("vector")))
+    return kg, q, allowed, own, stored(graph.linked_anchors(q, kg, ["name"], vectors, 8, own))
+
+
+@query(f"WITH {STAR}, {STAR_QUERIES}, {OWN} SELECT qid, node FROM linked")
+def own_graph_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """D-2 under a mask: anchors in a question's own graph, by name, by similarity for those without a name, and for names
+    that can't be resolved by similarity over the whole graph before the mask."""
+    return own_graphs(spark, d)[-1]
+
+
+@query(f"""WITH {STAR}, {STAR_QUERIES}, {OWN}, qq AS MATERIALIZED (SELECT qid, {sql_tokens('question')} AS qt, {sql_hash_vector('question')} AS qv FROM questions),
+c1 AS (SELECT e.* FROM own_edges e JOIN linked l ON l.qid = e.qid AND l.node = e.s UNION SELECT e.* FROM own_edges e JOIN linked l ON l.qid = e.qid AND l.node = e.o),
+h1 AS MATERIALIZED ({sql_top(sql_scored('c1'), 1, 6)}),
+f1 AS (SELECT DISTINCT qid, node FROM (SELECT qid, s AS node FROM h1 UNION SELECT qid, o FROM h1) x WHERE NOT EXISTS (SELECT 1 FROM linked a WHERE a.qid = x.qid AND a.node = x.node)),
+c2 AS (SELECT * FROM (SELECT e.* FROM own_edges e JOIN f1 l ON l.qid = e.qid AND l.node = e.s UNION SELECT e.* FROM own_edges e JOIN f1 l ON l.qid = e.qid AND l.node = e.o) x WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.qid = x.qid AND h1.edge_id = x.edge_id)),
+h2 AS ({sql_top(sql_scored('c2'), 2, 6)})
+SELECT qid, edge_id, hop, rank, round(score, 6) AS score FROM h1 UNION ALL SELECT qid, edge_id, hop, rank, round(score, 6) FROM h2""")
+def own_graph_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """D-4: two hops, each question on its own graph, of the whole graph's edges."""
+    kg, q, allowed, _, anchors = own_graphs(spark, d)
+    _, found = graph.retrieve(q, anchors, kg, top_k=6, allowed=allowed)
+    return found.select("qid", "edge_id", "hop", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {RETRIEVED}, s AS ({sql_scored('c1')}) SELECT qid, edge_id, round(score, 6) AS score FROM s")
 def hop1_expand(spark: SparkSession, d: str) -> DataFrame:
     """D-3, E-1, E-2."""
-    kg, q = graph.edge_features(star_kg(spark, d)), star_queries(spark, d)
-    c = graph.adjacent(graph.exact_anchors(q, kg, ["anchor"]), kg)
+    kg, q = stored(star_kg(spark, d)), star_queries(spark, d)
+    c = graph.with_features(graph.adjacent(graph.exact_anchors(q, kg, ["anchor"]), kg))
     return graph.scored(c, stored(graph.question_features(q))).select("qid", "edge_id", F.round("score", 6).alias("score"))
 
 
