@@ -6,7 +6,7 @@ All metrics are aggregations (partial on the map side) over result rows; doubles
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,7 +248,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.round(F.col("after") - F.col("before"), 6))
 
 
-def ablation(base: DataFrame, variants: Mapping[str, Column], *by: str) -> DataFrame:
-    """One summary row for each variant: ``variants`` names a score column for each, averaged over ``base``."""
-    rows = base.select(*by, F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), score.cast("double").alias("value")) for name, score in variants.items()])).alias("v"))
-    return rows.groupBy("v.variant", *by).agg(F.round(F.avg("v.value"), 6).alias("value"), F.count("*").alias("n"))
+def ablation(answers: DataFrame, golds: DataFrame, *by: str) -> DataFrame:
+    """One summary row for each variant and group of ``answers(variant, qid, prediction)`` against ``golds(qid, golds, ..)``."""
+    rows = golds.select("qid", "golds", *by).join(answers.hint("merge"), "qid")
+    em = F.when(F.col("prediction").isNotNull(), F.coalesce(T.exact_match(F.col("prediction"), F.col("golds")), F.lit(0))).otherwise(0)
+    return rows.groupBy("variant", *by).agg(F.count("*").alias("n"), F.count_if(F.col("prediction").isNull()).alias("n_abstained"), r6(F.avg(em), "value"))

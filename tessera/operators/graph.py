@@ -112,22 +112,22 @@ def adjacent(frontier: DataFrame, edges: DataFrame, bidirectional: bool = True,
     return out if per_node else out.drop("at")
 
 
-def shared_lists(places: DataFrame, edges: DataFrame, features: DataFrame, most: int, bidirectional: bool, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The ``most`` best edges at each of ``places(asked, node)``, with ``at`` and ``score``.
+def shared_lists(places: DataFrame, edges: DataFrame, features: DataFrame, most: int, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The ``most`` best edges at each of ``places(asked, node, both_ways)``, with ``at`` and ``score``.
 
     A score depends on the question's text and the edge alone, so an edge is scored once for all queries that ask the same
     of a node: rows are texts times edges, and what is handed on is texts times nodes times ``most``. Features are made
     for edges at the frontier only, and hubs are met where their edges are.
     """
-    nodes = stored(places.groupBy("node").agg(F.collect_set("asked").alias("asked")))
-    c = met_at_hubs(edges.withColumn("node", F.col("s")), nodes, "node")
-    if bidirectional:
-        c = c.unionByName(met_at_hubs(edges.where("s <> o").withColumn("node", F.col("o")), nodes, "node"))
+    nodes = stored(places.groupBy("node").agg(F.collect_set("asked").alias("asked"), F.collect_set(F.when(F.col("both_ways"), F.col("asked"))).alias("back")))
+    c = met_at_hubs(edges.withColumn("node", F.col("s")), nodes.drop("back"), "node")
+    back = nodes.where(F.size("back") > 0).select("node", F.col("back").alias("asked"))
+    c = c.unionByName(met_at_hubs(edges.where("s <> o").withColumn("node", F.col("o")), back, "node"))
     c = with_features(c).withColumn("asked", F.explode("asked")).withColumnRenamed("node", "at")
     return best(score(c.join(small(features), "asked")), ["asked", "at"], F.col("score"), ["edge_id"], most).drop("rank")
 
 
-def edge_score(semantic: Column, provenance: Column, schema: Column, overlap: Column, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4) -> Column:
+def edge_score(semantic: Column, provenance: Column, schema: Column, overlap: Column, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float | Column = 0.4) -> Column:
     """Weighted sum of similarity (not below 0), provenance and schema fit, and the biased overlap of question and relation."""
     total = sum(gammas)
     g1, g2, g3 = (g / total for g in gammas)
@@ -156,7 +156,7 @@ def edge_features(edges: DataFrame) -> DataFrame:
     return edges if set(FEATURES) <= set(edges.columns) else stored(with_features(edges.select(*EDGE)))
 
 
-def with_score(c: DataFrame, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float = 0.4, schema: Column | None = None) -> DataFrame:
+def with_score(c: DataFrame, gammas: Sequence[float] = (0.4, 0.3, 0.3), relation_bias: float | Column = 0.4, schema: Column | None = None) -> DataFrame:
     """Edges with features of edge and question, and ``score``, rounded to 9 places so that ties are ties.
 
     ``schema`` is an edge's fit to the schema, an expression of its columns; without it every edge fits.
@@ -180,14 +180,21 @@ def retrieve(queries: DataFrame, anchors: DataFrame, edges: DataFrame, hops: int
 
     Queries that ask the same share the best edges of a node: no query can take more than ``top_k`` of them besides those
     that it has, so lists of that length are enough. Own graphs are joined with their edges once, and walked by query.
+    Queries may have their own ``relation_bias``, ``both_ways`` and number of ``hops`` (no more than that given here) in
+    columns of these names, so that many settings are one run.
     """
 
     def score(c: DataFrame) -> DataFrame:
-        return with_score(c, gammas, relation_bias, schema)
-
-    asked = stored(queries.select("qid", F.coalesce("question", F.lit("")).alias("asked")).dropDuplicates(["qid"]))
-    features = stored(asked.select("asked").distinct().select("asked", T.content_tokens(F.col("asked")).alias("q_tokens"), T.hash_vector(F.col("asked"), DIM).alias("q_vec")))
-    own = None
+        return with_score(c, gammas, F.col("relation_bias"), schema).drop("relation_bias")
+
+    settings = {c: F.col(c) if c in queries.columns else F.lit(v) for c, v in (("relation_bias", float(relation_bias)), ("both_ways", bidirectional), ("hops", hops))}
+    if allowed is not None and "both_ways" in queries.columns:
+        raise ValueError("a query's own direction is not asked of its own graph")
+    asked = queries.select("qid", F.coalesce("question", F.lit("")).alias("text"), *[x.alias(c) for c, x in settings.items()]).dropDuplicates(["qid"])
+    asked = stored(asked.withColumn("asked", F.concat_ws("\x1f", "text", "relation_bias", "both_ways")))
+    features = asked.select("asked", "text", "relation_bias").distinct()
+    features = stored(features.select("asked", "relation_bias", T.content_tokens(F.col("text")).alias("q_tokens"), T.hash_vector(F.col("text"), DIM).alias("q_vec")))
+    asked, own = asked.select("qid", "asked", "both_ways", F.col("hops").alias("most_hops")), None
     if allowed is not None:
         own = stored(with_features(met_at_hubs(allowed.select("qid", "edge_id").distinct(), edges.select(*[c for c in edges.columns if c in (*EDGE, *FEATURES)]), "edge_id")))
     nodes = stored(anchors.select("qid", "node", F.lit(0).alias("hop")).distinct())
@@ -195,11 +202,11 @@ def retrieve(queries: DataFrame, anchors: DataFrame, edges: DataFrame, hops: int
     for hop in range(1, hops + 1):
         if own is not None:
             c = adjacent(frontier, own, bidirectional, per_node)
-            c = score(c.join(small(asked), "qid").join(small(features), "asked"))
+            c = score(c.join(small(asked.where(F.col("most_hops") >= hop).select("qid", "asked")), "qid").join(small(features), "asked"))
         else:
-            at = stored(frontier.select("qid", "node").join(small(asked), "qid"))
-            lists = stored(shared_lists(at.select("asked", "node").distinct(), edges, features, top_k * hop if dedup_edges else top_k, bidirectional, score).drop(*FEATURES))
-            c = met_at_hubs(at.withColumnRenamed("node", "at"), lists, "asked", "at")
+            at = stored(frontier.select("qid", "node").join(small(asked.where(F.col("most_hops") >= hop)), "qid"))
+            lists = stored(shared_lists(at.select("asked", "node", "both_ways").distinct(), edges, features, top_k * hop if dedup_edges else top_k, score).drop(*FEATURES))
+            c = met_at_hubs(at.select("qid", "asked", F.col("node").alias("at")), lists, "asked", "at")
             if not per_node:
                 c = c.repartition("qid").dropDuplicates(["qid", "edge_id"])
         if found is not None and dedup_edges:

@@ -62,6 +62,69 @@ def evidence(queries: DataFrame, edges: DataFrame, names: Sequence[str], s: Sett
     return Evidence(queries, anchors, found, paths)
 
 
+@dataclass(frozen=True)
+class Variant:
+    """One row of an ablation: a full configuration, or one with a component taken away or put in another's place."""
+
+    name: str
+    hops: int = 2
+    relation_bias: float = 0.4
+    both_ways: bool = True
+    rescoring: bool = True
+    aggregation: str = "max"
+
+
+def ablate(queries: DataFrame, edges: DataFrame, names: Sequence[str], variants: Sequence[Variant], s: Settings) -> DataFrame:
+    """``(variant, qid, prediction)`` of all variants in one run.
+
+    Settings are small tables that queries are joined with. Variants that differ in hops alone share their retrieval, since
+    a hop doesn't depend on how many follow; those that differ in rescoring or aggregation share all evidence.
+    """
+    spark, edges = queries.sparkSession, stored(edges)
+    ways = sorted({(v.relation_bias, v.both_ways) for v in variants})
+    sets = sorted({(ways.index((v.relation_bias, v.both_ways)), v.hops) for v in variants})
+    most = max(v.hops for v in variants)
+    by_way = F.broadcast(spark.createDataFrame([(i, b, w, max(h for j, h in sets if j == i)) for i, (b, w) in enumerate(ways)], "way int, relation_bias double, both_ways boolean, hops int"))
+    by_set = F.broadcast(spark.createDataFrame([(k, i, h) for k, (i, h) in enumerate(sets)], "k int, way int, most int"))  # no more rows than variants
+    key, rest = (lambda c: F.concat(F.col(c).cast("string"), F.lit("|"), "qid")), F.expr("substring(qid, instr(qid, '|') + 1)")
+
+    q = queries.select("qid", "question", *names).dropDuplicates(["qid"])
+    anchors = stored(graph.exact_anchors(q, edges, names))
+    asked = q.select("qid", "question").crossJoin(by_way).withColumn("qid", key("way"))
+    nodes, found = graph.retrieve(asked, anchors.crossJoin(by_way.select("way")).select(key("way").alias("qid"), "node"), edges, hops=most, top_k=s.top_k, schema=s.schema)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows with a hop, for each set of evidence that has it."""
+        r = rows.withColumn("way", F.substring_index("qid", "|", 1).cast("int")).withColumn("qid", rest).join(by_set, "way").where(F.col("hop") <= F.col("most"))
+        return stored(r.withColumn("qid", key("k")).drop("way", "k", "most"))
+
+    nodes, found = dealt(nodes), dealt(found)
+    every = by_set.select("k")
+    anchors = stored(anchors.crossJoin(every).select(key("k").alias("qid"), "node"))
+    features = stored(graph.question_features(q.select("qid", "question").crossJoin(every).select(key("k").alias("qid"), "question")))
+    states, attention = graph.propagate(nodes, found, anchor_similarities(features, anchors), rounds=s.rounds)
+    length = F.element_at(F.create_map(*[F.lit(x) for k, (_, h) in enumerate(sets) for x in (k, h)]), F.substring_index("qid", "|", 1).cast("int"))
+    paths = graph.enumerate_paths(found, anchors, most, s.path_cap).where(F.size("steps") <= length)  # shorter paths come first in its cap
+    paths = graph.score_paths(paths, found, states, attention)
+    broken = F.lit(False)
+    for check in s.checks:
+        broken = broken | F.coalesce(check, F.lit(False))
+    paths = stored(paths.withColumn("violates", broken))
+
+    out = None
+    for rescoring in sorted({v.rescoring for v in variants}):
+        order = stored(A.ranked(A.convergence(A.rescore(paths, features, anchors), anchors) if rescoring else paths))
+        onward = A.fallback_answer(order, found).withColumnRenamed("answer", "onward")
+        for aggregation in sorted({v.aggregation for v in variants if v.rescoring == rescoring}):
+            best = A.voted_answer(order).select("qid", "answer") if aggregation == "sum" else A.best_answer(order)
+            some = [(v.name, sets.index((ways.index((v.relation_bias, v.both_ways)), v.hops))) for v in variants if (v.rescoring, v.aggregation) == (rescoring, aggregation)]
+            named = F.broadcast(spark.createDataFrame(some, "variant string, k int"))
+            given = onward.join(best.hint("merge"), "qid", "left").select(F.substring_index("qid", "|", 1).cast("int").alias("k"), rest.alias("qid"), F.coalesce("answer", "onward").alias("prediction"))
+            part = q.select("qid").crossJoin(named).join(given.hint("merge"), ["qid", "k"], "left").select("variant", "qid", "prediction")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def yes_or_no(order: DataFrame, queries: DataFrame) -> DataFrame:
     """``(qid, answer)`` of the queries with ``yes_no``: 1 if a valid path leads from their ``user`` to their ``target``, else 0."""
     asked = queries.where("yes_no").select("qid", "user", "target").dropDuplicates(["qid"])

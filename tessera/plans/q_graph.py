@@ -516,6 +516,81 @@ def hop_sweep(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.pivot(m, ["part", "customer"], "mrr", "hops")
 
 
+COMPONENTS = [qa.Variant("full"), qa.Variant("no_bidir", both_ways=False), qa.Variant("no_rel_bias", relation_bias=0.0), qa.Variant("no_answer_rescore", rescoring=False), qa.Variant("agg_sum", aggregation="sum")]
+HOPS = [qa.Variant(f"hop_k={k}", hops=k) for k in (1, 2, 3, 4)]
+
+
+def sql_ablated(variants: list[qa.Variant]) -> str:
+    """Every set of evidence by itself: retrieval, propagation, and paths of up to four steps whose logs are summed on the way."""
+    sets = sorted({(v.relation_bias, v.both_ways, v.hops) for v in variants})
+    hops = range(1, 5)
+    seen = lambda n: " ".join(f"AND NOT EXISTS (SELECT 1 FROM h{m} WHERE h{m}.qid = x.qid AND h{m}.edge_id = x.edge_id)" for m in range(1, n))
+    been = lambda n: " ".join(f"AND NOT EXISTS (SELECT 1 FROM f{m} y WHERE y.qid = x.qid AND y.node = x.node)" for m in range(n))
+    scored = lambda n: sql_scored(f"c{n}").replace("+ 0.4 * CASE", "+ bias * CASE").replace("c.*, qt, qv,", "c.*, qt, qv, bias,")
+    steps = ",".join(
+        f"""
+c{n} AS (SELECT * FROM (SELECT qid, kg.* FROM f{n - 1} JOIN qq USING (qid) JOIN kg ON kg.s = node WHERE h >= {n} UNION SELECT qid, kg.* FROM f{n - 1} JOIN qq USING (qid) JOIN kg ON kg.o = node WHERE h >= {n} AND both_ways) x WHERE TRUE {seen(n)}),
+h{n} AS MATERIALIZED ({sql_top(scored(n), n, 16)}),
+f{n} AS MATERIALIZED (SELECT DISTINCT qid, node FROM (SELECT qid, s AS node FROM h{n} UNION SELECT qid, o FROM h{n}) x WHERE TRUE {been(n)})"""
+        for n in hops
+    )
+    retrieved = f"""
+{STAR}, {STAR_QUERIES}, sets(k, bias, both_ways, h) AS (VALUES {', '.join(f'({k}, {b}::DOUBLE, {w}, {h})' for k, (b, w, h) in enumerate(sets))}),
+ent AS MATERIALIZED (SELECT s AS node FROM star UNION SELECT o FROM star),
+qq AS MATERIALIZED (SELECT k || '|' || qid AS qid, anchor, bias, both_ways, h, {sql_tokens('question')} AS qt, {sql_hash_vector('question')} AS qv FROM questions, sets),
+anchors AS MATERIALIZED (SELECT qid, anchor AS node FROM qq WHERE anchor IN (SELECT node FROM ent)), f0 AS (SELECT * FROM anchors), kg AS MATERIALIZED (SELECT * FROM star),{steps},
+found AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM h{n}' for n in hops)}),
+nodes AS MATERIALIZED (SELECT qid, node FROM anchors UNION SELECT qid, s FROM found UNION SELECT qid, o FROM found)"""
+    belief, attention = "ln(greatest(coalesce({b}.b, 0.5), 1e-12))", "ln(greatest(coalesce(t.attn, 1.0 / ne.n), 1e-12))"
+    longer = ",".join(
+        f"""
+p{n} AS MATERIALIZED (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY path) AS k FROM (
+  SELECT p.qid, p.path || '|' || w.r || '|' || w.z AS path, {n} AS len, p.head, w.z AS tail, w.r AS last_r, coalesce(w.ts, p.last_ts) AS last_ts, p.violates OR coalesce(w.ts < p.last_ts, FALSE) AS violates, p.logs + {belief.format(b='e')} + {attention} AS logs
+  FROM p{n - 1} p JOIN qq ON qq.qid = p.qid AND h >= {n} JOIN ne ON ne.qid = p.qid JOIN walk w ON w.qid = p.qid AND w.a = p.tail LEFT JOIN bel e ON e.qid = p.qid AND e.node = w.z LEFT JOIN attention t ON t.qid = p.qid AND t.src = w.a AND t.dst = w.z)) WHERE k <= 64)"""
+        for n in hops
+        if n > 1
+    )
+    paths = f"""{sql_propagated().replace(RETRIEVED, retrieved)},
+walk AS MATERIALIZED (SELECT qid, s AS a, r, o AS z, ts FROM found UNION ALL SELECT qid, o, '~' || r, s, ts FROM found),
+ne AS (SELECT qid, count(*) AS n FROM found GROUP BY qid), bel AS (SELECT qid, node, pos / (pos + neg + 2) AS b FROM st2),
+p1 AS MATERIALIZED (SELECT w.qid, w.a || '|' || w.r || '|' || w.z AS path, 1 AS len, w.a AS head, w.z AS tail, w.r AS last_r, w.ts AS last_ts, FALSE AS violates, {belief.format(b='d')} + {belief.format(b='e')} + {attention} AS logs
+  FROM anchors n JOIN walk w ON w.qid = n.qid AND w.a = n.node JOIN ne ON ne.qid = w.qid LEFT JOIN bel d ON d.qid = w.qid AND d.node = w.a LEFT JOIN bel e ON e.qid = w.qid AND e.node = w.z LEFT JOIN attention t ON t.qid = w.qid AND t.src = w.a AND t.dst = w.z),{longer},
+scored AS MATERIALIZED (SELECT qid, path, len, head, NULL AS mid, tail, last_r, violates, round(exp(logs / len), 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY len, path) AS k FROM ({' UNION ALL '.join(f'SELECT * FROM p{n}' for n in hops)})) WHERE k <= 64)"""
+    answers = " UNION ALL ".join(
+        f"SELECT qid, {r} AS rescoring, 'max' AS agg, arg_min(tail, {{'a': -score, 'b': path}}) AS prediction FROM {t} WHERE NOT violates GROUP BY qid UNION ALL SELECT qid, {r}, 'sum', arg_min(tail, {{'a': -mass, 'b': tail}}) FROM (SELECT qid, tail, round(sum(score), 6) AS mass FROM {t} WHERE NOT violates GROUP BY qid, tail) GROUP BY qid"
+        for r, t in (("TRUE", "rescored"), ("FALSE", "scored"))
+    )
+    named = ", ".join(f"('{v.name}', {sets.index((v.relation_bias, v.both_ways, v.hops))}, {v.rescoring}, '{v.aggregation}')" for v in variants)
+    return f"""{paths}{RESCORED[len(ABSTAINED):]}, {GOLD_OF}, given AS MATERIALIZED ({answers}), variants(variant, k, rescoring, agg) AS (VALUES {named}),
+grid AS (SELECT variant, split_part(g.qid, ':', 1) AS dataset, count(*) AS n, count(*) FILTER (WHERE prediction IS NULL) AS n_abstained, round(avg(coalesce(({sql_answer('prediction')} = {sql_answer('gold')})::INT, 0)), 6) AS value
+  FROM gold g CROSS JOIN variants v LEFT JOIN given a ON a.qid = v.k || '|' || g.qid AND a.rescoring = v.rescoring AND a.agg = v.agg GROUP BY ALL)"""
+
+
+def ablated(spark: SparkSession, d: str, variants: list[qa.Variant]) -> DataFrame:
+    q, kg = star_queries(spark, d), star_kg(spark, d)
+    gold = golds(q, kg).select("qid", F.array("gold").alias("golds"), F.split_part("qid", F.lit(":"), F.lit(1)).alias("dataset"))
+    return evaluate.ablation(qa.ablate(q, kg, ["anchor"], variants, qa.Settings(top_k=16, path_cap=64)), gold, "dataset")
+
+
+@query(f"WITH {sql_ablated(COMPONENTS + HOPS)} SELECT * FROM grid")
+def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """F-14: nine variants by two kinds of questions, one summary row each, in one run."""
+    return ablated(spark, d, COMPONENTS + HOPS)
+
+
+@query(f"WITH {sql_ablated(COMPONENTS)} SELECT variant, max(value) FILTER (WHERE dataset = 'part') AS part, max(value) FILTER (WHERE dataset = 'customer') AS customer FROM grid GROUP BY variant")
+def ablation_components(spark: SparkSession, d: str) -> DataFrame:
+    """H-6: variants without a component by kinds of questions."""
+    return evaluate.pivot(ablated(spark, d, COMPONENTS), ["part", "customer"], rows="variant")
+
+
+@query(f"WITH {sql_ablated(HOPS)} SELECT regexp_extract(variant, 'k=([0-9]+)', 1)::INT AS hops, max(value) FILTER (WHERE dataset = 'part') AS part, max(value) FILTER (WHERE dataset = 'customer') AS customer FROM grid GROUP BY hops")
+def ablation_hops(spark: SparkSession, d: str) -> DataFrame:
+    """H-6: one to four hops, the number parsed from the variant's name, by kinds of questions."""
+    rows = ablated(spark, d, HOPS).withColumn("hops", F.regexp_extract("variant", "k=([0-9]+)", 1).cast("int"))
+    return evaluate.pivot(rows, ["part", "customer"], rows="hops")
+
+
 WORDS = lambda x: f"list_filter(string_split({sql_answer(x)}, ' '), lambda t: t <> '')"
 
 
