@@ -46,9 +46,9 @@ def anchor_similarities(features: DataFrame, anchors: DataFrame) -> DataFrame:
     return met.select("qid", "node", V.dot(F.col("q_vec"), T.hash_vector(F.col("node"), graph.DIM)).alias("sim"))
 
 
-def evidence(queries: DataFrame, edges: DataFrame, names: Sequence[str], s: Settings) -> Evidence:
+def evidence(queries: DataFrame, edges: DataFrame, names: Sequence[str], s: Settings, keep: bool = True) -> Evidence:
     """What the graph has on each query: anchors, edges, and scored paths with ``violates``."""
-    edges = stored(edges)  # every hop reads them
+    edges = stored(edges) if keep else edges  # every hop reads them
     anchors = stored(graph.exact_anchors(queries, edges, names))
     features = graph.question_features(queries)
     nodes, found = graph.retrieve(queries, anchors, edges, hops=s.hops, top_k=s.top_k, schema=s.schema)
@@ -132,16 +132,17 @@ def yes_or_no(order: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(met.withColumn("met", F.lit("1")).hint("merge"), "qid", "left").select("qid", F.coalesce("met", F.lit("0")).alias("answer"))
 
 
-def answer(queries: DataFrame, edges: DataFrame, names: Sequence[str] = ("anchor",), settings: Settings | None = None) -> DataFrame:
+def answer(queries: DataFrame, edges: DataFrame, names: Sequence[str] = ("anchor",), settings: Settings | None = None, keep: bool = True) -> DataFrame:
     """``(qid, prediction, abstained, confidence, entropy, n_triples, top_path, ranking)`` for each query.
 
     ``queries(qid, question, ..)`` name their entities in the columns ``names``. Retrieval, propagation, paths, checks and
     abstention come first; then paths are rescored by their tails, those of tails that several anchors reach are raised,
     and an answer is taken: the best named tail, or one step on from an opaque one. With the columns ``yes_no``, ``user``
-    and ``target`` some queries may ask whether a path exists. A query without paths has no prediction.
+    and ``target`` some queries may ask whether a path exists. A query without paths has no prediction. ``keep`` is false for
+    edges that are a stored table already.
     """
     s = settings or Settings()
-    q, anchors, found, paths = evidence(queries, edges, names, s)
+    q, anchors, found, paths = evidence(queries, edges, names, s, keep)
     judged = A.abstention(paths, s.least_mass, s.most_entropy)
     paths = stored(A.convergence(A.rescore(paths, graph.question_features(q), anchors), anchors))
     order = A.ranked(paths)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .generate import each_or_none
 from .shared import stored
 
 #: Rows of the two sides of a tile, and numbers that one matrix of similarities may hold.
@@ -25,12 +26,14 @@ log = logging.getLogger(__name__)
 
 
 def encode_distinct(rows: DataFrame, column: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
-    """``rows`` with ``vector``: ``encode`` sees each distinct text once, in batches."""
+    """``rows`` with ``vector``: ``encode`` sees each distinct text once, in batches; a text that it can't encode, alone
+    too, has none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             texts = f[column].tolist()
-            yield pd.DataFrame({column: texts, "vector": [v for k in range(0, len(texts), batch) for v in encode(texts[k : k + batch])]})
+            vectors = [v for k in range(0, len(texts), batch) for v in each_or_none(encode, texts[k : k + batch])[0]]
+            yield pd.DataFrame({column: texts, "vector": pd.Series(vectors, dtype=object)})
 
     encoded = rows.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"{column} string, vector array<double>")
     return rows.join(encoded.hint("merge"), column, "left")

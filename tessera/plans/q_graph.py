@@ -11,6 +11,7 @@ from ..operators import answer as A
 from ..operators import evaluate, graph, qa
 from ..operators.shared import stored
 from ..sources import derived, files
+from ..streaming import resume
 from ..sources.derived import STAR, STAR_QUERIES, star_kg, star_queries
 from .q_text import sql_answer, sql_boost, sql_hash_vector, sql_tokens
 from .registry import query
@@ -459,6 +460,15 @@ def graph_qa(spark: SparkSession, d: str) -> DataFrame:
     return shown(qa.answer(star_queries(spark, d), star_kg(spark, d)))
 
 
+@query(f"WITH {ANSWERED} SELECT qid, prediction, round(confidence, 6) AS confidence, round(entropy, 5) AS entropy, n AS n_triples, top_path FROM answered LEFT JOIN ab USING (qid) LEFT JOIN ne USING (qid)")
+def stream_graph_qa(spark: SparkSession, d: str) -> DataFrame:
+    """I-3: the same for questions that arrive in files, two files to a batch, joined with the stored graph."""
+    q, kg, source = star_queries(spark, d), stored(star_kg(spark, d)), files.scratch(spark, "questions")
+    q.repartition(4, "qid").write.parquet(source)
+    answer = lambda batch: qa.answer(batch, kg, keep=False).drop("ranking")
+    return shown(resume.stream_batches(spark, source, q.schema, files.scratch(spark, "answers"), files.scratch(spark, "checkpoint"), answer, files_per_trigger=2))
+
+
 def shown(answers: DataFrame) -> DataFrame:
     return answers.select("qid", "prediction", F.round("confidence", 6).alias("confidence"), F.round("entropy", 5).alias("entropy"), "n_triples", "top_path")
 

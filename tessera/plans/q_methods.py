@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answer as A
-from ..operators import graph, methods
+from ..operators import evaluate, generate, graph, methods
 from ..operators.shared import stored
 from ..sources.derived import star_kg, star_queries, table
 from .q_graph import ANSWERED, CANDIDATES, GOLD_OF, RETRIEVED, golds, rescored_paths, sql_scored
@@ -110,6 +110,34 @@ def snap_answer(spark: SparkSession, d: str) -> DataFrame:
     return c.select("qid", T.snapped(raw, F.col("candidates"), F.lit("none")).alias("answer"))
 
 
+@query(f"""WITH {PICKED}, {GOLD_OF}, {sql_lines('place <= 8', 32)}, h AS (SELECT qid, candidates, md5('Facts:' || chr(10) || facts || chr(10) || chr(10) || 'Candidates:' || chr(10) || array_to_string(list_transform(candidates, lambda x, i: i || '. ' || x), chr(10)) || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Number of the answer:') AS h FROM picked JOIN facts USING (qid) JOIN questions USING (qid)),
+n AS (SELECT qid, candidates, ('0x' || h[2])::INT % 4 + 1 AS n FROM h WHERE h[1] NOT IN ('0', '1', '2', '3')),
+given AS (SELECT qid, coalesce(CASE WHEN n <= len(candidates) THEN candidates[n] END, list_filter(candidates, lambda c: contains(n || '. it', lower(c)) AND length(c) > 2)[1], 'none') AS prediction FROM n)
+SELECT qid, prediction, prediction IS NULL AS abstained, coalesce(({sql_answer('prediction')} = {sql_answer('gold')})::INT, 0) AS em FROM gold LEFT JOIN given USING (qid)""")
+def generated_answers(spark: SparkSession, d: str) -> DataFrame:
+    """G-11, G-12: prompts through a generator that fails on some of them, answers taken from what it says; failed prompts,
+    and no others of their batches, come back as abstained."""
+
+    def stub() -> generate.Generate:
+        """A generator that names a candidate by a digit of the prompt's digest, and fails on a quarter of the prompts."""
+        import hashlib
+
+        def answer(prompts: list[str]) -> list[str]:
+            digests = [hashlib.md5(p.encode()).hexdigest() for p in prompts]
+            if any(d[0] in "0123" for d in digests):
+                raise RuntimeError("the stub has no answer")
+            return [f" {int(d[1], 16) % 4 + 1}. it\nx" for d in digests]
+
+        return answer
+
+    q, _, order, c = picked(spark, d)
+    said = generate.generated(A.prompts(q, A.evidence(order), c), stub, batch=8)
+    answer = F.when(F.col("raw").isNotNull(), T.snapped(F.col("raw"), F.col("candidates"), F.lit("none")))
+    answers = said.select("qid", answer.alias("prediction"), F.lit(1.0).alias("confidence"), F.col("candidates").alias("ranking"))
+    gold = golds(q, star_kg(spark, d)).select("qid", F.array("gold").alias("golds"))
+    return evaluate.evaluated(gold, answers).select("qid", "prediction", "abstained", "em")
+
+
 @query(f"""WITH {ANSWERED}, {GOLD_OF}, {sql_lines('place <= 32', 24)}, tf AS (SELECT qid, tail, min(place) AS spot FROM ranked WHERE place <= 32 GROUP BY ALL), tc AS (SELECT qid, list(tail ORDER BY k) AS c FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY spot, tail) AS k FROM tf) WHERE k <= 16 GROUP BY qid),
 h AS (SELECT qid, c, question, facts, list_position(list_transform(c, lambda x: {sql_answer('x')}), {sql_answer('gold')}) AS hit FROM tc JOIN gold USING (qid) JOIN questions USING (qid) JOIN facts USING (qid))
 SELECT qid, chr(64 + hit::INT) || ')' AS label, md5('Facts:' || chr(10) || facts || chr(10) || chr(10) || 'Options:' || chr(10) || array_to_string(list_transform(c, lambda x, i: chr(64 + i::INT) || ') ' || x), chr(10)) || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:') AS prompt_md5 FROM h WHERE hit > 0""")

@@ -247,6 +247,25 @@ def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return resume.resume(q, path, turns, "conv_id", "turn")
 
 
+@query(ANSWERS)
+def resume_in_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """I-1 with chunks: a run that fails in its third chunk, and is then taken up again."""
+    q, path = table(spark, d, "conversations"), files.scratch(spark, "chunks")
+    every, begun = max(1, -(-q.count() // 6)), []
+
+    def failing(rows: DataFrame) -> DataFrame:
+        begun.append(rows)
+        if len(begun) == 3:
+            raise InterruptedError("the third chunk fails")
+        return turns(rows)
+
+    try:
+        resume.in_chunks(q, path, failing, every, "conv_id", "turn")
+    except InterruptedError:
+        pass
+    return resume.in_chunks(q, path, turns, every, "conv_id", "turn")
+
+
 @query(ANSWERS)
 def stream_answers(spark: SparkSession, d: str) -> DataFrame:
     """I-3: the same as a stream of files, run twice with one checkpoint."""
