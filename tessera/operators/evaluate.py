@@ -5,14 +5,19 @@ All metrics are aggregations (partial on the map side) over result rows; doubles
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .shared import numbered
+from .shared import numbered, partitions, small, stored
 
 
 def r6(x: Column, name: str) -> Column:
@@ -175,6 +180,30 @@ def aurc(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- summaries
 
 
+def quantiles(rows: DataFrame, value: str, qs: Mapping[str, float], *by: str) -> DataFrame:
+    """One row for each group with a column for each of ``qs``: exact quantiles, between two values on the line through them.
+
+    Values are counted first, so equal ones are one row, and dealt by ranges; the ranges' totals say which of them holds a
+    rank, and only those are put in order. No buffer holds a group. Nulls don't count; a group without values has no row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cut = stored(counted.repartitionByRange(partitions(rows), *by, "_v").withColumn("_range", F.spark_partition_id()))
+    totals = cut.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))  # a row for each range, and one more for each group
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.withColumns({"_before": before, "_all": F.sum("_n").over(w)})
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in qs.items()]))
+    at = totals.withColumn("_q", asked).withColumn("_h", F.col("_q.q") * (F.col("_all") - 1))
+    at = at.withColumn("_p", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h"))))).where((F.col("_p") >= F.col("_before")) & (F.col("_p") < F.col("_before") + F.col("_n")))
+    at = stored(at.select(*by, "_range", F.col("_q.name").alias("_name"), "_h", "_p", (F.col("_p") - F.col("_before")).alias("_k")))
+    keys = [*by, "_range"]
+    some = cut.join(small(at.select(*keys).distinct()), keys)
+    some = some.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    met = some.join(small(at), keys).where((F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_c")))
+    share_of = 1 - F.abs(F.col("_h") - F.col("_p"))
+    return met.groupBy(*by).agg(*[F.sum(F.when(F.col("_name") == name, F.col("_v") * share_of)).alias(name) for name in qs])
+
+
 def task_summary(rows: DataFrame, *by: str, task: str = "qa") -> DataFrame:
     """One row for each group of ``rows(em, f1, abstained, latency_ms, rank, pred, gold)``, with the task's main metric."""
     p, g = F.col("pred") == 1, F.col("gold") == 1
@@ -187,12 +216,13 @@ def task_summary(rows: DataFrame, *by: str, task: str = "qa") -> DataFrame:
         F.coalesce(F.avg(F.when(~F.col("abstained"), F.col("em"))), F.lit(0.0)).alias("exact_match_when_attempted"),
         F.avg("f1").alias("f1"),
         F.avg("latency_ms").alias("mean_latency_ms"),
-        F.percentile("latency_ms", 0.95).alias("p95_latency_ms"),
         hits_at(1).alias("hits_at_1"),
         hits_at(10).alias("hits_at_10"),
         reciprocal().alias("mrr"),
         *[F.count_if(c).alias(n) for n, c in (("tp", p & g), ("fp", p & ~g), ("fn", ~p & g), ("tn", ~p & ~g))],
     )
+    p95 = quantiles(rows, "latency_ms", {"p95_latency_ms": 0.95}, *by)
+    s = s.join(p95.hint("merge"), list(by), "left") if by else s.crossJoin(F.broadcast(p95))  # one row without groups
     s = s.withColumn("balanced_accuracy", balanced(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))).withColumn("accuracy", F.col("exact_match"))
     s = s.withColumn("primary_metric", F.lit(main)).withColumn("primary_value", F.col(main)).drop("tp", "fp", "fn", "tn", "accuracy")
     return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
@@ -212,7 +242,7 @@ def paired_bootstrap(rows: DataFrame, *by: str, rounds: int = 200, seed: str = "
     mean = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean_delta"))
     r = d.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "round", "qid")), 1, 8), 16, 10).cast("double") / 2**32
-    r = r.withColumn("w", F.size(F.filter(F.array(*map(F.lit, POISSON_1)), lambda c: c < u)))
+    r = r.withColumn("u", u).withColumn("w", reduce(add, [(F.col("u") > c).cast("int") for c in POISSON_1]))
     r = r.groupBy(*by, "round").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("m"))
     b = r.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
     p = F.col("p")
@@ -221,6 +251,47 @@ def paired_bootstrap(rows: DataFrame, *by: str, rounds: int = 200, seed: str = "
     return out.select(*by, "n", r6(F.col("mean_delta"), "mean_delta"), r6(F.col("low"), "low"), r6(F.col("high"), "high"), r6(p, "p"), stars.alias("stars"))
 
 
+#: Rows that are drawn from together.
+LEAF = 1024
+
+
+def multinomial_bootstrap(rows: DataFrame, *by: str, rounds: int = 200, seed: str = "boot-1") -> DataFrame:
+    """As ``paired_bootstrap``, with weights that sum to n in every round: n draws with replacement from the group's n rows.
+
+    Rows are numbered and cut into leaves. A range's draws are split between its halves by a binomial number that range
+    and group decide, so each leaf finds its own draws by going down from the whole, without meeting another; there they
+    are dealt to its rows. What leaves a task is a sum for each round. ``least_weight`` and ``most_weight`` are the rounds'
+    smallest and largest sums of weights.
+    """
+    d = rows.select(*by, "qid", (F.col("a") - F.col("b")).cast("double").alias("delta"))
+    order = numbered(d, *by, "qid")
+    sizes = order.groupBy(*by).agg(F.count("*").alias("n"), F.min("position").alias("first"), F.avg("delta").alias("mean_delta"))
+    leaves = (order.join(small(sizes), list(by)) if by else order.crossJoin(F.broadcast(sizes))).withColumn("leaf", F.floor((F.col("position") - F.col("first")) / LEAF))
+
+    def random(*key: object) -> np.random.Generator:
+        return np.random.default_rng(int.from_bytes(hashlib.md5(":".join(map(str, (seed, *key))).encode()).digest()[:8], "little"))
+
+    def draw(f: pd.DataFrame) -> pd.DataFrame:
+        group, n, leaf = [f[c].iloc[0] for c in by], int(f["n"].iloc[0]), int(f["leaf"].iloc[0])
+        low, high = 0, -(-n // LEAF)
+        draws = np.full(rounds, n)
+        while high - low > 1:
+            middle = (low + high) // 2
+            left = random(*group, low, high).binomial(draws, (middle - low) * LEAF / (min(high * LEAF, n) - low * LEAF))
+            low, high, draws = (low, middle, left) if leaf < middle else (middle, high, draws - left)
+        f = f.sort_values("position")
+        weights = random(*group, "leaf", leaf).multinomial(draws, np.full(len(f), 1 / len(f)))
+        return pd.DataFrame({c: [g] * rounds for c, g in zip(by, group, strict=True)} | {"round": np.arange(rounds), "weight": weights.sum(1), "total": weights @ f["delta"].to_numpy()})
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in d.dtypes if c in by)
+    drawn = leaves.select(*by, "position", "delta", "n", "leaf").groupBy(*by, "leaf").applyInPandas(draw, f"{kinds}round int, weight long, total double")
+    r = stored(drawn.groupBy(*by, "round").agg(F.sum("weight").alias("weight"), (F.sum("total") / F.sum("weight")).alias("m")))
+    share_below = F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0)))
+    b = r.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), share_below.alias("p"), F.min("weight").alias("least_weight"), F.max("weight").alias("most_weight"))  # a row a round
+    out = sizes.join(b.hint("merge"), list(by)) if by else sizes.crossJoin(F.broadcast(b))
+    return out.select(*by, "n", r6(F.col("mean_delta"), "mean_delta"), r6(F.col("low"), "low"), r6(F.col("high"), "high"), r6(F.col("p"), "p"), "least_weight", "most_weight")
+
+
 # ---------------------------------------------------------------- runs and reports
 
 

@@ -120,6 +120,19 @@ def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return compared(spark, d)
 
 
+@query(f"WITH {PRED} SELECT dataset, count(*) AS n, round(avg((em - gold)::DOUBLE), 6) AS mean_delta, count(*) AS least_weight, count(*) AS most_weight, TRUE AS like_poisson FROM pred GROUP BY dataset")
+def multinomial_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """E-38 with exact resamples: weights sum to n in every round, and the interval's ends are less than half an interval
+    from those of the Poisson one."""
+    p = predictions(spark, d)
+    runs = E.aligned_runs(p.select("dataset", "qid", "em"), p.select("dataset", "qid", F.col("gold").alias("em")), "dataset")
+    other = E.paired_bootstrap(runs, "dataset").select("dataset", F.col("low").alias("low_p"), F.col("high").alias("high_p"))
+    half = (F.col("high_p") - F.col("low_p")) / 2
+    near = (F.abs(F.col("low") - F.col("low_p")) <= half) & (F.abs(F.col("high") - F.col("high_p")) <= half)
+    both = E.multinomial_bootstrap(runs, "dataset").join(other.hint("merge"), "dataset")
+    return both.select("dataset", "n", "mean_delta", "least_weight", "most_weight", near.alias("like_poisson"))
+
+
 @query(f"WITH {PRED}, {BOOT} SELECT count(*) AS n, count(*) FILTER (WHERE low > 0) AS wins, count(*) FILTER (WHERE high < 0) AS losses FROM report")
 def bootstrap_report(spark: SparkSession, d: str) -> DataFrame:
     """E-42: comparisons won and lost."""

@@ -124,10 +124,11 @@ def pair_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """``rows(pos, value)`` written and read again; a file's lines keep their place as a column."""
+    """``(pos, value)``: ``rows(pos, value)`` or ``rows(value)`` written as text files and read again; ``pos`` is a line's
+    place in the files, nothing that was written."""
     path = files.scratch(spark, name)
-    rows.select("pos", "value").write.parquet(path)
-    return spark.read.parquet(path)
+    files.write_lines(rows, path)
+    return files.numbered_lines(spark, path).select("pos", "value")
 
 
 NUMBERED = f"{PAIR}, n1 AS (SELECT *, row_number() OVER (ORDER BY edge_id) - 1 AS pos FROM k1)"
@@ -149,10 +150,10 @@ def numbered_bundle(spark: SparkSession, d: str) -> DataFrame:
     for k, kg, ents in ((1, b["k1"], b["ent1"]), (2, b["k2"], b["ent2"])):
         edges = numbered(kg, c("edge_id"))
         named[f"triples_{k}"] = edges.select((c("position") - 1).alias("pos"), line(key(c("s")), relation(c("r")), key(c("o"))).alias("value"))
-        named[f"ent_ids_{k}"] = ents.select(F.lit(0).alias("pos"), line(key(c("e")), c("label")).alias("value"))
-        named[f"rel_ids_{k}"] = kg.select("r").distinct().select(F.lit(0).alias("pos"), line(relation(c("r")), F.concat(F.lit("http://x/"), "r")).alias("value"))
+        named[f"ent_ids_{k}"] = ents.select(line(key(c("e")), c("label")).alias("value"))
+        named[f"rel_ids_{k}"] = kg.select("r").distinct().select(line(relation(c("r")), F.concat(F.lit("http://x/"), "r")).alias("value"))
     for file, split in (("sup_ent_ids", "seed"), ("ref_ent_ids", "test")):
-        named[file] = b["pairs"].where(c("split") == split).select(F.lit(0).alias("pos"), line(key(c("e1")), key(c("e2"))).alias("value"))
+        named[file] = b["pairs"].where(c("split") == split).select(line(key(c("e1")), key(c("e2"))).alias("value"))
     found = files.numbered_bundle(lambda name: lines_of(spark, named[name], name))
     label = lambda t, name: found[t].select(c("id").alias(name), c("label").alias(f"{name}_label")).hint("merge")
     t = found["triples1"].join(label("ent1", "s"), "s").join(label("ent1", "o"), "o").join(label("rel1", "r"), "r")
@@ -180,6 +181,26 @@ def named_bundle(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pos", "s", "r", "o", "label", F.coalesce("seed", F.lit(False)).alias("seed"))
 
 
+@query(f"""WITH {NUMBERED}, e AS (SELECT DISTINCT e FROM (SELECT s AS e FROM k1 UNION ALL SELECT o FROM k1)), ids AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS id FROM e),
+f AS (SELECT DISTINCT e FROM (SELECT s AS e FROM k2 UNION ALL SELECT o FROM k2)), ids2 AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS id FROM f)
+SELECT a.id AS e1, b.id AS e2, split FROM pairs JOIN ids a ON a.e = e1 JOIN ids2 b ON b.e = e2""")
+def fold_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """A-9 with fold files: seed and test pairs are read from files of their own, names and all; unknown ones are dropped."""
+    from ..operators.shared import numbered
+
+    b = derived.pair_kg(spark, d)
+    triples = {k: lines_triples(spark, numbered(b[f"k{k}"], F.col("edge_id")).select((F.col("position") - 1).alias("pos"), "s", "r", "o")) for k in (1, 2)}
+    none = spark.createDataFrame([], "ent string, attr string, val string, pos int")
+    f = F.split("value", "\t")
+
+    def fold(split: str) -> DataFrame:
+        lines = lines_of(spark, b["pairs"].where(F.col("split") == split).select(F.concat_ws("\t", "e1", "e2").alias("value")), split)
+        return lines.select(f[0].alias("e1"), f[1].alias("e2"))
+
+    found = files.named_bundle(triples, {1: none, 2: none}, folds=(fold("seed"), fold("test")))
+    return found["seed"].withColumn("split", F.lit("seed")).unionByName(found["test"].withColumn("split", F.lit("test")))
+
+
 def lines_triples(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Triples of names as tab-separated lines, and read again."""
     f = F.split("value", "\t")

@@ -259,7 +259,9 @@ def gold_rank_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {GOLD} SELECT count(*) AS n, round(median(rank), 6) AS median_rank, round(avg(rank), 6) AS mean_rank FROM ranks")
 def rank_stats(spark: SparkSession, d: str) -> DataFrame:
     """E-39."""
-    return gold_ranks(spark, d).agg(F.count("*").alias("n"), F.round(F.percentile("rank", 0.5), 6).alias("median_rank"), F.round(F.avg("rank"), 6).alias("mean_rank"))
+    ranks = stored(gold_ranks(spark, d))
+    median = evaluate.quantiles(ranks, "rank", {"median_rank": 0.5}).select(F.round("median_rank", 6).alias("median_rank"))  # one row
+    return ranks.agg(F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank")).crossJoin(F.broadcast(median))
 
 
 @query(f"WITH {PROBES}, gold AS (SELECT qid, min(cand) AS gold FROM sims WHERE ql = cl GROUP BY qid), k AS (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cand) AS rank FROM sims) SELECT count(*) AS n, round(avg((rank <= 10)::INT), 6) AS hits_at_10, round(avg(1.0 / rank), 6) AS mrr FROM k JOIN gold ON gold.qid = k.qid AND gold.gold = k.cand")

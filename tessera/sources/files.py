@@ -40,6 +40,31 @@ def qa_source(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return edges, queries, seen.select(F.col("id").alias("qid"), "edge_id").distinct()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, pos, value)`` of the text files at ``path``: a line's number in its file, from 1, and its place among
+    all lines, from 0, with files in the order of their names.
+
+    A large file is read in blocks by many tasks. A task numbers what it reads in order, so a line's place within its block
+    is its number less the block's first one; the blocks' sums, one row each, give the rest.
+    """
+    from ..operators.shared import small, stored
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_m"), "value")
+    rows = stored(rows)  # so that numbers stay as they are
+    blocks = rows.groupBy("file", "_start").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.select("file", "_start", "_first", upto(Window.partitionBy("file").orderBy("_start")).alias("_in_file"), upto(Window.orderBy("file", "_start")).alias("_in_all"))
+    within = F.col("_m") - F.col("_first")
+    return rows.join(small(stored(offsets)), ["file", "_start"]).select("file", (within + F.col("_in_file") + 1).alias("line"), (within + F.col("_in_all")).alias("pos"), "value")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """``rows(pos, value)`` as text files whose lines, file by file, are in the order of ``pos``; without ``pos`` in any order."""
+    if "pos" in rows.columns:
+        rows = rows.repartitionByRange("pos").sortWithinPartitions("pos")
+    rows.select("value").write.text(path)
+
+
 def choose_split(rows: DataFrame, column: str = "split", order: tuple[str, ...] = ("test", "validation", "train")) -> DataFrame:
     """The rows of the first split of ``order`` that there are any of."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
