@@ -29,9 +29,9 @@ from .shared import joined_by_size, release_memory, stored
 LEAST, SHARE, TOP = 10, 50, 2000
 SCALE = 1_000_000
 #: Bytes of text of a shard, and of all texts that a task holds.
-SHARD, HELD = 2 << 20, 64 << 20
+SHARD, HELD = 2 << 20, 32 << 20
 #: Entries of a filter that a task merges before it hands them on, and of a block of merged filters, about.
-MERGED, BLOCK = 4_000_000, 1_000_000
+MERGED, BLOCK = 1_500_000, 500_000
 ROUNDS = 4
 #: Parts of a language that find their best phrases apart.
 SALTS = 64
@@ -100,6 +100,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield shard(max(size, key=size.get))
     for lang in list(held):
         yield shard(lang)
+    release_memory()
 
 
 # ---------------------------------------------------------------- filters
