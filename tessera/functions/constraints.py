@@ -1,10 +1,9 @@
 """Constraints on paths. A path is an array of steps ``struct<s, r, o, s_type, o_type, ts, ...>``; each check says whether
-the path violates it, and ``first_reason`` names the first failing one."""
+the path violates it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,11 +76,3 @@ def access_reason(steps: Column, active_context: Column, strict: bool = True) ->
         reason = reason.when(F.size(F.array_except(strings(ACCESS_RELATIONS), rels)) > 0, F.lit("incomplete chain"))
     reason = reason.when(F.exists(steps, lambda x: (x["r"] == "revoked_at") & (x["ts"] <= latest)), F.lit("revoked"))
     return reason.when(active_context.isNotNull() & (F.size(valid_in) > 0) & ~F.array_contains(valid_in, active_context), F.lit("inactive context"))
-
-
-def first_reason(*checks: tuple[str, Column]) -> Column:
-    return F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in checks], F.lit(None).cast("string"))
-
-
-def any_violation(*checks: Column) -> Column:
-    return reduce(lambda a, b: a | b, checks)

@@ -133,6 +133,7 @@ def token_f1(prediction: Column, golds: Column) -> Column:
 def stripped(text: Column) -> Column:
     """Without parentheses and without descriptors such as `` - Season 2``."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "\\s*\\([^)]*\\)\\s*", " ")
+    # fixed value: the descriptors that an answer may end in
     return squeezed(F.regexp_replace(bare, "(?i)\\s*-\\s*(Season|Episode|Series|Vol\\.?|Volume|Part)\\s+\\S+\\s*", " "))
 
 

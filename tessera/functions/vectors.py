@@ -21,11 +21,6 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def unit(v: Column) -> Column:
-    """To length 1; a zero vector stays as it is."""
-    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x.cast("double"))))[0]
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 if either vector is zero."""
     length = norm(a) * norm(b)
@@ -45,10 +40,6 @@ def to_unit_interval(c: Column) -> Column:
     return (c + 1) / 2
 
 
-def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-
 def safe_log(p: Column, eps: float = 1e-12) -> Column:
     return F.ln(F.greatest(p, F.lit(eps)))
 

@@ -34,7 +34,7 @@ def role_sets(kg: Mapping[str, DataFrame]) -> DataFrame:
 
 def open_resources(kg: Mapping[str, DataFrame]) -> DataFrame:
     """``(context, resource)``: a policy that governs the resource is valid in the context."""
-    return kg["governed_by"].join(kg["valid_in"], "policy").select("context", "resource").distinct()
+    return kg["governed_by"].join(kg["valid_in"].hint("merge"), "policy").select("context", "resource").distinct()
 
 
 def access_decisions(kg: Mapping[str, DataFrame], requests: DataFrame) -> DataFrame:
@@ -75,4 +75,4 @@ def grantable_counts(kg: Mapping[str, DataFrame], times: DataFrame) -> DataFrame
     open_in = classes.select("class", "n", "first", F.explode("contexts").alias("context"))
     counts = met.join(open_in.hint("merge"), "class").groupBy("set", "context").agg(F.sum("n").alias("n_resources"), F.min("first").alias("first_resource"))
     held = within_intervals(times.select("t").distinct(), "t", sets.select("user", "set", "from", "to"))
-    return held.join(small(kg["schedule"]), "t").join(counts.hint("merge"), ["set", "context"]).select("t", "user", "n_resources", "first_resource")
+    return held.join(small(stored(kg["schedule"])), "t").join(counts.hint("merge"), ["set", "context"]).select("t", "user", "n_resources", "first_resource")

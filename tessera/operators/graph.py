@@ -267,10 +267,12 @@ def propagate(nodes: DataFrame, found: DataFrame, anchor_sims: DataFrame, rounds
 STEP = ["edge_id", "s", "r", "o", "s_type", "o_type", "ts"]
 
 
-def steps(found: DataFrame, bidirectional: bool = True) -> DataFrame:
-    """``(qid, at, step)``: what can be walked from each node; backwards the relation has a ~ and the types change places."""
+def steps(found: DataFrame, bidirectional: bool | Column = True) -> DataFrame:
+    """``(qid, at, step)``: what can be walked from each node; backwards the relation has a ~ and the types change places.
+    A condition on the edges may say which of them are walked backwards."""
     out = found.select("qid", F.col("s").alias("at"), F.struct(*STEP).alias("step"))
-    if bidirectional:
+    if bidirectional is not False:
+        found = found if bidirectional is True else found.where(bidirectional)
         back = F.struct("edge_id", F.col("o").alias("s"), F.concat(F.lit("~"), "r").alias("r"), F.col("s").alias("o"), F.col("o_type").alias("s_type"), F.col("s_type").alias("o_type"), "ts")
         out = out.unionByName(found.select("qid", F.col("o").alias("at"), back.alias("step")))
     return out
@@ -280,7 +282,7 @@ def path_key(path: Column) -> Column:
     return F.concat_ws("|", F.get(path, F.lit(0))["s"], F.array_join(F.transform(path, lambda x: F.concat_ws("|", x["r"], x["o"])), "|"))
 
 
-def enumerate_paths(found: DataFrame, anchors: DataFrame, length: int = 2, cap: int = 512, bidirectional: bool = True) -> DataFrame:
+def enumerate_paths(found: DataFrame, anchors: DataFrame, length: int = 2, cap: int = 512, bidirectional: bool | Column = True) -> DataFrame:
     """``(qid, path, steps)``: all walks of up to ``length`` steps from the anchors; nodes may repeat.
 
     At most ``cap`` for each query, the shorter ones first and then by their text; the cap holds after each step, so

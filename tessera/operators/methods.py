@@ -22,7 +22,7 @@ def beam_search(queries: DataFrame, anchors: DataFrame, edges: DataFrame, depth:
     now = anchors.select("qid", "node", F.row_number().over(Window.partitionBy("qid").orderBy("node")).alias("at"))
     out = None
     for step in range(1, depth + 1):
-        c = edges.join(small(now).withColumnRenamed("node", "s"), "s")
+        c = edges.join(small(stored(now)).withColumnRenamed("node", "s"), "s")
         c = c.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("at", "edge_id"))).where(F.col("k") <= width)
         picked = top_k(score(c), ["qid"], F.col("score"), ["k"], beam)
         picked = stored(picked.select("qid", F.lit(step).alias("depth"), F.col("rank").alias("place"), "edge_id", "s", "r", "o", "score"))

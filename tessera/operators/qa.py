@@ -103,8 +103,9 @@ def ablate(queries: DataFrame, edges: DataFrame, names: Sequence[str], variants:
     anchors = stored(anchors.crossJoin(every).select(key("k").alias("qid"), "node"))
     features = stored(graph.question_features(q.select("qid", "question").crossJoin(every).select(key("k").alias("qid"), "question")))
     states, attention = graph.propagate(nodes, found, anchor_similarities(features, anchors), rounds=s.rounds)
-    length = F.element_at(F.create_map(*[F.lit(x) for k, (_, h) in enumerate(sets) for x in (k, h)]), F.substring_index("qid", "|", 1).cast("int"))
-    paths = graph.enumerate_paths(found, anchors, most, s.path_cap).where(F.size("steps") <= length)  # shorter paths come first in its cap
+    of_set = lambda values: F.element_at(F.array(*map(F.lit, values)), F.substring_index("qid", "|", 1).cast("int") + 1)
+    length, both_ways = of_set([h for _, h in sets]), of_set([ways[i][1] for i, _ in sets])
+    paths = graph.enumerate_paths(found, anchors, most, s.path_cap, both_ways).where(F.size("steps") <= length)  # shorter paths come first in its cap
     paths = graph.score_paths(paths, found, states, attention)
     broken = F.lit(False)
     for check in s.checks:

@@ -70,6 +70,6 @@ def within_intervals(points: DataFrame, point: str, intervals: DataFrame, bins:
     at = lambda x: F.floor((x - low) / width).cast("long")
     first, last = F.greatest(F.col("from"), F.lit(low)), F.least(F.coalesce(F.col("to"), F.lit(high + 1)), F.lit(high + 1)) - 1
     spread = intervals.where(first <= last).withColumn("_bin", F.explode(F.sequence(at(first), at(last))))
-    p = small(points.withColumn("_bin", at(F.col(point))))
+    p = small(stored(points.withColumn("_bin", at(F.col(point)))))
     met = spread.join(p, "_bin").where((F.col("from") <= F.col(point)) & (F.col("to").isNull() | (F.col("to") > F.col(point))))
     return met.drop("_bin", "from", "to")

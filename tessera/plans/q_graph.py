@@ -12,7 +12,7 @@ from ..operators import evaluate, graph, qa
 from ..operators.shared import stored
 from ..sources import derived, files
 from ..streaming import resume
-from ..sources.derived import STAR, STAR_QUERIES, star_kg, star_queries
+from ..sources.derived import ACCESS, STAR, STAR_QUERIES, star_kg, star_queries
 from .q_text import sql_answer, sql_boost, sql_hash_vector, sql_tokens
 from .registry import query
 
@@ -499,6 +499,36 @@ def graph_qa_checked(spark: SparkSession, d: str) -> DataFrame:
     return shown(qa.answer(q, star_kg(spark, d), ["anchors"], qa.Settings(checks=checks)))
 
 
+ACCESS_STAR = ACCESS.strip() + """,
+star AS (SELECT md5(concat_ws('|', s, r, o, ts)) AS edge_id, s, r, o, s_type, o_type, ts, 1.0::DOUBLE AS conf, 0.0::DOUBLE AS age, 1.0::DOUBLE AS trust FROM (
+  SELECT user AS s, 'has_role' AS r, role AS o, 'User' AS s_type, 'Role' AS o_type, t AS ts FROM has_role UNION ALL SELECT role, 'revoked_at', role, 'Role', 'Role', t FROM revoked
+  UNION ALL SELECT role, 'grants', resource, 'Role', 'Resource', NULL FROM grants))
+"""
+ACCESS_QUESTIONS = "questions AS (SELECT qid::VARCHAR AS qid, 'what role grants ' || user || ' the ' || resource AS question, user AS anchor, user, resource AS target FROM requests WHERE qid % 50 = 0)"
+REVOKED = "(coalesce(last_r = 'revoked_at' AND ts2 <= greatest(ts1, ts2), FALSE) OR coalesce(r1 = 'revoked_at' AND ts1 <= greatest(ts1, ts2), FALSE)) AS violates"
+
+
+@query(f"""WITH {ANSWERED.replace(STAR, ACCESS_STAR).replace(STAR_QUERIES, ACCESS_QUESTIONS).replace(IN_TIME, REVOKED)}
+SELECT q.qid, CASE WHEN EXISTS (SELECT 1 FROM ranked r WHERE r.qid = q.qid AND r.head = q.user AND r.tail = q.target) THEN '1' ELSE '0' END AS prediction, n AS n_triples FROM questions q LEFT JOIN ne USING (qid)""")
+def access_qa(spark: SparkSession, d: str) -> DataFrame:
+    """G-1 with questions of yes or no, E-20 and C-6: whether a path that no rule of access forbids leads from a user to a
+    resource in what is retrieved of the graph of roles, grants and revocations."""
+    kg = derived.access_kg(spark, d)
+    none = F.lit(None).cast("long").alias("ts")
+
+    def part(rows: DataFrame, s: str, r: str, o: str, s_type: str, o_type: str, ts=none) -> DataFrame:
+        return rows.select(F.col(s).alias("s"), F.lit(r).alias("r"), F.col(o).alias("o"), F.lit(s_type).alias("s_type"), F.lit(o_type).alias("o_type"), ts)
+
+    t = F.col("t").alias("ts")
+    edges = part(kg["has_role"], "user", "has_role", "role", "User", "Role", t).unionByName(part(kg["revoked"], "role", "revoked_at", "role", "Role", "Role", t)).unionByName(part(kg["grants"], "role", "grants", "resource", "Role", "Resource"))
+    edges = edges.withColumns({"edge_id": F.md5(F.concat_ws("|", "s", "r", "o", F.col("ts").cast("string"))), "conf": F.lit(1.0), "age": F.lit(0.0), "trust": F.lit(1.0)})
+    asked = kg["requests"].where("qid % 50 = 0")
+    question = F.concat(F.lit("what role grants "), "user", F.lit(" the "), "resource")
+    q = asked.select(F.col("qid").cast("string").alias("qid"), question.alias("question"), F.col("user").alias("anchor"), F.lit(True).alias("yes_no"), "user", F.col("resource").alias("target"))
+    checks = (C.access_reason(F.col("steps"), F.lit(None).cast("string"), strict=False).isNotNull(),)
+    return qa.answer(stored(q), edges, settings=qa.Settings(checks=checks)).select("qid", "prediction", "n_triples")
+
+
 SCHEMA_FIT = "CASE WHEN o_type IN ('Brand', 'Nation') THEN 1.0 ELSE 0.25 END"
 
 
@@ -561,7 +591,7 @@ p{n} AS MATERIALIZED (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PART
         if n > 1
     )
     paths = f"""{sql_propagated().replace(RETRIEVED, retrieved)},
-walk AS MATERIALIZED (SELECT qid, s AS a, r, o AS z, ts FROM found UNION ALL SELECT qid, o, '~' || r, s, ts FROM found),
+walk AS MATERIALIZED (SELECT qid, s AS a, r, o AS z, ts FROM found UNION ALL SELECT qid, o, '~' || r, s, ts FROM found JOIN qq USING (qid) WHERE both_ways),
 ne AS (SELECT qid, count(*) AS n FROM found GROUP BY qid), bel AS (SELECT qid, node, pos / (pos + neg + 2) AS b FROM st2),
 p1 AS MATERIALIZED (SELECT w.qid, w.a || '|' || w.r || '|' || w.z AS path, 1 AS len, w.a AS head, w.z AS tail, w.r AS last_r, w.ts AS last_ts, FALSE AS violates, {belief.format(b='d')} + {belief.format(b='e')} + {attention} AS logs
   FROM anchors n JOIN walk w ON w.qid = n.qid AND w.a = n.node JOIN ne ON ne.qid = w.qid LEFT JOIN bel d ON d.qid = w.qid AND d.node = w.a LEFT JOIN bel e ON e.qid = w.qid AND e.node = w.z LEFT JOIN attention t ON t.qid = w.qid AND t.src = w.a AND t.dst = w.z),{longer},

@@ -33,6 +33,33 @@ def qa_source(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(n.hint("merge"), "edge_id").select("s", "r", "o", F.col("pos.doc_pos").alias("first_id"), "n_queries")
 
 
+@query("""SELECT o_orderkey::VARCHAR AS qid, 'whose order is it' AS question, 'order:' || o_orderkey AS entity,
+  CASE o_orderkey % 4 WHEN 0 THEN 'customer:' || o_custkey WHEN 1 THEN 'no ' || o_custkey WHEN 2 THEN 'nation:' || c_nationkey END AS answer,
+  CASE o_orderkey % 4 WHEN 0 THEN 'customer:' || o_custkey || ' also ' || o_custkey WHEN 1 THEN 'no ' || o_custkey WHEN 2 THEN 'nation:' || c_nationkey END AS all_answers FROM orders JOIN customer ON c_custkey = o_custkey""")
+def qa_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A-1: the questions of JSON examples with their answer and all answers, taken from ``answer``, else ``answers``, else
+    ``a_entity``; each of them is null or empty in some examples, and in a quarter all are."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("n"))
+    o = table(spark, d, "orders").join(c.hint("merge"), F.col("c_custkey") == F.col("o_custkey"))
+    kind, key = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    strings = lambda *x: F.array(*x).cast("array<string>")
+    e = o.select(
+        F.col("o_orderkey").alias("pos"),
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.lit("whose order is it").alias("question"),
+        F.array(derived.entity("order", "o_orderkey")).alias("q_entity"),
+        F.when(kind == 0, strings(F.concat(F.lit("customer:"), key), F.concat(F.lit("also "), key))).when(kind == 1, strings()).alias("answer"),
+        F.when(kind == 1, strings(F.concat(F.lit("no "), key))).when(kind == 3, strings()).alias("answers"),
+        F.when(kind != 3, strings(F.concat(F.lit("nation:"), "n"))).alias("a_entity"),
+        F.array().cast("array<array<string>>").alias("graph"),
+    )
+    path = files.scratch(spark, "qa")
+    e.write.json(path)
+    back = spark.read.schema("pos long, id string, question string, q_entity array<string>, a_entity array<string>, answer array<string>, answers array<string>, graph array<array<string>>").json(path)
+    q = files.qa_source(back)[1]
+    return q.select("qid", "question", F.get("q_entity", F.lit(0)).alias("entity"), "answer", F.array_join("all_answers", " ").alias("all_answers"))
+
+
 @query(f"WITH {EVENTS} SELECT split_part(s, ':', 2)::BIGINT AS head, length(r)::BIGINT AS rel, split_part(o, ':', 2)::BIGINT AS tail, ts FROM ek")
 def temporal_source(spark: SparkSession, d: str) -> DataFrame:
     """A-3, H-1: facts and queries from text files of four numbers a line."""
