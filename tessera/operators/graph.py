@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from .search import nearest, nearest_among
 from .search import top_k as best
-from .shared import met_at_hubs, small, stored
+from .shared import met_at_hubs, partitions, small, stored
 
 EDGE = ["edge_id", "s", "r", "o", "s_type", "o_type", "ts", "conf", "age", "trust"]
 
@@ -123,7 +123,8 @@ def shared_lists(places: DataFrame, edges: DataFrame, features: DataFrame, most:
     c = met_at_hubs(edges.withColumn("node", F.col("s")), nodes.drop("back"), "node")
     back = nodes.where(F.size("back") > 0).select("node", F.col("back").alias("asked"))
     c = c.unionByName(met_at_hubs(edges.where("s <> o").withColumn("node", F.col("o")), back, "node"))
-    c = with_features(c).withColumn("asked", F.explode("asked")).withColumnRenamed("node", "at")
+    # a hub's edges lie in few places; making their features is the work
+    c = with_features(c.repartition(partitions(edges), "edge_id")).withColumn("asked", F.explode("asked")).withColumnRenamed("node", "at")
     return best(score(c.join(small(features), "asked")), ["asked", "at"], F.col("score"), ["edge_id"], most).drop("rank")
 
 
