@@ -37,8 +37,8 @@ MAX_ATOMS = 24
 #: Bounds of the training data: documents that are drawn, zones of each, zones of all, characters and atoms of a zone,
 #: made-up examples of each kind, and of what is none.
 SAMPLE, SAMPLE_ZONES, ZONES, ZONE_CHARS, ZONE_ATOMS = 4000, 8, 1500, 120, 80
-MADE, MADE_NONE = 300, 700
-EPOCHS = 5
+MADE, MADE_NONE = 600, 1500
+EPOCHS = 6
 #: Spans whose best kind and score a field remembers.
 KNOWN = 50_000
 #: Log-odds that an added entity needs.
@@ -52,13 +52,38 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
-#: An address whose @ is written as a word: in brackets, or with a dot that is a word too.
-SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]++)+| at [A-Za-z0-9-]++(?:(?:\.| dot )[A-Za-z0-9-]++)* dot [A-Za-z0-9-]++)", re.I)
-SPELLED_HINT = re.compile(r"\bat ?[\])}]| dot ", re.I)
+#: A sign for @, as a word or not; what follows it in an address, and what stands before it, marks and words for dots
+#: included. An address is looked for around a sign only, and a local part has at most 64 characters.
+AT = re.compile(r"(?<![^\W_])at(?![^\W_])|@", re.I)
+MARK = r"(?:[^\w\s]|_)"
+DOT = rf"(?:\.| \. | dot | ?{MARK} ?(?:dot|\.) ?{MARK} ?)"
+AFTER = re.compile(rf"(?: ?{MARK})? ?[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+){{1,5}}", re.I)
+BEFORE = re.compile(rf"[A-Za-z0-9._%+-]+(?:{DOT}[A-Za-z0-9._%+-]+){{0,3}} ?(?:{MARK} ?)?$", re.I)
+LOCAL_CHARS = 70
 WORD = re.compile(r"\S*")
 #: What may stand between two words of one zone.
 GAP = re.compile(r"  ?(?:(?:-|\.|dot|DOT) )?")
 ATOM = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
+#: An address that goes on after a span, or began before it; atoms to look at for that.
+GOES_ON = re.compile(rf"(?:-|\.|(?: | ?{MARK} ?)(?:dot|\.)(?: | ?{MARK} ?))\w", re.I)
+BEGAN = re.compile(rf"\w(?:[._+-]|(?: | ?{MARK} ?)dot(?: | ?{MARK} ?))$", re.I)
+NEAR = 6
+#: Words and characters before an entity that are read with it, for what they say about its kind.
+CONTEXT_WORDS, CONTEXT_CHARS, CONTEXT_ATOMS = 3, 40, 8
+
+# Words that announce an entity of a kind, or a number that is none; common words before "at"; hosts of
+# private mail; endings of domains that aren't countries'.
+CUES = {
+    "email": "mail email e contact write mailto reach address inbox",
+    "ip": "ip ipv4 host server ping gateway dns router firewall client node address subnet login",
+    "card": "card visa mastercard amex credit debit charge charged paid payment",
+    "phone": "call phone tel telephone mobile cell fax ring dial text sms whatsapp hotline reach contact extension",
+    None: "page pages isbn issn order invoice version serial model article section chapter chapters part id ref item items score ratio year years population total cost price row table flight zip code lot case patent doi",
+}
+COMMON = frozenset("a am an and are arrive arrived at be been but eat he her here him his home i is it just know left lives live look looked looking me meet met not now on one or out people read see seen she sit stay stayed stop that the them then there they this us visit was we were who work you".split())
+FREE = frozenset("gmail googlemail yahoo hotmail outlook icloud aol gmx proton protonmail".split())
+TOPS = frozenset("com org net edu gov mil int info biz io dev app".split())
+KINDS_OF_CUE = {w: "+".join(sorted(str(k) for k, ws in CUES.items() if w in ws.split())) for ws in CUES.values() for w in ws.split()}
 
 
 def luhn(digits: str) -> bool:
@@ -104,7 +129,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def zones(text: str) -> list[tuple[int, int]]:
     """Stretches of words that hold a digit or an @, joined where one follows another after a blank or two, or a mark
-    or "dot" between blanks, and addresses with a spelled-out @; in order, without overlaps."""
+    or "dot" between blanks, and addresses around a spelled-out @, each with the few words before it; in order, without
+    overlaps."""
     found, end = [], 0
     for m in TRIGGER.finditer(text):
         if m.start() < end:
@@ -116,16 +142,32 @@ def zones(text: str) -> list[tuple[int, int]]:
         while (gap := GAP.match(text, end)) and TRIGGER.search(w := WORD.match(text, gap.end()).group()):
             end = gap.end() + len(w)
         found.append((start, end))
-    if SPELLED_HINT.search(text):
-        spelled = [m.span() for m in SPELLED.finditer(text)]
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found + spelled):
-            if merged and a < merged[-1][1]:
-                merged[-1] = merged[-1][0], max(b, merged[-1][1])
-            else:
-                merged.append((a, b))
-        found = merged
-    return found
+    spelled = []
+    for m in AT.finditer(text):
+        if after := AFTER.match(text, m.end()):
+            low = max(0, m.start() - LOCAL_CHARS)
+            if before := BEFORE.search(text[low : m.start()]):
+                spelled.append((low + before.start(), after.end()))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(found + spelled) if spelled else found:
+        if merged and a < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        else:
+            merged.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in merged:
+        low = out[-1][1] if out else 0
+        out.append((max(low, a - len(words_before(text, max(low, a - CONTEXT_CHARS), a))), b))
+    return out
+
+
+def words_before(text: str, low: int, at: int) -> str:
+    """The last whole words of a line before a place, no farther back than ``low``."""
+    line = text[low:at].rpartition("\n")[2]
+    if len(line) == at - low and low and not text[low - 1].isspace():
+        line = line[len(WORD.match(line).group()) :]
+    words = list(re.finditer(r"\S+", line))
+    return line[words[-CONTEXT_WORDS:][0].start() :] if words else ""
 
 
 def atoms(zone: str) -> list[str]:
@@ -154,26 +196,75 @@ def segments(parts: list[str]) -> Iterator[tuple[int, int]]:
                 yield i, j + 1
 
 
+def cue(parts: list[str], i: int) -> str:
+    """The kinds that the nearest announcing word before a span speaks for; none has the empty string."""
+    for p in reversed(parts[max(0, i - CONTEXT_ATOMS) : i]):
+        if (w := p.lower()) in KINDS_OF_CUE:
+            return KINDS_OF_CUE[w]
+    return ""
+
+
 def features(parts: list[str], i: int, j: int) -> list[str]:
+    """What is said of a whole span: never its characters, but how its groups of digits, marks and words are built, so
+    that forms nobody made up share features with those that were."""
     span = parts[i:j]
-    shape = "".join((p.lower() if p.lower() in ("at", "dot") else "a") if p[0].isalpha() else f"9{min(len(p), 20)}" if p[0].isdigit() else p for p in span)
-    digits = "".join(p for p in span if p[0].isdigit())
     left, right = (parts[i - 1][-1] if i else ""), (parts[j][0] if j < len(parts) else "")
-    loose = re.sub(r"9\d+", "9", shape)
-    tail = shape.rpartition("@")[2] if "@" in shape else shape.rpartition("at")[2]
-    out = ["bias", f"shape={shape}", f"loose={loose}", f"digits={len(digits)}", f"left={kind_of(left)}", f"right={kind_of(right)}", f"first={span[0] if not span[0][0].isalnum() else kind_of(span[0])}", f"last={kind_of(span[-1])}"]
-    out += [f"separators={''.join(sorted({p for p in span if not p[0].isalnum()}))}", f"letters={'a' in shape}", f"domain={'.' in tail}{'dot' in tail}{'@' in shape}{'at' in shape}"]
-    if 13 <= len(digits) <= 19 and "a" not in shape:
-        out.append(f"luhn={luhn(digits)}")
-    numbers = [p for p in span if p[0].isdigit()]
-    if len(numbers) == 4 and "@" not in shape:
-        out.append(f"octets={all(small(p) for p in numbers)}")
-    if "@" in shape or "at" in shape:
-        ends = span[-1].lower()
-        out += [f"top={ends if len(ends) < 4 else 'long' if len(ends) > 6 else 'word'}", f"head={sum(p[0].isspace() for p in span)}"]
+    told = cue(parts, i)
+    out = ["bias", f"left={kind_of(left)}", f"right={kind_of(right)}", f"cue={told}"]
+    if any(p[0].isalpha() and p.lower() != "dot" for p in span):
+        return out + features_of_address(span, "".join(parts[max(0, i - NEAR) : i]), "".join(parts[j : j + NEAR]), told)
+    runs = [p for p in span if p[0].isdigit()]
+    digits = "".join(runs)
+    marks, mark = [], ""
+    for p in span:
+        if not p[0].isdigit():
+            mark += "dot" if p.lower() == "dot" else p
+        elif mark or marks:
+            marks.append(mark)
+            mark = ""
+        else:
+            marks.append("")
+    inner = marks[1:] if not span[0][0].isdigit() or marks[0] == "" else marks
+    alike = "one" if len(inner) < 2 else "same" if len(set(inner)) == 1 else "tail" if len(set(inner[1:])) == 1 else "mixed"
+    size = len(digits) if len(digits) < 13 else "13-15" if len(digits) < 16 else "16-19"
+    lead = "+" if span[0] == "+" else "(" if span[0] == "(" else "00" if digits.startswith("00") else "0" if digits[0] == "0" else "1" if runs[0] == "1" else ""
+    groups = ".".join(str(min(len(r), 8)) for r in runs) if len(runs) <= 6 else "many"
+    kinds = "".join(sorted(set("".join(inner))))
+    out += [f"digits={size}", f"groups={groups}", f"count={min(len(runs), 6)}", f"marks={kinds}", f"alike={alike}", f"lead={lead}", f"lead={lead}&digits={size}", f"lead={lead}&count={min(len(runs), 6)}", f"cue={told}&digits={size}", f"cue={told}&count={min(len(runs), 6)}", f"cue={told}&lead={lead}", f"groups={groups}&lead={lead}", f"alike={alike}&count={min(len(runs), 6)}", f"in={left in '.,-/_:@' and left != ''}", f"edge={right in '.,-/_:@' and right != '' and j + 1 < len(parts) and parts[j + 1][0].isalnum()}"]
+    if 13 <= len(digits) <= 19:
+        right_sum = luhn(digits)
+        out += [f"luhn={right_sum}", f"luhn={right_sum}&alike={alike}", f"luhn={right_sum}&even={len({len(r) for r in runs[:-1]}) <= 1}", f"luhn={right_sum}&lead={lead}"]
+    if len(runs) == 4:
+        octets, even = all(small(p) for p in runs), alike == "same"
+        out += [f"octets={octets}&{even}", f"octets={octets}&{even}&marks={kinds}", f"octets={octets}&{even}&cue={told}", f"octets={octets}&{even}&dots={'.' in kinds or 'dot' in ''.join(inner)}"]
     return out
 
 
+def features_of_address(span: list[str], before: str, after: str, told: str) -> list[str]:
+    """Of a span with letters: its sign for @, those for dots, what is left and right of them."""
+    sign = next((k for k, p in enumerate(span) if p == "@"), None) if "@" in span else next(k for k, p in enumerate(span) if k and p.lower() == "at")
+
+    def form(k: int) -> str:
+        """Of a sign or dot: bare, between blanks, or between marks."""
+        sides = ["".join(span[max(0, k - 2) : k])[::-1], "".join(span[k + 1 : k + 3])]
+        spaced = [x[:1] == " " for x in sides]
+        closed = [not x.lstrip()[:1].isalnum() for x in sides]
+        return "closed" if all(closed) else "broken" if any(closed) else "spaced" if all(spaced) else "ragged" if any(spaced) else "bare"
+
+    local, host = span[:sign], span[sign + 1 :]
+    at = ("@" if span[sign] == "@" else "at") + form(sign)
+    dots = sorted({("." if span[k] == "." else "dot") + form(k) for k in range(sign + 1, len(span)) if span[k] == "." or span[k].lower() == "dot"})
+    words, names = [p.lower() for p in local if p[0].isalpha()], [p.lower() for p in host if p[0].isalnum() and p.lower() != "dot"]
+    top = span[-1].lower()
+    ending = "known" if top in TOPS else "two" if len(top) == 2 and top.isalpha() else "number" if top.isdigit() else "other"
+    plain, free = bool(words) and words[-1] in COMMON, any(p in FREE for p in names)
+    mail, dot = "email" in told, "+".join(dots)
+    # blanks that belong to no sign or dot: an address has none
+    loose = sum(1 for k in range(1, len(span) - 1) if span[k] == " " and not any(x in (".", "@") or x.lower() in ("at", "dot") or not (x.isalnum() or x in " _%+-") for x in (span[k - 1], span[k + 1])))
+    out = [f"at={at}", f"dots={dot}", f"at={at}&dots={dot}", f"end={ending}", f"end={ending}&at={at}", f"plain={plain}&at={at}", f"free={free}&at={at}", f"mail={mail}&at={at}", f"mail={mail}&at={at}&dots={dot}&free={free}", f"names={min(len(names), 4)}", f"loose={min(loose, 2)}", f"goes on={GOES_ON.match(after) is not None}", f"began={BEGAN.search(before) is not None}"]
+    return out + [f"words={min(len(words), 4)}", f"host={bool(names)}", f"begins={span[0][0].isalnum()}", f"dotted={bool(dots)}", f"plain={plain}&free={free}&mail={mail}"]
+
+
 class Field:
     def __init__(self) -> None:
         self.w: dict[tuple[str, str], float] = defaultdict(float)
@@ -228,7 +319,7 @@ class Field:
         to: dict[int, list[tuple[int, str, float]]] = defaultdict(list)
         for i, j in segments(parts):
             # all that features look at; long runs hold the same spans over and over
-            seen = (*parts[i:j], i and parts[i - 1][-1], j < n and parts[j][0])
+            seen = (tuple(parts[i:j]), tuple(parts[j : j + NEAR]), tuple(parts[max(0, i - NEAR) : i]), cue(parts, i))
             if seen not in self.known:
                 if len(self.known) >= KNOWN:
                     self.known.clear()
@@ -276,52 +367,102 @@ def numbers(rng: random.Random, n: int) -> str:
     return "".join(rng.choice("0123456789") for _ in range(n))
 
 
-def made(kind: str, rng: random.Random) -> str:
-    """An entity of a kind in one of the forms that people write."""
+def made(kind: str, rng: random.Random, told: bool = False) -> str:
+    """An entity of a kind in one of the forms that people write; if it is ``told``, that is announced by a word before
+    it, also in forms that say little by themselves."""
     if kind == "email":
-        name, host, top = letters(rng, 3, 9) + rng.choice(["", ".", "_"]) + letters(rng, 0, 7), letters(rng, 3, 10), rng.choice("com org net de es fr edu io info".split())
-        name = name.strip("._")
-        at = rng.choice(["@", " at ", " (at) ", "(at)", "[at]", " [at] ", "{at}", " AT "])
-        dot = rng.choice([" dot ", " DOT "]) if at in (" at ", " AT ") else rng.choice([".", " dot ", "(dot)", "[dot]", " [dot] ", " (dot) "])
-        return name + at + host + (dot + letters(rng, 3, 7) if rng.random() < 0.2 else "") + (dot if at != "@" else rng.choice([".", " dot ", "[.]"])) + top
+        worded = rng.random() < 0.6
+        between = [".", "_", "-", ""] + [" dot ", "."] * (worded and rng.random() < 0.4)
+        name = rng.choice(between).join(letters(rng, 2, 9) for _ in range(rng.choice([1, 1, 2, 2, 3]))) + rng.choice(["", "", numbers(rng, 2)])
+        host, top = letters(rng, 3, 10), rng.choice([*sorted(TOPS), *(letters(rng, 2, 2) for _ in range(6))])
+        if worded:
+            sign = rng.choice(["at", "at", "AT", "@"])
+            opened, closed = rng.choice(["()", "[]", "{}", "<>", "__", "--", "**"])
+            at = rng.choice([f" {sign} ", f"{opened}{sign}{closed}", f" {opened}{sign}{closed} "])
+            dot = rng.choice([" dot ", " DOT ", ".", f"{opened}dot{closed}", f" {opened}dot{closed} "])
+            if at == f" {sign} ":
+                dot = rng.choice([" dot ", f" {opened}dot{closed} "]) if sign != "@" else rng.choice([".", " . ", " dot "])
+                if dot != "." and rng.random() < 0.25 or told and rng.random() < 0.5:
+                    dot = "."
+                    host = host if told and rng.random() < 0.5 else rng.choice(sorted(FREE))
+        else:
+            at, dot = "@", rng.choice([".", " dot ", "[.]", "(dot)"])
+        return name + at + host + (dot + letters(rng, 3, 7) if rng.random() < 0.2 else "") + dot + top
     if kind == "ip":
-        mark = rng.choice([".", "[.]", "(.)", " . ", "[dot]", " dot "])
-        return mark.join(str(rng.randint(0, 255)) for _ in range(4))
+        marks = [".", "[.]", "(.)", " . ", "[dot]", " dot ", "{.}"] + [",", "-", "_", " ", ":", "/", ", "] * told
+        return rng.choice(marks).join(str(rng.randint(0, rng.choice([9, 99, 255]))) for _ in range(4))
     if kind == "card":
-        n = rng.choice([13, 15, 16, 16, 16, 16, 19])
+        n = rng.choice([13, 14, 15, 16, 16, 16, 16, 19])
         d = rng.choice("3456") + numbers(rng, n - 2)
         d += next(c for c in "0123456789" if luhn(d + c))
-        cuts = [4, 10] if n == 15 else [4, 8, 12, 16]
-        return rng.choice(["", " ", "-", ".", ".", "_", "_", "/", "  ", " - "]).join(d[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True) if a < b)
-    x, y, z = str(rng.randint(201, 989)), numbers(rng, 3), numbers(rng, 4)
-    forms = f"+1 {x} {y} {z}|+{rng.randint(20, 99)} {x} {y}{z}|({x}) {y}-{z}|({x}){y}-{z}|({x}) {y} {z}|{x}-{y}-{z}|{x}.{y}.{z}|1-{x}-{y}-{z}|1.{x}.{y}.{z}|1 ({x}) {y}-{z}|00{rng.randint(20, 99)} {x} {y}{z}"
-    return rng.choice(forms.split("|"))
+        cuts = [4, 10] if n in (14, 15) and rng.random() < 0.7 else rng.choice([[4, 8, 12, 16], [4, 8, 12, 16], list(range(2, 18, 2)), []])
+        cuts = [c for c in cuts if c < n]
+        marks = ["", " ", "-", "_", "_", "/", ":", ","] + [".", ".", "  ", " - "] * (len(cuts) < 5)
+        return rng.choice(marks).join(d[a:b] for a, b in zip([0, *cuts], [*cuts, n], strict=True))
+    # groups of a number at home; those that begin with the 0 of a trunk line, and the rest with a prefix or a word before
+    mark, x = rng.choice([" ", " ", "-", ".", "/"]), str(rng.randint(201, 989))
+
+    def grouped(sizes: list[int], lead: str = "") -> str:
+        first = lead + numbers(rng, sizes[0] - len(lead))
+        return first + (rng.choice([mark, "/", "-"]) if rng.random() < 0.3 else mark) + mark.join(numbers(rng, n) for n in sizes[1:])
+
+    area = rng.choice([f"{x}{mark}", f"({x}) ", f"({x})", f"{x}/"])
+    forms = [area + numbers(rng, 3) + rng.choice([mark, "-"]) + numbers(rng, 4)] * 3
+    forms += [rng.choice(["1", "+1"]) + rng.choice([mark, " "]) + forms[0]] * 2
+    abroad = grouped(rng.choice([[2, 4, 4], [1, 2, 2, 2, 2], [2, 8], [3, 6], [2, 6], [3, 3, 3], [3, 7], [2, 3, 4]]))
+    forms += [rng.choice(["+", "00"]) + str(rng.randint(20, 99)) + rng.choice([" ", mark, " (0)"]) + abroad] * 2
+    home = grouped(rng.choice([[2, 2, 2, 2, 2], [2, 4, 4], [3, 6], [3, 7], [4, 6], [4, 7], [5, 6], [3, 8], [4, 3, 3], [3, 3, 4]]), "0")
+    forms += [home] * 2
+    if told:
+        forms += [f"{x}{mark}{numbers(rng, 4)}", f"{x}{mark}{numbers(rng, 4)}", str(rng.randint(2, 9)) + numbers(rng, rng.choice([6, 9, 9, 10])), grouped(rng.choice([[4, 4], [3, 3, 3], [2, 3, 4], [3, 5], [2, 7]])), "(0)" + grouped(rng.choice([[2, 6], [3, 6], [2, 4, 4]]))] * 2
+    return rng.choice(forms)
 
 
 def made_none(rng: random.Random) -> str:
-    """What looks like an entity and is none: dates, times, sums, versions, order and book numbers, a wrong checksum."""
+    """What looks like an entity and is none: dates, times, sums, versions, order and book numbers, a wrong checksum,
+    people at places."""
     d = numbers(rng, 16)
     while luhn(d):
         d = numbers(rng, 16)
-    day, year = f"{rng.randint(1, 28):02d}", str(rng.randint(1900, 2030))
+    day, month, year = f"{rng.randint(1, 28):02d}", f"{rng.randint(1, 12):02d}", str(rng.randint(1900, 2030))
+    word, place, ending = rng.choice(sorted(COMMON)), letters(rng, 3, 9), rng.choice(sorted(TOPS))
+    mark = rng.choice([" ", "-", ".", "/", ":", ", "])
     forms = [
-        f"{year}-{rng.randint(1, 12):02d}-{day}", f"{day}/{rng.randint(1, 12):02d}/{year}", f"{day}.{rng.randint(1, 12):02d}.{year}", f"{rng.randint(0, 23)}:{rng.randint(10, 59)}", f"{rng.randint(1, 999)},{numbers(rng, 3)},{numbers(rng, 3)}.00",
+        f"{year}-{month}-{day}", f"{day}/{month}/{year}", f"{day}.{month}.{year}", f"{day} {month} {year}", f"{year}-{month}-{day} {rng.randint(0, 23)}:{rng.randint(10, 59)}", f"{rng.randint(0, 23)}:{rng.randint(10, 59)}",
+        f"{rng.randint(1, 999)},{numbers(rng, 3)},{numbers(rng, 3)}.00", " ".join([str(rng.randint(1, 999)), numbers(rng, 3), rng.choice(["000", numbers(rng, 3)])]), f"{rng.randint(1, 999)},{numbers(rng, 3)},{numbers(rng, 3)}",
         d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4)), ".".join(d[k : k + 4] for k in range(0, 16, 4)),
         numbers(rng, rng.randint(7, 12)), f"978-{rng.randint(0, 9)}-{numbers(rng, 3)}-{numbers(rng, 5)}-{rng.randint(0, 9)}", f"{rng.randint(1, 40)}.{rng.randint(0, 30)}.{rng.randint(256, 9999)}.{rng.randint(256, 9999)}",
-        ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{numbers(rng, 3)}-{numbers(rng, 2)}-{numbers(rng, 4)}", f"{numbers(rng, 4)}-{numbers(rng, 4)}", f"{numbers(rng, 5)} {numbers(rng, 5)}", f"{year}-{year[:2]}{day}",
-        f"{rng.randint(1, 9)} {rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}", f"@{letters(rng, 3, 9)}", f"{letters(rng, 3, 6)} at {rng.randint(1, 12)} dot", f"{letters(rng, 3, 6)} @ {rng.randint(1, 12)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
-        f"{rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}", f"{numbers(rng, 2)} {numbers(rng, 2)} {numbers(rng, 2)} {numbers(rng, 3)}",
+        ".".join(str(rng.randint(256, 999)) for _ in range(4)), f"{numbers(rng, 3)}-{numbers(rng, 2)}-{numbers(rng, 4)}", f"{numbers(rng, 4)}-{numbers(rng, 4)}", f"{numbers(rng, 5)} {numbers(rng, 5)}", f"{numbers(rng, 5)}-{numbers(rng, 4)}", f"{year}{mark}{int(year) + rng.randint(1, 9)}",
+        mark.join(str(rng.randint(1, 99)) for _ in range(4)), mark.join(str(rng.randint(100, 999)) for _ in range(rng.randint(3, 5))), mark.join(str(int(year) + k) for k in range(rng.randint(2, 5))), f"{rng.randint(1, 9)} {rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}",
+        f"@{letters(rng, 3, 9)}", f"{letters(rng, 3, 6)} at {rng.randint(1, 12)} dot", f"{letters(rng, 3, 6)} @ {rng.randint(1, 12)}", f"v{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 20)}",
+        f"{word} at {place}.{ending}", f"{word} at {place} dot {ending}", f"{word} at {place}.{rng.choice(sorted(COMMON))}", f"{letters(rng, 3, 8)} at {place}.{ending}", f"{letters(rng, 3, 8)} at {place}.{letters(rng, 3, 7)}", f"{word} {letters(rng, 3, 8)} at {place} dot",
+        f"{rng.randint(1000, 9999)} {rng.randint(1000, 9999)} {rng.randint(1000, 9999)}", f"{numbers(rng, 2)} {numbers(rng, 2)} {numbers(rng, 2)} {numbers(rng, 3)}", " ".join(str(rng.randint(10, 99)) for _ in range(rng.randint(4, 6))),
     ]
     return rng.choice(forms)
 
 
+def announced(kind: str | None, rng: random.Random) -> str:
+    """A word that announces a kind, and how it goes on."""
+    word = rng.choice(CUES[kind].split())
+    return rng.choice(["", "my ", "the "]) + rng.choice([word, word.capitalize()]) + rng.choice([" ", " ", ": ", ":", ". ", " is ", " number ", " me on ", " us at " if kind != "email" else " "])
+
+
 def examples_made(words: list[str], rng: random.Random, per_kind: int, none: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """``(zone, spans)``: made-up entities and others, some between words or marks."""
+    """``(zone, spans)``: made-up entities and others, between words or marks, some announced by a word before them, and
+    numbers announced as none that are built like entities."""
     out = []
     for kind in [k for k in (*KINDS, None) for _ in range(per_kind if k else none)]:
-        text = made(kind, rng) if kind else made_none(rng)
-        before = rng.choice(["", "", "(", '"', "id:", "tel:", "mail:", rng.choice(words) + ":", "<"])
-        after = rng.choice(["", "", ".", ",", ")", ";", '"', ">", ":"])
+        told, some = rng.random() < 0.4, " ".join(rng.choices(words, k=rng.randint(1, 3))) + " "
+        if kind:
+            text = made(kind, rng, told)
+            before = announced(kind, rng) if told else rng.choice(["", some, some, some, "(", '"', "id:", rng.choice(words) + ":", "<", *(announced(rng.choice(KINDS), rng) for _ in range(4))])
+        else:
+            built = told and rng.random() < 0.4
+            text = made(rng.choice(["phone", "ip"]), rng, True) if built else made_none(rng)
+            if built and (base_spans(text) or text[0] in "+("):
+                text = made_none(rng)
+            before = announced(None, rng) if told else rng.choice(["", some, some, some, "(", '"', "<"])
+        after = rng.choice(["", "", ".", ",", ")", ";", '"', ">", ":"]) + rng.choice(["", "", " " + rng.choice(words)])
         out.append((before + text + after, [(kind, len(before), len(before) + len(text))] if kind else []))
     return out
 

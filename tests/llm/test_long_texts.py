@@ -7,9 +7,13 @@ import pytest
 from tessera.llm import html_density, pii
 
 
-@pytest.mark.parametrize("text", ["a" * 1_000_000 + " dot ", "a." * 500_000 + " dot ", "@" * 500_000, "a at " * 200_000 + " dot ", "a at " + "x." * 500_000 + " dot", "a[at]a" * 160_000 + " dot ", "1." * 50_000, "1a" * 50_000])
-def test_pii_in_linear_time(text):
-    field, began = pii.train_field([]), time.time()
+@pytest.fixture(scope="module")
+def field():
+    return pii.train_field([])
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000 + " dot ", "a." * 500_000 + " dot ", "@" * 500_000, "a at " * 200_000 + " dot ", "a at " + "x." * 500_000 + " dot", "a[at]a" * 160_000 + " dot ", "1." * 50_000, "1a" * 50_000, "a at b.c " * 100_000, "a dot " * 200_000 + "at b.c", "a" * 1_000_000 + " at b.c", " at " + "b." * 400_000])
+def test_pii_in_linear_time(text, field):
     began = time.time()
     assert pii.mask(text, pii.spans_of(text, field)[1]) is not None
     assert time.time() - began < 30
@@ -22,8 +26,7 @@ def test_html_in_linear_time(page):
     assert time.time() - began < 30
 
 
-def test_spelled_addresses_are_still_found():
-    field = pii.train_field([])
+def test_spelled_addresses_are_still_found(field):
     for text in ("write to joe (at) example.org now", "write to joe at example dot org now"):
         assert [k for k, _, _ in pii.spans_of(text, field)[1]] == ["email"]
 
