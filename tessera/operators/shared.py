@@ -40,6 +40,30 @@ def met_at_hubs(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
     return rows.join(F.broadcast(of_hubs), list(keys)).unionByName(rows.join(F.broadcast(hubs), list(keys), "left_anti").join(rest.hint("merge"), list(keys)))
 
 
+def met_in_lots(rows: DataFrame, others: DataFrame, key: str, by: str, other_by: str, broadcast_rows: int = BROADCAST_ROWS, least: int = 4096) -> DataFrame:
+    """``rows`` joined with ``others`` on ``key``, of which both may have any number of rows for a value.
+
+    A side ``others`` of counted size is broadcast. Otherwise values with more than one in ``HUBS`` of a side's rows, fewer
+    than ``HUBS`` on either side, are cut into lots on both sides, by hashes of ``by`` and ``other_by``, and every lot of one
+    side meets every lot of the other: no task gets more of a value than about a lot of each side. Both sides are to be
+    stored tables, as they are counted first.
+    """
+    if others.select(F.lit(1)).limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(others), key)
+
+    def hubs(side: DataFrame, lots: str) -> DataFrame:
+        lot = max(least, side.count() // HUBS)
+        return side.groupBy(key).agg(F.ceil(F.count("*") / lot).cast("int").alias(lots)).where(F.col(lots) > 1)
+
+    def dealt(side: DataFrame, own: str, far: str, column: str) -> DataFrame:
+        own_lots, far_lots = F.coalesce(own, F.lit(1)), F.coalesce(far, F.lit(1))
+        met = side.join(F.broadcast(cut), key, "left").withColumn(f"{own}_lot", F.pmod(F.xxhash64(column), own_lots).cast("int"))
+        return met.withColumn(f"{far}_lot", F.explode(F.sequence(F.lit(0), far_lots - 1))).drop("_a", "_b")
+
+    cut = stored(hubs(rows, "_a").join(hubs(others, "_b").hint("merge"), key, "full"))
+    return dealt(rows, "_a", "_b", by).join(dealt(others, "_b", "_a", other_by).hint("merge"), [key, "_a_lot", "_b_lot"]).drop("_a_lot", "_b_lot")
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

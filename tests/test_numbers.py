@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate
+from tessera.operators import evaluate, shared
 from tessera.sources import files
 
 
@@ -51,3 +51,15 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hubs_of_both_sides_meet_in_lots(spark):
+    """A key with a third of all rows on either side, null keys and keys of one side alone: the rows of a plain join."""
+    rows = shared.stored(spark.range(600).selectExpr("case when id % 3 = 0 then 'hub' when id % 50 = 1 then null else concat('k', id % 40) end as k", "id as a"))
+    others = shared.stored(spark.range(300).selectExpr("case when id % 3 = 0 then 'hub' when id % 3 = 1 then 'wide' when id % 50 = 2 then null else concat('k', id % 60) end as k", "id as b"))
+    want = sorted(map(tuple, rows.join(others, "k").select("k", "a", "b").collect()))
+    for limits in ({}, {"broadcast_rows": 0, "least": 7}, {"broadcast_rows": 0}):
+        got = shared.met_in_lots(rows, others, "k", "a", "b", **limits)
+        assert got.columns == ["k", "a", "b"] and sorted(map(tuple, got.collect())) == want
+    empty = rows.where("false")
+    assert shared.met_in_lots(empty, others, "k", "a", "b", 0, 7).count() == shared.met_in_lots(rows, others.where("false"), "k", "a", "b", 0, 7).count() == 0
