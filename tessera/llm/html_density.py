@@ -13,7 +13,9 @@ last filter: elements that are no part of an article by their tag, class, id or
 sidebars, notices, adverts, form controls, comments) are neither chosen nor part of what is chosen; a class must be one
 of ``NAMED`` as a whole token, and an id counts only outside of articles and sections. Where what they leave has less than
 ``OUTSIDE`` of the page's largest density sum, the elements around that subtree stay in all the same: a page may well be
-wrapped in one of those names. Scripts, styles and other elements whose content is no text are not read at all.
+wrapped in one of those names. If a page has one <article> that is text for the most part, and the densest subtree lies
+apart from it, as long comments without a name do, the densest subtree of the article is taken, and nothing from outside
+of it but headings beside it. Scripts, styles and other elements whose content is no text are not read at all.
 """
 
 from __future__ import annotations
@@ -59,6 +61,8 @@ SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Share of the largest density sum that further subtrees must reach.
 PART = 0.1
+#: Characters outside of links that a page's only <article> needs to count as its text.
+ARTICLE_CHARS = 80
 #: Share of the page's largest density sum that must lie outside of elements with names of no article.
 OUTSIDE = 0.2
 
@@ -205,6 +209,19 @@ def largest(order: list[Node], total: Callable[[Node], float]) -> Node:
     return best if 2 * total(best) >= total(root) > 0 else root
 
 
+def only_article(order: list[Node]) -> Node | None:
+    """The one <article> of a page, nested ones not counted, if it holds text that is no link for the most part."""
+    found, within = [], set()
+    for node in order:  # parents come first
+        if node.parent is not None and (node.parent.tag == "article" or id(node.parent) in within):
+            within.add(id(node))
+        elif node.tag == "article":
+            found.append(node)
+    if len(found) == 1 and found[0].kept - found[0].link_chars >= ARTICLE_CHARS and 2 * found[0].link_chars <= found[0].chars:
+        return found[0]
+    return None
+
+
 def content(root: Node) -> list[Node]:
     """Roots of the subtrees that are the article, in page order."""
     every = nodes(root, dropped=True)
@@ -219,6 +236,10 @@ def content(root: Node) -> list[Node]:
         for node in around(best):
             node.dropped = False
     order = nodes(root)
+    article, apart, within = only_article(order), False, set()
+    if article is not None and not any(node is article for node in around(best)) and not any(node is best for node in around(article)):
+        inside = nodes(article)
+        best, apart, within = largest(inside, lambda n: n.kept_total), True, {id(node) for node in inside}
     threshold = min(node.density for node in around(best))
     # up to a parent that adds little, and not for the most part links, but the headline
     while (up := best.parent) is not None and up is not root and up.kept <= 1.3 * best.kept + 200 and 2 * (up.link_chars - best.link_chars) <= up.chars - best.chars:
@@ -227,7 +248,10 @@ def content(root: Node) -> list[Node]:
     for node in order[1:]:
         if id(node) in above:
             continue
-        if node.total >= PART * best.total and node.density >= threshold and node.tag not in ("ul", "ol", "table"):
+        if apart and id(node) not in within:
+            if node.tag in ("h1", "h2", "h3") and node.parent is article.parent and node.link_chars * 2 < node.chars + 1:
+                chosen.add(id(node))
+        elif node.total >= PART * best.total and node.density >= threshold and node.tag not in ("ul", "ol", "table"):
             chosen.add(id(node))
         elif node.tag in ("h1", "p", "blockquote", "pre", "h2", "h3") and node.parent is best.parent and node.link_chars * 2 < node.chars + 1:
             chosen.add(id(node))

@@ -49,3 +49,25 @@ def test_an_article_keeps_elements_that_forms_have_too(tag):
 def test_an_unclosed_comment_or_tag_ends_the_page():
     assert html_density.main_text(f"<body>{WORDS}<!-- no end <p>not kept</p>").count("\n") == 4
     assert "not kept" not in html_density.main_text(f"<body>{WORDS}<!-- not kept")
+
+
+COMMENT = "<p>I have read this with care, and there is a great deal to say about it that I have not seen said.</p>" * 4
+
+
+@pytest.mark.parametrize("wrapped", ["<div>{}</div>", "<section><div>{}</div></section>", "<div><ul>{}</ul></div>"])
+def test_a_short_article_beside_long_comments_without_a_name(wrapped):
+    comments = wrapped.format("".join(f"<div><b>reader {k}</b>{COMMENT}</div>" for k in range(6)))
+    article = "<h1>Headline</h1><p>A short article of some fifty words would do, but this one has fewer, and yet is what the page is there for.</p><p>It has a second line.</p>"
+    text = html_density.main_text(f"<body><nav><a href=x>menu</a></nav><div><article>{article}</article></div>{comments}</body>")
+    assert text.split("\n")[0] == "Headline" and text.endswith("It has a second line.") and "reader" not in text
+    # without any name the densest part is all there is to go by, and an article of links is none
+    assert "reader" in html_density.main_text(f"<body><div>{article}</div>{comments}</body>")
+    links = "<article>" + "<a href=x>one of many teasers of other pages</a> " * 9 + "</article>"
+    assert "reader" in html_density.main_text(f"<body>{links}{comments}</body>")
+
+
+@pytest.mark.parametrize("page", ["<article>" * 30_000 + WORDS, "<div>" * 30_000 + f"<article>{WORDS}</article>" + "</div>" * 30_000 + f"<div>{COMMENT * 20}</div>", "<article>x</article>" * 30_000])
+def test_nested_articles_in_linear_time(page):
+    began = time.time()
+    html_density.main_text(f"<body>{page}</body>")
+    assert time.time() - began < 30
