@@ -1,9 +1,11 @@
 """What larger tables need: filters of keys, hubs, equal vectors from batches, paths that read alike."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, shared
+from tessera.operators import graph, search, shared
 
 
 def test_filter_of_keys_loses_none(spark):
@@ -33,3 +35,14 @@ def test_paths_that_read_alike_are_scored_by_themselves(spark):
     attention = spark.createDataFrame([("q", "a", "b", 0.5)], "qid string, src string, dst string, attn double")
     got = [r["score"] for r in graph.score_paths(paths, found, states, attention).collect()]
     assert got == [round(2 / 5 * 1 / 4 * 0.5, 9)] * 2
+
+
+def test_counts_and_firsts_without_rounding_all():
+    rng = np.random.default_rng(3)
+    sims = np.round(rng.random((40, 300)), 2) + rng.choice([0, 4.9e-10, 5.1e-10, -4.9e-10], (40, 300))
+    ids, own = pd.Series([f"c{x}" for x in rng.permutation(300)]), np.round(rng.random(40), 2)
+    exact = np.round(sims, 9)
+    assert (search.more_similar(sims, own) == (exact > own[:, None]).sum(1)).all()
+    place, top = search.first_of(sims, ids)
+    i, j = search.largest(exact, ids, 1)
+    assert (place[i] == j).all() and (top == exact.max(1)).all()
