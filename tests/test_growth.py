@@ -46,3 +46,18 @@ def test_counts_and_firsts_without_rounding_all():
     place, top = search.first_of(sims, ids)
     i, j = search.largest(exact, ids, 1)
     assert (place[i] == j).all() and (top == exact.max(1)).all()
+
+
+def test_few_queries_in_many_cells_are_compared_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(search, "CELL", 30)
+    monkeypatch.setattr(search, "CANDIDATE_ROWS", 40)
+    q, c = rng.random((25, 16)), rng.random((300, 16))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid int, embedding array<double>")
+    candidates = spark.createDataFrame([(f"c{j}", v.tolist()) for j, v in enumerate(c)], "cand string, embedding array<double>")
+    g = search.grid(queries, candidates)
+    together, pairs = search.merged(g, np.ones(g.most.shape, bool))
+    assert (g.rows_q > 0).sum() > 4 and together.most.shape[0] == 1 and together.tiles()[pairs].sum() < g.tiles().sum() / 2
+    sims = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T, 9)
+    want = {(i, f"c{j}", r) for i in range(25) for r, j in enumerate(sorted(range(300), key=lambda j: (-sims[i, j], f"c{j}"))[:5], 1)}
+    assert {(r["qid"], r["cand"], r["rank"]) for r in search.nearest(queries, candidates, 5).collect()} == want
