@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, search, shared
+from tessera.operators import align, graph, search, shared
 
 
 def test_filter_of_keys_loses_none(spark):
@@ -61,3 +61,44 @@ def test_few_queries_in_many_cells_are_compared_together(spark, monkeypatch):
     sims = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T, 9)
     want = {(i, f"c{j}", r) for i in range(25) for r, j in enumerate(sorted(range(300), key=lambda j: (-sims[i, j], f"c{j}"))[:5], 1)}
     assert {(r["qid"], r["cand"], r["rank"]) for r in search.nearest(queries, candidates, 5).collect()} == want
+
+
+def test_candidates_that_cells_do_not_part_are_few_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(search, "CELL", 30)
+    monkeypatch.setattr(search, "CANDIDATE_ROWS", 20)
+    q, c = rng.random((9, 16)), rng.random((400, 16))
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid int, embedding array<double>")
+    candidates = spark.createDataFrame([(f"c{j}", v.tolist()) for j, v in enumerate(c)], "cand string, embedding array<double>")
+    rows, compare = [], search.compare
+
+    def counted(g, *a, **b):
+        out = shared.stored(compare(g, *a, **b))
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "compare", counted)
+    got = {(r["qid"], r["cand"], r["rank"]) for r in search.nearest(queries, candidates, 20).collect()}
+    sims = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T, 9)
+    assert got == {(i, f"c{j}", r) for i in range(9) for r, j in enumerate(sorted(range(400), key=lambda j: (-sims[i, j], f"c{j}"))[:20], 1)}
+    assert rows[-1] <= 9 * 20 * search.SHARES  # before, 20 for each query and tile of 20
+
+
+def test_fusion_of_lists_is_that_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(align, "LIST", 3)
+    edge = "s string, r string, o string, edge_id string"
+    k1 = spark.createDataFrame([(f"a{i}", "r", f"h{j}", f"{i}{j}") for i in range(6) for j in range(4) if (i + j) % 3], edge)
+    k2 = spark.createDataFrame([(f"x:a{i}", "r", f"x:h{j}", f"{i}{j}") for i in range(25) for j in range(4) if i * j % 4], edge)
+    seeds = spark.createDataFrame([(f"h{j}", f"x:h{j}") for j in range(4)], "e1 string, e2 string")
+    gold = spark.createDataFrame([(f"a{i}", f"x:a{i}") for i in range(6)], "e1 string, e2 string")
+    rng = np.random.default_rng(7)
+    a = spark.createDataFrame([(f"a{i}", v.tolist()) for i, v in enumerate(rng.random((6, 16)))], "e1 string, embedding array<double>")
+    b = spark.createDataFrame([(f"x:a{i}", v.tolist()) for i, v in enumerate(rng.random((25, 16)))], "e2 string, embedding array<double>")
+    lists = align.structural_lists(k1, k2, seeds, gold)
+    assert lists.agg(F.max(F.size("cands"))).first()[0] < 20  # parts of a hub's neighbours
+    pairs = align.structural_scores(k1, k2, seeds, gold)
+    rows = lambda df: {(r["e1"], r["e2"]): r["score"] for r in df.collect()}
+    got, rb, ra = rows(align.rank_fusion(a, b, lists, most=5)), align.ranked(pairs, "shared").collect(), search.nearest(a, b, 5, "e1", "e2").collect()
+    by_text, by_structure = {(r["e1"], r["e2"]): r["rank"] for r in ra}, {(r["e1"], r["e2"]): r["rank"] for r in rb}
+    assert got == {p: round(1 / (60 + by_text.get(p, 1000)) + 1 / (60 + by_structure.get(p, 1000)), 9) for p in by_text.keys() | by_structure.keys()}
+    assert got == rows(align.rank_fusion(a, b, pairs, most=5))
