@@ -102,3 +102,23 @@ def test_fusion_of_lists_is_that_of_pairs(spark, monkeypatch):
     by_text, by_structure = {(r["e1"], r["e2"]): r["rank"] for r in ra}, {(r["e1"], r["e2"]): r["rank"] for r in rb}
     assert got == {p: round(1 / (60 + by_text.get(p, 1000)) + 1 / (60 + by_structure.get(p, 1000)), 9) for p in by_text.keys() | by_structure.keys()}
     assert got == rows(align.rank_fusion(a, b, pairs, most=5))
+
+
+def test_best_edges_of_hubs_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE_EDGES", 150)
+    monkeypatch.setattr(graph, "TILE_TEXTS", 8)
+    monkeypatch.setattr(graph, "SCORES", 500)
+    edges = [(f"e{k:03}", f"u{k % 150}", "has_role", "hub", "U", "R", None, 1.0, k % 7 * 100.0, 1.0) for k in range(200)]
+    edges += [(f"f{k:03}", "hub", "grants part", f"p{k}", "R", "P", None, 0.5, 0.0, 1.0) for k in range(300)]
+    ends = spark.createDataFrame(edges, "edge_id string, s string, r string, o string, s_type string, o_type string, ts long, conf double, age double, trust double")
+    ends = ends.withColumn("_back", F.col("o") == "hub").withColumn("node", F.lit("hub"))
+    texts = spark.createDataFrame([(f"{i}", f"what role grants u{i} the p{i}", 0.4 * (i % 3)) for i in range(20)], "asked string, text string, relation_bias double")
+    features = texts.select("asked", "relation_bias", T.content_tokens(F.col("text")).alias("q_tokens"), T.hash_vector(F.col("text"), graph.DIM).alias("q_vec"))
+    nodes = texts.groupBy(F.lit("hub").alias("node")).agg(F.collect_set("asked").alias("asked"), F.collect_set(F.when(F.col("asked") > "15", F.col("asked"))).alias("back"))
+    score = lambda c: graph.with_score(c, relation_bias=F.col("relation_bias"))
+    some = graph.perhaps_best(ends, nodes, features, 10, (0.4, 0.3, 0.3), None)
+    assert some.count() < 20 * 14  # of 300 or 500 edges for each text
+    every = graph.with_features(ends).join(nodes.select("node", F.explode("asked").alias("asked"), "back"), "node").where("not _back or array_contains(back, asked)")
+    best = lambda c: {(r["asked"], r["edge_id"], r["rank"], r["score"]) for r in search.top_k(score(c.join(features, "asked")), ["asked"], F.col("score"), ["edge_id"], 10).collect()}
+    got = best(some.drop("at"))
+    assert len(got) == 200 and got == best(every)
