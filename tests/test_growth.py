@@ -122,3 +122,37 @@ def test_best_edges_of_hubs_by_tiles(spark, monkeypatch):
     best = lambda c: {(r["asked"], r["edge_id"], r["rank"], r["score"]) for r in search.top_k(score(c.join(features, "asked")), ["asked"], F.col("score"), ["edge_id"], 10).collect()}
     got = best(some.drop("at"))
     assert len(got) == 200 and got == best(every)
+
+
+def test_paths_grow_where_the_edges_of_their_query_are(spark):
+    rows = [("q1", f"n{a}", f"r{k}", f"n{(a * k + 1) % 7}", k) for a in range(6) for k in range(3)] + [("q2", "n1", "r", "n1", 5)]
+    found = spark.createDataFrame(rows, "qid string, s string, r string, o string, ts long").selectExpr("*", "'A' AS s_type", "'B' AS o_type")
+    anchors = spark.createDataFrame([("q1", "n1"), ("q1", "n2"), ("q2", "n1"), ("q3", "n1")], "qid string, node string")
+    paths = graph.enumerate_paths(found, anchors, 3, 40, F.col("qid") == "q1")
+    assert "Exchange" not in paths._jdf.queryExecution().executedPlan().toString()  # nothing is moved once they are together
+    expected = set()
+    for q, starts in (("q1", ("n1", "n2")), ("q2", ("n1",))):
+        walk = [(s, r, o) for x, s, r, o, _ in rows if x == q] + [(o, "~" + r, s) for x, s, r, o, _ in rows if x == q == "q1"]
+        now = sorted(((f"{s}|{r}|{o}", o) for s, r, o in walk if s in starts), key=lambda p: p[0].encode())[:40]
+        every = list(now)
+        for _ in range(2):
+            now = sorted(((f"{p}|{r}|{o}", o) for p, at in now for s, r, o in walk if s == at), key=lambda p: p[0].encode())[:40]
+            every += now
+        expected |= {(q, p) for p, _ in every[:40]}
+    got = paths.collect()
+    assert {(r["qid"], r["path"]) for r in got} == expected and len(got) == 43
+    assert all(r["path"] == "|".join([r["steps"][0]["s"], *[x for s in r["steps"] for x in (s["r"], s["o"])]]) for r in got)
+
+
+def test_ids_survive_being_packed(spark):
+    ids = ["00ff", "abc", "ABCD", "", None, "x1", "d41d8cd98f00b204e9800998ecf8427e", "Äß"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "i int, x string").select("i", shared.packed(F.col("x")).alias("b")).select("i", F.length("b").alias("n"), shared.unpacked(F.col("b")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == ids and got[6]["n"] == 17
+
+
+def test_entities_that_nobody_names_are_not_moved(spark, monkeypatch):
+    kg = spark.range(500).select(F.concat(F.lit("s"), "id").alias("s"), F.concat(F.lit("o"), "id").alias("o"))
+    q = spark.createDataFrame([("a", "s7"), ("b", "o9"), ("c", "none"), ("d", None)], "qid string, anchor string")
+    for most in (10, 1):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        assert {tuple(r) for r in graph.exact_anchors(q, kg, ["anchor"]).collect()} == {("a", "s7"), ("b", "o9")}
