@@ -156,3 +156,17 @@ def test_entities_that_nobody_names_are_not_moved(spark, monkeypatch):
     for most in (10, 1):
         monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
         assert {tuple(r) for r in graph.exact_anchors(q, kg, ["anchor"]).collect()} == {("a", "s7"), ("b", "o9")}
+
+
+def test_candidates_of_two_hops_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(11)
+    edge = lambda p, x, k: [(f"{p}n{a}", "r", f"{p}n{b}", str(i)) for i, (a, b) in enumerate(zip(rng.integers(0, x, k), rng.integers(0, x, k) % 23, strict=True))]
+    k1, k2 = (spark.createDataFrame(edge(p, 60, 110), "s string, r string, o string, edge_id string") for p in ("", "x:"))
+    seeds = spark.createDataFrame([(f"n{i}", f"x:n{j}") for i in range(0, 60, 3) for j in {i, (i * 7) % 60}], "e1 string, e2 string")
+    anchors = spark.createDataFrame([(f"n{i}",) for i in range(0, 60, 2)], "e1 string")
+    pairs = align.structural_scores(k1, k2, seeds, anchors, hops=2).groupBy("e1").agg(F.count("*").alias("n"), F.sum("shared").alias("total"))
+    expected = {tuple(r) for r in pairs.collect()}
+    assert len(expected) > 20
+    for many, costly in ((1, 0), (2, 40), (4, 1_000_000), (1000, 0)):
+        got = align.structural_counts(k1, k2, seeds, anchors, many=many, costly=costly)
+        assert {tuple(r) for r in got.collect()} == expected, (many, costly)
