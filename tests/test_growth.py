@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import align, graph, search, shared
+from tessera.operators import align, answer, graph, search, shared
 
 
 def test_filter_of_keys_loses_none(spark):
@@ -170,3 +170,38 @@ def test_candidates_of_two_hops_are_counted_without_pairs(spark):
     for many, costly in ((1, 0), (2, 40), (4, 1_000_000), (1000, 0)):
         got = align.structural_counts(k1, k2, seeds, anchors, many=many, costly=costly)
         assert {tuple(r) for r in got.collect()} == expected, (many, costly)
+
+
+def test_what_follows_from_an_edge_is_not_moved(spark, monkeypatch):
+    rows = [(f"n{a}", f"rel {k}", f"n{(a * k + 1) % 30}", 0.5 + k / 10) for a in range(30) for k in range(4)] + [(f"n{a}", "at", "hub", 1.0) for a in range(30)]
+    thin = spark.createDataFrame(rows, "s string, r string, o string, conf double").withColumn("ts", F.lit(None).cast("long"))
+    follows = {"edge_id": F.md5(F.concat_ws("|", "s", "r", "o")), "s_type": F.lit("A"), "o_type": F.lit("B"), "age": F.lit(0.0), "trust": F.lit(1.0)}
+    q = spark.createDataFrame([(f"q{i}", f"which rel {i % 3} at n{i}") for i in range(8)], "qid string, question string")
+    a = spark.createDataFrame([(f"q{i}", f"n{3 * i}") for i in range(8)], "qid string, node string")
+    whole = {tuple(r) for r in graph.retrieve(q, a, thin.withColumns(follows), top_k=4)[1].collect()}
+    moved, perhaps_among = [], shared.perhaps_among
+    monkeypatch.setattr(graph, "perhaps_among", lambda rows, *x: moved.append(rows.columns) or perhaps_among(rows, *x))
+    for most, many in ((1000, 256), (1, 256), (1, 2)):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(graph, "MANY_TEXTS", many)
+        monkeypatch.setattr(graph, "hubs_of", lambda rows, *x: rows.sparkSession.createDataFrame([("hub",)], "node string"))
+        assert {tuple(r) for r in graph.retrieve(q, a, thin, top_k=4, follows=follows)[1].collect()} == whole
+    assert len(whole) > 40 and moved and not any("edge_id" in c or "s_type" in c for c in moved)
+
+
+def test_paths_are_weighed_once_for_each_end(spark, monkeypatch):
+    step = lambda s, r, o: F.struct(F.lit(s).alias("s"), F.lit(r).alias("r"), F.lit(o).alias("o"))
+    paths = spark.range(400).select(F.lit("q").alias("qid"), F.col("id").cast("string").alias("path"), F.array(F.when(F.col("id") % 2 == 0, step("a", "r1", "tail one")).otherwise(step("a", "type.object.type", "tail one"))).alias("steps"), F.lit(0.5).alias("score"))
+    features = graph.question_features(spark.createDataFrame([("q", "what is one")], "qid string, question string"))
+    anchors, kept, stored = spark.createDataFrame([("q", "a")], "qid string, node string"), [], answer.stored
+    monkeypatch.setattr(answer, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    got = {(int(r["path"]) % 2, r["score"]) for r in answer.rescore(paths, features, anchors).collect()}
+    assert len(got) == 2 and kept[0].columns == ["qid", "end", "factor"] and kept[0].count() == 2
+
+
+def test_edges_of_paths_are_moved_once(spark):
+    found = spark.createDataFrame([("q", "a", "r", "b", None), ("q", "a", "s", "b", None), ("q", "b", "t", "c", 3)], "qid string, s string, r string, o string, ts long").selectExpr("*", "'A' AS s_type", "'B' AS o_type")
+    walk = graph.steps(found)
+    assert walk._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = walk.first()["walk"]
+    assert {k: sorted(x["r"] for x in v) for k, v in got.items()} == {"a": ["r", "s"], "b": ["t", "~r", "~s"], "c": ["~t"]}
