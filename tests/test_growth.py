@@ -205,3 +205,22 @@ def test_edges_of_paths_are_moved_once(spark):
     assert walk._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     got = walk.first()["walk"]
     assert {k: sorted(x["r"] for x in v) for k, v in got.items()} == {"a": ["r", "s"], "b": ["t", "~r", "~s"], "c": ["~t"]}
+
+
+def test_paths_end_at_the_length_of_their_query(spark):
+    rows = [(f"{k}", f"n{a}", "r", f"n{b}", None) for k in (1, 2, 4) for a in range(4) for b in range(4) if (a + b) % 3]
+    found = spark.createDataFrame(rows, "qid string, s string, r string, o string, ts long").selectExpr("*", "'A' AS s_type", "'B' AS o_type")
+    anchors = spark.createDataFrame([(k, "n0") for k in "124"], "qid string, node string")
+    for cap in (2, 7, 30, 5000):
+        every = graph.enumerate_paths(found, anchors, 4, 5000).select("qid", "path", F.size("steps").alias("n")).where("n <= cast(qid AS int)").collect()
+        expected = {k: sorted(((r["n"], r["path"]) for r in every if r["qid"] == k))[:cap] for k in "124"}
+        if cap < 5000:  # the cap holds after each step
+            step = lambda k, n: [p for m, p in sorted((r["n"], r["path"]) for r in every if r["qid"] == k) if m == n]
+            for k in "124":
+                kept, out = step(k, 1)[:cap], []
+                for n in range(1, int(k) + 1):
+                    out += [(n, p) for p in kept]
+                    kept = [p for p in step(k, n + 1) if any(p.startswith(f"{x}|") for x in kept)][:cap]
+                expected[k] = out[:cap]
+        got = graph.enumerate_paths(found, anchors, 4, cap, own_length=F.col("qid").cast("int")).select("qid", "path", F.size("steps").alias("n")).collect()
+        assert {k: sorted((r["n"], r["path"]) for r in got if r["qid"] == k) for k in "124"} == expected
