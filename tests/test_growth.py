@@ -224,3 +224,17 @@ def test_paths_end_at_the_length_of_their_query(spark):
                 expected[k] = out[:cap]
         got = graph.enumerate_paths(found, anchors, 4, cap, own_length=F.col("qid").cast("int")).select("qid", "path", F.size("steps").alias("n")).collect()
         assert {k: sorted((r["n"], r["path"]) for r in got if r["qid"] == k) for k in "124"} == expected
+
+
+def test_long_lists_are_not_broadcast_for_being_few(spark, monkeypatch):
+    lists = spark.range(40).select(F.col("id").cast("string").alias("asked"), F.lit("n").alias("at"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct(F.concat("id", F.lit("-"), k).alias("edge_id"), (k / 10).alias("score"))).alias("edges"))
+    at = spark.range(60).select(F.col("id").alias("qid"), (F.col("id") % 50).cast("string").alias("asked"), F.lit("n").alias("at"))
+    expected = {(q, f"{q % 50}-{k}") for q in range(60) if q % 50 < 40 for k in range(1, 6)}
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(shared.F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    for most, whole in ((400, True), (100, False)):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        sent.clear()
+        got = {(r["qid"], r["edge_id"]) for r in graph.from_lists(at, lists, None).collect()}
+        assert got == expected
+        assert any(df.count() == 40 for df in sent if "edges" in df.columns) == whole
