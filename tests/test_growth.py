@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import align, answer, graph, search, shared
+from tessera.sources import derived
 
 
 def test_filter_of_keys_loses_none(spark):
@@ -238,3 +239,48 @@ def test_long_lists_are_not_broadcast_for_being_few(spark, monkeypatch):
         got = {(r["qid"], r["edge_id"]) for r in graph.from_lists(at, lists, None).collect()}
         assert got == expected
         assert any(df.count() == 40 for df in sent if "edges" in df.columns) == whole
+
+
+def test_own_graphs_come_with_their_edges(spark, monkeypatch):
+    rows = [(f"n{a}", f"rel {k}", f"n{(a * k + 1) % 30}", 0.5 + k / 10) for a in range(30) for k in range(4)]
+    thin = spark.createDataFrame(rows, "s string, r string, o string, conf double").withColumn("ts", F.lit(None).cast("long"))
+    follows = {"edge_id": F.md5(F.concat_ws("|", "s", "r", "o")), "s_type": F.lit("A"), "o_type": F.lit("B"), "age": F.lit(0.0), "trust": F.lit(1.0)}
+    q = spark.createDataFrame([(f"q{i}", f"which rel {i % 3} at n{i}") for i in range(8)], "qid string, question string")
+    a = spark.createDataFrame([(f"q{i}", f"n{3 * i}") for i in range(8)], "qid string, node string")
+    own = thin.crossJoin(q.select("qid")).where("crc32(concat(qid, s, r, o)) % 3 > 0")
+    ids = own.withColumns(follows).select("qid", "edge_id")
+    for most in (1000, 1):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(shared.small, "__defaults__", (most,))
+        for both in (True, False):
+            whole = {tuple(r) for r in graph.retrieve(q, a, thin.withColumns(follows), top_k=4, bidirectional=both, allowed=ids)[1].collect()}
+            got = graph.retrieve(q, a, thin.limit(0), top_k=4, bidirectional=both, allowed=own, follows=follows)[1]  # the graph isn't read
+            assert {tuple(r) for r in got.collect()} == whole and len(whole) > 20
+        near = lambda: {(r["qid"], r["s"], r["r"], r["o"]) for r in graph.adjacent(a, thin).collect()}
+        assert near() == {(f"q{i}", s, r, o) for i in range(8) for s, r, o, _ in rows if f"n{3 * i}" in (s, o)}
+    assert {tuple(r) for r in graph.own_nodes(thin, own).collect()} == {tuple(r) for r in graph.own_nodes(thin.withColumns(follows), ids).collect()}
+
+
+def test_queries_of_equal_vectors_are_looked_up_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    c = rng.random((300, 16)) - 0.3
+    vectors = spark.createDataFrame([(f"n{j}", v.tolist()) for j, v in enumerate(c)] + [("none", None)], "node string, vector array<double>")
+    for kinds in (2, 20):  # few go to where the candidates are, more meet them in tiles
+        q = rng.random((kinds, 16)) - 0.3
+        queries = spark.createDataFrame([(i, q[i % kinds].tolist()) for i in range(40)] + [(40, None)], "qid int, vector array<double>")
+        seen, nearest = [], search.nearest
+        monkeypatch.setattr(graph, "nearest", lambda x, *a, **b: seen.append(x.count()) or nearest(x, *a, **b))
+        sims = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T, 9)
+        got = {(r["qid"], r["node"]) for r in graph.semantic_anchors(queries, vectors, 5).collect()}
+        assert got == {(i, f"n{j}") for i in range(40) for j in sorted(range(300), key=lambda j: (-sims[i % kinds, j], f"n{j}"))[:5]}
+        assert seen == [kinds + 1]  # and the one without a vector
+
+
+def test_entities_from_keys(spark, tmp_path):
+    t = {"customer": "1L c_custkey, 2 c_nationkey", "supplier": "5L s_suppkey, 3 s_nationkey", "nation": "2 n_nationkey, 0 n_regionkey", "part": "7L p_partkey, 'B#1' p_brand"}
+    t |= {"orders": "9L o_orderkey, 4L o_custkey, timestamp'2024-01-01' o_orderdate", "lineitem": "8L l_orderkey, cast(null AS long) l_partkey, 6L l_suppkey, 0.1D l_discount, timestamp'2024-01-01' l_shipdate"}
+    for name, columns in t.items():
+        spark.sql(f"SELECT {columns}").write.parquet(f"{tmp_path}/{name}.parquet")
+    nodes = {r["node"] for r in graph.entities(derived.star_kg(spark, str(tmp_path))).collect()} - {None}
+    assert {r["node"] for r in derived.star_entities(spark, str(tmp_path)).collect()} == nodes and "order:8" in nodes
+    assert {r["node"] for r in derived.star_entities(spark, str(tmp_path), "order").collect()} == {x for x in nodes if not x.startswith("order:")}
