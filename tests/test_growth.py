@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import align, answer, graph, search, shared
+from tessera.plans import registry
 from tessera.sources import derived
 
 
@@ -284,3 +285,19 @@ def test_entities_from_keys(spark, tmp_path):
     nodes = {r["node"] for r in graph.entities(derived.star_kg(spark, str(tmp_path))).collect()} - {None}
     assert {r["node"] for r in derived.star_entities(spark, str(tmp_path)).collect()} == nodes and "order:8" in nodes
     assert {r["node"] for r in derived.star_entities(spark, str(tmp_path), "order").collect()} == {x for x in nodes if not x.startswith("order:")}
+
+
+def test_own_graphs_are_whole(spark, tmp_path):
+    t = {"customer": "id c_custkey, 2 c_nationkey", "supplier": "id s_suppkey, 3 s_nationkey", "nation": "id n_nationkey, 0 n_regionkey", "part": "id * 50 p_partkey, 'B#1' p_brand"}
+    t |= {"orders": "id o_orderkey, id % 4 * 50 o_custkey, timestamp'2024-01-01' o_orderdate", "lineitem": "id % 20 l_orderkey, id % 3 * 50 l_partkey, id % 7 l_suppkey, 0.1D l_discount, timestamp'2024-01-01' l_shipdate"}
+    for name, columns in t.items():
+        spark.range(20 if name != "lineitem" else 60).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    _, _, own, _ = registry.q_graph.own_graphs(spark, str(tmp_path))
+    edges = {(r["s"], r["r"], r["o"]) for r in derived.star_kg(spark, str(tmp_path)).collect()}
+    expected = set()
+    for q in {f"part:{k * 50}" for k in range(20)} | {"customer:0"}:
+        near = {q} | {x for s, _, o in edges if q in (s, o) for x in (s, o)}
+        expected |= {(q, *e) for e in edges if e[0] in near}
+    got = [(r["qid"], r["s"], r["r"], r["o"]) for r in own.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert "md5(qid" not in registry.q_graph.OWN_WHOLE and "LIKE 'order:%'" not in registry.q_graph.OWN_WHOLE
