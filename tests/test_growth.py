@@ -301,3 +301,42 @@ def test_own_graphs_are_whole(spark, tmp_path):
     got = [(r["qid"], r["s"], r["r"], r["o"]) for r in own.collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert "md5(qid" not in registry.q_graph.OWN_WHOLE and "LIKE 'order:%'" not in registry.q_graph.OWN_WHOLE
+
+
+def test_ranks_by_threshold_are_those_by_score(spark):
+    rng = np.random.default_rng(12)
+    v, w = np.round(rng.random((30, 4)) - 0.2, 1), np.round(rng.random((200, 4)) - 0.2, 1)  # many ties
+    w[0] = 0
+    a = spark.createDataFrame([(f"a{i}", x.tolist()) for i, x in enumerate(v)], "e1 string, embedding array<double>")
+    b = spark.createDataFrame([(f"b{j}", x.tolist()) for j, x in enumerate(w)], "e2 string, embedding array<double>")
+    gold = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(30)], "e1 string, e2 string")
+    parts = {(i, j): float(rng.integers(1, 5)) / 4 for i in range(30) for j in rng.integers(0, 200, 12)}
+    some = spark.createDataFrame([(f"a{i}", f"b{j}", x) for (i, j), x in parts.items()], "e1 string, e2 string, part double")
+    n = lambda x: np.divide(x, np.linalg.norm(x, axis=1)[:, None], out=np.zeros_like(x), where=np.linalg.norm(x, axis=1)[:, None] > 0)
+    sims = np.round(n(v) @ n(w).T, 9)
+    part = np.array([[parts.get((i, j), 0.0) for j in range(200)] for i in range(30)])
+    for alpha in (0.5, 0.25):
+        score = np.floor((alpha * (sims + 1) / 2 + (1 - alpha) * part) * 1e9 + 0.5) / 1e9
+        expected = {(f"a{i}", 1 + int((score[i] > score[i, i]).sum()), min(f"b{j}" for j in np.nonzero(score[i] == score[i].max())[0])) for i in range(30)}
+        got = align.gold_rank(a, b, gold, some, alpha)
+        assert {(r["e1"], r["rank"], r["top"]) for r in got.collect()} == expected
+
+
+def test_signatures_of_some_and_of_hubs(spark, monkeypatch):
+    edges = [(f"n{k % 60}", f"r{k % 3}", f"hub{k % 2}", f"{k * 2654435761 % (1 << 32):08x}") for k in range(600)]
+    kg = spark.createDataFrame(edges, "s string, r string, o string, edge_id string")
+    labels = spark.createDataFrame([(f"n{k}", f"name {k}") for k in range(59)] + [("hub0", "H"), ("hub1", "I"), ("lone", "L")], "e string, label string")
+    name = {r["e"]: r["label"] for r in labels.collect()}
+    line = lambda rows, say: [say(*x[:3]) for x in sorted(rows, key=lambda x: x[3])[:8]]
+    expected = {e: " | ".join([n, *line([x for x in edges if x[0] == e], lambda s, r, o: f"{r} {name.get(o, '?')}"), *line([x for x in edges if x[2] == e], lambda s, r, o: f"{name.get(s, '?')} {r}")]) for e, n in name.items()}
+    moved, perhaps_among = [], shared.perhaps_among
+    monkeypatch.setattr(align, "perhaps_among", lambda *x: moved.append(x[2]) or perhaps_among(*x))
+    some = spark.createDataFrame([("n3",), ("hub1",), ("lone",), ("n3",)], "e string")
+    for most in (1000, 1):
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", most)
+        assert {r["e"]: r["signature"] for r in align.signatures(kg, labels).collect()} == expected
+        got = align.signatures(kg, labels, of=some).collect()
+        assert {r["e"]: r["signature"] for r in got} == {e: expected[e] for e in ("n3", "hub1", "lone")} and len(got) == 3
+    assert moved == ["e", "e"]
+    low = align.first_edges(kg.select(F.col("o").alias("e"), "edge_id"), 8)
+    assert {(r["e"], r["edge_id"], r["k"]) for r in low.collect()} == {(o, x[3], k) for o in ("hub0", "hub1") for k, x in enumerate(sorted((x for x in edges if x[2] == o), key=lambda x: x[3])[:8], 1)}
